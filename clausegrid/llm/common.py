@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,3 +75,87 @@ def map_columns(df: DataFrame, inputs: list[str], keep: list[str], fields: list[
 def texts_of(array: pa.Array) -> list[str]:
     """Texts as str; null counts as empty."""
     return ["" if x is None else x for x in array.to_pylist()]
+
+
+class Memo:
+    """Remembers make's results for strings, at most about `limit` of them: two generations, the older is dropped.
+
+    make_many takes the missing keys and returns their values, none of them None.
+    """
+
+    def __init__(self, make_many: Callable[[list], list], limit: int = 1_000_000):
+        self.make_many, self.limit, self.young, self.old = make_many, max(2, limit), {}, {}
+
+    def many(self, keys: list) -> list:
+        got = list(map(self.young.get, keys))
+        if None in got:
+            fresh = dict.fromkeys(k for k, v in zip(keys, got) if v is None)
+            for k in fresh:
+                fresh[k] = self.old.get(k)
+            missing = [k for k, v in fresh.items() if v is None]
+            fresh.update(zip(missing, self.make_many(missing)))
+            got = [fresh[k] if v is None else v for k, v in zip(keys, got)]
+            self.young.update(fresh)
+            if len(self.young) > self.limit // 2:
+                self.old, self.young = self.young, {}
+        return got
+
+
+class Sparse:
+    """Rows of feature numbers with values, for linear models."""
+
+    def __init__(self, rows: list[np.ndarray], n_features: int, values: list[np.ndarray] | None = None):
+        self.offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        self.at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        self.values = np.concatenate([*values, np.zeros(0)]).astype(float) if values is not None else np.ones(len(self.at))
+        self.row = np.repeat(np.arange(len(rows)), np.diff(self.offsets))
+        self.shape = (len(rows), n_features)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.values * w[self.at], self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.values * g[self.row], self.shape[1])
+
+    def take(self, rows: np.ndarray) -> "Sparse":
+        cut = [slice(self.offsets[r], self.offsets[r + 1]) for r in rows.tolist()]
+        return Sparse([self.at[c] for c in cut], self.shape[1], [self.values[c] for c in cut])
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def fit_logistic(x: Sparse, y: np.ndarray, dense: np.ndarray | None = None, l1: float = 1e-3, l2: float = 1e-4, steps: int = 120) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sparse logistic regression by accelerated proximal gradients: (weights, weights of the dense columns, bias).
+
+    The mean loss plus l1 * |w| + l2/2 * w^2 over the sparse weights; dense columns carry l2 alone.
+    """
+    dense = np.zeros((x.shape[0], 0)) if dense is None else dense
+    n, m, d = x.shape[0], x.shape[1], dense.shape[1]
+    rate = float(np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4))
+    w = np.concatenate([np.zeros(m + d), [np.log(rate / (1 - rate))]])
+    if n == 0 or y.min() == y.max():
+        return w[:m], w[m : m + d], float(w[-1])
+    grams = np.bincount(x.row, x.values**2, n).mean() + 1 + (dense**2).sum(1).mean()
+    size, look, t = 4 / max(1.0, grams**0.5), w.copy(), 1.0
+
+    def loss(v):
+        z = x.times(v[:m]) + dense @ v[m : m + d] + v[-1]
+        return np.logaddexp(0, z).mean() - (y * z).mean() + l2 / 2 * (v[:-1] ** 2).sum(), z
+
+    for _ in range(steps):
+        here, z = loss(look)
+        g = (sigmoid(z) - y) / n
+        grad = np.concatenate([x.transposed_times(g), dense.T @ g, [g.sum()]])
+        grad[:-1] += l2 * look[:-1]
+        while True:
+            new = look - size * grad
+            new[:m] = np.sign(new[:m]) * np.maximum(0, np.abs(new[:m]) - size * l1)
+            step = new - look
+            if loss(new)[0] <= here + grad @ step + (step @ step) / (2 * size) + 1e-12 or size < 1e-6:
+                break
+            size /= 2
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        look, w, t, size = new + (t - 1) / after * (new - w), new, after, size * 1.1
+    return w[:m], w[m : m + d], float(w[-1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import line_dedup, simhash
+from clausegrid.llm import line_dedup, packing, quality, simhash, toxicity
 from clausegrid.llm.common import table
 
 
@@ -17,6 +17,27 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer_path())
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id"])
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -33,8 +54,39 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_simhash_near_dedup": op4_simhash_near_dedup}
-ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL}
+QUALITY_SQL = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, size, i, list_aggregate(w[i : i + size - 1], 'string_agg', ' ') AS gram
+  FROM base, unnest([5, 16, 101]) AS s(size), unnest(range(1, len(w) - size + 2)) AS p(i)),
+repeated AS (
+  SELECT doc_id, size, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, size, gram) > 1),
+covered AS (
+  SELECT doc_id, size, count(DISTINCT i + k) AS n FROM repeated, unnest(range(0, size)) AS o(k) GROUP BY doc_id, size),
+sums AS (
+  SELECT doc_id, coalesce(max(n) FILTER (WHERE size = 5), 0) AS n5, coalesce(max(n) FILTER (WHERE size = 16), 0) AS n16,
+         coalesce(max(n) FILTER (WHERE size = 101), 0) AS n101 FROM covered GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM base)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n5, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(n16, 0) AS n16, coalesce(n101, 0) AS n101
+  FROM base LEFT JOIN sums USING (doc_id) LEFT JOIN lines USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n16 <= 0.1 * n_words AND n101 = 0 AS kept FROM judged
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op6_quality_rules, op9_toxicity)
+}
+ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": QUALITY_SQL}
 
 
 def queries():
