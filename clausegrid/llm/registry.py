@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import line_dedup, packing, quality, simhash, toxicity
+from clausegrid.llm import embedding_dedup, line_dedup, packing, quality, simhash, toxicity
 from clausegrid.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer_path())
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -82,11 +86,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND n16 <= 0.1 * n_words AND n101 = 0 AS kept FROM judged
 """
 
+EMBEDDING_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.vec_id),
+least AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op6_quality_rules, op9_toxicity)
+    for f in (op1_line_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op9_toxicity)
 }
-ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": QUALITY_SQL}
+ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL}
 
 
 def queries():
