@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,13 @@ class Memo:
         return got
 
 
+def joined_values(memo: Memo, groups: list[list]) -> list[bytes]:
+    """The values of each group's keys, joined; all keys are looked up at once."""
+    values = memo.many(list(chain.from_iterable(groups)))
+    ends = list(accumulate(map(len, groups), initial=0))
+    return [b"".join(values[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 class Sparse:
     """Rows of feature numbers with values, for linear models."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from clausegrid.llm.common import Memo, cut, map_columns, texts_of
+from clausegrid.llm.common import Memo, cut, joined_values, map_columns, texts_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that are numbered together, roughly.
@@ -59,19 +59,18 @@ class WordTokenizer:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(chunks)
-        odd = []
-        for k, c in enumerate(chunks):
-            if self.PLAIN.fullmatch(c) and not any(s in c for s in self.special):
-                out[k] = b"".join(self.pieces.many(self.PIECES.findall(c.lower())))
-            else:
-                odd.append(k)
+        plain = [self.PLAIN.fullmatch(c) is not None and not any(s in c for s in self.special) for c in chunks]
+        odd = [k for k, ok in enumerate(plain) if not ok]
+        easy = [k for k, ok in enumerate(plain) if ok]
+        for k, ids in zip(easy, joined_values(self.pieces, [self.PIECES.findall(chunks[k].lower()) for k in easy])):
+            out[k] = ids
         if odd:
             for k, e in zip(odd, self.library.encode_batch([chunks[k] for k in odd], add_special_tokens=False)):
                 out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.chunks.many(text.replace("\n", " ").split(" ")))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return joined_values(self.chunks, [x.replace("\n", " ").split(" ") for x in texts])
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -96,8 +95,8 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
         def f(texts):
             out = []
-            for x in texts_of(texts):
-                ids = encode(x) + end
+            for ids in encode(texts_of(texts)):
+                ids += end
                 out.append([{"piece": k, "start": k * capacity, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
                             for k, part in enumerate(ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity))])
             return [out]
