@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import byte_bpe, embedding_dedup, line_dedup, packing, quality, simhash, toxicity
+from clausegrid.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, quality, simhash, toxicity
 from clausegrid.llm.common import table
 
 
@@ -59,6 +59,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"])
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(language_id.learnable("doc_id", "text", "lang")))
+    found = language_id.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(language_id.remainder("doc_id") == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -121,7 +128,7 @@ FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op8_byte_bpe, op9_toxicity)
+    for f in (op1_line_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op8_byte_bpe, op9_toxicity, op10_language_id)
 }
 ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL}
 
