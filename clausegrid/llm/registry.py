@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, quality, simhash, toxicity
+from clausegrid.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, quality, simhash, toxicity, warc
 from clausegrid.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.build_derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "source_payload_digest", "content_type", "block_digest", "content_length", F.sha2("block", 256).alias("block_sha256"))
+
+
 def byte_tokenizer() -> tuple[str, str]:
     """The file of ranks and the pattern that goes with it."""
     import public_tokenizers
@@ -128,7 +133,7 @@ FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op8_byte_bpe, op9_toxicity, op10_language_id)
+    for f in (op1_line_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_byte_bpe, op9_toxicity, op10_language_id)
 }
 ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL}
 
