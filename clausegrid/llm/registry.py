@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, quality, simhash, toxicity, warc
+from clausegrid.llm import byte_bpe, embedding_dedup, language_id, license_scan, line_dedup, packing, quality, simhash, toxicity, warc
 from clausegrid.llm.common import table
 
 
@@ -23,6 +23,13 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = license_scan.scan(docs, license_scan.train(docs), keep=["doc_id"])
+    best = F.array_max(F.transform("matches", lambda m: m["probability"]))
+    return found.select("doc_id", "n_paragraphs", F.size("matches").cast("long").alias("n_matches"), F.array_join("licences", ",").alias("licences"), best.alias("probability"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer_path())
 
@@ -133,7 +140,7 @@ FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_byte_bpe, op9_toxicity, op10_language_id)
+    for f in (op1_line_dedup, op2_license_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_byte_bpe, op9_toxicity, op10_language_id)
 }
 ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL}
 
