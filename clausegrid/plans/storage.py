@@ -1,0 +1,15 @@
+"""Results that several later steps read are stored once in the shared checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Computes df once; the folder of spark.checkpoint.dir is used, a local one only where none is named."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausegrid-"))
+    return df.checkpoint(eager=True)
