@@ -55,16 +55,16 @@ def gold_of(spark, sf_dir):
 
 
 GOLD_SQL = "SELECT b.item_id AS q, min(d.doc_id) AS gold FROM benchmark b JOIN documents d ON instr(d.text, substr(b.text, 1, 60)) > 0 GROUP BY b.item_id"
-TOKENS_SQL = "tok AS (SELECT doc_id AS id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS t FROM documents), post AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM tok) GROUP BY id, len(t), term, t), stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok)"
+TOKENS_SQL = "tok AS (SELECT doc_id AS id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS t FROM documents), post AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY id, dl, term), stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok)"
 BM25_SQL = f"""{TOKENS_SQL}, {VARIANTS_SQL},
 qt AS (SELECT q, v, term, count(*) AS qtf FROM (SELECT q, v, unnest(t) AS term FROM variants) GROUP BY q, v, term),
 dfs AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM post, stats GROUP BY term, n),
 sc AS (SELECT q, v, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qt JOIN post USING (term) JOIN dfs USING (term), stats GROUP BY q, v, id),
-bm AS (SELECT variants.q, variants.v, tok.id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY variants.q, variants.v ORDER BY coalesce(score, 0) DESC, tok.id) AS rank
+bm AS MATERIALIZED (SELECT variants.q, variants.v, tok.id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY variants.q, variants.v ORDER BY coalesce(score, 0) DESC, tok.id) AS rank
   FROM variants CROSS JOIN tok LEFT JOIN sc ON sc.q = variants.q AND sc.v = variants.v AND sc.id = tok.id)"""
-OVERLAP_SQL = """ov AS (SELECT q, v, id, score, row_number() OVER (PARTITION BY q, v ORDER BY score DESC, id) AS rank FROM (
+OVERLAP_SQL = """ov AS MATERIALIZED (SELECT q, v, id, score, row_number() OVER (PARTITION BY q, v ORDER BY score DESC, id) AS rank FROM (
   SELECT q, v, id, round(count(*) / max(m)::DOUBLE, 9) AS score FROM (SELECT q, v, term, count(*) OVER (PARTITION BY q, v) AS m FROM qt) x JOIN post USING (term) GROUP BY q, v, id))"""
-FUSED_SQL = """fused AS (SELECT q, id, round(sum((CASE WHEN v = 0 THEN 1.0 ELSE 0.25 END)::DOUBLE / (60 + rank)), 9) AS score FROM (
+FUSED_SQL = """fused AS MATERIALIZED (SELECT q, id, round(sum((CASE WHEN v = 0 THEN 1.0 ELSE 0.25 END)::DOUBLE / (60 + rank)), 9) AS score FROM (
   SELECT q, v, id, rank FROM bm WHERE rank <= 50 UNION ALL SELECT q, v, id, rank FROM ov WHERE rank <= 50) GROUP BY q, id)"""
 PRED_SQL = "pred AS (SELECT q, id, CAST(sum(length(term)) AS DOUBLE) AS pred FROM qt JOIN post USING (term) WHERE v = 0 AND length(term) >= 5 GROUP BY q, id)"
 
