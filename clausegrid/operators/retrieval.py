@@ -157,7 +157,7 @@ def scope_bias(fused: DataFrame, query_scopes: DataFrame, control_scopes: DataFr
     rows = fused.withColumn("peak", peak).join(query_scopes, "q", "left").join(control_scopes, "id", "left")
     active = F.coalesce("query_scope", F.lit("neutral")).isin("privileged", "non_privileged") & (F.col("peak") > 0) & (F.coalesce("control_scope", F.lit("neutral")) != "neutral")
     change = F.when(~active, 0.0).when(F.col("query_scope") == F.col("control_scope"), cfg.scope_bonus * F.col("peak")).otherwise(-cfg.scope_penalty * F.col("peak"))
-    return rows.select("q", "id", F.round(F.col("score") + change, DECIMALS).alias("score"))
+    return rows.select("q", "id", F.round(F.col("score") + change, DECIMALS + 3).alias("score"))
 
 
 def margin(rows: DataFrame, score: str, rank: str, out: str) -> DataFrame:

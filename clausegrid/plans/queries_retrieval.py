@@ -169,7 +169,7 @@ def _(spark, sf_dir):
     return fused_of(spark, sf_dir, True)
 
 
-SCOPE_SQL = """SELECT q, id, round(score + CASE WHEN cs = 'neutral' THEN 0 WHEN q % 2 = 0 AND cs = 'privileged' OR q % 2 = 1 AND cs = 'non_privileged' THEN 0.08 * peak ELSE -0.06 * peak END, 9) AS score FROM (SELECT *, max(score) OVER (PARTITION BY q) AS peak, CASE id % 3 WHEN 0 THEN 'privileged' WHEN 1 THEN 'non_privileged' ELSE 'neutral' END AS cs FROM hy)"""
+SCOPE_SQL = """SELECT q, id, round(score + CASE WHEN cs = 'neutral' THEN 0 WHEN q % 2 = 0 AND cs = 'privileged' OR q % 2 = 1 AND cs = 'non_privileged' THEN 0.08 * peak ELSE -0.06 * peak END, 12) AS score FROM (SELECT *, max(score) OVER (PARTITION BY q) AS peak, CASE id % 3 WHEN 0 THEN 'privileged' WHEN 1 THEN 'non_privileged' ELSE 'neutral' END AS cs FROM hy)"""
 
 
 @query("r10_scope_bias", f"WITH {BM25_SQL}, {OVERLAP_SQL}, {HYBRID_SQL} {SCOPE_SQL}")
@@ -386,7 +386,7 @@ def _(spark, sf_dir):
     return M.ranking_metrics(variant_ranks(spark, sf_dir), ["v"])
 
 
-@query("m03_metrics_subset", f"WITH {BM25_SQL}, {RANKS_SQL} SELECT 'all' AS part, count(*) AS n, {METRIC_SQL} FROM gr WHERE v = 0 UNION ALL SELECT 'even', count(*), {METRIC_SQL.replace(' AS s1', '').replace(' AS s5', '').replace(' AS s10', '').replace(' AS mrr10', '').replace(' AS ndcg10', '')} FROM gr WHERE v = 0 AND q % 2 = 0")
+@query("m03_metrics_subset", f"WITH {BM25_SQL}, {RANKS_SQL} SELECT 'all' AS part, count(*) AS n, {METRIC_SQL} FROM gr WHERE v = 0 UNION ALL SELECT 'even', count(*), {METRIC_SQL.replace(' AS s10', '').replace(' AS s1', '').replace(' AS s5', '').replace(' AS mrr10', '').replace(' AS ndcg10', '')} FROM gr WHERE v = 0 AND q % 2 = 0")
 def _(spark, sf_dir):
     ranks = variant_ranks(spark, sf_dir).where("v = 0")
     return M.ranking_metrics(ranks.withColumn("part", F.lit("all")), ["part"]).unionByName(M.ranking_metrics(ranks.where("q % 2 = 0").withColumn("part", F.lit("even")), ["part"]))

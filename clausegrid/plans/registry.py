@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from clausegrid.plans import queries_corpus, queries_evidence, queries_metrics, queries_retrieval, queries_text
+
+MODULES = [queries_text, queries_retrieval, queries_evidence, queries_metrics, queries_corpus]
 
 
 def queries() -> dict[str, Callable]:
