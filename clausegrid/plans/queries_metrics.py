@@ -130,11 +130,11 @@ def _rates(d):
 
 
 rel("m05_wilson", PAIRS, _rates, f"SELECT source, n, round(greatest(round({_w('-')}, 9), 0), 6) AS low, round(least(round({_w('+')}, 9), 1), 6) AS high FROM (SELECT source, count(*) AS n, sum(a) / count(*)::DOUBLE AS p FROM src GROUP BY source)")
-TABLE2 = "t AS (SELECT source, count(*) FILTER (WHERE a = 1 AND b = 0) AS lo, count(*) FILTER (WHERE a = 0 AND b = 1) AS ro, count(*) FILTER (WHERE a = 1 AND b = 1) AS both, count(*) FILTER (WHERE a = 0 AND b = 0) AS neither FROM src GROUP BY source)"
+TABLE2 = "t AS (SELECT source, count(*) FILTER (WHERE a = 1 AND b = 0) AS lo, count(*) FILTER (WHERE a = 0 AND b = 1) AS ro, count(*) FILTER (WHERE a = 1 AND b = 1) AS bb, count(*) FILTER (WHERE a = 0 AND b = 0) AS nn FROM src GROUP BY source)"
 rel("m06_mcnemar", PAIRS, lambda d: M.paired_table(d, "a", "b", ["source"]).select("source", F.round(M.mcnemar_exact(F.col("left_only"), F.col("right_only")), 8).alias("p")), f", {TABLE2} SELECT source, round(CASE WHEN lo + ro = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(lo, ro) + 1), lambda i: exp(lgamma(lo + ro + 1.0) - lgamma(i + 1.0) - lgamma(lo + ro - i + 1.0) - (lo + ro) * ln(2.0))))) END, 8) AS p FROM t")
 _lc = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
 rel("m07_fisher", PAIRS, lambda d: M.paired_table(d, "a", "b", ["source"]).select("source", F.round(M.fisher_exact(F.col("both"), F.col("left_only"), F.col("right_only"), F.col("neither")), 8).alias("p")),
-    f", {TABLE2}, f AS (SELECT source, both + lo AS r, both + ro AS c, both + lo + ro + neither AS n, both AS x FROM t) SELECT source, round(least(1.0, list_sum(list_filter(list_transform(range(greatest(0, r + c - n), least(r, c) + 1), lambda i: exp({_lc('c', 'i')} + {_lc('(n - c)', '(r - i)')} - {_lc('n', 'r')})), lambda q: q <= exp({_lc('c', 'x')} + {_lc('(n - c)', '(r - x)')} - {_lc('n', 'r')}) * (1 + 1e-9)))), 8) AS p FROM f")
+    f", {TABLE2}, f AS (SELECT source, bb + lo AS r, bb + ro AS c, bb + lo + ro + nn AS n, bb AS x FROM t) SELECT source, round(least(1.0, list_sum(list_filter(list_transform(range(greatest(0, r + c - n), least(r, c) + 1), lambda i: exp({_lc('c', 'i')} + {_lc('(n - c)', '(r - i)')} - {_lc('n', 'r')})), lambda q: q <= exp({_lc('c', 'x')} + {_lc('(n - c)', '(r - x)')} - {_lc('n', 'r')}) * (1 + 1e-9)))), 8) AS p FROM f")
 rel("m08_paired_table", PAIRS, lambda d: M.paired_table(d, "a", "b", ["stratum"]), "SELECT stratum, count(*) FILTER (WHERE a = 1 AND b = 0) AS left_only, count(*) FILTER (WHERE a = 0 AND b = 1) AS right_only, count(*) FILTER (WHERE a = 1 AND b = 1) AS both, count(*) FILTER (WHERE a = 0 AND b = 0) AS neither FROM src GROUP BY stratum")
 rel("m09_paired_deltas", PAIRS, lambda d: M.paired_deltas(d, "a", "b", ["stratum"]), "SELECT stratum, count(*) FILTER (WHERE b > a) AS improved, count(*) FILTER (WHERE b = a) AS tied, count(*) FILTER (WHERE b < a) AS worsened, round(avg(b - a), 9) AS mean_delta FROM src GROUP BY stratum")
 rel("m10_bootstrap", PAIRS, lambda d: M.bootstrap(d.withColumn("d", F.col("b") - F.col("a")), "d", ["stratum"]), "")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from clausegrid.plans import queries_corpus, queries_evidence, queries_metrics, queries_retrieval, queries_text
+from clausegrid.plans import queries_audit, queries_corpus, queries_evidence, queries_metrics, queries_retrieval, queries_text
 
-MODULES = [queries_text, queries_retrieval, queries_evidence, queries_metrics, queries_corpus]
+MODULES = [queries_text, queries_retrieval, queries_evidence, queries_metrics, queries_corpus, queries_audit]
 
 
 def queries() -> dict[str, Callable]:
