@@ -10,7 +10,10 @@ from clausegrid.functions.text import text_of, version_lenient
 from clausegrid.operators.provenance import canonical_hash
 from clausegrid.operators.verify import tags
 
-NONE = F.array().cast("array<string>")
+
+def none():
+    """An empty list of strings."""
+    return F.array().cast("array<string>")
 
 
 def without_gold_fields(rows: DataFrame, prefix: str = "gold") -> DataFrame:
@@ -41,7 +44,7 @@ def profile_resolution(spans: Column, values: Column, profile_revision: Column,
     answer = resolve_literally(original, usable)
     left = placeholder_keys(answer, CURLY_SPACED)
     bare = answer.rlike(ASSIGNMENT_SPACED)
-    required = F.concat(left, F.when(bare, F.array(F.lit(ASSIGNMENT_SENTINEL))).otherwise(NONE))
+    required = F.concat(left, F.when(bare, F.array(F.lit(ASSIGNMENT_SENTINEL))).otherwise(none()))
     bindings = F.transform(F.filter(keys, lambda k: F.map_contains_key(usable, k)), lambda k: F.struct(k.alias("param_id"), usable[k].alias("value"),
         F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda s: F.array_contains(placeholder_keys(s["span_text"], CURLY_SPACED), k)), lambda s: s["source_id"]))).alias("source_ids")))
     record = F.struct(F.lit("FILL_FROM_PROFILE").alias("policy"), corpus_version.alias("corpus_version"), F.lower(F.trim(profile_revision)).alias("profile_revision"), applicable.alias("profile_applicable"),
@@ -61,7 +64,7 @@ def profile_tags(record: Column, answer: Column, required: Column, status: Colum
         (clean(required) != clean(want["required"]), "ProfileUnresolvedListMismatch"),
         (F.upper(F.trim(status)) != want["status"], "ProfileResolutionStatusMismatch"),
     )
-    return (F.when(record.isNull(), NONE).when(values.isNull(), F.array(F.lit("ProfileResolutionRequiresOrgProfile")))
+    return (F.when(record.isNull(), none()).when(values.isNull(), F.array(F.lit("ProfileResolutionRequiresOrgProfile")))
             .when(~v.isin("rev4", "rev5"), F.array(F.lit("ProfileResolutionRequiresCorpusVersion"))).otherwise(found))
 
 
@@ -124,7 +127,7 @@ def profile_mutations(contracts: DataFrame) -> DataFrame:
         "revision": {"record": c("record").withField("profile_revision", F.lit("rev0"))}, "corpus": {"record": c("record").withField("corpus_version", F.lit("rev0"))},
         "applicable": {"record": c("record").withField("profile_applicable", ~c("record.profile_applicable"))}, "unresolved": {"record": c("record").withField("unresolved_param_ids", F.array(F.lit("zz")))},
         "anonymous": {"record": c("record").withField("anonymous_assignment_required", ~c("record.anonymous_assignment_required"))},
-        "value": {"record": c("record").withField("bindings", F.concat("record.bindings", F.array(F.struct(F.lit("zz").alias("param_id"), F.lit("v").alias("value"), NONE.alias("source_ids")))))},
+        "value": {"record": c("record").withField("bindings", F.concat("record.bindings", F.array(F.struct(F.lit("zz").alias("param_id"), F.lit("v").alias("value"), none().alias("source_ids")))))},
     }
     out = None
     for name, change in changes.items():

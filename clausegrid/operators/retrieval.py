@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from clausegrid.config import RANK, RankConfig
 from clausegrid.functions.text import control_aliases, normalize_text, privilege_scope, tokenize
 
-DECIMALS = 9
+#: Scores are rounded before they are ranked, so that the order of a sum never decides.
+DECIMALS, BM25_DECIMALS = 9, 6
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], out: str = "rank", most: int | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, cfg: RankConfig = RANK, key
     weights = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus_stats(docs)), how="cross").select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     tf, dl = F.col("tf"), F.col("dl")
     weighted = posted.join(weights, "term").select("term", "id", (F.col("idf") * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl / F.greatest("avgdl", F.lit(1e-9))))).alias("s"))
-    return wanted.join(weighted, "term").groupBy(*key, "id").agg(F.round(F.sum(F.col("qtf") * F.col("s")), DECIMALS).alias("score"))
+    return wanted.join(weighted, "term").groupBy(*key, "id").agg(F.round(F.sum(F.col("qtf") * F.col("s")), BM25_DECIMALS).alias("score"))
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, n: int, cfg: RankConfig = RANK, key: list[str] = ["q"]) -> DataFrame:

@@ -10,7 +10,11 @@ from clausegrid.plans.fixtures import fixture, with_fixtures
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-NONE = F.array().cast("array<string>")
+
+
+def none():
+    """An empty list of strings."""
+    return F.array().cast("array<string>")
 
 
 def query(name: str, sql: str | None, *fixtures: str):
@@ -339,7 +343,7 @@ def _(spark, sf_dir):
 @query("v06_citation_tags", ", g AS (SELECT q, list_sort(list_distinct(list(control_id))) AS got, list_sort(list_distinct(list(control_id) FILTER (WHERE position % 2 = 1))) || ['ZZ-1'] AS gold FROM fx_retrieved GROUP BY q) SELECT q, 'MissedControlCitations:[''ZZ-1'']' || CASE WHEN len(list_filter(got, lambda x: NOT list_contains(gold, x))) > 0 THEN '|ExtraControlCitations:[' || array_to_string(list_transform(list_filter(got, lambda x: NOT list_contains(gold, x)), lambda x: '''' || x || ''''), ', ') || ']' ELSE '' END AS tags FROM g", "retrieved")
 def _(spark, sf_dir):
     g = fixture(spark, sf_dir, "retrieved").groupBy("q").agg(F.collect_set("control_id").alias("got"), F.concat(F.collect_set(F.when(F.col("position") % 2 == 1, F.col("control_id"))), F.array(F.lit("ZZ-1"))).alias("gold"))
-    return g.select("q", F.array_join(V.citation_tags(F.col("got"), F.col("gold"), NONE, NONE), "|").alias("tags"))
+    return g.select("q", F.array_join(V.citation_tags(F.col("got"), F.col("gold"), none(), none()), "|").alias("tags"))
 
 
 @query("v07_parameter_tags", r""", x AS (SELECT *, CASE WHEN contains(answer, 'insert:') THEN 'ac-0' || (1 + q % 9) || '_odp.01' ELSE '' END AS seen, status = 'PARAMS_REQUIRED' AS asked, gold_required <> '' AS has FROM fx_headers),
@@ -349,7 +353,7 @@ t AS (SELECT q, list_filter([CASE WHEN seen <> '' AND asked AND seen <> required
  CASE WHEN has AND policy = 'PRESERVE' AND gold_required <> seen THEN 'PreserveMissingPlaceholder:' || gold_required END], lambda z: z IS NOT NULL) AS t FROM x) SELECT q, array_to_string(t, '|') AS tags FROM t""", "headers")
 def _(spark, sf_dir):
     c = contracts_of(spark, sf_dir)
-    return c.select("q", F.array_join(V.parameter_tags(F.col("status"), F.col("policy"), F.col("answer"), NONE, F.col("required"), F.col("gold_required")), "|").alias("tags"))
+    return c.select("q", F.array_join(V.parameter_tags(F.col("status"), F.col("policy"), F.col("answer"), none(), F.col("required"), F.col("gold_required")), "|").alias("tags"))
 
 
 @query("v08_version_tags", "SELECT q, CASE q % 3 WHEN 0 THEN 'WARN:VersionNotProvableFromSourceIds' WHEN 1 THEN CASE WHEN version = 'rev4' THEN 'VersionMismatchInCitations:expected=rev4,got=rev5' ELSE '' END ELSE 'MixedVersionsInCitations:[''rev4'', ''rev5'']' END AS tags FROM fx_headers", "headers")
@@ -385,7 +389,7 @@ def _(spark, sf_dir):
     r = F.col("q") % 3
     span = lambda i, t="plain": F.struct(F.lit(i).alias("source_id"), F.lit(t).alias("span_text"))
     spans = F.when(r == 0, F.array(span("a"))).when(r == 1, F.array(span("b"), span("b"))).otherwise(F.array(span("x", "{{ insert: param, p }}")))
-    t = V.mechanical_tags(spans, F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b")), F.lit("text"), F.lit("OK"), NONE, F.array(F.lit("p")), F.when(r == 2, F.array(F.lit("p"))).otherwise(NONE))
+    t = V.mechanical_tags(spans, F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b")), F.lit("text"), F.lit("OK"), none(), F.array(F.lit("p")), F.when(r == 2, F.array(F.lit("p"))).otherwise(none()))
     return fixture(spark, sf_dir, "headers").select("q", F.array_join(t, "|").alias("tags"))
 
 

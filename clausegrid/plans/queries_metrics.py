@@ -105,9 +105,14 @@ rel("g17_revision_and_combined", LINES, lambda d: d.groupingSets([["flag", "ls"]
 
 # ---------------------------------------------------------------- windows, sorts, set operations
 
-w = W.partitionBy("c").orderBy(F.desc("price"), "k")
-rel("n01_top_k_per_group", ORDERS, lambda d: d.withColumn("r", F.row_number().over(w)).where("r <= 3").select("c", "k", "r"), "SELECT c, k, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY price DESC, k) AS r FROM src) WHERE r <= 3")
-rel("n02_lead_margin", ORDERS, lambda d: d.withColumn("r", F.row_number().over(w)).withColumn("m", F.coalesce((F.col("price") - F.lead("price").over(w)) / F.col("price"), F.lit(1.0))).where("r = 1").select("c", F.round("m", 9).alias("margin")), "SELECT c, round(coalesce((price - nx) / price, 1.0), 9) AS margin FROM (SELECT *, row_number() OVER w AS r, lead(price) OVER w AS nx FROM src WINDOW w AS (PARTITION BY c ORDER BY price DESC, k)) WHERE r = 1")
+
+
+def by_price():
+    return W.partitionBy("c").orderBy(F.desc("price"), "k")
+
+
+rel("n01_top_k_per_group", ORDERS, lambda d: d.withColumn("r", F.row_number().over(by_price())).where("r <= 3").select("c", "k", "r"), "SELECT c, k, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY price DESC, k) AS r FROM src) WHERE r <= 3")
+rel("n02_lead_margin", ORDERS, lambda d: d.withColumn("r", F.row_number().over(by_price())).withColumn("m", F.coalesce((F.col("price") - F.lead("price").over(by_price())) / F.col("price"), F.lit(1.0))).where("r = 1").select("c", F.round("m", 9).alias("margin")), "SELECT c, round(coalesce((price - nx) / price, 1.0), 9) AS margin FROM (SELECT *, row_number() OVER w AS r, lead(price) OVER w AS nx FROM src WINDOW w AS (PARTITION BY c ORDER BY price DESC, k)) WHERE r = 1")
 rel("n03_first_and_last", ORDERS, lambda d: d.groupBy("c").agg(F.min_by("status", "k").alias("first"), F.max_by("status", "k").alias("last")), "SELECT c, arg_min(status, k) AS first, arg_max(status, k) AS last FROM src GROUP BY c")
 rel("n04_partition_scaling", ORDERS, lambda d: d.select("k", F.round((F.col("price") - F.min("price").over(W.partitionBy("c"))) / F.greatest(F.max("price").over(W.partitionBy("c")) - F.min("price").over(W.partitionBy("c")), F.lit(1e-12)), 9).alias("v")), "SELECT k, round((price - min(price) OVER (PARTITION BY c)) / greatest(max(price) OVER (PARTITION BY c) - min(price) OVER (PARTITION BY c), 1e-12), 9) AS v FROM src")
 rel("n05_numeric_then_text_order", "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE CAST(p_partkey AS VARCHAR(20)) END AS id FROM part", lambda d: d.select("k", "id", F.try_to_number("id", F.lit("999999999")).cast("long").alias("v")).orderBy(F.asc_nulls_last("v"), "id", "k").limit(50).select("k", "id"), "SELECT k, id FROM src ORDER BY TRY_CAST(id AS BIGINT) NULLS LAST, id, k LIMIT 50")

@@ -59,7 +59,7 @@ TOKENS_SQL = "tok AS (SELECT doc_id AS id, regexp_extract_all(lower(regexp_repla
 BM25_SQL = f"""{TOKENS_SQL}, {VARIANTS_SQL},
 qt AS (SELECT q, v, term, count(*) AS qtf FROM (SELECT q, v, unnest(t) AS term FROM variants) GROUP BY q, v, term),
 dfs AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM post, stats GROUP BY term, n),
-sc AS (SELECT q, v, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qt JOIN post USING (term) JOIN dfs USING (term), stats GROUP BY q, v, id),
+sc AS (SELECT q, v, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN post USING (term) JOIN dfs USING (term), stats GROUP BY q, v, id),
 bm AS MATERIALIZED (SELECT variants.q, variants.v, tok.id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY variants.q, variants.v ORDER BY coalesce(score, 0) DESC, tok.id) AS rank
   FROM variants CROSS JOIN tok LEFT JOIN sc ON sc.q = variants.q AND sc.v = variants.v AND sc.id = tok.id)"""
 OVERLAP_SQL = """ov AS MATERIALIZED (SELECT q, v, id, score, row_number() OVER (PARTITION BY q, v ORDER BY score DESC, id) AS rank FROM (
