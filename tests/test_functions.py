@@ -42,7 +42,8 @@ def test_queries(spark):
     assert q["scope"] == "privileged" and q["query"].startswith("MFA for admins") and q["query"].endswith("privileged user privileged users")
     assert one(spark, X.privilege_scope(F.col("x"), True), x="non-privileged admins") == "non_privileged"
     assert one(spark, X.privilege_scope(F.col("x"), False), x="admins") == "neutral"
-    assert one(spark, X.query_variants(F.col("q"), F.col("r")), q="access AT-3(3) plan", r=["access plan", "zebra", "access AT-3(3) plan"]) == ["access AT-3(3) plan", "access AT-3(3) plan AT-3.3 at-3.3", "access plan"]
+    assert one(spark, X.query_variants(F.col("q"), F.col("r")), q="access AT-3(3) plan", r=["access plan", "zebra", "access AT-3(3) plan"]) == ["access AT-3(3) plan", "access plan"]
+    assert one(spark, X.augment_enhancements(F.col("x")), x="AT-3(3)x") == "AT-3(3)x AT-3.3 at-3.3"  # a word must follow the parenthesis
     assert one(spark, X.control_hints(F.col("x")), x="about AT-3(3) or at-03 and AC-2") == ["AT-3.3", "AC-2"]
 
 
