@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 from itertools import accumulate, chain
@@ -50,6 +51,15 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def release() -> None:
+    """Gives a finished task's memory back to the system; Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_columns(df: DataFrame, inputs: list[str], keep: list[str], fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
     """Adds columns that a Python function computes from Arrow arrays.
 
@@ -69,6 +79,8 @@ def map_columns(df: DataFrame, inputs: list[str], keep: list[str], fields: list[
                 made = f(*(part.column(part.schema.get_field_index(c)) for c in inputs))
                 made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=t) for x, t in zip(made, types.types)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made], names=[*keep, *types.names])
+        del f
+        release()
 
     return source.mapInArrow(run, schema)
 
