@@ -184,7 +184,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     lists = [T.StructField("__at", T.ArrayType(T.IntegerType())), T.StructField("__n", T.ArrayType(T.IntegerType()))]
     counted = map_columns(rows, [text], [doc_id, lang], lists, make)
-    got = sorted(((r[doc_id], r[lang], np.array(r["__at"], np.int64), np.array(r["__n"], np.int64)) for r in counted.toLocalIterator()), key=lambda r: (r[0], r[1]))
+    table = counted.toArrow()  # at most `sample` documents, eight bytes for each bucket that one has
+    numbers = lambda c: [x.values.to_numpy().astype(np.int64) for x in table.column(c)]
+    got = sorted(zip(table.column(doc_id).to_pylist(), table.column(lang).to_pylist(), numbers("__at"), numbers("__n")), key=lambda r: (r[0], r[1]))
     got = [(languages.index(y), at, tf_idf(c, idf[at])) for _, y, at, c in got if len(at)]
     order = np.random.default_rng(11).permutation(len(got)).tolist()
     kept_out, fitted = order[: len(order) // 6], order[len(order) // 6 :]

@@ -105,7 +105,7 @@ def repeated_filter(docs: DataFrame, doc_id: str, text: str, n_bits: int, least:
 
     filled = docs.where(F.col(doc_id).isNotNull()).select(text).mapInArrow(fill, "segment int, once binary, twice binary")
     words = np.zeros(n_bits // 64, np.uint64)
-    for row in filled.repartition("segment").mapInArrow(join, "segment int, twice binary").toLocalIterator():
+    for row in filled.repartition("segment").mapInArrow(join, "segment int, twice binary").collect():  # MAX_BITS in all
         at = row["segment"] * SEGMENT_WORDS
         words[at : at + SEGMENT_WORDS] = np.frombuffer(zlib.decompress(row["twice"]), np.uint64)
     return words
@@ -161,7 +161,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         return [out, n_lines, n_dropped]
 
     if confirmed.count() <= max_broadcast_keys:
-        keepers = spark.sparkContext.broadcast({bytes(r["line_key"]): r["keeper"] for r in confirmed.toLocalIterator()})
+        known = confirmed.toArrow()  # at most max_broadcast_keys rows
+        keepers = spark.sparkContext.broadcast(dict(zip(known.column("line_key").to_pylist(), known.column("keeper").to_pylist())))
 
         def make():
             kept_in = keepers.value

@@ -20,6 +20,8 @@ from clausegrid.llm.common import Memo, Sparse, fit_logistic, map_columns, sigmo
 
 #: Labelled documents that are used for fitting at most, and features of each of them at most on the driver.
 SAMPLE = 6000
+#: Chunks that a task remembers.
+REMEMBERED = 150_000
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 #: Features that enter a fit: in this many documents at least, and the most telling ones of each category.
@@ -123,14 +125,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     joined = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(doc_id) == F.col("__id"))
 
     def make():
-        memo = Memo(lambda chunks: [chunk_features(c) for c in chunks])
+        memo = Memo(lambda chunks: [chunk_features(c) for c in chunks], REMEMBERED)
         return lambda texts: [[text_features(x, memo) for x in texts_of(texts)]]
 
     found = map_columns(joined, [text], ["__id", *(f"__y{k}" for k in range(len(names)))], [T.StructField("__features", T.ArrayType(T.IntegerType()))], make)
-    got = sorted(((r["__id"], np.array(r["__features"], np.int64), [r[f"__y{k}"] for k in range(len(names))]) for r in found.toLocalIterator()), key=lambda r: r[0])
-    ids = [r[0] for r in got]
+    table = found.toArrow()  # at most `sample` documents, a number of four bytes for each feature
+    ids = table.column("__id").to_pylist()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    features = [x.values.to_numpy().astype(np.int64) for x in table.column("__features")]
+    labels_of = np.column_stack([table.column(f"__y{k}").to_numpy() for k in range(len(names))]).reshape(len(ids), len(names))[order]
+    ids = [ids[k] for k in order]
     folds = np.array([xxhash.xxh64_intdigest(str(i)) % FOLDS for i in ids], int)
-    return fit_chain([r[1] for r in got], np.array([r[2] for r in got]).reshape(len(got), len(names)), names, folds)
+    return fit_chain([features[k] for k in order], labels_of, names, folds)
 
 
 def score(docs: DataFrame, model: Chain, text: str = "text", keep: list[str] | None = None, target: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -145,7 +151,7 @@ def score(docs: DataFrame, model: Chain, text: str = "text", keep: list[str] | N
     def make():
         model = shared.value
         number = {f: k for k, f in enumerate(model.features.tolist())}
-        memo = Memo(lambda chunks: [tuple(number[f] for f in chunk_features(c) if f in number) for c in chunks])
+        memo = Memo(lambda chunks: [tuple(number[f] for f in chunk_features(c) if f in number) for c in chunks], REMEMBERED)
 
         def f(texts):
             hits = [text_features(x, memo) for x in texts_of(texts)]
