@@ -71,7 +71,9 @@ def _cells(point: Column) -> Column:
 
 def links(reps: DataFrame, fp: str = "fp", hot_cell: int = HOT_CELL) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints of reps just as all pairs 2 or fewer bits apart would."""
-    placed = reps.select(fp, F.explode(_cells(_counts(F.col(fp)))).alias("cell"))
+    # fingerprints are few bytes and become 33 rows each: they are dealt out so that all tasks share that work
+    tasks = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = reps.select(fp).repartition(tasks, fp).select(fp, F.explode(_cells(_counts(F.col(fp)))).alias("cell"))
     met = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     members = placed.join(met, "cell")
     groups = members.where(F.col("n") <= hot_cell).groupBy("cell").agg(F.collect_list(fp).alias("fps"))
