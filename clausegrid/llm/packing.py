@@ -9,11 +9,12 @@ places of their length in order; their order within a length comes from salted c
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from clausegrid.llm.common import Memo, cut, joined_values, map_columns, texts_of
@@ -21,6 +22,8 @@ from clausegrid.llm.common import Memo, cut, joined_values, map_columns, texts_o
 CAPACITY, END_ID = 4096, 1
 #: Pieces that are numbered together, roughly.
 GROUP_ROWS = 20_000
+#: Chunks, and pieces of chunks, that a Python worker remembers.
+REMEMBERED = 160_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -34,36 +37,45 @@ class WordTokenizer:
     library's whole pipeline.
     """
 
-    #: The pretokenizer's pattern; a fixed value of the vocabulary file.
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    #: The pretokenizer's pattern, a fixed value of the vocabulary file, for the letters of plain chunks; a line break parts chunks.
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+    _BREAK = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        self.special = tuple(special)
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
         hidden = [c for c in range(256) if c not in set(shown)]
         self.byte_letters = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(hidden)}
-        self.pieces, self.chunks = Memo(self._pieces, 400_000), Memo(self._chunks, 800_000)
+        self.pieces, self.chunks = Memo(self._pieces, REMEMBERED), Memo(self._chunks, REMEMBERED)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         model, letters = self.library.model, self.byte_letters
         out = []
         for p in pieces:
-            p = p if p.isascii() else p.encode().decode("latin-1").translate(letters)
-            out.append(b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(p)))
+            if p == "\n":
+                out.append(self._BREAK)
+            else:
+                p = p if p.isascii() else p.encode().decode("latin-1").translate(letters)
+                out.append(array("I", [t.id for t in model.tokenize(p)]).tobytes())
         return out
 
+    def _plain(self, chunk: str) -> bool:
+        inside = chunk.isprintable() if chunk.isascii() else self.PLAIN.fullmatch(chunk) is not None
+        return inside and ("<|" not in chunk or not any(s in chunk for s in self.special))
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Plain chunks are split and looked up together, a line break between them; no id has the bytes of _BREAK."""
         out: list[bytes | None] = [None] * len(chunks)
-        plain = [self.PLAIN.fullmatch(c) is not None and not any(s in c for s in self.special) for c in chunks]
-        odd = [k for k, ok in enumerate(plain) if not ok]
-        easy = [k for k, ok in enumerate(plain) if ok]
-        for k, ids in zip(easy, joined_values(self.pieces, [self.PIECES.findall(chunks[k].lower()) for k in easy])):
-            out[k] = ids
+        plain = list(map(self._plain, chunks))
+        easy, odd = [k for k, ok in enumerate(plain) if ok], [k for k, ok in enumerate(plain) if not ok]
+        if easy:
+            pieces = self.PIECES.findall("\n".join([chunks[k] for k in easy]).lower())
+            for k, ids in zip(easy, b"".join(self.pieces.many(pieces)).split(self._BREAK)):
+                out[k] = ids
         if odd:
             for k, e in zip(odd, self.library.encode_batch([chunks[k] for k in odd], add_special_tokens=False)):
                 out[k] = np.array(e.ids, "<u4").tobytes()
@@ -184,7 +196,7 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     different places. An empty table gives an empty table.
     """
     stored = cut(cut_up)
-    histogram = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
+    histogram = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = stored.sparkSession.sparkContext.broadcast(places(plan_bins(histogram, capacity)))
     parts = max([1, *(-(-n // group_rows) for n in histogram.values())])
     salted = stored.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(parts)))
