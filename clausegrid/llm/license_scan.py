@@ -6,7 +6,8 @@ and years added, notices set in other prose) against a bounded sample of the cor
 nothing with a notice, and against such prose with licence words in it. Variants kept out of the fit give the temperature of the
 probabilities. A paragraph is of the unknown class if that class has the most probability or the best family has less
 than LEAST_PROBABILITY. What remains is confirmed if enough of a notice of the predicted family is in the paragraph,
-or of the paragraph in the notice; the notices' word n-grams decide.
+or of the paragraph in the notice; the notices' word n-grams decide. In runs of lines that look like wrapped notices every
+start is tried with the length of every notice, and the lines that no match has taken are tried again.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ LONGEST_GRAM, TEMPLATE_GRAM = 3, 3
 SAMPLE, VARIANTS = 300, 40
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
 #: Lines are joined to a paragraph while this share of their words occurs in notices.
-WRAPPED_SHARE, MAX_WRAPPED = 0.75, 40
+WRAPPED_SHARE = 0.75
 
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
@@ -39,6 +40,8 @@ def grams_of(words: list[str], longest: int = LONGEST_GRAM) -> list[str]:
     return [" ".join(words[k : k + n]) for n in range(1, longest + 1) for k in range(len(words) - n + 1)]
 
 
+#: The lengths of the notices in words, each once.
+_LENGTHS = sorted({len(words_of(n)) for notices in TEMPLATES.values() for n in notices})
 _NOTICE_WORDS = {w for notices in TEMPLATES.values() for n in notices for w in words_of(n)}
 
 
@@ -50,7 +53,7 @@ def paragraphs(text: str) -> list[tuple[int, int, list[str]]]:
     at = 0
     while at < len(words):
         end = at
-        while end < len(words) and like[end] and end - at < MAX_WRAPPED:
+        while end < len(words) and like[end]:
             end += 1
         if end - at > 1:
             out.append((at, end - at, [w for x in words[at:end] for w in x]))
@@ -69,6 +72,11 @@ class Templates:
         n = min(TEMPLATE_GRAM, max(1, len(words)))
         return {" ".join(words[k : k + n]) for k in range(len(words) - n + 1)}
 
+    def shared(self, words: list[str], family: str) -> int:
+        """N-grams that the paragraph has in common with a notice of the family, at most."""
+        here = self._grams(words)
+        return max(len(here & notice) for notice in self.grams[family])
+
     def similarity(self, words: list[str], family: str) -> float:
         here, best = self._grams(words), 0.0
         for notice in self.grams[family]:
@@ -167,19 +175,76 @@ MATCH = T.ArrayType(T.StructType([
     T.StructField("probability", T.DoubleType()), T.StructField("similarity", T.DoubleType()), T.StructField("confirmed", T.BooleanType())]))
 
 
+def _match(first: int, n: int, words: list[str], model: Model) -> dict | None:
+    family, p = model.classify(words)
+    if family == UNKNOWN:
+        return None
+    s = model.templates.similarity(words, family)
+    return {"first_line": first, "n_lines": n, "family": family, "probability": p, "similarity": s, "confirmed": s >= LEAST_SIMILARITY}
+
+
+def _windows(lines: list[list[str]]) -> list[tuple[int, int]]:
+    """(start, end) of two lines or more: from every start as many lines as each of the notices has words, and the whole run."""
+    ends = np.cumsum([len(w) for w in lines])
+    out = {(0, len(lines))}
+    for start in range(len(lines) - 1):
+        before = int(ends[start - 1]) if start else 0
+        for end in np.searchsorted(ends, before + np.array(_LENGTHS)):
+            out.add((start, max(start + 2, min(int(end) + 1, len(lines)))))
+    return sorted(out)
+
+
+def _in_run(first: int, lines: list[list[str]], model: Model) -> list[dict]:
+    """Matches in a run of lines: confirmed windows without common lines, those that share most with a notice first."""
+    known: dict[tuple, tuple] = {}
+    found = []
+    for start, end in _windows(lines):
+        words = tuple(w for x in lines[start:end] for w in x)
+        if words not in known:
+            m = _match(0, 0, list(words), model)
+            known[words] = (m, model.templates.shared(list(words), m["family"]) if m and m["confirmed"] else 0)
+        m, shared = known[words]
+        if m and m["confirmed"]:
+            found.append((-shared, end - start, start, m))
+    free, out = np.ones(len(lines), bool), []
+    for _, n, start, m in sorted(found, key=lambda x: x[:3]):
+        if free[start : start + n].all():
+            free[start : start + n] = False
+            out.append(m | {"first_line": first + start, "n_lines": n})
+    at = 0
+    while out and at < len(lines):
+        end = at
+        while end < len(lines) and free[end]:
+            end += 1
+        if end - at > 1:
+            out += [m for m in _in_run(first + at, lines[at:end], model) if m["confirmed"]]
+        at = max(at + 1, end)
+    if not out and (m := known[tuple(w for x in lines for w in x)][0]):
+        out.append(m | {"first_line": first, "n_lines": len(lines)})
+    return sorted(out, key=lambda m: m["first_line"])
+
+
 def find(text: str, model: Model) -> tuple[int, list[dict]]:
-    """(paragraphs, those predicted to belong to a family); a run of lines counts only where none of its lines is confirmed alone."""
+    """(paragraphs, those predicted to belong to a family); lines that are confirmed alone are not part of a run."""
     out, seen = [], paragraphs(text)
     taken: set[int] = set()
+    alone: dict[int, list[str]] = {}
     for first, n, words in seen:
-        if n > 1 and taken & set(range(first, first + n)):
+        if n == 1:
+            alone[first] = words
+            if m := _match(first, 1, words, model):
+                out.append(m)
+                if m["confirmed"]:
+                    taken.add(first)
             continue
-        family, p = model.classify(words)
-        if family != UNKNOWN:
-            s = model.templates.similarity(words, family)
-            out.append({"first_line": first, "n_lines": n, "family": family, "probability": p, "similarity": s, "confirmed": s >= LEAST_SIMILARITY})
-            if out[-1]["confirmed"]:
-                taken.add(first)
+        at = first
+        while at < first + n:
+            end = at
+            while end < first + n and end not in taken:
+                end += 1
+            if end - at > 1:
+                out += _in_run(at, [alone[k] for k in range(at, end)], model)
+            at = max(at + 1, end)
     return len(seen), out
 
 
