@@ -3,8 +3,8 @@
 Texts are lower-cased, everything but letters becomes a space, and the n-grams of 1 to 3 characters are
 hashed into BUCKETS. Document frequencies are counted over all documents to learn from, in segments that
 are summed apart. The weights are learned by follow-the-regularised-leader with elastic-net penalties on a bounded
-sample (SAMPLE documents, the same number of every language as far as it has them, those with the smallest
-hashed ids), of which only the counts travel to the driver. A part of the sample is kept out of the fit and
+sample (the same number of every language as far as it has them, those with the smallest hashed ids: SAMPLE documents
+in all, or LEAST_OF_A_LANGUAGE of each if that is more, so it grows with the number of languages), of which only the counts travel to the driver. A part of the sample is kept out of the fit and
 gives the temperature that the scores are divided by.
 """
 
@@ -21,7 +21,7 @@ from clausegrid.llm.common import map_columns, slices, texts_of
 BUCKETS_LOG2 = 16
 BUCKETS = 1 << BUCKETS_LOG2
 LONGEST_GRAM = 3
-#: Documents in the fit at most, all languages together, and at least for each language (if it has them).
+#: Documents in the fit, all languages together, and at least for each language (if it has them), however many there are.
 SAMPLE, LEAST_OF_A_LANGUAGE = 2400, 20
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
@@ -162,15 +162,14 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from the rows of docs, whose remainder is not looked at here; give it the learnable ones."""
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // LEAST_OF_A_LANGUAGE).collect()}
-    languages = sorted(sizes)
+    languages = sorted(r["lang"] for r in docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang")).distinct().collect())
     df, n = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)) + 1
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     share = max(LEAST_OF_A_LANGUAGE, sample // len(languages))
     order = W.partitionBy(lang).orderBy(F.xxhash64(doc_id, F.lit(7)), doc_id)
-    ranked = docs.where(F.col(lang).isin(languages)).select(doc_id, lang).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= share)
+    ranked = docs.where(F.col(lang).isNotNull()).select(doc_id, lang).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= share)
     chosen = F.broadcast(ranked.select(F.col(doc_id).alias("__id")).distinct())
     rows = docs.select(doc_id, text, lang).join(chosen, F.col(doc_id) == F.col("__id"), "left_semi")
 
@@ -184,7 +183,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     lists = [T.StructField("__at", T.ArrayType(T.IntegerType())), T.StructField("__n", T.ArrayType(T.IntegerType()))]
     counted = map_columns(rows, [text], [doc_id, lang], lists, make)
-    table = counted.toArrow()  # at most `sample` documents, eight bytes for each bucket that one has
+    table = counted.toArrow()  # `sample` documents or the least number of each language, eight bytes for each bucket that one has
     numbers = lambda c: [x.values.to_numpy().astype(np.int64) for x in table.column(c)]
     got = sorted(zip(table.column(doc_id).to_pylist(), table.column(lang).to_pylist(), numbers("__at"), numbers("__n")), key=lambda r: (r[0], r[1]))
     got = [(languages.index(y), at, tf_idf(c, idf[at])) for _, y, at, c in got if len(at)]
