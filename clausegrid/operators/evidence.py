@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from clausegrid.config import WINDOW, WindowConfig
 from clausegrid.functions.params import has_placeholder
 from clausegrid.functions.text import is_enhancement_clause, jaccard, token_set
+from clausegrid.plans.storage import stored
 
 CLAUSE_KINDS = ("smt", "gdn")
 #: Names of filter modes and what they stand for; unknown modes keep everything.
@@ -119,19 +120,33 @@ def rescue(spans: DataFrame, pool: DataFrame, cfg: WindowConfig = WINDOW, key: s
     return rows.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("o"))).drop("o")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, cfg: WindowConfig = WINDOW, key: str = "q") -> DataFrame:
-    """key, id, level: seeds, their children level by level (at most so many a parent), and at most so many in all.
+def closure(seeds: DataFrame, edges: DataFrame, cfg: WindowConfig = WINDOW, key: str = "q", steps: int = 32) -> DataFrame:
+    """key, id, level: seeds and their ancestors up to the base statement (level 0, -1, ...; at most so many steps), then
+    children of the seeds level by level (at most so many a parent) while there are fewer than so many in all.
 
-    seeds: key, id, position; edges: parent, id, label_key. Levels are few and fixed, so the plan is too.
+    seeds: key, id, position; edges: parent, id, label_key, and kind and text of id, if they are known: then only
+    statements and guidance with a text are children. Ancestors are stored step by step and end with the longest chain.
     """
     kids = edges.withColumn("s", F.row_number().over(W.partitionBy("parent").orderBy("label_key", "id"))).where(F.col("s") <= cfg.closure_children)
+    if {"kind", "text"} <= set(edges.columns):
+        kids = kids.where(F.lower(F.trim("kind")).isin(*CLAUSE_KINDS) & (F.trim("text") != ""))
+    kids = kids.select("parent", F.col("id").alias("kid"), "s")
     level = seeds.select(key, "id", F.col("position").cast("long").alias("o"), F.lit(0).alias("level"))
-    every = level
+    every, up = level, level
+    parents = edges.select("parent", "id").where((F.trim("parent") != "") & (F.col("parent") != F.col("id"))).distinct()
+    for k in range(1, steps + 1):
+        on = up.where((F.col("level") == 0) | ~F.lower(F.trim("id")).endswith("_smt"))
+        up = stored(on.join(parents, "id").select(key, F.col("parent").alias("id"), "o", F.lit(-k).alias("level")))
+        if up.isEmpty():
+            break
+        every = every.unionByName(up)
     for k in range(1, cfg.closure_levels + 1):
-        level = level.join(kids.withColumnRenamed("id", "kid"), F.col("id") == F.col("parent")).select(key, F.col("kid").alias("id"), (F.col("o") * 100 + F.col("s")).alias("o"), F.lit(k).alias("level"))
+        level = level.join(kids, F.col("id") == F.col("parent")).select(key, F.col("kid").alias("id"), (F.col("o") * 100 + F.col("s")).alias("o"), F.lit(k).alias("level"))
         every = every.unionByName(level)
-    first = every.withColumn("n", F.row_number().over(W.partitionBy(key, "id").orderBy("level", "o"))).where("n = 1")
-    return first.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("level", "o", "id"))).where(F.col("r") <= cfg.closure_total).select(key, "id", "level")
+    order = [F.greatest("level", F.lit(0)), F.col("o"), F.desc("level")]
+    first = every.withColumn("n", F.row_number().over(W.partitionBy(key, "id").orderBy(*order))).where("n = 1")
+    ranked = first.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(*order, "id")))
+    return ranked.where((F.col("level") <= 0) | (F.col("r") <= cfg.closure_total)).select(key, "id", "level")
 
 
 def ancestors(seeds: DataFrame, edges: DataFrame, steps: int = 32, key: str = "q") -> DataFrame:
