@@ -1,7 +1,7 @@
 """Near duplicates by word shingles: every pair with a Jaccard similarity of LEAST_JACCARD or more, found without comparing all pairs.
 
 Equal texts (lower-cased, white space as one space) are one node, whose id is a 64-bit hash. The distinct shingles of
-a node are hashed and put in the order of their hashes. Two sets of a similarity of t or more that have n and m shingles share at
+a node are hashed and put in the order of their hashes, those common in a sample last (any order of all shingles is exact). Two sets of a similarity of t or more that have n and m shingles share at
 least ceil(t * n) and ceil(t * m) of them, so the first n - ceil(t * n) + l of the one and the first m - ceil(t * m) + l of the
 other share at least l (prefix filter), where l grows with the smaller set. Only these shingles become rows; pairs that share l of them and whose sizes
 allow the similarity are verified on the texts. Nodes linked to the least node of a shingle come first, and shingles that only one
@@ -23,6 +23,8 @@ from clausegrid.llm.components import components
 SHINGLE_WORDS, LEAST_JACCARD = 5, 0.8
 #: Shingles that two prefixes must share: SHARED and one of SHARED_OF of the set; candidate nodes that are broadcast at most.
 SHARED, SHARED_OF, MAX_BROADCAST = 3, 16, 200_000
+#: Documents of the sample, and how many different texts of it have a common shingle.
+SAMPLE, COMMON = 2000, 3
 _WORDS = 1 << 16
 
 
@@ -93,7 +95,16 @@ def nodes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return map_columns(docs, [text], keep, [T.StructField("node", T.LongType(), False)], lambda: lambda texts: [[node_of(words_of(x)) for x in texts_of(texts)]])
 
 
-def prefixes(docs: DataFrame, text: str, width: int, least: float) -> DataFrame:
+def common_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that several texts of a bounded sample have; they only come later in the order."""
+    hashes, texts = Hasher(width), set()
+    for r in docs.select(text).orderBy(F.rand(5)).limit(SAMPLE).toLocalIterator():
+        texts.add(b" ".join(words_of(r[0])))
+    found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(hashes(t.split()) for t in texts)]), return_counts=True)
+    return found[n >= COMMON]
+
+
+def prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.ndarray) -> DataFrame:
     """(node, size, w): the prefix shingles of every node; rows repeat where texts do."""
 
     def run(batches):
@@ -110,6 +121,8 @@ def prefixes(docs: DataFrame, text: str, width: int, least: float) -> DataFrame:
                     if len(seen) < _WORDS:
                         seen.add(node)
                     h = hashes(words)
+                    late = np.isin(h, common)
+                    h = np.concatenate([h[~late], h[late]])
                     n = len(h)
                     w = h[: n - least_common(n, least) + shared_by(n, least)].view(np.int64)
                     for column, value in zip(out, (np.full(len(w), node), np.full(len(w), n), w)):
@@ -147,7 +160,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, least: fl
 def links(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, least: float = LEAST_JACCARD) -> DataFrame:
     """Edges (a, b) that join the nodes of docs just as all pairs of the least similarity or more would."""
     by_shingle = W.partitionBy("w")
-    placed = prefixes(docs, text, width, least).withColumn("a", F.min("node").over(by_shingle)).withColumn("z", F.max("node").over(by_shingle))
+    placed = prefixes(docs, text, width, least, common_shingles(docs, text, width)).withColumn("a", F.min("node").over(by_shingle)).withColumn("z", F.max("node").over(by_shingle))
     members = cut(placed.where("a <> z").select("w", "node", "size", "a").distinct())
 
     def candidates(rows: DataFrame) -> DataFrame:
