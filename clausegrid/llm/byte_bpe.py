@@ -11,40 +11,59 @@ give. The encoding of a prefix is unique, so a position from which nothing fits
 from __future__ import annotations
 
 import base64
-import re
+import gc
+from array import array
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from clausegrid.llm.common import Memo, joined_values, map_columns, texts_of
+from clausegrid.llm.common import Memo, class_edges, looked_up, map_columns, text_bytes
 
-#: White space that may belong to a longer run, or that begins or ends a text.
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z|\x00")
-#: A cut before single white space between other characters; no match of the pattern crosses it.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: The pattern (a fixed value of the vocabularies) none of whose matches crosses a single space between other characters.
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts' chunks that a Python worker remembers, and pairs of tokens whose compatibility it remembers.
+REMEMBERED, PAIRS = 400_000, 1_000_000
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where single spaces or line breaks stand between other characters, within a text, and where classes of characters meet.
+
+    Characters that may be other white space are told by their last or first bytes; in doubt there is no cut.
+    """
+    at = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
+    inside = np.ones(len(data) + 1, bool)
+    inside[offsets] = inside[np.maximum(offsets - 1, 0)] = False
+    at = at[inside[at]]
+    before, after, earlier = data[at - 1], data[at + 1], data[np.maximum(at - 2, 0)]
+    shown = ((before > 32) & (before < 127)) | ((before > 127) & ~np.isin(earlier, (0xC2, 0x9A, 0x80, 0x81)))
+    at = at[shown & (((after > 32) & (after < 127)) | ((after > 127) & ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3))))]
+    return np.concatenate([at, class_edges(data, False)])
 
 
 class ByteBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 600_000):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        self.ranks, self.pattern, self.spaced = ranks, regex.compile(pattern), pattern == SPACED_PATTERN
         self.tokens: dict[int, bytes] = {r: b for b, r in ranks.items()}
         # whole matches that are tokens are taken as they are, even those that merges alone never make
         self.halves: dict[int, tuple[int, int]] = {}
         made = [b for b in ranks if len(b) == 1 or self._halve(b)]
-        self.sizes = {ranks[b]: len(b) for b in ranks}
+        top = max(ranks.values(), default=-1) + 1
+        self.sizes = [len(self.tokens.get(k, b"")) for k in range(top)]
         forward, self.automaton = set(made), ahocorasick.Automaton()
-        self.shorter: dict[int, int | None] = {}
+        self.shorter: list[int | None] = [None] * top
         for b in made:
             self.automaton.add_word(b.decode("latin-1")[::-1], ranks[b])
             self.shorter[ranks[b]] = next((ranks[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in forward), None)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: list[dict[int, bool]] = [{} for _ in range(top)]
+        self.n_fits = 0
         self.spines: tuple[dict, dict] = ({}, {})
-        self.matches = Memo(lambda found: [self._match(m) for m in found], remembered)
-        self.chunks = Memo(lambda found: joined_values(self.matches, [self.pattern.findall(c) for c in found]), remembered)
+        self.chunks = Memo(self._chunks, remembered)
+        self.table: pa.Array | None = None
 
     def _halve(self, token: bytes) -> bool:
         """Notes the two tokens whose merge makes this one; False if merges never do."""
@@ -81,22 +100,23 @@ class ByteBpe:
         It does unless, at some time, the tokens at the border form a pair of a lower rank than the next merges of
         both; of equal ranks the one further left is merged first.
         """
-        found = self.fits.get((left, right))
-        if found is None:
-            found, rank = True, self.ranks.get
-            ends = self._spine(right, 0)
-            for a, a_made, a_until in self._spine(left, 1):
-                for b, b_made, b_until in ends:
-                    if a_made < b_until and b_made < a_until:
-                        r = rank(a + b)
-                        if r is not None and r < a_until and r <= b_until:
-                            found = False
-                            break
-                if not found:
-                    break
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            self.fits[left, right] = found
+        found, rank = True, self.ranks.get
+        ends = self._spine(right, 0)
+        for a, a_made, a_until in self._spine(left, 1):
+            for b, b_made, b_until in ends:
+                if a_made < b_until and b_made < a_until:
+                    r = rank(a + b)
+                    if r is not None and r < a_until and r <= b_until:
+                        found = False
+                        break
+            if not found:
+                break
+        self.n_fits += 1
+        if self.n_fits > PAIRS:
+            self.n_fits = 0
+            for x in self.fits:
+                x.clear()
+        self.fits[left][right] = found
         return found
 
     def encode_bytes(self, data: bytes) -> list[int]:
@@ -105,38 +125,55 @@ class ByteBpe:
         if whole is not None or not data:
             return [] if whole is None else [whole]
         n = len(data)
+        last = n - 1
         longest: list[int | None] = [None] * n
         for end, token in self.automaton.iter(data.decode("latin-1")[::-1]):
-            at = n - 1 - end
-            if longest[at] is None or self.sizes[token] > self.sizes[longest[at]]:
-                longest[at] = token
+            if longest[last - end] is None:  # of the tokens that end at a place the longest comes first
+                longest[last - end] = token
         out: list[int] = []
         at, token, dead = 0, longest[0], bytearray(n + 1)
-        sizes, shorter, fit = self.sizes, self.shorter, self._fit
+        sizes, shorter, fits, fit, known = self.sizes, self.shorter, self.fits, self._fit, None
         while at < n:
-            while token is not None and (dead[at + sizes[token]] or (out and not fit(out[-1], token))):
+            while token is not None:
+                if not dead[at + sizes[token]]:
+                    if known is None:
+                        break
+                    ok = known.get(token)
+                    if fit(out[-1], token) if ok is None else ok:
+                        break
                 token = shorter[token]
             if token is not None:
                 out.append(token)
+                known = fits[token]
                 at += sizes[token]
                 token = longest[at] if at < n else None
             else:
                 dead[at] = 1
                 token = out.pop()
+                known = fits[out[-1]] if out else None
                 at -= sizes[token]
                 token = shorter[token]
         return out
 
-    def _match(self, match: str) -> bytes:
-        return np.array(self.encode_bytes(match.encode()), "<i4").tobytes()
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        find, encode = self.pattern.findall, self.encode_bytes
+        return [array("i", [i for m in find(c) for i in encode(m.encode())]).tobytes() for c in chunks]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        even = [_UNEVEN.search(x) is None for x in texts]
-        return joined_values(self.chunks, [x.replace(" ", "\x00 ").split("\x00") if ok else _CUT.split(x) for x, ok in zip(texts, even)])
+    def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end); null texts have none."""
+        data, offsets = text_bytes(texts)
+        ids, ends = looked_up(self.chunks, data, offsets, cuts(data, offsets) if self.spaced else offsets)
+        return ids.view("<i4"), ends // 4
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of each list of ids, given by where each begins and the last one ends; unknown ids fail."""
+        if self.table is None:
+            self.table = pa.array([self.tokens.get(k) for k in range(max(self.tokens, default=-1) + 1)], pa.large_binary())
+        found = self.table.take(pa.array(ids))
+        if found.null_count:
+            raise ValueError("an id that the vocabulary does not have")
+        bounds = np.frombuffer(found.buffers()[1], np.int64)[np.asarray(ends)] if len(ids) else np.zeros(len(ends), np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(bounds), found.buffers()[2] if len(ids) else pa.py_buffer(b"")])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -152,19 +189,16 @@ def coder(path: str, pattern: str) -> ByteBpe:
     """One for each Python worker."""
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = ByteBpe(read_ranks(path), pattern)
+        gc.freeze()  # the tables stay; the collector need not look at them again
     return _CODERS[path, pattern]
 
 
-def _lists(parts: list[bytes]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Adds `ids` (array of int) and, if asked for, `decoded`: the bytes that these ids decode to.
 
     Null and empty texts have no ids. No special tokens: their strings are ordinary text. Columns with the names of results are
-    replaced; keep: columns that stay. An empty table gives an empty table.
+    replaced. Repeated rows get equal results. A very long text is coded by its chunks; without a known pattern it is one chunk.
+    An empty table gives an empty table.
     """
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] + [T.StructField("decoded", T.BinaryType())] * decoded
 
@@ -172,8 +206,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
         bpe = coder(path, pattern)
 
         def f(texts):
-            parts = bpe.encode(texts_of(texts))
-            return [_lists(parts)] + [pa.array([bpe.decode(np.frombuffer(p, "<i4").tolist()) for p in parts], pa.binary())] * decoded
+            ids, ends = bpe.encode(texts)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            return [lists] + [bpe.decode(ids, ends).cast(pa.binary())] * decoded
 
         return f
 
@@ -181,10 +216,23 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Adds `decoded`, the bytes of an array of ids; null for a null array, null ids are left out, unknown ids fail."""
+    """Adds `decoded`, the bytes of an array of ids; null for a null array, null ids are left out, unknown ids fail.
+
+    A column named decoded is replaced. Repeated rows get equal results; an empty table gives an empty table.
+    """
 
     def make():
         bpe = coder(path, pattern)
-        return lambda x: [[None if y is None else bpe.decode([i for i in y if i is not None]) for y in x.to_pylist()]]
+
+        def f(lists):
+            lists = lists.cast(pa.list_(pa.int32()))
+            flat = lists.flatten()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            there = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(sizes)])]
+            found = bpe.decode(pc.drop_null(flat).to_numpy(), ends).cast(pa.binary())
+            return [pc.if_else(pc.is_valid(lists), found, pa.scalar(None, pa.binary()))]
+
+        return f
 
     return map_columns(rows, [ids], rows.columns if keep is None else keep, [T.StructField("decoded", T.BinaryType())], make)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session names none."""
+    """The folder of spark.checkpoint.dir; a local one is made only where the session names none and runs in one process."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if there is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="clausegrid-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(there)
@@ -43,6 +45,27 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in lowered])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def hash_bound(n: int, total: int) -> int:
+    """A bound that the n smallest of `total` signed 64-bit hashes of distinct values do not pass; few more do not pass it either.
+
+    Rows are filtered by it before they are sorted, so that no task gets more than it needs of a large table.
+    """
+    share = (n + 10 * n**0.5 + 100) / max(1, total)
+    return (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that wide rows do not gather in one call."""
     per_row = max(1, batch.nbytes // max(1, batch.num_rows))
@@ -100,25 +123,67 @@ class Memo:
         self.make_many, self.limit, self.young, self.old = make_many, max(2, limit), {}, {}
 
     def many(self, keys: list) -> list:
+        """The values of distinct keys."""
         got = list(map(self.young.get, keys))
-        if None in got:
-            fresh = dict.fromkeys(k for k, v in zip(keys, got) if v is None)
-            for k in fresh:
-                fresh[k] = self.old.get(k)
-            missing = [k for k, v in fresh.items() if v is None]
-            fresh.update(zip(missing, self.make_many(missing)))
-            got = [fresh[k] if v is None else v for k, v in zip(keys, got)]
-            self.young.update(fresh)
+        lost = [k for k, v in enumerate(got) if v is None]
+        if lost:
+            asked = [keys[k] for k in lost]
+            found = list(map(self.old.get, asked))
+            new = [k for k, v in enumerate(found) if v is None]
+            for k, v in zip(new, self.make_many([asked[k] for k in new])):
+                found[k] = v
+            for k, v in zip(lost, found):
+                got[k] = v
+            self.young.update(zip(asked, found))
             if len(self.young) > self.limit // 2:
                 self.old, self.young = self.young, {}
         return got
 
 
-def joined_values(memo: Memo, groups: list[list]) -> list[bytes]:
-    """The values of each group's keys, joined; all keys are looked up at once."""
-    values = memo.many(list(chain.from_iterable(groups)))
-    ends = list(accumulate(map(len, groups), initial=0))
-    return [b"".join(values[a:b]) for a, b in zip(ends, ends[1:])]
+#: Classes of bytes: letters, digits, punctuation but the apostrophe; 0 for all others.
+_CLASS = np.array([0 if c < 33 or c > 126 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
+
+
+def class_edges(data: np.ndarray, digits_apart: bool) -> np.ndarray:
+    """Where letters, digits and punctuation meet, as far as that is sure: ASCII and Latin-1 letters, not beside an apostrophe.
+
+    digits_apart: also between two digits.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    a, b = kind[:-1], kind[1:]
+    edge = (a != b) | (b == 2) if digits_apart else a != b
+    return np.flatnonzero(edge & (a > 0) & (b > 0)) + 1
+
+
+def text_bytes(texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of all texts, where each text begins and the last one ends); null counts as empty."""
+    texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def looked_up(memo: Memo, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all chunks joined, where each text's values begin and the last one's end), both in bytes.
+
+    Chunks begin at cuts and at the texts' offsets. Each distinct chunk is looked up once, the others are gathered.
+    """
+    first = np.zeros(len(data) + 1, bool)
+    first[cuts] = first[offsets] = True
+    starts = np.flatnonzero(first[:-1])
+    if not len(starts):
+        return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
+    chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
+    coded = chunks.dictionary_encode()
+    values = pa.array(memo.many(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    joined = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    return joined[ends[0] : ends[-1]], (ends - ends[0])[np.searchsorted(starts, offsets)]
 
 
 class Sparse:

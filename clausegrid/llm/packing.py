@@ -9,6 +9,7 @@ places of their length in order; their order within a length comes from salted c
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -17,72 +18,80 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from clausegrid.llm.common import Memo, cut, joined_values, map_columns, texts_of
+from clausegrid.llm.common import Memo, class_edges, cut, looked_up, map_columns, text_bytes, unused
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that are numbered together, roughly.
-GROUP_ROWS = 20_000
-#: Chunks, and pieces of chunks, that a Python worker remembers.
-REMEMBERED = 160_000
+GROUP_ROWS = 500
+#: Chunks that a Python worker remembers.
+REMEMBERED = 400_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
 class WordTokenizer:
-    """Ids of a word-level BPE file as little-endian unsigned 32-bit bytes, by remembered chunks between white space.
+    """Ids of a word-level BPE file as little-endian unsigned 32-bit bytes, by remembered chunks of texts.
 
-    The vocabulary's pretokenizer never joins what white space separates, so chunks are encoded one by one. Plain
-    chunks (ASCII and Latin-1 letters) are split here and go to the library's BPE model; all others go through the
-    library's whole pipeline.
+    The vocabulary's pretokenizer never joins what white space separates, nor letters, digits and punctuation, so texts are cut
+    there; each distinct chunk of a slice is looked up once. Plain chunks (ASCII and Latin-1 letters) are split here and go to the
+    library's BPE model; all others go through the library's whole pipeline.
     """
 
     #: The pretokenizer's pattern, a fixed value of the vocabulary file, for the letters of plain chunks; a line break parts chunks.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-    _BREAK = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.special_bytes = [s.encode() for s in self.special]
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
         hidden = [c for c in range(256) if c not in set(shown)]
         self.byte_letters = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(hidden)}
-        self.pieces, self.chunks = Memo(self._pieces, REMEMBERED), Memo(self._chunks, REMEMBERED)
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        model, letters = self.library.model, self.byte_letters
-        out = []
-        for p in pieces:
-            if p == "\n":
-                out.append(self._BREAK)
-            else:
-                p = p if p.isascii() else p.encode().decode("latin-1").translate(letters)
-                out.append(array("I", [t.id for t in model.tokenize(p)]).tobytes())
-        return out
+        self.chunks = Memo(self._chunks, REMEMBERED)
+
+    def _piece(self, p: str) -> bytes:
+        p = p if p.isascii() else p.encode().decode("latin-1").translate(self.byte_letters)
+        return array("I", [t.id for t in self.library.model.tokenize(p)]).tobytes()
 
     def _plain(self, chunk: str) -> bool:
         inside = chunk.isprintable() if chunk.isascii() else self.PLAIN.fullmatch(chunk) is not None
         return inside and ("<|" not in chunk or not any(s in chunk for s in self.special))
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Plain chunks are split and looked up together, a line break between them; no id has the bytes of _BREAK."""
+        """Plain chunks are split together, a line break between them. A chunk may begin with spaces and has none elsewhere."""
+        chunks = [c.lstrip(" ") for c in chunks]
         out: list[bytes | None] = [None] * len(chunks)
         plain = list(map(self._plain, chunks))
         easy, odd = [k for k, ok in enumerate(plain) if ok], [k for k, ok in enumerate(plain) if not ok]
         if easy:
-            pieces = self.PIECES.findall("\n".join([chunks[k] for k in easy]).lower())
-            for k, ids in zip(easy, b"".join(self.pieces.many(pieces)).split(self._BREAK)):
-                out[k] = ids
+            at, found = iter(easy), []
+            here = next(at)
+            for p in self.PIECES.findall("\n".join([chunks[k] for k in easy]).lower()):
+                if p == "\n":
+                    out[here], found, here = b"".join(found), [], next(at)
+                else:
+                    found.append(self._piece(p))
+            out[here] = b"".join(found)
         if odd:
             for k, e in zip(odd, self.library.encode_batch([chunks[k] for k in odd], add_special_tokens=False)):
                 out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return joined_values(self.chunks, [x.replace("\n", " ").split(" ") for x in texts])
+    def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as bytes, where each text's begin and the last one's end); null texts have none."""
+        data, offsets = text_bytes(texts)
+        data = np.where(data == 10, np.uint8(32), data)
+        cuts = np.flatnonzero(data == 32)
+        # the strings of special tokens are found before anything is split, in the case that they have
+        raw = data.tobytes()
+        if not any(s in raw for s in self.special_bytes):
+            data = np.where((data > 64) & (data < 91), data + np.uint8(32), data)
+            cuts = np.concatenate([cuts, class_edges(data, True)])
+        return looked_up(self.chunks, data, offsets, cuts)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -92,11 +101,27 @@ def tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
+        gc.freeze()  # the tables stay; the collector need not look at them again
     return _TOKENIZERS[path]
 
 
-PIECE_FIELDS = [T.StructField("pieces", T.ArrayType(T.StructType([
-    T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])))]
+PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+
+
+def _cut_up(ids: np.ndarray, ends: np.ndarray, capacity: int, end: bytes) -> pa.Array:
+    """The list of pieces of each text, from the bytes of all ids and their ends by text."""
+    view, crcs = memoryview(np.ascontiguousarray(ids)), []
+    n_ids = np.diff(ends) // 4 + 1
+    n_pieces = -(-n_ids // capacity)
+    for a, b, n in zip(ends[:-1].tolist(), ends[1:].tolist(), n_pieces.tolist()):
+        for at in range(a, a + 4 * capacity * (n - 1), 4 * capacity):
+            crcs.append(zlib.crc32(view[at : at + 4 * capacity]))
+        crcs.append(zlib.crc32(end, zlib.crc32(view[a + 4 * capacity * (n - 1) : b])))
+    bounds = np.concatenate([[0], np.cumsum(n_pieces)])
+    piece = np.arange(bounds[-1]) - np.repeat(bounds[:-1], n_pieces)
+    length = np.minimum(capacity, np.repeat(n_ids, n_pieces) - piece * capacity)
+    columns = [pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crcs, pa.int64())]
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(columns, PIECE.fieldNames()))
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -104,18 +129,9 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def make():
         encode, end = tokenizer(path).encode, end_id.to_bytes(4, "little")
+        return lambda texts: [_cut_up(*encode(texts), capacity, end)]
 
-        def f(texts):
-            out = []
-            for ids in encode(texts_of(texts)):
-                ids += end
-                out.append([{"piece": k, "start": k * capacity, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
-                            for k, part in enumerate(ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity))])
-            return [out]
-
-        return f
-
-    cut_up = map_columns(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["text"], ["doc_id"], PIECE_FIELDS, make)
+    cut_up = map_columns(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["text"], ["doc_id"], [T.StructField("pieces", T.ArrayType(PIECE))], make)
     return cut_up.select("doc_id", F.inline("pieces"))
 
 
@@ -189,21 +205,25 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarray
     return {size: tuple(np.array(c, np.int64) for c in zip(*runs)) for size, runs in out.items()}
 
 
-def pack(cut_up: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece"), group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to pieces that have a `length` of 1 to `capacity`.
+def pack(cut_up: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to pieces that have a `length` of 1 to `capacity`; columns of these names are replaced.
 
-    Sequences are gapless from offset 0 and no longer than capacity. Pieces equal in `order` (repeated rows) get
-    different places. An empty table gives an empty table.
+    Sequences are gapless from offset 0 and no longer than capacity. Pieces are dealt out by their place in the stored table, so
+    repeated rows and rows with equal or null ids get different places and do not gather. Other columns pass through, whatever
+    their names. An empty table gives an empty table.
     """
     stored = cut(cut_up)
-    histogram = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     shared = stored.sparkSession.sparkContext.broadcast(places(plan_bins(histogram, capacity)))
     parts = max([1, *(-(-n // group_rows) for n in histogram.values())])
-    salted = stored.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("__base", F.sum("n").over(W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1))).select("length", "__salt", F.coalesce("__base", F.lit(0)).alias("__base"))
-    ranked = salted.withColumn("__at", F.row_number().over(W.partitionBy("length", "__salt").orderBy(*order)) - 1)
-    numbered = ranked.join(base, ["length", "__salt"]).withColumn("__number", F.col("__base") + F.col("__at"))
+    place, salt, before, number = unused(stored, "place", "salt", "before", "number")
+    # a row's place in the stored table is the same each time that it is read
+    salted = stored.withColumn(place, F.monotonically_increasing_id()).withColumn(salt, F.pmod(F.xxhash64(place), F.lit(parts)))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias(number))
+    sums = F.sum(number).over(W.partitionBy("length").orderBy(salt).rowsBetween(W.unboundedPreceding, -1))
+    base = sizes.select("length", salt, F.coalesce(sums, F.lit(0)).alias(before))
+    ranked = salted.withColumn(number, F.row_number().over(W.partitionBy("length", salt).orderBy(place)) - 1)
+    numbered = ranked.join(base, ["length", salt]).withColumn(number, F.col(before) + F.col(number))
 
     def make():
         runs = shared.value
@@ -222,13 +242,14 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
 
         return f
 
-    return map_columns(numbered, ["length", "__number"], stored.columns, [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())], make)
+    return map_columns(numbered, ["length", number], stored.columns, [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())], make)
 
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs.
 
     Null and empty texts are the end id alone. A longer document fills whole sequences; its last piece is packed with
-    the others. Rows with a null doc_id are packed too.
+    the others, so a very long text only needs the memory of its ids. Rows with a null doc_id and repeated rows are packed
+    like all others; other columns of docs are not returned. An empty table gives an empty table.
     """
     return pack(pieces(docs, path, doc_id, text, capacity, end_id), capacity)
