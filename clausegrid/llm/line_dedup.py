@@ -18,13 +18,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clausegrid.llm.common import cut, map_columns, slices, texts_of
+from clausegrid.llm.common import cut, map_columns, slices, texts_of, unused
 
 MIN_CODE_POINTS, MIN_DOCUMENTS = 20, 3
-#: Filter bits a line, lines expected in a document, and the limits of a filter's width in bits (powers of two).
-BITS_A_LINE, LINES_A_DOCUMENT, MIN_BITS, MAX_BITS = 16, 12, 1 << 20, 1 << 27
+#: Filter bits a line, and the limits of a filter's width in bits (powers of two). A task holds two filters.
+BITS_A_LINE, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
 SEGMENT_WORDS = 1 << 12
-#: Confirmed keys that are broadcast at most (40 bytes each); beyond it the documents are joined by doc_id.
+#: Confirmed keys that are broadcast at most (40 bytes each), those in most documents; the others are joined by doc_id.
 MAX_BROADCAST_KEYS = 200_000
 
 
@@ -68,21 +68,29 @@ class TwoFilters:
                 yield at // SEGMENT_WORDS, zlib.compress(self.once[at : at + SEGMENT_WORDS].tobytes(), 1), zlib.compress(self.twice[at : at + SEGMENT_WORDS].tobytes(), 1)
 
 
-def _bits(n_documents: int) -> int:
-    want = max(1, n_documents * LINES_A_DOCUMENT * BITS_A_LINE)
-    return min(MAX_BITS, max(MIN_BITS, 1 << (want - 1).bit_length()))
+def widths(n_lines: int, max_bits: int = MAX_BITS) -> tuple[int, int]:
+    """(bits of a filter, ranges of hashes) for so many lines."""
+    want = max(1, n_lines * BITS_A_LINE)
+    ranges = -(-want // max_bits)
+    return min(max_bits, max(MIN_BITS, 1 << (-(-want // ranges) - 1).bit_length())), ranges
 
 
-def repeated_filter(docs: DataFrame, doc_id: str, text: str, n_bits: int, least: int) -> np.ndarray:
-    """The words of the filter of lines seen in two documents or more."""
+def _in_range(h: np.ndarray, part: int, ranges: int) -> np.ndarray:
+    """Whether hashes fall into a range; their low bits, which choose a place in the filter, say nothing of it."""
+    return (h >> np.uint64(48)) % np.uint64(ranges) == np.uint64(part)
+
+
+def repeated_filter(docs: DataFrame, doc_id: str, text: str, n_bits: int, least: int, part: int = 0, ranges: int = 1) -> np.ndarray:
+    """The words of the filter of lines seen in two documents or more, of one range of hashes."""
 
     def fill(batches):
         f, hashes = TwoFilters(n_bits), []
         for batch in batches:
-            for part in slices(batch):
-                for x in texts_of(part.column(0)):
-                    hashes.extend(xxhash.xxh3_64_intdigest(k) for k in document_keys(x, least))
-                f.add(np.array(hashes, np.uint64))
+            for x in slices(batch):
+                for t in texts_of(x.column(0)):
+                    hashes.extend(xxhash.xxh3_64_intdigest(k) for k in document_keys(t, least))
+                h = np.array(hashes, np.uint64)
+                f.add(h if ranges == 1 else h[_in_range(h, part, ranges)])
                 hashes.clear()
         found = list(f.segments())
         if found:
@@ -111,43 +119,54 @@ def repeated_filter(docs: DataFrame, doc_id: str, text: str, n_bits: int, least:
     return words
 
 
-def repeated_keys(docs: DataFrame, doc_id: str, text: str, least: int, documents: int) -> tuple[DataFrame, DataFrame]:
-    """(suspected lines: key, doc_id), (confirmed keys: key, keeper)."""
+def suspected(docs: DataFrame, doc_id: str, text: str, least: int, max_bits: int) -> DataFrame:
+    """(line_key, holder) of each line that a filter suspects of being in two documents or more."""
     spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(repeated_filter(docs, doc_id, text, _bits(docs.count()), least))
-
-    def probe(batches):
-        w = words.value
-        for batch in batches:
-            for part in slices(batch):
-                ids, keys = [], []
-                for i, x in zip(part.column(0).to_pylist(), texts_of(part.column(1))):
-                    own = list(document_keys(x, least))
-                    keys += own
-                    ids += [i] * len(own)
-                if not keys:
-                    continue
-                at, mask = _words_and_masks(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), len(w))
-                hit = np.flatnonzero((w[at] & mask) == mask).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(keys[k]).digest() for k in hit], pa.binary()), pa.array([ids[k] for k in hit], pa.int64())], names=["line_key", "holder"])
-
-    suspects = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text).mapInArrow(probe, "line_key binary, holder long")
-    confirmed = suspects.groupBy("line_key").agg(F.countDistinct("holder").alias("n"), F.max("holder").alias("keeper")).where(F.col("n") >= documents).select("line_key", "keeper")
-    return suspects, cut(confirmed)
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CODE_POINTS, documents: int = MIN_DOCUMENTS, max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("holder"), F.col(text).alias("text"))
+    n_bits, ranges = widths(docs.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")))).first()[0] or 0, max_bits)
+    found = None
+    for part in range(ranges):
+        shared = spark.sparkContext.broadcast(repeated_filter(docs, "holder", "text", n_bits, least, part, ranges))
+
+        def probe(batches, shared=shared, part=part):
+            w = shared.value
+            for batch in batches:
+                for x in slices(batch):
+                    ids, keys = [], []
+                    for i, t in zip(x.column(0).to_pylist(), texts_of(x.column(1))):
+                        own = list(document_keys(t, least))
+                        keys += own
+                        ids += [i] * len(own)
+                    if not keys:
+                        continue
+                    h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
+                    at, mask = _words_and_masks(h, len(w))
+                    hit = np.flatnonzero(((w[at] & mask) == mask) & _in_range(h, part, ranges)).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(keys[k]).digest() for k in hit], pa.binary()), pa.array([ids[k] for k in hit], pa.int64())], names=["line_key", "holder"])
+
+        some = docs.mapInArrow(probe, "line_key binary, holder long")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CODE_POINTS, documents: int = MIN_DOCUMENTS, max_broadcast_keys: int = MAX_BROADCAST_KEYS,
+                max_bits: int = MAX_BITS) -> DataFrame:
     """Drops lines that many documents share, except in the largest doc_id that holds them.
 
     A line's key is the line without ASCII white space at both ends, with A-Z lower-cased. Keys of at
     least `least` code points in at least `documents` distinct doc_ids lose all their lines elsewhere;
     in the keeper all copies of the line stay. Returns the columns of docs with text replaced and
-    n_lines, n_dropped (long) added; columns of these names are replaced. Null text counts as one empty
+    n_lines, n_dropped (long) added; columns of these names are replaced, all others pass through whatever their names. Null text counts as one empty
     line and comes back empty; rows with a null doc_id neither count nor lose lines; rows that repeat a doc_id are
-    one document for the count and each loses its lines; an empty table gives an empty table.
+    one document for the count and each loses its lines; a very long text is one row of a slice of its own; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    suspects, confirmed = repeated_keys(docs, doc_id, text, least, documents)
+    suspects = suspected(docs, doc_id, text, least, max_bits)
+    counted = suspects.groupBy("line_key").agg(F.countDistinct("holder").alias("n"), F.max("holder").alias("keeper"))
+    confirmed = cut(counted.where(F.col("n") >= documents))
+    sizes = confirmed.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    # keys in so many documents that there cannot be more than max_broadcast_keys of them
+    often = 0 if sizes["keys"] <= max_broadcast_keys else sizes["rows"] // max(1, max_broadcast_keys) + 1
     fields = [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
 
     def rebuilt(texts, drop):
@@ -160,29 +179,22 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             n_dropped.append(len(lines) - len(kept))
         return [out, n_lines, n_dropped]
 
-    if confirmed.count() <= max_broadcast_keys:
-        known = confirmed.toArrow()  # at most max_broadcast_keys rows
-        keepers = spark.sparkContext.broadcast(dict(zip(known.column("line_key").to_pylist(), known.column("keeper").to_pylist())))
-
-        def make():
-            kept_in = keepers.value
-
-            def f(ids, texts):
-                ids = ids.to_pylist()
-                return rebuilt(texts_of(texts), lambda row, k: ids[row] is not None and kept_in.get(k, ids[row]) != ids[row])
-
-            return f
-
-        return map_columns(docs, [doc_id, text], docs.columns, fields, make)
+    known = confirmed.where(F.col("n") >= often).select("line_key", "keeper").toArrow()  # at most max_broadcast_keys rows
+    keepers = spark.sparkContext.broadcast(dict(zip(known.column("line_key").to_pylist(), known.column("keeper").to_pylist())))
+    marked, lost, key = docs, *unused(docs, "lost", "key")
+    if often:
+        rest = confirmed.where(F.col("n") < often).select("line_key", "keeper")
+        losses = suspects.join(rest, "line_key").where("holder <> keeper").groupBy(F.col("holder").alias(key)).agg(F.collect_set("line_key").alias(lost))
+        marked = docs.join(losses, F.col(doc_id) == F.col(key), "left")
 
-    lost = suspects.join(confirmed, "line_key").where("holder <> keeper").groupBy("holder").agg(F.collect_set("line_key").alias("__lost"))
-    joined = docs.join(lost, docs[doc_id] == lost["holder"], "left").drop("holder")
+    def make():
+        kept_in = keepers.value
 
-    def make_joined():
-        def f(texts, losses):
-            losses = [set(x or ()) for x in losses.to_pylist()]
-            return rebuilt(texts_of(texts), lambda row, k: k in losses[row])
+        def f(ids, texts, *losses):
+            ids = ids.to_pylist()
+            own = [set(x or ()) for x in losses[0].to_pylist()] if losses else [()] * len(ids)
+            return rebuilt(texts_of(texts), lambda row, k: ids[row] is not None and (kept_in.get(k, ids[row]) != ids[row] or k in own[row]))
 
         return f
 
-    return map_columns(joined, [text, "__lost"], docs.columns, fields, make_joined)
+    return map_columns(marked, [doc_id, text, *([lost] if often else [])], docs.columns, fields, make)
