@@ -1,11 +1,14 @@
-"""Near duplicates by word shingles: every pair with a Jaccard similarity of LEAST_JACCARD or more, found without comparing all pairs.
+"""The exact part of near-dedup by word shingles: every pair with a Jaccard similarity of `least` or more, without comparing all pairs.
 
+Fingerprints at a few bits' distance (simhash) find the closest copies; this join finds the rest, so no link is lost.
 Equal texts (lower-cased, white space as one space) are one node, whose id is a 64-bit hash. The distinct shingles of
-a node are hashed and put in the order of their hashes, those common in a sample last (any order of all shingles is exact). Two sets of a similarity of t or more that have n and m shingles share at
-least ceil(t * n) and ceil(t * m) of them, so the first n - ceil(t * n) + l of the one and the first m - ceil(t * m) + l of the
-other share at least l (prefix filter), where l grows with the smaller set. Only these shingles become rows; pairs that share l of them and whose sizes
-allow the similarity are verified on the texts. Nodes linked to the least node of a shingle come first, and shingles that only one
-component has left are not compared pair by pair, so large groups of near copies do not become all their pairs.
+a node are hashed and put in the order of their hashes, those common in a sample last (any order of all shingles is exact). Two sets
+of a similarity of t or more that have n and m shingles share at least ceil(t * n) and ceil(t * m) of them, so the first
+n - ceil(t * n) + l of the one and the first m - ceil(t * m) + l of the other share at least l (prefix filter), where l grows with the
+smaller set. Only these shingles become rows. Nodes are first held against the least node of a shingle; shingles that only one
+component has left are done. In what remains, pairs of shingles with few nodes are counted and those that share l of them verified.
+Shingles with many nodes go to tasks in blocks, where sketches (the parity of the hashes in 8 bits a shingle or more)
+bound the number of shingles that only one set has from below; only pairs within the bound leave the task. All pairs are verified on the texts.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ SHINGLE_WORDS, LEAST_JACCARD = 5, 0.8
 SHARED, SHARED_OF, MAX_BROADCAST = 3, 16, 200_000
 #: Documents of the sample, and how many different texts of it have a common shingle.
 SAMPLE, COMMON = 2000, 3
+#: Groups that the nodes of a common shingle are dealt into at first; nodes of a shingle up to which pairs are rows, and nodes of a block beyond it.
+SALTS, FEW, BLOCK = 64, 16, 2048
+#: Bits of a sketch for each shingle, and 64-bit words at least and at most.
+SKETCH_BITS, LEAST_WORDS, MOST_WORDS = 8, 2, 128
 _WORDS = 1 << 16
 
 
@@ -105,14 +112,14 @@ def common_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.ndarray) -> DataFrame:
-    """(node, size, w): the prefix shingles of every node; rows repeat where texts do."""
+    """(node, size, w, often): the prefix shingles of every node, and whether they are common; rows repeat where texts do."""
 
     def run(batches):
-        hashes, types = Hasher(width), (pa.int64(), pa.int32(), pa.int64())
+        hashes, types = Hasher(width), (pa.int64(), pa.int32(), pa.int64(), pa.bool_())
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for x in batch.column(0).slice(at, 256).to_pylist():
                     words = words_of(x)
                     node = node_of(words)
@@ -122,81 +129,170 @@ def prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.nd
                         seen.add(node)
                     h = hashes(words)
                     late = np.isin(h, common)
-                    h = np.concatenate([h[~late], h[late]])
-                    n = len(h)
+                    h, rare, n = np.concatenate([h[~late], h[late]]), int((~late).sum()), len(h)
                     w = h[: n - least_common(n, least) + shared_by(n, least)].view(np.int64)
-                    for column, value in zip(out, (np.full(len(w), node), np.full(len(w), n), w)):
+                    for column, value in zip(out, (np.full(len(w), node), np.full(len(w), n), w, np.arange(len(w)) >= rare)):
                         column.append(value)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, types)], names=["node", "size", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, types)], names=["node", "size", "w", "often"])
                 del out
             del batch
         del hashes, seen
         release()
 
-    return docs.select(text).mapInArrow(run, "node long, size int, w long")
+    return docs.select(text).mapInArrow(run, "node long, size int, w long, often boolean")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have the least similarity or more."""
-    pairs = cut(pairs.select("a", "b"))
-    asked = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+def texts_of_nodes(asked: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, text), one text of each node of `asked`."""
+    asked = cut(asked.select("node").distinct())
     if asked.count() <= MAX_BROADCAST:
         asked = F.broadcast(asked)
-    texts = cut(nodes(docs, text, [text]).join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", F.col(text).alias("text")))
+    return nodes(docs, text, [text]).join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", F.col(text).alias("text"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts have the least similarity or more."""
+    pairs = cut(pairs.select("a", "b").distinct())
+    texts = cut(texts_of_nodes(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, text))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
+            known: dict[int, set] = {}
+
+            def of(node, value):
+                if node not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[node] = shingles(words_of(value.as_py()), width)
+                return known[node]
+
             a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "x", "y"))
-            ok = [jaccard(shingles(words_of(p.as_py()), width), shingles(words_of(q.as_py()), width)) >= least - 1e-12 for p, q in zip(x, y)]
+            ok = [jaccard(of(i, p), of(j, q)) >= least - 1e-12 for i, j, p, q in zip(a.to_pylist(), b.to_pylist(), x, y)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-            del batch, a, b, x, y, ok
+            del batch, a, b, x, y, ok, known
         release()
 
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def links(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, least: float = LEAST_JACCARD) -> DataFrame:
-    """Edges (a, b) that join the nodes of docs just as all pairs of the least similarity or more would."""
-    by_shingle = W.partitionBy("w")
-    placed = prefixes(docs, text, width, least, common_shingles(docs, text, width)).withColumn("a", F.min("node").over(by_shingle)).withColumn("z", F.max("node").over(by_shingle))
-    members = cut(placed.where("a <> z").select("w", "node", "size", "a").distinct())
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the hashes that fall on each bit. Two sketches differ in no more bits than the sets do in hashes."""
+    words = min(MOST_WORDS, max(LEAST_WORDS, 1 << (max(1, SKETCH_BITS * len(hashes) // 64) - 1).bit_length()))
+    bits = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view("<u8")
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """The same sketches with fewer words."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
+def apart(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Shingles that only one of two similar sets of these sizes has, at most."""
+    return np.floor((n + m) * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
+
+
+def near_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.ndarray, sketches: list[np.ndarray], both: bool, least: float) -> np.ndarray:
+    """(2, n) nodes of different groups that the sketches allow to be similar; both: only pairs of different sides."""
+    words, found = np.array([len(x) for x in sketches]), [np.empty((2, 0), np.int64)]
+    for w in np.unique(words).tolist():
+        # a set and one of no fewer words
+        ours, theirs = np.flatnonzero(words == w), np.flatnonzero(words >= w)
+        a = np.array([sketches[k] for k in ours])
+        b = np.concatenate([fold(np.array([sketches[k] for k in theirs[words[theirs] == v]]), w) for v in np.unique(words[theirs]).tolist()])
+        theirs = np.concatenate([theirs[words[theirs] == v] for v in np.unique(words[theirs]).tolist()])
+        a2, b2 = fold(a, LEAST_WORDS), fold(b, LEAST_WORDS)
+        for at in range(0, len(ours), 256):
+            i = ours[at : at + 256]
+            limit = apart(size[i][:, None], size[theirs][None, :], least)
+            ok = (group[i][:, None] != group[theirs][None, :]) & ((words[theirs] > w)[None, :] | (i[:, None] < theirs[None, :]))
+            if both:
+                ok &= side[i][:, None] != side[theirs][None, :]
+            ok &= np.abs(size[i][:, None] - size[theirs][None, :]) <= limit
+            differ = np.zeros(ok.shape, np.uint8)
+            for k in range(LEAST_WORDS):
+                differ += np.bitwise_count(a2[at : at + 256, k][:, None] ^ b2[:, k][None, :])
+            x, y = np.nonzero(ok & (differ <= limit))
+            near = np.bitwise_count(a[at + x] ^ b[y]).sum(axis=1, dtype=np.int64) <= limit[x, y]
+            found.append(np.stack([node[i[x[near]]], node[theirs[y[near]]]]))
+    return np.sort(np.concatenate(found, axis=1), axis=0)
+
+
+def in_blocks(rows: DataFrame, docs: DataFrame, text: str, width: int, least: float, block: int) -> DataFrame:
+    """Pairs (a, b) of different groups that share a shingle and may be similar. rows: w, node, size, g, n (nodes of the shingle)."""
+    hashed = [T.StructField("sketch", T.BinaryType(), False)]
+
+    def make():
+        hashes = Hasher(width)
+        return lambda texts: [[sketch(hashes(words_of(x))).tobytes() for x in texts_of(texts)]]
+
+    sketches = cut(map_columns(texts_of_nodes(rows, docs, text), ["text"], ["node"], hashed, make))
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = dealt.select("w", "node", "size", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select("w", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "size", "g", "own").join(sketches, "node")
+
+    def run(batches):
+        held: list[tuple] = []
+        unit = None
+
+        def settle():
+            if len(held) < 2:
+                return None
+            node, size, g, own = (np.array(c, np.int64) for c in list(zip(*held))[:4])
+            a, b = near_pairs(node, size, g, own, [np.frombuffer(r[4], "<u8") for r in held], unit[1] != unit[2], least)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+
+        for batch in batches:
+            for w, lo, hi, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("w", "lo", "hi", "node", "size", "g", "own", "sketch"))):
+                if (w, lo, hi) != unit:
+                    if (found := settle()) is not None:
+                        yield found
+                    unit, held = (w, lo, hi), []
+                held.append(row)
+        if (found := settle()) is not None:
+            yield found
+        release()
+
+    return units.repartition("w", "lo", "hi").sortWithinPartitions("w", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, least: float = LEAST_JACCARD, seeds: DataFrame | None = None, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that join the nodes of docs just as all pairs of the least similarity or more would.
+
+    seeds: such edges that are already known. Shingles of up to `few` nodes are compared as rows, others in blocks of `block` nodes.
+    """
+    # nodes of a common shingle are dealt into SALTS groups, each with its own least node
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int")
+    placed = prefixes(docs, text, width, least, common_shingles(docs, text, width)).withColumn("salt", salt)
+    alike = W.partitionBy("w", "salt")
+    placed = placed.withColumn("a", F.min("node").over(alike)).withColumn("z", F.max("node").over(alike))
+    members = cut(placed.where("often or a <> z").select("w", "salt", "node", "size", "a").distinct())
+
+    def grouped(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+        """Adds the component of the links found so far."""
+        if found is None:
+            return rows.withColumn("g", F.col("node"))
+        return rows.join(components(found).withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
 
     def candidates(rows: DataFrame) -> DataFrame:
         """Pairs that share enough of their prefixes. rows: a, b, size, size2, one for each shared shingle."""
         fits = rows.where(F.least("size", "size2") >= F.greatest("size", "size2") * (least - 1e-9))
         return fits.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least("size", "size2")).alias("size")).where(F.col("n") >= _shared_by(F.col("size"), least))
 
-    first = members.where("node = a").select("w", F.col("size").alias("size2"))
-    stars = members.where("node <> a").join(first, "w").select("a", F.col("node").alias("b"), "size", "size2")
+    known = grouped(members, seeds)
+    first = known.where("node = a").select("w", "salt", F.col("size").alias("size2"), F.col("g").alias("g2"))
+    stars = known.where("node <> a").join(first, ["w", "salt"]).where("g <> g2").select("a", F.col("node").alias("b"), "size", "size2")
     found = verified(candidates(stars), docs, text, width, least)
-    group = components(found).withColumnRenamed("component", "g")
-    rows = members.select("w", "node", "size").join(group, "node", "left").withColumn("g", F.coalesce("g", "node"))
-    mixed = rows.groupBy("w").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("w")
-    rows = cut(rows.join(mixed, "w", "left_semi"))
-    left = rows.select("w", F.col("node").alias("a"), "size", "g")
-    right = rows.select("w", F.col("node").alias("b"), F.col("size").alias("size2"), F.col("g").alias("g2"))
-    pairs = left.join(right, "w").where((F.col("a") < F.col("b")) & (F.col("g") != F.col("g2")))
-    return found.unionByName(verified(candidates(pairs), docs, text, width, least))
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, least: float = LEAST_JACCARD) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable) for each row of docs.
-
-    Texts of the least similarity or more are linked, and equal ones; null and empty texts are equal. A null doc_id never is a
-    component's id: a component of such rows alone has a null one. An empty table gives an empty table.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = cut(nodes(rows, "text", ["doc_id"]))
-    joined = components(links(rows, "text", width, least))
-    reps = marked.groupBy("node").agg(F.min("doc_id").alias("rep")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return marked.join(reps.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, least: float = LEAST_JACCARD) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, and rows without a doc_id."""
-    found = near_duplicates(docs, doc_id, text, width, least)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    found = found if seeds is None else found.unionByName(seeds.select("a", "b"))
+    rows = grouped(members.select("w", "node", "size"), found)
+    mixed = rows.groupBy("w").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("n")).where("x <> y").select("w", "n")
+    rows = cut(rows.join(mixed, "w"))
+    left = rows.where(F.col("n") <= few).select("w", F.col("node").alias("a"), "size", "g")
+    right = rows.where(F.col("n") <= few).select("w", F.col("node").alias("b"), F.col("size").alias("size2"), F.col("g").alias("g2"))
+    pairs = candidates(left.join(right, "w").where((F.col("a") < F.col("b")) & (F.col("g") != F.col("g2")))).select("a", "b")
+    many = rows.where(F.col("n") > few)
+    if not many.isEmpty():
+        pairs = pairs.unionByName(in_blocks(many, docs, text, width, least, block))
+    return found.unionByName(verified(pairs, docs, text, width, least))

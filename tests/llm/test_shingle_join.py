@@ -6,8 +6,11 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from clausegrid.llm import shingle_join as J
+from clausegrid.llm import shingle_join as J, simhash
 
 
 def brute(rows):
@@ -39,11 +42,34 @@ def edited_texts():
     return [(k, t) for k, t in enumerate(texts)]
 
 
-def test_near_duplicates_are_all_pairs(spark):
+@pytest.mark.parametrize("few,block", [(J.FEW, J.BLOCK), (1, 5), (0, 2)])
+def test_near_duplicates_are_all_pairs(spark, few, block):
     rows = edited_texts()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, J.near_duplicates(df).collect())) == brute(rows)
-    assert J.near_duplicates(df.limit(0)).count() == 0
+    assert sorted(map(tuple, simhash.similar(df, few=few, block=block).collect())) == brute(rows)
+    assert simhash.similar(df.limit(0), few=few, block=block).count() == 0
+
+
+def test_join_alone_finds_all_pairs(spark, monkeypatch):
+    from clausegrid.llm.components import components
+
+    monkeypatch.setattr(J, "COMMON", 2)  # nearly every shingle counts as common
+    rows = [(i, t) for i, t in edited_texts() if t and t.strip()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dict(map(tuple, components(J.links(df, few=2, block=3)).collect()))
+    mine = [(found.get(n := J.node_of(J.words_of(t)), n), c) for (_, t), (_, c) in zip(rows, brute(rows))]
+    assert len({a for a, _ in mine}) == len({c for _, c in mine}) == len(set(mine))
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 60, 700):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n * 3 // 4], rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)]))
+        x, y = J.sketch(a), J.sketch(b)
+        words = min(len(x), len(y))
+        apart = int(np.bitwise_count(J.fold(x[None], words)[0] ^ J.fold(y[None], words)[0]).sum())
+        assert apart <= len(np.setxor1d(a, b))
 
 
 def test_stage_keeps_one_of_edited_copies(spark):
