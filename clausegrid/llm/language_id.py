@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from clausegrid.llm.common import map_columns, slices, texts_of
+from clausegrid.llm.common import hash_bound, map_columns, slices, texts_of
 
 BUCKETS_LOG2 = 16
 BUCKETS = 1 << BUCKETS_LOG2
@@ -161,17 +161,24 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from the rows of docs, whose remainder is not looked at here; give it the learnable ones."""
-    languages = sorted(r["lang"] for r in docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang")).distinct().collect())
+    """Learns from the rows of docs, whose remainder is not looked at here; give it the learnable ones.
+
+    Rows without a language are not learned from, but count for document frequencies. One text of a doc_id that repeats with the same language
+    is used. Texts without letters teach nothing. From an empty table comes a model that knows no language.
+    """
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    languages = sorted(sizes)
     df, n = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)) + 1
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     share = max(LEAST_OF_A_LANGUAGE, sample // len(languages))
-    order = W.partitionBy(lang).orderBy(F.xxhash64(doc_id, F.lit(7)), doc_id)
-    ranked = docs.where(F.col(lang).isNotNull()).select(doc_id, lang).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= share)
-    chosen = F.broadcast(ranked.select(F.col(doc_id).alias("__id")).distinct())
-    rows = docs.select(doc_id, text, lang).join(chosen, F.col(doc_id) == F.col("__id"), "left_semi")
+    bounds = F.broadcast(docs.sparkSession.createDataFrame([(x, hash_bound(share, c)) for x, c in sizes.items()], "lang string, bound long"))
+    mark = F.xxhash64("id", F.lit(7))
+    few = rows.select("id", "lang").join(bounds, "lang").where(mark <= F.col("bound")).select("id", "lang").distinct()
+    ranked = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(mark, "id"))).where(F.col("r") <= share)
+    rows = rows.join(F.broadcast(ranked.select("id", "lang")), ["id", "lang"], "left_semi").dropDuplicates(["id", "lang"])
 
     def make():
         def f(texts):
@@ -181,11 +188,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
         return f
 
-    lists = [T.StructField("__at", T.ArrayType(T.IntegerType())), T.StructField("__n", T.ArrayType(T.IntegerType()))]
-    counted = map_columns(rows, [text], [doc_id, lang], lists, make)
+    lists = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))]
+    counted = map_columns(rows, ["text"], ["id", "lang"], lists, make)
     table = counted.toArrow()  # `sample` documents or the least number of each language, eight bytes for each bucket that one has
     numbers = lambda c: [x.values.to_numpy().astype(np.int64) for x in table.column(c)]
-    got = sorted(zip(table.column(doc_id).to_pylist(), table.column(lang).to_pylist(), numbers("__at"), numbers("__n")), key=lambda r: (r[0], r[1]))
+    got = sorted(zip(table.column("id").to_pylist(), table.column("lang").to_pylist(), numbers("at"), numbers("n")), key=lambda r: (r[0], r[1]))
     got = [(languages.index(y), at, tf_idf(c, idf[at])) for _, y, at, c in got if len(at)]
     order = np.random.default_rng(11).permutation(len(got)).tolist()
     kept_out, fitted = order[: len(order) // 6], order[len(order) // 6 :]
@@ -203,8 +210,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """Adds lang_pred and score (calibrated probability of the prediction).
 
     Texts that are null or have no letter are `und` with score 0, as are all texts if there was nothing to learn
-    from. Columns with the names of results are replaced; keep: columns that stay. Repeated rows get equal results; an
-    empty table gives an empty table.
+    from. Columns with the names of results are replaced; keep: columns that stay. Repeated rows get equal results; a very long text is
+    counted in blocks; of languages with equal scores the first in alphabetical order is taken; an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

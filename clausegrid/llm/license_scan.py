@@ -17,7 +17,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clausegrid.llm.common import map_columns, texts_of
+from clausegrid.llm.common import hash_bound, map_columns, texts_of
 from clausegrid.llm.language_id import Ftrl, softmax, temperature
 from clausegrid.llm.license_templates import TEMPLATES
 
@@ -163,11 +163,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
 
     Of each of them at most 10 lines, those with the smallest hashes, travel to the driver.
     """
-    chosen = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id).orderBy(F.xxhash64(doc_id, F.lit(3)), doc_id).limit(sample)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x).between(1, 2000))
+    rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    mark = F.xxhash64("id", F.lit(3))
+    # hash_bound leaves more room than the estimate's error takes
+    ids = rows.agg(F.approx_count_distinct("id", 0.02).alias("n")).first()["n"]
+    chosen = rows.select("id").where(mark <= F.lit(hash_bound(sample, ids))).distinct().orderBy(mark, "id").limit(sample)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, 2000))
     few = F.slice(F.array_sort(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line")))), 1, 10)
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id, "left_semi").select(doc_id, F.explode(few).alias("x")).select(doc_id, "x.line")
-    return fit([r["line"] for r in sorted(rows.collect(), key=lambda r: (r[doc_id], r["line"]))])
+    texts = rows.join(F.broadcast(chosen), "id", "left_semi").dropDuplicates(["id"])
+    found = texts.select("id", F.explode(few).alias("x")).select("id", "x.line").collect()  # at most 10 lines of `sample` documents
+    return fit([r["line"] for r in sorted(found, key=lambda r: (r["id"], r["line"]))])
 
 
 MATCH = T.ArrayType(T.StructType([

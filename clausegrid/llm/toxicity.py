@@ -2,7 +2,9 @@
 
 Features are the hashed words and word beginnings of a text; each distinct chunk between white space counts once. Categories are
 predicted in order; a later model has the earlier categories' probabilities as inputs. In training those are
-out-of-fold predictions, so a later model sees them as uncertain as they will be. The models are fitted on the
+out-of-fold predictions, so a later model sees them as uncertain as they will be. The chain takes any number of categories; the
+labels table has one of toxicity (`toxic`) and a quality mark, so the default chain is `low_quality`, which is no toxicity and never
+rejects a document but informs, then `toxic`. The models are fitted on the
 driver on a bounded sample of labelled documents (SAMPLE rows, those with the smallest hashed doc_id), of which
 only feature numbers travel; every document is scored, whole.
 """
@@ -16,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from clausegrid.llm.common import Memo, Sparse, fit_logistic, map_columns, sigmoid, texts_of
+from clausegrid.llm.common import Memo, Sparse, fit_logistic, hash_bound, map_columns, sigmoid, texts_of
 
 #: Labelled documents that are used for fitting at most, and features of each of them at most on the driver.
 SAMPLE = 6000
@@ -117,23 +119,30 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], fold
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
-    """Fits the chain on at most `sample` labelled documents with a text; labels has doc_id and the categories' columns."""
+    """Fits the chain on at most `sample` labelled documents with a text; labels has doc_id and the categories' columns.
+
+    Several labels of a doc_id count together (a category holds if one of them says so), and one text of a repeated doc_id is used.
+    Null ids and null texts are left out; null labels count as no. Without labelled documents every probability is the least one.
+    """
     categories = categories or default_categories()
     names = list(categories)
-    marked = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(*(F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(f"__y{k}") for k, c in enumerate(categories.values())))
-    chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    joined = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(doc_id) == F.col("__id"))
+    ys = [f"y{k}" for k in range(len(names))]
+    marked = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(*(F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(y) for y, c in zip(ys, categories.values())))
+    mark = F.xxhash64("id")
+    chosen = marked.where(mark <= F.lit(hash_bound(sample, marked.count()))).orderBy(mark, "id").limit(sample)
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
+    joined = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
 
     def make():
         memo = Memo(lambda chunks: [chunk_features(c) for c in chunks], REMEMBERED)
         return lambda texts: [[text_features(x, memo) for x in texts_of(texts)]]
 
-    found = map_columns(joined, [text], ["__id", *(f"__y{k}" for k in range(len(names)))], [T.StructField("__features", T.ArrayType(T.IntegerType()))], make)
+    found = map_columns(joined, ["text"], ["id", *ys], [T.StructField("features", T.ArrayType(T.IntegerType()))], make)
     table = found.toArrow()  # at most `sample` documents, a number of four bytes for each feature
-    ids = table.column("__id").to_pylist()
+    ids = table.column("id").to_pylist()
     order = sorted(range(len(ids)), key=ids.__getitem__)
-    features = [x.values.to_numpy().astype(np.int64) for x in table.column("__features")]
-    labels_of = np.column_stack([table.column(f"__y{k}").to_numpy() for k in range(len(names))]).reshape(len(ids), len(names))[order]
+    features = [x.values.to_numpy().astype(np.int64) for x in table.column("features")]
+    labels_of = np.column_stack([table.column(y).to_numpy() for y in ys]).reshape(len(ids), len(names))[order]
     ids = [ids[k] for k in order]
     folds = np.array([xxhash.xxh64_intdigest(str(i)) % FOLDS for i in ids], int)
     return fit_chain([features[k] for k in order], labels_of, names, folds)
@@ -143,7 +152,8 @@ def score(docs: DataFrame, model: Chain, text: str = "text", keep: list[str] | N
     """Adds p_<category> for each category and is_<target> (its probability is at least threshold).
 
     Null and empty texts have no features; their probabilities are the model's base rates. Columns with the names of
-    results are replaced; keep: columns that stay. An empty table gives an empty table.
+    results are replaced; keep: columns that stay. Repeated rows get equal results; a very long text counts each of its distinct chunks once.
+    An empty table gives an empty table.
     """
     at, shared = model.names.index(target), docs.sparkSession.sparkContext.broadcast(model)
     fields = [*(T.StructField(f"p_{c}", T.DoubleType()) for c in model.names), T.StructField(f"is_{target}", T.BooleanType())]
