@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import line_dedup, packing, quality, registry, shingle_join, toxicity
+from clausegrid.llm import line_dedup, packing, quality, registry, simhash, toxicity
 from clausegrid.llm.common import cut, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates: words of a shingle, and the least Jaccard similarity of two texts' shingles.
+SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
-    return shingle_join.keep_one(docs).select(*docs.columns)
+    return simhash.keep_one(docs, width=SHINGLE_WORDS, least=LEAST_SIMILARITY).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
