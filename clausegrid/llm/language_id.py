@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from clausegrid.llm.common import hash_bound, map_columns, slices, texts_of
+from clausegrid.llm.common import hash_bound, map_columns, release, slices, texts_of
 
 BUCKETS_LOG2 = 16
 BUCKETS = 1 << BUCKETS_LOG2
@@ -203,6 +203,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             model.learn(at, x, y)
     w = model.weights()
     z = np.array([x @ w[at] + w[-1] for _, at, x in (got[k] for k in kept_out)]).reshape(len(kept_out), len(languages))
+    del table
+    release()
     return Model(languages, idf, w[:-1], w[-1], temperature(z, np.array([got[k][0] for k in kept_out], int)))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from clausegrid.llm.common import cut, map_columns, release, texts_of
+from clausegrid.llm.common import cut, hash_bound, map_columns, release, texts_of
 from clausegrid.llm.components import components
 
 SHINGLE_WORDS, LEAST_JACCARD = 5, 0.8
@@ -104,11 +104,22 @@ def nodes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def common_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """Sorted hashes of the shingles that several texts of a bounded sample have; they only come later in the order."""
-    hashes, texts = Hasher(width), set()
-    for r in docs.select(text).orderBy(F.rand(5)).limit(SAMPLE).toLocalIterator():
-        texts.add(b" ".join(words_of(r[0])))
-    found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(hashes(t.split()) for t in texts)]), return_counts=True)
-    return found[n >= COMMON]
+    hashed = T.StructField("h", T.BinaryType(), False)
+
+    def make():
+        hashes = Hasher(width)
+        return lambda texts: [[hashes(words_of(x)).tobytes() for x in texts_of(texts)]]
+
+    mark = F.xxhash64(text, F.lit(5))
+    some = docs.select(text).where(mark <= F.lit(hash_bound(SAMPLE, docs.count()))).distinct().orderBy(mark).limit(SAMPLE)
+    # shingles are counted apart; those that are common are at most their number in the sample over COMMON
+    found = map_columns(some, [text], [], [hashed], make).mapInArrow(_spread, "w long").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(found.select("w").toArrow().column("w").to_numpy().view(np.uint64))
+
+
+def _spread(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["w"])
 
 
 def prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.ndarray) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from clausegrid.llm.common import Memo, Sparse, fit_logistic, hash_bound, map_columns, sigmoid, texts_of
+from clausegrid.llm.common import Memo, Sparse, fit_logistic, hash_bound, map_columns, release, sigmoid, texts_of
 
 #: Labelled documents that are used for fitting at most, and features of each of them at most on the driver.
 SAMPLE = 6000
@@ -73,31 +73,34 @@ class Chain:
         return p
 
 
-def telling(counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
-    """The features whose document shares differ most, in standard errors, between a category's two sides."""
-    seen, at = np.unique(np.concatenate([*(f for f, _ in counted), np.zeros(0, np.int64)]), return_inverse=True)
-    row = np.repeat(np.arange(len(counted)), [len(f) for f, _ in counted])
-    total, chosen = np.bincount(at, minlength=len(seen)), []
+def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The features whose document shares differ most, in standard errors, between a category's two sides. rows: distinct features."""
+    total, inside = np.zeros(BUCKETS, np.int32), np.zeros((labels.shape[1], BUCKETS), np.int32)
+    for r, y in zip(rows, labels.tolist()):
+        total[r] += 1
+        for k, yes in enumerate(y):
+            if yes:
+                inside[k, r] += 1
+    chosen, seen = [np.zeros(0, np.int64)], np.flatnonzero(total >= LEAST_DOCUMENTS)
+    share = total[seen] / max(1, len(rows))
     for k in range(labels.shape[1]):
-        y = labels[:, k]
-        yes, no = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-        inside = np.bincount(at, y[row], len(seen))
-        share = total / max(1, len(counted))
-        score = np.abs(inside / yes - (total - inside) / no) / np.sqrt(np.maximum(share * (1 - share), 1e-6))
-        score[total < LEAST_DOCUMENTS] = -1
+        yes, no = max(1, int(labels[:, k].sum())), max(1, int((1 - labels[:, k]).sum()))
+        here = inside[k, seen]
+        score = np.abs(here / yes - (total[seen] - here) / no) / np.sqrt(np.maximum(share * (1 - share), 1e-6))
         best = np.lexsort((seen, -score))[:TELLING]
         chosen.append(seen[best[score[best] > 0]])
-    return np.unique(np.concatenate([*chosen, np.zeros(0, np.int64)]))
+    return np.unique(np.concatenate(chosen))
 
 
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], folds: np.ndarray) -> Chain:
     """rows: feature numbers of each document; labels: 0 or 1 by document and category; folds: each row's fold."""
-    counted = [np.unique(r, return_counts=True) for r in rows]
-    features = telling(counted, labels)
+    features = telling([np.unique(r) for r in rows], labels)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[features] = np.arange(len(features))
     x = []
-    for f, c in counted:
-        known_ones = np.isin(f, features, assume_unique=True)
-        x.append((np.searchsorted(features, f[known_ones]), c[known_ones]))
+    for r in rows:
+        at = place[r]
+        x.append(np.unique(at[at >= 0], return_counts=True))
     x = Sparse([a for a, _ in x], len(features), [c for _, c in x])
     n = len(rows)
     weights, earlier, biases, known = np.zeros((len(features), len(names))), [], [], np.zeros((n, 0))
@@ -141,11 +144,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     table = found.toArrow()  # at most `sample` documents, a number of four bytes for each feature
     ids = table.column("id").to_pylist()
     order = sorted(range(len(ids)), key=ids.__getitem__)
-    features = [x.values.to_numpy().astype(np.int64) for x in table.column("features")]
+    features = [x.values.to_numpy() for x in table.column("features")]
     labels_of = np.column_stack([table.column(y).to_numpy() for y in ys]).reshape(len(ids), len(names))[order]
     ids = [ids[k] for k in order]
     folds = np.array([xxhash.xxh64_intdigest(str(i)) % FOLDS for i in ids], int)
-    return fit_chain([features[k] for k in order], labels_of, names, folds)
+    model = fit_chain([features[k] for k in order], labels_of, names, folds)
+    del table, features
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Chain, text: str = "text", keep: list[str] | None = None, target: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:

@@ -116,6 +116,88 @@ def test_toxicity(spark):
     assert toxicity.score(odd, none).count() == len(ODD)
 
 
+def slow_logistic(x, y, dense, l1, l2, steps=20_000):
+    """Plain proximal gradients with a small step on dense arrays."""
+    z = np.column_stack([x, dense, np.ones(len(y))])
+    w, step = np.zeros(z.shape[1]), 4 / (np.linalg.norm(z, 2) ** 2 / len(y) + 4 * l2)
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    for _ in range(steps):
+        g = z.T @ (1 / (1 + np.exp(-z @ w)) - y) / len(y)
+        g[:-1] += l2 * w[:-1]
+        w = w - step * g
+        m = x.shape[1]
+        w[:m] = np.sign(w[:m]) * np.maximum(0, np.abs(w[:m]) - step * l1)
+    return w
+
+
+def test_logistic_fit_matches_a_naive_one():
+    from clausegrid.llm.common import Sparse, fit_logistic
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(0, 6))) for _ in range(120)]
+    dense, y = rng.random((120, 1)), (rng.random(120) < 0.4).astype(float)
+    x = np.zeros((120, 12))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    w, e, b = fit_logistic(Sparse(rows, 12), y, dense, 5e-3, 1e-2, 2000)
+    assert np.allclose(np.concatenate([w, e, [b]]), slow_logistic(x, y, dense, 5e-3, 1e-2), atol=2e-3)
+
+
+def test_chain_feeds_earlier_probabilities_to_later_models():
+    rng = np.random.default_rng(8)
+    first = rng.random(600) < 0.5
+    second = first ^ (rng.random(600) < 0.05)  # follows the first category
+    third = rng.random(600) < 0.3
+    rows = [np.array([3, *([7] if a else [8]), *([11] if c else []), 20 + k % 9]) for k, (a, c) in enumerate(zip(first, third))]
+    labels = np.column_stack([first, second, third]).astype(int)
+    model = toxicity.fit_chain(rows, labels, ["a", "b", "c"], np.arange(600) % toxicity.FOLDS)
+    assert [len(e) for e in model.earlier] == [0, 1, 2]
+    at = {f: k for k, f in enumerate(model.features.tolist())}
+    sums = np.array([model.weights[[at[f] for f in r if f in at]].sum(axis=0) for r in rows])
+    p = model.probabilities(sums)
+    for k in range(3):  # each model reads its own sums and the earlier probabilities
+        want = 1 / (1 + np.exp(-(sums[:, k] + sum(p[:, j] * model.earlier[k][j] for j in range(k)) + model.biases[k])))
+        assert np.allclose(p[:, k], want)
+    assert [np.mean((p[:, k] > 0.5) == labels[:, k]) > 0.9 for k in range(3)] == [True] * 3
+
+
+def test_follow_the_regularised_leader_matches_its_definition():
+    rng = np.random.default_rng(5)
+    data = [(np.sort(rng.choice(6, 3, replace=False)), rng.normal(size=3), int(rng.integers(3))) for _ in range(40)]
+    model = language_id.Ftrl(6, 3, 0.4, 1.0, 0.05, 0.02)
+    g_sum, g2, s_w = np.zeros((7, 3)), np.zeros((7, 3)), np.zeros((7, 3))
+
+    def leader():
+        """Minimizes g_sum w + sum of sigma (w - w_s)^2 / 2 + l1 |w| + l2 w^2 / 2, in closed form by coordinate."""
+        z = g_sum - s_w
+        return np.where(np.abs(z) <= 0.05, 0, -(z - np.sign(z) * 0.05) / ((1.0 + np.sqrt(g2)) / 0.4 + 0.02))
+
+    for at, x, y in data:
+        w, full = leader(), np.zeros(7)
+        full[at], full[6] = x, 1
+        e = np.exp(full @ w - (full @ w).max())
+        p = e / e.sum()
+        p[y] -= 1
+        g = np.outer(full, p)
+        s_w += (np.sqrt(g2 + g * g) - np.sqrt(g2)) / 0.4 * w
+        g_sum += g
+        g2 += g * g
+        model.learn(at, x, y)
+    assert np.allclose(model.weights(), leader(), atol=1e-12)
+
+
+def test_grams_match_plain_counting():
+    def plain(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        padded = " " + " ".join(words) + " " if words else ""
+        return sum(max(0, len(padded) - n + 1) for n in (1, 2, 3)), {padded[k : k + n] for n in (1, 2, 3) for k in range(len(padded) - n + 1)}
+
+    for text in ("", "a", "Été, l'hiver!", "中文 x", " 12 ", "ab\n\ncd"):
+        counts, total = language_id.grams(text)
+        n, kinds = plain(text)
+        assert total == n and counts.sum() == n and np.count_nonzero(counts) <= len(kinds)
+
+
 def test_languages(spark):
     rng = random.Random(4)
     sounds = {"aa": ["the", "ing", "wh", "tion"], "bb": ["eau", "é", "ou", "elle"], "cc": ["sch", "ü", "keit", "ung"]}
