@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from clausegrid.config import WINDOW, WindowConfig
 from clausegrid.functions.params import has_placeholder
 from clausegrid.functions.text import is_enhancement_clause, jaccard, token_set
-from clausegrid.plans.storage import stored
+from clausegrid.storage import stored
 
 CLAUSE_KINDS = ("smt", "gdn")
 #: Names of filter modes and what they stand for; unknown modes keep everything.

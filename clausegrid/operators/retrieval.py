@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausegrid.config import RANK, RankConfig
 from clausegrid.functions.text import control_aliases, normalize_text, privilege_scope, tokenize
+from clausegrid.operators import blocks
+from clausegrid.storage import stored
 
 #: Scores are rounded before they are ranked, so that the order of a sum never decides.
 DECIMALS, BM25_DECIMALS = 9, 6
@@ -70,72 +74,137 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, cfg: RankConfig = RANK, key: list[str] = ["q"]) -> DataFrame:
+@dataclass
+class LexicalIndex:
+    """Postings of a query set's terms in all documents, stored once: rows id, dl, terms, tfs; what BM25 needs of them."""
+
+    rows: DataFrame
+    terms: list[str]
+    frequencies: np.ndarray
+    n: int
+    mean_length: float
+
+
+def lexical_index(queries: DataFrame, docs: DataFrame) -> LexicalIndex:
+    """Tokenizes all documents once for the terms of a query set. queries: text; docs: id, text."""
+    terms = sorted(r["term"] for r in queries.select(F.explode(tokenize(F.col("text"))).alias("term")).distinct().collect())  # the query set's own terms
+    rows = stored(blocks.term_index(docs, tokenize(F.col("text")), terms))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    frequencies = np.zeros(len(terms), np.int64)
+    for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # a row for each term
+        frequencies[r["t"]] = r["df"]
+    return LexicalIndex(rows, terms, frequencies, stats["n"], stats["mean"] or 0.0)
+
+
+def _query_terms(queries: DataFrame, key: list[str], index: LexicalIndex) -> tuple[list, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys by number, (term, query, how often) of each query's terms)."""
+    at = {t: k for k, t in enumerate(index.terms)}
+    found = sorted((tuple(r[k] for k in key), r["t"]) for r in queries.select(*key, tokenize(F.col("text")).alias("t")).collect())  # the query set
+    term, query, times = [], [], []
+    for k, (_, words) in enumerate(found):
+        own: dict[int, int] = {}
+        for w in words:
+            if w in at:
+                own[at[w]] = own.get(at[w], 0) + 1
+        term += own
+        times += own.values()
+        query += [k] * len(own)
+    return [k for k, _ in found], (np.array(term, np.int64), np.array(query, np.int64), np.array(times, float))
+
+
+def _named(found: DataFrame | None, keys: list, queries: DataFrame, key: list[str], n: int, id_type: str) -> DataFrame:
+    """The best rows of all tasks under the queries' own keys, ranked."""
+    spark = queries.sparkSession
+    kinds = dict(queries.dtypes)
+    names = spark.createDataFrame([(k, *x) for k, x in enumerate(keys)], ", ".join(["number long", *(f"{c} {kinds[c]}" for c in key)]))
+    found = spark.createDataFrame([], f"number long, id {id_type}, score double") if found is None else found
+    return ranked(found.join(F.broadcast(names), "number").select(*key, "id", "score"), key, [F.desc("score"), F.col("id")], most=n)
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, cfg: RankConfig = RANK, key: list[str] = ["q"], index: LexicalIndex | None = None) -> DataFrame:
     """key, id, score of every document that shares a term with a query; repeated query terms count repeatedly.
 
-    queries: key columns and text, tokenized as it is; docs: id and text.
+    queries: key columns and text, tokenized as it is; docs: id and text. Every such pair becomes a row; for the best ones use bm25_top.
     """
-    wanted = queries.select(*key, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("qtf"))
-    posted = postings(docs, wanted)
-    weights = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus_stats(docs)), how="cross").select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    index = index or lexical_index(queries, docs)
+    spark = queries.sparkSession
+    weights = spark.createDataFrame([(k, t, float(x)) for k, (t, x) in enumerate(zip(index.terms, _idf(index)))], "t int, term string, idf double")
+    wanted = queries.select(*key, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("qtf")).join(weights, "term")
     tf, dl = F.col("tf"), F.col("dl")
-    weighted = posted.join(weights, "term").select("term", "id", (F.col("idf") * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl / F.greatest("avgdl", F.lit(1e-9))))).alias("s"))
-    return wanted.join(weighted, "term").groupBy(*key, "id").agg(F.round(F.sum(F.col("qtf") * F.col("s")), BM25_DECIMALS).alias("score"))
+    posted = index.rows.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("id", "dl", F.col("p.terms").alias("t"), F.col("p.tfs").alias("tf"))
+    weighted = posted.select("t", "id", (tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl / max(index.mean_length, 1e-9)))).alias("s"))
+    return wanted.join(weighted, "t").groupBy(*key, "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("s")), BM25_DECIMALS).alias("score"))
+
 
+def _idf(index: LexicalIndex) -> np.ndarray:
+    return np.log((index.n - index.frequencies + 0.5) / (index.frequencies + 0.5) + 1)
 
-def bm25_top(queries: DataFrame, docs: DataFrame, n: int, cfg: RankConfig = RANK, key: list[str] = ["q"]) -> DataFrame:
+
+def bm25_top(queries: DataFrame, docs: DataFrame, n: int, cfg: RankConfig = RANK, key: list[str] = ["q"], index: LexicalIndex | None = None) -> DataFrame:
     """key, id, score, rank of the n best documents; where fewer match, the smallest other ids follow with score 0."""
-    best = ranked(bm25_scores(queries, docs, cfg, key), key, [F.desc("score"), F.col("id")], most=n)
+    index = index or lexical_index(queries, docs)
+    keys, (term, query, times) = _query_terms(queries, key, index)
+    k1, b, mean = cfg.k1, cfg.b, max(index.mean_length, 1e-9)
+    found = blocks.lexical_top(index.rows, (term, query, times * _idf(index)[term]), len(index.terms), len(keys), n, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), BM25_DECIMALS)
+    best = stored(_named(found, keys, queries, key, n, dict(index.rows.dtypes)["id"]))
     # fewer than n match only if all that match are in `best`, so 2n ids always hold enough others
     first = docs.select("id").orderBy("id").limit(2 * n)
     short = queries.select(*key).distinct().join(best.groupBy(*key).agg(F.count("*").alias("have")), key, "left").where(F.coalesce("have", F.lit(0)) < n).select(*key)
+    if short.isEmpty():
+        return best
     fill = short.join(F.broadcast(first), how="cross").join(best.select(*key, "id"), [*key, "id"], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(best.drop("rank").unionByName(fill), key, [F.desc("score"), F.col("id")], most=n)
 
 
-def overlap_top(queries: DataFrame, docs: DataFrame, n: int, key: list[str] = ["q"]) -> DataFrame:
+def overlap_top(queries: DataFrame, docs: DataFrame, n: int, key: list[str] = ["q"], index: LexicalIndex | None = None) -> DataFrame:
     """A stand-in for a dense channel without a model: share of a query's distinct terms that a document has."""
-    wanted = queries.select(*key, F.array_distinct(tokenize(F.col("text"))).alias("t")).select(*key, F.size("t").alias("m"), F.explode("t").alias("term"))
-    posted = postings(docs, wanted).select("term", "id")
-    return ranked(wanted.join(posted, "term").groupBy(*key, "id").agg(F.round(F.count("*") / F.max("m"), DECIMALS).alias("score")), key, [F.desc("score"), F.col("id")], most=n)
+    index = index or lexical_index(queries, docs)
+    keys, (term, query, _) = _query_terms(queries, key, index)
+    sizes = np.maximum(1, np.bincount(query, minlength=len(keys))).astype(float)
+    found = blocks.lexical_top(index.rows, (term, query, np.ones(len(term))), len(index.terms), len(keys), n, lambda tf, dl: np.ones(len(tf)), DECIMALS, sizes)
+    return _named(found, keys, queries, key, n, dict(index.rows.dtypes)["id"])
+
+
+def containing(parts: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
+    """q, id: the documents whose text holds the whole text of a part. parts: q, text; docs: id, text.
+
+    The words of a part between its first and last one stand in such a document as they are, so documents and parts meet by the hash of a run of
+    `words` of them, and the whole texts decide. Parts with fewer words are looked for in every document.
+    """
+    split = parts.select("q", "text", F.split("text", " ").alias("w"))
+    long = split.where(F.size("w") >= words + 2).select("q", "text", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("run"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda k: F.xxhash64(F.array_join(F.slice("w", k, words), " ")))
+    of_docs = docs.select("id", F.split("text", " ").alias("w")).where(F.size("w") >= words).select("id", F.explode(F.array_distinct(runs)).alias("run"))
+    pairs = of_docs.join(long.select("q", "run"), "run").select("q", "id").distinct()
+    found = pairs.join(docs.select("id", F.col("text").alias("whole")), "id").join(parts.select("q", "text"), "q").where(F.contains("whole", "text")).select("q", "id")
+    short = split.where(F.size("w") < words + 2).select("q", "text")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(F.broadcast(short), F.contains(docs["text"], short["text"])).select("q", "id"))
 
 
 # ---------------------------------------------------------------- dense search
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, n: int, query_block: int = 512) -> DataFrame:
+def dense_top(queries: DataFrame, vectors: DataFrame, n: int, query_block: int | None = None) -> DataFrame:
     """q, id, score, rank: the n largest inner products of every query with all vectors.
 
-    Queries are dealt into blocks of about query_block; every batch of vectors meets every block once in a matrix
-    product that keeps n rows a query, so no pair is ever a row. queries: q, v; vectors: id, v (arrays of numbers).
+    Queries are dealt into blocks of about query_block (as many as fit into BLOCK_BYTES by default); a block goes to all tasks, every task reads its
+    vectors where they are and keeps n rows a query, so no pair is ever a row and nothing but the best is shuffled.
+    queries: q, v; vectors: id, v (arrays of numbers, all of one length).
     """
-    blocks = max(1, -(-queries.count() // query_block))
-    grouped = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("q", F.col("v").cast("array<double>").alias("v"))).alias("queries"))
-
-    def pack(batches):
-        for batch in batches:
-            ids, v = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 4096):
-                part = v.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.slice(at, 4096).to_pylist()]), pa.array([part.flatten().to_pylist()])], names=["ids", "flat"])
-
-    packed = vectors.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(pack, "ids array<long>, flat array<double>")
-    met = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(grouped, "b")
-
-    def best(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                qs = row["queries"]
-                if not qs or not row["ids"]:
-                    continue
-                m = np.array(row["flat"]).reshape(len(row["ids"]), -1)
-                ids, s = np.array(row["ids"]), np.round(np.array([x["v"] for x in qs]) @ m.T, DECIMALS)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
-                k = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x["q"] for x in qs], k)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["q", "id", "score"])
-
-    found = met.select("ids", "flat", "queries").mapInArrow(best, "q long, id long, score double")
-    return ranked(found, ["q"], [F.desc("score"), F.col("id")], most=n)
+    queries = stored(queries.select("q", F.col("v").cast("array<double>").alias("v")))
+    vectors = vectors.select("id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    query_block = query_block or max(1, blocks.BLOCK_BYTES // (8 * max(1, size["width"] or 1)))
+    n_blocks, found = max(1, -(-size["n"] // query_block)), None
+    for k in range(n_blocks):
+        own = queries.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == k).toArrow()  # a block
+        if own.num_rows:
+            matrix = own.column("v").combine_chunks().flatten().to_numpy().reshape(own.num_rows, -1)
+            part = _named(blocks.dense_top(vectors, matrix, n, DECIMALS), [(q,) for q in own.column("q").to_pylist()], queries, ["q"], n, dict(vectors.dtypes)["id"])
+            found = part if found is None else found.unionByName(part)
+    return found if found is not None else _named(None, [], queries, ["q"], n, dict(vectors.dtypes)["id"])
 
 
 def pool_controls(hits: DataFrame, controls: DataFrame, n: int) -> DataFrame:
@@ -202,19 +271,24 @@ def rerank(fused: DataFrame, scores: DataFrame, cfg: RankConfig = RANK) -> DataF
     return rows.withColumn("final_margin", F.when(F.col("applied"), F.col("rerank_margin")).otherwise(F.col("base_margin"))).drop("has", "confident")
 
 
-def rank_controls(variants: DataFrame, docs: DataFrame, scores: DataFrame, dense: DataFrame | None = None, cfg: RankConfig = RANK) -> DataFrame:
+def rank_controls(variants: DataFrame, docs: DataFrame, scores: DataFrame | Callable[[DataFrame], DataFrame], dense: DataFrame | None = None, cfg: RankConfig = RANK) -> DataFrame:
     """From query variants to the final order: both channels for each variant, fusion, scope bias, gates.
 
-    variants: q, v (0 is the original), text; docs: id, text; dense: q, v, id, rank, by default the overlap channel.
+    variants: q, v (0 is the original), text; docs: id, text; scores: q, id, pred, or what gives them for candidate pairs (q, id);
+    dense: q, v, id, rank, by default the overlap channel. Texts are tokenized once for both channels.
     """
     texts = variants.select("q", "v", normalize_text(F.col("text")).alias("text"))
-    dense = overlap_top(texts, docs, cfg.candidates, ["q", "v"]) if dense is None else dense
-    lists = bm25_top(texts, docs, cfg.candidates, cfg, ["q", "v"]).select("q", "v", "id", "rank").unionByName(dense.select("q", "v", "id", "rank"))
+    index = lexical_index(texts, docs)
+    dense = overlap_top(texts, docs, cfg.candidates, ["q", "v"], index) if dense is None else dense
+    lists = bm25_top(texts, docs, cfg.candidates, cfg, ["q", "v"], index).select("q", "v", "id", "rank").unionByName(dense.select("q", "v", "id", "rank"))
     fused = fuse(lists.withColumn("w", F.when(F.col("v") == 0, 1.0).otherwise(cfg.rewrite_weight)), cfg.rrf_k)
     if cfg.scope_bias:
         query_scopes = variants.where("v = 0").select("q", privilege_scope(F.col("text"), True).alias("query_scope"))
-        fused = scope_bias(fused, query_scopes, docs.select("id", privilege_scope(F.col("text"), False).alias("control_scope")), cfg)
-    return rerank(fused, scores, cfg)
+        # scopes are only read for controls that a list has
+        listed = docs.join(lists.select("id").distinct(), "id", "left_semi")
+        fused = scope_bias(fused, query_scopes, listed.select("id", privilege_scope(F.col("text"), False).alias("control_scope")), cfg)
+    fused = stored(fused)
+    return rerank(fused, scores(fused.select("q", "id")) if callable(scores) else scores, cfg)
 
 
 def gold_rank(rows: DataFrame, gold: DataFrame, most: int = 10, rank: str = "rank") -> DataFrame:

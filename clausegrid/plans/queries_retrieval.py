@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from clausegrid.config import NOTEBOOK, RANK
 from clausegrid.functions.text import tokenize
 from clausegrid.operators import metrics as M, retrieval as R
-from clausegrid.plans.fixtures import FIXTURES, derived, fixture, with_fixtures
+from clausegrid.plans.fixtures import derived, fixture, with_fixtures
+from clausegrid.storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,11 +51,12 @@ def originals(spark, sf_dir):
 
 
 def gold_of(spark, sf_dir):
-    """The smallest document that holds the first 60 characters of a benchmark item."""
-    return derived(spark, sf_dir, GOLD_SQL)
+    """The smallest document that holds the whole text of a benchmark item."""
+    items = derived(spark, sf_dir, "SELECT item_id AS q, text FROM benchmark")
+    return R.containing(items, docs_of(spark, sf_dir)).groupBy("q").agg(F.min("id").alias("gold"))
 
 
-GOLD_SQL = "SELECT b.item_id AS q, min(d.doc_id) AS gold FROM benchmark b JOIN documents d ON instr(d.text, substr(b.text, 1, 60)) > 0 GROUP BY b.item_id"
+GOLD_SQL = "SELECT b.item_id AS q, min(d.doc_id) AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id"
 TOKENS_SQL = "tok AS (SELECT doc_id AS id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS t FROM documents), post AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY id, dl, term), stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok)"
 BM25_SQL = f"""{TOKENS_SQL}, {VARIANTS_SQL},
 qt AS (SELECT q, v, term, count(*) AS qtf FROM (SELECT q, v, unnest(t) AS term FROM variants) GROUP BY q, v, term),
@@ -89,6 +91,18 @@ def pred_of(spark, sf_dir):
     return terms.join(R.postings(docs_of(spark, sf_dir), terms).select("term", "id"), "term").groupBy("q", "id").agg(F.sum(F.length("term")).cast("double").alias("pred"))
 
 
+def pred_for(spark, sf_dir):
+    """The same scores for candidate pairs alone."""
+
+    def score(pairs):
+        wanted = originals(spark, sf_dir).select("q", F.filter(F.array_distinct(tokenize(F.col("text"))), lambda t: F.length(t) >= 5).alias("a"))
+        docs = docs_of(spark, sf_dir).join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.array_distinct(tokenize(F.col("text"))).alias("b"))
+        both = pairs.join(wanted, "q").join(docs, "id").select("q", "id", F.array_intersect("a", "b").alias("t"))
+        return both.where(F.size("t") > 0).select("q", "id", F.aggregate("t", F.lit(0), lambda a, x: a + F.length(x)).cast("double").alias("pred"))
+
+    return score
+
+
 ALL_SQL = f"WITH {BM25_SQL}, {OVERLAP_SQL}, {FUSED_SQL}, {PRED_SQL}"
 
 
@@ -150,12 +164,20 @@ def _(spark, sf_dir):
 def fused_of(spark, sf_dir, only_original=False, both=True, n=50):
     docs, v = docs_of(spark, sf_dir), variants_of(spark, sf_dir)
     v = v.where("v = 0") if only_original else v
-    lists = R.bm25_top(v, docs, n, RANK, ["q", "v"]).select("q", "v", "id", "rank")
+    index = R.lexical_index(v, docs)
+    lists = R.bm25_top(v, docs, n, RANK, ["q", "v"], index).select("q", "v", "id", "rank")
     if both:
-        lists = lists.unionByName(R.overlap_top(v, docs, n, ["q", "v"]).select("q", "v", "id", "rank"))
+        lists = lists.unionByName(R.overlap_top(v, docs, n, ["q", "v"], index).select("q", "v", "id", "rank"))
     return R.fuse(lists.withColumn("w", F.when(F.col("v") == 0, 1.0).otherwise(0.25)))
 
 
+def tops_of(spark, sf_dir):
+    """q, b, d: the first document of each channel."""
+    docs, one = docs_of(spark, sf_dir), originals(spark, sf_dir)
+    index = R.lexical_index(one, docs)
+    return R.bm25_top(one, docs, 1, index=index).select("q", F.col("id").alias("b")).join(R.overlap_top(one, docs, 1, index=index).select("q", F.col("id").alias("d")), "q")
+
+
 @query("r08_weighted_rrf", f"{ALL_SQL} SELECT * FROM fused")
 def _(spark, sf_dir):
     return fused_of(spark, sf_dir)
@@ -190,7 +212,7 @@ def shown(rows):
 
 
 def ranking(spark, sf_dir, cfg):
-    return R.rank_controls(variants_of(spark, sf_dir), docs_of(spark, sf_dir), pred_of(spark, sf_dir), None, cfg)
+    return R.rank_controls(variants_of(spark, sf_dir), docs_of(spark, sf_dir), pred_for(spark, sf_dir), None, cfg)
 
 
 @query("r19_rank_controls", f"{ALL_SQL}, {rerank_sql()} {RANK_SQL}")
@@ -210,16 +232,15 @@ def _(spark, sf_dir):
 
 @query("r12_base_margin", f"{ALL_SQL}, {rerank_sql()} SELECT q, base_margin, base_margin >= 0.1 AS skipped FROM bmar")
 def _(spark, sf_dir):
-    base = R.ranked(fused_of(spark, sf_dir), ["q"], [F.desc("score"), F.col("id")], "base_rank", 50)
+    base = R.ranked(stored(fused_of(spark, sf_dir)), ["q"], [F.desc("score"), F.col("id")], "base_rank", 50)
     return R.margin(base, "score", "base_rank", "base_margin").withColumn("skipped", F.col("base_margin") >= RANK.skip_margin)
 
 
 @query("r13_skip_gate_agreement", f"{ALL_SQL}, {rerank_sql()} SELECT b.q, base_margin >= 0.1 AND b.id = bm.id AND b.id = ov.id AS skipped FROM base b JOIN bmar USING (q) JOIN bm ON bm.q = b.q AND bm.v = 0 AND bm.rank = 1 JOIN ov ON ov.q = b.q AND ov.v = 0 AND ov.rank = 1 WHERE b.base_rank = 1")
 def _(spark, sf_dir):
-    docs, one = docs_of(spark, sf_dir), originals(spark, sf_dir)
-    base = R.ranked(fused_of(spark, sf_dir), ["q"], [F.desc("score"), F.col("id")], "base_rank", 50)
+    base = R.ranked(stored(fused_of(spark, sf_dir)), ["q"], [F.desc("score"), F.col("id")], "base_rank", 50)
     first = base.where("base_rank = 1").select("q", "id").join(R.margin(base, "score", "base_rank", "m"), "q")
-    tops = R.bm25_top(one, docs, 1).select("q", F.col("id").alias("b")).join(R.overlap_top(one, docs, 1).select("q", F.col("id").alias("d")), "q")
+    tops = tops_of(spark, sf_dir)
     return first.join(tops, "q").select("q", ((F.col("m") >= RANK.skip_margin) & (F.col("id") == F.col("b")) & (F.col("id") == F.col("d"))).alias("skipped"))
 
 
@@ -245,9 +266,8 @@ def _(spark, sf_dir):
 
 @query("r21_hybrid_details", f"WITH {BM25_SQL}, {OVERLAP_SQL}, {HYBRID_SQL} SELECT hr.q, hr.id AS top, round(coalesce((hr.score - h2.score) / hr.score, 1), 9) AS margin, bm.id = ov.id AS agree FROM hr LEFT JOIN hr h2 ON h2.q = hr.q AND h2.rank = 2 JOIN bm ON bm.q = hr.q AND bm.v = 0 AND bm.rank = 1 JOIN ov ON ov.q = hr.q AND ov.v = 0 AND ov.rank = 1 WHERE hr.rank = 1")
 def _(spark, sf_dir):
-    docs, one = docs_of(spark, sf_dir), originals(spark, sf_dir)
-    base = R.ranked(fused_of(spark, sf_dir, True), ["q"], [F.desc("score"), F.col("id")])
-    tops = R.bm25_top(one, docs, 1).select("q", F.col("id").alias("b")).join(R.overlap_top(one, docs, 1).select("q", F.col("id").alias("d")), "q")
+    base = R.ranked(stored(fused_of(spark, sf_dir, True)), ["q"], [F.desc("score"), F.col("id")])
+    tops = tops_of(spark, sf_dir)
     return base.where("rank = 1").select("q", F.col("id").alias("top")).join(R.margin(base, "score", "rank", "margin"), "q").join(tops, "q").select("q", "top", "margin", (F.col("b") == F.col("d")).alias("agree"))
 
 
@@ -284,7 +304,7 @@ def _(spark, sf_dir):
 @query("r28_system_hybrid_rerank", f"WITH {BM25_SQL}, {OVERLAP_SQL}, {HYBRID_SQL}, {PRED_SQL}, g AS (SELECT hr.q, hr.id, row_number() OVER (PARTITION BY hr.q ORDER BY pred DESC, hr.id DESC) AS rank FROM hr JOIN pred ON pred.q = hr.q AND pred.id = hr.id WHERE hr.rank <= 50) SELECT q, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids FROM g WHERE rank <= 10 GROUP BY q")
 def _(spark, sf_dir):
     base = R.ranked(fused_of(spark, sf_dir, True), ["q"], [F.desc("score"), F.col("id")], "base", 50)
-    return listed(R.ranked(base.join(pred_of(spark, sf_dir), ["q", "id"]), ["q"], [F.desc("pred"), F.desc("id")], most=10))
+    return listed(R.ranked(base.join(pred_for(spark, sf_dir)(base.select("q", "id")), ["q", "id"]), ["q"], [F.desc("pred"), F.desc("id")], most=10))
 
 
 @query("r29_system_full", f"{ALL_SQL}, {rerank_sql(relaxed=0.15, drop=True)} SELECT q, string_agg(CAST(id AS VARCHAR), ',' ORDER BY final_rank) AS ids FROM fin WHERE final_rank <= 10 GROUP BY q")
@@ -333,9 +353,8 @@ _condition_sql = {"baseline": {}, "no_skip": {"skip_on": False}, "blend_50": {"b
 @query("r33_sensitivity_grid", None)
 def _(spark, sf_dir):
     """The channels are scored once; conditions only differ in the gates."""
-    from clausegrid.plans.storage import stored
-
-    fused, scores, out = stored(fused_of(spark, sf_dir)), stored(pred_of(spark, sf_dir)), None
+    fused = stored(fused_of(spark, sf_dir))
+    scores, out = stored(pred_for(spark, sf_dir)(fused.select("q", "id"))), None
     for name, cfg in CONDITIONS:
         one = R.rerank(fused, scores, cfg).where("final_rank = 1").select(F.lit(name).alias("condition"), "q", "id", "applied")
         out = one if out is None else out.unionByName(one)
@@ -348,8 +367,13 @@ def _grid_sql() -> str:
 
 
 ORACLES["r33_sensitivity_grid"] = _grid_sql()
-QUERIES["r32_replay_channels"] = lambda spark, sf_dir: R.rerank(fused_of(spark, sf_dir), pred_of(spark, sf_dir), RANK).where("final_rank <= 3").select("q", "id", "final_rank")
-ORACLES["r32_replay_channels"] = f"{ALL_SQL}, {rerank_sql()} SELECT q, id, CAST(final_rank AS INTEGER) AS final_rank FROM fin WHERE final_rank <= 3"
+
+
+@query("r32_replay_channels", f"{ALL_SQL}, {rerank_sql()} SELECT q, id, CAST(final_rank AS INTEGER) AS final_rank FROM fin WHERE final_rank <= 3")
+def _(spark, sf_dir):
+    fused = stored(fused_of(spark, sf_dir))
+    return R.rerank(fused, pred_for(spark, sf_dir)(fused.select("q", "id")), RANK).where("final_rank <= 3").select("q", "id", "final_rank")
+
 
 
 @query("r34_retrieval_documents", f"{ALL_SQL}, {rerank_sql()} SELECT q, CAST(final_rank AS INTEGER) AS rank, doc_id AS id, source, n_chars FROM fin JOIN documents ON doc_id = id WHERE final_rank <= 5")
