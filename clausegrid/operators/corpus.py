@@ -9,21 +9,33 @@ from clausegrid.functions.text import clause_kind, parameter_kind
 NODE = "id string, title string, label string, name string, prose string, groups array<string>, controls array<string>, parts array<string>, params array<string>"
 
 
-def walk(catalogs: DataFrame, child: str, depth: int = 8, key: str = "catalog") -> DataFrame:
+#: Digits of a place among siblings in a path, and the slash.
+_STEP = 11
+
+
+def levels(catalogs: DataFrame) -> int:
+    """How deeply the objects of the JSON texts are nested, at most."""
+    plain = F.regexp_replace("json", r'"(?:[^"\\]|\\.)*"', "")
+    braces = F.filter(F.split(plain, ""), lambda c: c.isin("{", "}"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda a, c: F.struct((a["now"] + F.when(c == "{", 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(-1)).alias("most"))
+    return catalogs.agg(F.max(F.aggregate(braces, start, step)["most"])).first()[0] or 1
+
+
+def walk(catalogs: DataFrame, child: str, key: str = "catalog") -> DataFrame:
     """Every node below a catalog in pre-order: key, path (sortable), id, parent, node fields.
 
     catalogs: key, json. child: the array that is followed (parts), groups and controls of any level too. The parent
-    is the nearest ancestor with an id. depth bounds the levels, so the plan is fixed.
+    is the nearest ancestor with an id. The plan has as many levels as the texts are nested.
     """
     level = catalogs.select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.from_json("json", NODE).alias("n"))
-    every = None
-    for _ in range(depth):
-        here = level.select(key, "path", "parent", F.col("n.id").alias("id"), F.col("n.title").alias("title"), F.col("n.label").alias("label"), F.col("n.name").alias("name"), F.col("n.prose").alias("prose"), F.size(F.coalesce(f"n.{child}", F.array().cast("array<string>"))).alias("children"))
+    none, every = F.array().cast("array<string>"), None
+    for _ in range(levels(catalogs)):
+        here = level.select(key, "path", "parent", F.col("n.id").alias("id"), F.col("n.title").alias("title"), F.col("n.label").alias("label"), F.col("n.name").alias("name"), F.col("n.prose").alias("prose"), F.size(F.coalesce(f"n.{child}", none)).alias("children"))
         every = here if every is None else every.unionByName(here)
-        none = F.array().cast("array<string>")
         kids = F.concat(F.coalesce("n.groups", none), F.coalesce("n.controls", none), F.coalesce(f"n.{child}", none)) if child == "parts" else F.coalesce(f"n.{child}", none)
         level = level.select(key, "path", F.coalesce("n.id", "parent").alias("parent"), F.posexplode(kids).alias("pos", "j"))
-        level = level.select(key, F.concat("path", F.lpad(F.col("pos").cast("string"), 4, "0"), F.lit("/")).alias("path"), "parent", F.from_json("j", NODE).alias("n"))
+        level = level.select(key, F.concat("path", F.lpad(F.col("pos").cast("string"), _STEP - 1, "0"), F.lit("/")).alias("path"), "parent", F.from_json("j", NODE).alias("n"))
     return every
 
 
@@ -32,7 +44,7 @@ def descendant_prose(nodes: DataFrame, key: str = "catalog") -> DataFrame:
     own = F.trim(F.concat_ws(" ", F.col("label"), F.trim("prose")))
     texts = nodes.where(F.coalesce(F.trim("prose"), F.lit("")) != "").select(key, F.col("path").alias("p"), own.alias("t"))
     up = texts.withColumn("steps", F.size(F.split("p", "/")) - 1)
-    ancestors = up.select(key, "p", "t", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.col("steps") - 1, F.lit(0))), lambda k: F.substring(F.col("p"), F.lit(1), k * 5))).alias("path")).where("path <> p")
+    ancestors = up.select(key, "p", "t", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.col("steps") - 1, F.lit(0))), lambda k: F.substring(F.col("p"), F.lit(1), k * _STEP))).alias("path")).where("path <> p")
     return ancestors.groupBy(key, "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]), " ").alias("below"))
 
 

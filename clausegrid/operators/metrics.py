@@ -77,7 +77,6 @@ def paired_deltas(rows: DataFrame, before: str, after: str, by: list[str]) -> Da
 def kappa(rows: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:
     """n, observed, expected and Cohen's kappa of two raters; with certain agreement 1 if they agree, else NaN."""
     pairs = rows.groupBy(*by, F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
     left = pairs.groupBy(*by, "x").agg(F.sum("c").alias("l")).withColumnRenamed("x", "v")
     right = pairs.groupBy(*by, "y").agg(F.sum("c").alias("r")).withColumnRenamed("y", "v")
     both = left.join(right, [*by, "v"], "full").fillna(0, ["l", "r"]).groupBy(*by).agg(F.sum(F.col("l") * F.col("r")).alias("lr"))
@@ -85,7 +84,6 @@ def kappa(rows: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:
     out = seen.join(both, by) if by else seen.join(F.broadcast(both), how="cross")
     po, pe = F.col("same") / F.col("n"), F.col("lr") / (F.col("n") * F.col("n"))
     value = F.when(pe < 1, (po - pe) / F.when(pe < 1, 1 - pe)).otherwise(F.when(po == 1, 1.0).otherwise(float("nan")))
-    del w
     return out.select(*by, "n", rounded(po).alias("observed"), rounded(pe).alias("expected"), rounded(value).alias("kappa"))
 
 
@@ -102,9 +100,11 @@ def seeded_sample(rows: DataFrame, seed: str, purpose: str, stratum: str, key: s
 
 
 def blinded(sample: DataFrame, seed: str, key: str) -> DataFrame:
-    """Adds a display position and id to a sample; the sample is small by construction."""
+    """Adds a display position and id to a sample, in the order of a seeded SHA-256."""
+    from clausegrid.operators.relational import positions
+
     order = F.sha2(F.concat_ws("|", F.lit(seed), F.lit("display"), F.col(key).cast("string")), 256)
-    return sample.withColumn("position", F.row_number().over(W.orderBy(order, key))).withColumn("blind_id", F.format_string("IR-%03d", "position"))
+    return positions(sample, [order.asc(), F.col(key).asc()]).withColumn("blind_id", F.concat(F.lit("IR-"), F.lpad(F.col("position").cast("string"), 3, "0")))
 
 
 def bootstrap(rows: DataFrame, delta: str, by: list[str], draws: int = 10_000, seed: int = 42, order: str = "k") -> DataFrame:
@@ -129,6 +129,101 @@ def bootstrap(rows: DataFrame, delta: str, by: list[str], draws: int = 10_000, s
     return counted.groupBy(*by).applyInPandas(one, schema)
 
 
+def gate_counterfactuals(rows: DataFrame, by: list[str], base: str, changed: str) -> DataFrame:
+    """What a gate that keeps the base order prevents and blocks: rows right only before the change, and only after it."""
+    x, y = F.col(base).cast("boolean"), F.col(changed).cast("boolean")
+    return rows.groupBy(*by).agg(F.count_if(x & ~y).alias("prevented_error"), F.count_if(~x & y).alias("blocked_correction"))
+
+
+def retest_summary(rows: DataFrame, by: list[str], first: Column, second: Column) -> DataFrame:
+    """n, exact repeats and mean Jaccard similarity of two sets of ids; two empty sets agree."""
+    both, either = F.size(F.array_intersect(first, second)), F.size(F.array_union(first, second))
+    same = (F.size(F.array_except(first, second)) == 0) & (F.size(F.array_except(second, first)) == 0)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(same).alias("exact"), rounded(F.avg(F.when(either == 0, 1.0).otherwise(both / F.when(either > 0, either)))).alias("mean_jaccard"))
+
+
+def realization_loss(rows: DataFrame, by: list[str], possible: str, realized: str) -> DataFrame:
+    """Of the rows that were possible: n, those not realized, and their share."""
+    g = rows.where(F.col(possible).cast("boolean")).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col(realized).cast("boolean")).alias("lost"))
+    return g.withColumn("loss", rounded(F.col("lost") / F.col("n")))
+
+
+def detection_rates(rows: DataFrame, by: list[str], found: str, true: str, missing: float = -1.0) -> DataFrame:
+    """Sensitivity, specificity and precision of a detection; `missing` where a share has no rows."""
+    x, y = F.col(found).cast("boolean"), F.col(true).cast("boolean")
+    share = lambda c, b: rounded(F.coalesce(F.count_if(c & b) / F.nullif(F.count_if(b), F.lit(0)), F.lit(missing)))
+    return rows.groupBy(*by).agg(share(x, y).alias("sensitivity"), share(~x, ~y).alias("specificity"), share(y, x).alias("precision"))
+
+
+def window_opportunity(gold: DataFrame, window: DataFrame, by: str, marker: Column) -> DataFrame:
+    """What an evidence window makes possible, by group: mean share of a query's gold ids in it, and its marked rows.
+
+    gold: by, q, id; window: by, q, id and what marker reads. Queries without a window have none of their ids.
+    """
+    hits = gold.select(by, "q", "id").distinct().join(window.select("q", "id").distinct().withColumn("in", F.lit(1)), ["q", "id"], "left")
+    recall = hits.groupBy(by, "q").agg((F.count("in") / F.count("*")).alias("r")).groupBy(by).agg(rounded(F.avg("r")).alias("recall"))
+    marked = window.groupBy(by).agg(F.count_if(marker).alias("markers"))
+    return recall.join(marked, by, "full").select(by, F.coalesce("recall", F.lit(0.0)).alias("recall"), F.coalesce("markers", F.lit(0)).alias("markers"))
+
+
+def reproduction_rate(rows: DataFrame, by: list[str], recorded: str, again: str) -> DataFrame:
+    """The share of rows whose recorded result comes out again."""
+    return rows.groupBy(*by).agg(rounded(F.avg(F.col(recorded).eqNullSafe(F.col(again)).cast("double"))).alias("rate"))
+
+
+def origin_summary(rows: DataFrame, origin: str, id_: str) -> DataFrame:
+    """Occurrences and distinct ids of each origin."""
+    return rows.groupBy(origin).agg(F.count("*").alias("occurrences"), F.countDistinct(id_).alias("uniques"))
+
+
+def decomposition(rows: DataFrame, by: list[str], covered: str, strict: str) -> DataFrame:
+    """Rows whose evidence covers the gold, and those of them that also pass strictly."""
+    x, y = F.col(covered).cast("boolean"), F.col(strict).cast("boolean")
+    return rows.groupBy(*by).agg(F.count_if(x).alias("covered"), F.count_if(x & y).alias("strict"))
+
+
+def missing_bounds(rows: DataFrame, by: list[str], passed: str) -> DataFrame:
+    """Passes if every row without a judgment (null) failed, and if each passed."""
+    x = F.col(passed).cast("boolean")
+    return rows.groupBy(*by).agg(F.count_if(F.coalesce(x, F.lit(False))).alias("lower"), F.count_if(F.coalesce(x, F.lit(True))).alias("upper"))
+
+
+def hash_order_sample(rows: DataFrame, purpose: str, key: str, n: int) -> DataFrame:
+    """The n keys that come first in the order of a SHA-256 of purpose and key: key, h."""
+    return rows.select(key, F.sha2(F.concat_ws("|", F.lit(purpose), F.col(key).cast("string")), 256).alias("h")).orderBy("h", key).limit(n)
+
+
+def paired_outputs(left: DataFrame, right: DataFrame, key: str, by: str, passed: str = "passed") -> DataFrame:
+    """Two systems' outputs for the same items, by group: n, left_only, right_only, unmatched. A repeated key is an error."""
+    from clausegrid.sources.scans import unique
+
+    a = unique(left, key).select(key, F.col(by).alias("_a"), F.col(passed).cast("boolean").alias("_l"))
+    b = unique(right, key).select(key, F.col(by).alias("_b"), F.col(passed).cast("boolean").alias("_r"))
+    both = a.join(b, key, "full").withColumn(by, F.coalesce("_a", "_b"))
+    return both.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("_l") & ~F.col("_r")).alias("left_only"), F.count_if(~F.col("_l") & F.col("_r")).alias("right_only"), F.count_if(F.col("_l").isNull() | F.col("_r").isNull()).alias("unmatched"))
+
+
+def newcombe_paired(both: Column, left_only: Column, right_only: Column, neither: Column) -> tuple[Column, Column]:
+    """The 95 % interval of a difference of paired shares, left less right: Newcombe's method 10 with its continuity correction; null for no rows."""
+    a, b, c, d = (x.cast("double") for x in (both, left_only, right_only, neither))
+    n = a + b + c + d
+    (l1, u1), (l2, u2) = wilson(a + b, n), wilson(a + c, n)
+    p1, p2 = (a + b) / F.when(n > 0, n), (a + c) / F.when(n > 0, n)
+    margins, cross = (a + b) * (c + d) * (a + c) * (b + d), a * d - b * c
+    corrected = F.when(cross > n / 2, cross - n / 2).when(cross >= 0, 0.0).otherwise(cross)
+    phi = F.when(margins > 0, corrected / F.sqrt(F.when(margins > 0, margins))).otherwise(0.0)
+    root = lambda x, y: F.sqrt(F.greatest(x * x - 2 * phi * x * y + y * y, F.lit(0.0)))
+    return rounded(p1 - p2 - root(p1 - l1, u2 - p2)), rounded(p1 - p2 + root(u1 - p1, p2 - l2))
+
+
+def holm(rows: DataFrame, by: list[str], p: str, key: str, out: str = "adjusted") -> DataFrame:
+    """Adds Holm's adjusted p to the tests of each group."""
+    w = W.partitionBy(*by).orderBy(F.col(p), F.col(key))
+    m, k = F.count("*").over(W.partitionBy(*by)), F.row_number().over(w)
+    raw = rows.withColumn("_raw", F.least(F.lit(1.0), (m - k + 1) * F.col(p)))
+    return raw.withColumn(out, rounded(F.max("_raw").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))).drop("_raw")
+
+
 def set_metrics(got: Column, gold: Column) -> Column:
     """tp, fp, fn, precision, recall and f1 of two sets of strings; undefined shares are 0."""
     got, gold = F.array_distinct(F.filter(got, lambda x: x != "")), F.array_distinct(F.filter(gold, lambda x: x != ""))

@@ -2,43 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clausegrid.functions.text import rotate_alnum
+from clausegrid.operators.relational import positions
+from clausegrid.storage import stored
 
 
 def numbered(ids: DataFrame, id_: str = "id") -> DataFrame:
-    """id, i, n: place of every id in sorted order, without a single-task window.
-
-    Ids are range-partitioned; places come from the partitions' sizes, which are one row a partition.
-    """
-    sorted_ = ids.select(id_).distinct().repartitionByRange(id_).sortWithinPartitions(id_).withColumn("p", F.spark_partition_id())
-    sizes = sorted_.groupBy("p").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("b", F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("c").over(W.partitionBy(F.lit(1)))).select("p", "b", "n")
-    placed = sorted_.withColumn("i", F.row_number().over(W.partitionBy("p").orderBy(id_)) - 1).join(F.broadcast(before), "p")
-    return placed.select(id_, (F.col("i") + F.col("b")).alias("i"), "n")
+    """id, i, n: place of every id in sorted order, from 0, and their number. Stored, as places are met with each other."""
+    placed = positions(ids.select(id_).distinct(), [F.col(id_).asc()], "i")
+    placed = stored(placed.select(id_, (F.col("i") - 1).alias("i")))
+    return placed.withColumn("n", F.lit(placed.count()))
 
 
 def swap_source(spans: DataFrame, ids: DataFrame) -> DataFrame:
     """Every source id becomes the next one in sorted order; the last becomes the first."""
-    # two readings of the same numbering meet by place, so it is stored once
-    from clausegrid.plans.storage import stored
-
-    n = stored(numbered(ids))
+    n = numbered(ids)
     following = n.select("id", ((F.col("i") + 1) % F.col("n")).alias("j")).join(n.select(F.col("id").alias("next"), F.col("i").alias("j")), "j").select(F.col("id").alias("source_id"), "next")
     return spans.join(following, "source_id").select(*[c for c in spans.columns if c != "source_id"], F.col("next").alias("source_id"))
 
 
 def by_modulo(rows: DataFrame, ids: DataFrame, key: str = "q") -> DataFrame:
     """key, id: the id at place (key - 1) modulo the number of ids."""
-    from clausegrid.plans.storage import stored
-
-    n = stored(numbered(ids))
-    total = n.agg(F.max("n").alias("n"))
+    n = numbered(ids)
+    total = n.select("n").limit(1)
     placed = rows.join(F.broadcast(total), how="cross").withColumn("i", F.pmod(F.col(key) - 1, F.col("n")))
     return placed.join(n.select("id", "i"), "i").select(key, "id")
 
 
+def replay_deltas(before: DataFrame, after: DataFrame, key: str, value: str, expected: str) -> DataFrame:
+    """What a replay changed, by the value before: n, changed, unexpected (changes that `expected`, the value foreseen by key, does not name),
+    missing (keys that one side lacks) and accepted (nothing unexpected or missing).
+
+    before: key, value, expected; after: key, value.
+    """
+    both = before.join(after.select(key, F.col(value).alias("_after"), F.lit(True).alias("_there")), key, "full")
+    missing = F.col("_there").isNull() | F.col(expected).isNull()
+    same, foreseen = F.col("_after").eqNullSafe(F.col(value)), F.col("_after").eqNullSafe(F.col(expected))
+    counts = both.groupBy(value).agg(F.count("*").alias("n"), F.count_if(~missing & ~same).alias("changed"), F.count_if(~missing & ~foreseen).alias("unexpected"), F.count_if(missing).alias("missing"))
+    return counts.withColumn("accepted", (F.col("unexpected") == 0) & (F.col("missing") == 0))
+
+
 def alter_first(x: Column) -> Column:
     """The first ASCII letter or digit is replaced by the next one of its kind."""
     at = F.regexp_instr(x, F.lit("[A-Za-z0-9]"))

@@ -24,6 +24,25 @@ def exact_hash(value: Column) -> Column:
     return f(value)
 
 
+def self_hash_valid(own: Column, **fields: Column) -> Column:
+    """Whether a record's own hash is that of its other fields; a record without one is not valid."""
+    return F.coalesce(own == canonical_hash(**fields), F.lit(False))
+
+
+def profile_fingerprint(profile: Column) -> Column:
+    """SHA-256 of a profile's JSON in canonical form; numbers that JSON does not know are an error."""
+
+    @F.pandas_udf(T.StringType())
+    def f(s):
+        def one(x):
+            data = json.loads(x)
+            return hashlib.sha256(json.dumps(data, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+        return s.map(lambda x: None if x is None else one(x))
+
+    return f(profile)
+
+
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, length, sha256 of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
@@ -34,3 +53,9 @@ def locked(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Files whose hash differs from the manifest's or that are on one side only; empty if all is as expected."""
     both = found.select("path", "sha256").join(expected.select("path", F.col("sha256").alias("want")), "path", "full")
     return both.where(~F.col("sha256").eqNullSafe(F.col("want")))
+
+
+def write_manifest(spark: SparkSession, path: str, out: str, pattern: str = "*") -> DataFrame:
+    """Writes path, length and sha256 of every file below a folder as JSON lines, and gives them as written; `out` must be new."""
+    file_hashes(spark, path, pattern).write.mode("errorifexists").json(out)
+    return spark.read.schema("path string, length long, sha256 string").json(out)

@@ -14,6 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from clausegrid.sources.schemas import CALL, CLAUSE, CONTEXT, REWRITE
+from clausegrid.sources.sinks import exists
+
+try:
+    import yaml
+except ImportError:  # profiles are then read line by line
+    yaml = None
 
 
 def clauses(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = ("smt", "gdn")) -> DataFrame:
@@ -25,7 +31,8 @@ def clauses(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = ("sm
 def inventory(spark: SparkSession, path: str, key: str = "id", order: str = "_ord") -> DataFrame:
     """All records, one for each id: the one that comes last in `order`, a column the file carries."""
     rows = spark.read.schema(T.StructType([*CLAUSE.fields, T.StructField(order, T.LongType())])).json(path)
-    return rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("__r = 1").drop("__r")
+    fields = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in fields))
 
 
 def unique(rows: DataFrame, key: str = "id") -> DataFrame:
@@ -40,8 +47,17 @@ def edges(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.trim("parent_part_id"), F.lit("")) != "").select(F.col("parent_part_id").alias("parent"), "id", F.coalesce("label", F.lit("")).alias("label"))
 
 
-def gold(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A gold CSV with quoted line breaks; the id is the first of query_id, ID and id that is there."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line of the files is, else Latin-1."""
+    return "ISO-8859-1" if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
+
+
+def gold(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A gold CSV with quoted line breaks; the id is the first of query_id, ID and id that is there.
+
+    Without an encoding it is UTF-8, or Latin-1 where the bytes are no UTF-8.
+    """
+    encoding = encoding or encoding_of(spark, path)
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
     rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
     known = [c for name in ("query_id", "ID", "id") for c in rows.columns if c == name]
@@ -66,35 +82,63 @@ def rewrites(spark: SparkSession, path: str) -> DataFrame:
     return listed.select("query_id", F.transform("r", lambda x: x["rewritten_query"]).alias("rewrites"))
 
 
-def profile(spark: SparkSession, path: str) -> DataFrame:
-    """param, value of a flat or nested organization profile (YAML-like `key: value` lines, or JSON); empty if there is none."""
-    rows = spark.read.format("binaryFile").load(path).select(F.decode("content", "utf-8").alias("t")).collect()
-    values: dict[str, str] = {}
-    for r in rows:
+def profile_values(text: str) -> list[tuple[str, str]]:
+    """The parameter values of a profile: those below odp_values or odps, else those of the top level; none of a bad file."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        data = _yaml(text)
+    if not isinstance(data, dict):
+        return []
+    inner = next((data[k] for k in ("odp_values", "odps") if isinstance(data.get(k), dict)), data)
+    return [(str(k), str(v)) for k, v in inner.items() if isinstance(v, (str, int, float, bool))]
+
+
+def _yaml(text: str):
+    """A YAML document; without the library, `key: value` lines and one level of nesting."""
+    if yaml is not None:
         try:
-            data = json.loads(r["t"])
-            inner = next((data[k] for k in ("odp_values", "odps") if isinstance(data.get(k), dict)), data)
-            values |= {k: str(v) for k, v in inner.items() if isinstance(v, (str, int, float, bool))}
-        except ValueError:
-            for line in r["t"].splitlines():
-                m = re.match(r"\s*([A-Za-z0-9_.-]+)\s*:\s*(?:\"([^\"]*)\"|'([^']*)'|([^#]+?))\s*(?:#.*)?$", line)
-                if m:
-                    values[m[1]] = next(x for x in m.groups()[1:] if x is not None)
-    return spark.createDataFrame(list(values.items()), "param string, value string")
+            return yaml.safe_load(text)
+        except yaml.YAMLError:
+            return None
+    out: dict = {}
+    inner: dict | None = None
+    for line in text.splitlines():
+        m = re.match(r"(\s*)([A-Za-z0-9_.-]+)\s*:\s*(?:\"([^\"]*)\"|'([^']*)'|([^#]*?))\s*(?:#.*)?$", line)
+        if not m:
+            continue
+        value = next(x for x in m.groups()[2:] if x is not None)
+        if not m[1] and not value:
+            inner = out[m[2]] = {}
+        elif m[1] and inner is not None:
+            inner[m[2]] = value
+        else:
+            out[m[2]] = value
+    return out
+
+
+def profile(spark: SparkSession, path: str) -> DataFrame:
+    """param, value of flat or nested organization profiles (YAML or JSON), read where the files are; empty if there is none."""
+    schema = "param string, value string"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+
+    def read(batches):
+        for pdf in batches:
+            yield pd.DataFrame([x for data in pdf["content"] for x in profile_values(bytes(data).decode("utf-8", "replace"))], columns=["param", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)
 
 
 def registry(spark: SparkSession, path: str, sha256: str | None) -> DataFrame:
     """A parameter registry; with a hash the file must match it, without one a missing file is an empty registry."""
     schema = "param_id string, friendly_label string, raw_marker string, ask_prompt string, data_type string, cardinality string"
-    found = spark.read.format("binaryFile").load(path).select("content").take(1) if sha256 else None
-    if sha256 and (not found or hashlib.sha256(found[0]["content"]).hexdigest() != sha256):
-        raise ValueError("the registry differs from the expected one")
-    try:
-        return spark.read.schema(schema).json(path)
-    except Exception:
-        if sha256:
-            raise
-        return spark.createDataFrame([], schema)
+    there = exists(spark, path)
+    if sha256:
+        found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).take(1) if there else []
+        if not found or found[0]["h"] != sha256:
+            raise ValueError("the registry differs from the expected one")
+    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
 
 
 def call_log(spark: SparkSession, path: str, version: str) -> DataFrame:
@@ -184,6 +228,8 @@ def validate_json(data: bytes, lines: bool) -> tuple[int, list[str], list[str]]:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return 0, ["not UTF-8"], warnings
+    if not text.strip():
+        return 0, ["empty"], warnings
 
     def pairs(items):
         seen = set()

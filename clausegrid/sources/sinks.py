@@ -5,7 +5,34 @@ from __future__ import annotations
 import io
 import zipfile
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path as it knows it)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file from the driver, in any store that Spark writes to; a file that is there is never overwritten."""
+    fs, where = _file_system(spark, path)
+    out = fs.create(where, False)
+    try:
+        out.write(data)
+    finally:
+        out.close()
 
 
 def json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -33,18 +60,34 @@ def remaining(rows: DataFrame, done: DataFrame, key: str, pinned: tuple[str, ...
 
 
 def append_remaining(rows: DataFrame, path: str, key: str, pinned: tuple[str, ...] = ()) -> int:
-    """Appends what a Parquet folder does not have yet, in one committed job; gives the number of rows written."""
+    """Appends what a Parquet folder does not have yet, in one committed job; gives the number of rows written.
+
+    Only a folder that is not there counts as empty; one that cannot be read is an error.
+    """
     spark = rows.sparkSession
-    try:
-        done = spark.read.parquet(path)
-    except Exception:
-        done = spark.createDataFrame([], rows.schema)
+    done = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], rows.schema)
     todo = remaining(rows, done, key, pinned)
     n = todo.count()
     todo.write.mode("append").parquet(path)
     return n
 
 
+def replace_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines by writing the whole log anew beside it and renaming; a failed job leaves the old log."""
+    spark = rows.sparkSession
+    fresh, old = f"{path}.fresh", f"{path}.old"
+    fs, where = _file_system(spark, path)
+    for left in (fresh, old):
+        fs.delete(_file_system(spark, left)[1], True)
+    there = fs.exists(where)
+    before = spark.read.schema(rows.schema).json(path) if there else None
+    json_lines(rows if before is None else before.unionByName(rows), fresh)
+    if there:
+        fs.rename(where, _file_system(spark, old)[1])
+    fs.rename(_file_system(spark, fresh)[1], where)
+    fs.delete(_file_system(spark, old)[1], True)
+
+
 def archive(members: dict[str, bytes]) -> bytes:
     """A ZIP with sorted members and a fixed time, the same bytes for the same content."""
     out = io.BytesIO()
@@ -54,8 +97,7 @@ def archive(members: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-def markdown(rows: DataFrame, limit: int = 200) -> str:
-    """A report table; reports are small by nature and `limit` keeps them so."""
-    found = rows.limit(limit).collect()
+def markdown(rows: DataFrame) -> str:
+    """A report table of all rows, fetched a partition at a time."""
     head = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    return "\n".join(head + ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in found])
+    return "\n".join(head + ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows.toLocalIterator()])
