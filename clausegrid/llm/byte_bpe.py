@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from clausegrid.llm.common import Memo, class_edges, looked_up, map_columns, text_bytes
+from clausegrid.llm.common import Closing, Memo, class_edges, looked_up, map_columns, text_bytes
 
 #: The pattern (a fixed value of the vocabularies) none of whose matches crosses a single space between other characters.
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             return [lists] + [bpe.decode(ids, ends).cast(pa.binary())] * decoded
 
-        return f
+        return Closing(f, bpe.chunks)
 
     return map_columns(docs, [text], docs.columns if keep is None else keep, fields, make)
 

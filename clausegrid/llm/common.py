@@ -86,7 +86,7 @@ def release() -> None:
 def map_columns(df: DataFrame, inputs: list[str], keep: list[str], fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
     """Adds columns that a Python function computes from Arrow arrays.
 
-    make() runs once per task and returns f(*input arrays) -> list of arrays or lists, one per field.
+    make() runs once per task and returns f(*input arrays) -> list of arrays or lists, one per field; f.close() ends the task, if there is one.
     keep: columns that pass through; a kept column named like a new one is replaced.
     """
     new = {f.name.lower() for f in fields}
@@ -102,6 +102,7 @@ def map_columns(df: DataFrame, inputs: list[str], keep: list[str], fields: list[
                 made = f(*(part.column(part.schema.get_field_index(c)) for c in inputs))
                 made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=t) for x, t in zip(made, types.types)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made], names=[*keep, *types.names])
+        getattr(f, "close", bool)()
         del f
         release()
 
@@ -122,6 +123,9 @@ class Memo:
     def __init__(self, make_many: Callable[[list], list], limit: int = 1_000_000):
         self.make_many, self.limit, self.young, self.old = make_many, max(2, limit), {}, {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def many(self, keys: list) -> list:
         """The values of distinct keys."""
         got = list(map(self.young.get, keys))
@@ -140,6 +144,16 @@ class Memo:
         return got
 
 
+class Closing:
+    """A function that forgets what a memo holds when its task ends: workers live on, and would keep it through all later steps."""
+
+    def __init__(self, f: Callable, memo: Memo):
+        self.f, self.close = f, memo.clear
+
+    def __call__(self, *arrays) -> list:
+        return self.f(*arrays)
+
+
 #: Classes of bytes: letters, digits, punctuation but the apostrophe; 0 for all others.
 _CLASS = np.array([0 if c < 33 or c > 126 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
 

@@ -257,7 +257,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | No
     """Adds n_paragraphs, matches (array of first_line, n_lines, family, probability, similarity, confirmed) and licences.
 
     licences: the distinct families of confirmed matches, in alphabetical order. Null and empty texts have no
-    paragraphs. Repeated rows get equal results; columns with the names of results are replaced; keep: columns that stay.
+    paragraphs. Very long texts are scanned line by line. An empty table gives an empty table. Repeated rows get equal results; columns with the names of results are replaced; keep: columns that stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

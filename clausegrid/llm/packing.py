@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from clausegrid.llm.common import Memo, class_edges, cut, looked_up, map_columns, text_bytes, unused
+from clausegrid.llm.common import Closing, Memo, class_edges, cut, looked_up, map_columns, text_bytes, unused
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that are numbered together, roughly.
@@ -128,8 +128,8 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """doc_id, piece, start, length, ids_crc32 of every piece: ids and the end id, cut every `capacity` ids."""
 
     def make():
-        encode, end = tokenizer(path).encode, end_id.to_bytes(4, "little")
-        return lambda texts: [_cut_up(*encode(texts), capacity, end)]
+        words, end = tokenizer(path), end_id.to_bytes(4, "little")
+        return Closing(lambda texts: [_cut_up(*words.encode(texts), capacity, end)], words.chunks)
 
     cut_up = map_columns(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["text"], ["doc_id"], [T.StructField("pieces", T.ArrayType(PIECE))], make)
     return cut_up.select("doc_id", F.inline("pieces"))

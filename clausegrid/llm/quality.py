@@ -170,6 +170,7 @@ def assess(docs: DataFrame, text: str = "text", keep: list[str] | None = None, s
     at least WINDOW words, else 0; covered_fraction is the share of words in repeats of at least `span` words, and
     repeat_spans is their union. kept: no base rule failed, covered_fraction is at most max_covered and
     longest_repeat at most max_longest. Null and empty texts have no words, fail the base rules and are not kept.
-    Repeated rows each get their verdict; columns with the names of results are replaced. keep: columns that stay.
+    Repeated rows each get their verdict; columns with the names of results are replaced. keep: columns that stay. A very long text is sorted by itself, in
+    memory of its words times its doublings (the logarithm of its longest repeat) times four bytes. An empty table gives an empty table.
     """
     return map_columns(docs, [text], docs.columns if keep is None else keep, FIELDS, lambda: Rules(span, max_covered, max_longest))

@@ -104,24 +104,22 @@ def nodes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def common_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """Sorted hashes of the shingles that several texts of a bounded sample have; they only come later in the order."""
-    hashed = T.StructField("h", T.BinaryType(), False)
 
-    def make():
+    def run(batches):
         hashes = Hasher(width)
-        return lambda texts: [[hashes(words_of(x)).tobytes() for x in texts_of(texts)]]
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(words_of(x.as_py())).view(np.int64))], names=["w"])
+        del hashes
+        release()
 
     mark = F.xxhash64(text, F.lit(5))
     some = docs.select(text).where(mark <= F.lit(hash_bound(SAMPLE, docs.count()))).distinct().orderBy(mark).limit(SAMPLE)
     # shingles are counted apart; those that are common are at most their number in the sample over COMMON
-    found = map_columns(some, [text], [], [hashed], make).mapInArrow(_spread, "w long").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = some.mapInArrow(run, "w long").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     return np.sort(found.select("w").toArrow().column("w").to_numpy().view(np.uint64))
 
 
-def _spread(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["w"])
-
-
 def prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.ndarray) -> DataFrame:
     """(node, size, w, often): the prefix shingles of every node, and whether they are common; rows repeat where texts do."""
 

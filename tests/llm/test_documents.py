@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from clausegrid.llm import line_dedup, packing, quality, simhash
 
@@ -50,6 +51,24 @@ def test_line_dedup(spark, broadcast):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1000, 1, 0])
+def test_line_dedup_beside_columns_of_any_name(spark, broadcast):
+    common, often = "a line that every document has in it", "a line that three documents have"
+    rows = [(k, f"{common}\n{often if k < 3 else 'own ' * 8 + str(k)}", k, "l", "g") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, holder long, __lost string, line_key string")
+    got = line_dedup.dedup_lines(docs, max_broadcast_keys=broadcast, max_bits=1 << 9)
+    assert got.columns == ["doc_id", "holder", "__lost", "line_key", "text", "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == sorted(brute_lines([(i, t) for i, t, *_ in rows]))
+    assert all(r["holder"] == r["doc_id"] and r["__lost"] == "l" for r in got.collect())
+
+
+def test_filters_grow_and_divide_with_the_lines():
+    assert line_dedup.widths(0) == (1 << 20, 1) and line_dedup.widths(10_000_000) == (1 << 28, 1)
+    for n in (10**9, 10**10):
+        bits, ranges = line_dedup.widths(n)
+        assert bits == line_dedup.MAX_BITS and bits * ranges >= 16 * n
+
+
 def test_two_filters_hold_repeats():
     a, b = line_dedup.TwoFilters(1 << 20), line_dedup.TwoFilters(1 << 20)
     h = np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64)
@@ -132,7 +151,7 @@ def test_near_duplicates(spark, hot_cell):
         words = rng.choice(texts).split(" ")
         words[rng.randrange(len(words))] = f"x{rng.randint(0, 9999)}"
         texts.append(" ".join(words))
-    texts += ODD[:5] + ["two words"]
+    texts += ODD + ["two words"]
     rows = [(k if k != 3 else None, slow_fingerprint(t)) for k, t in enumerate(texts)] + [(1, slow_fingerprint(texts[2]))]
     docs = frame(spark, [*texts, texts[2]], [i for i, _ in rows])
     got = simhash.near_duplicates(docs, hot_cell=hot_cell).collect()
@@ -141,6 +160,14 @@ def test_near_duplicates(spark, hot_cell):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_fingerprints_are_dealt_to_all_tasks(spark):
+    reps = spark.range(1000).select(F.xxhash64("id").alias("fp")).groupBy("fp").count()
+    plan = reps.select("fp").repartition(7, F.xxhash64("fp", F.lit(29)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    kept = simhash.near_duplicates(frame(spark, ["a b c d", "a b c d"], [5, 2]).withColumnRenamed("kept", "fp"))
+    assert sorted(map(tuple, kept.select("doc_id", "component_id").collect())) == [(2, 2), (5, 2)]
+
+
 def test_links_join_random_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.integers(-(1 << 62), 1 << 62, 300)
@@ -209,6 +236,27 @@ def test_plan_uses_every_piece_and_finds_the_fullest():
     assert used == histogram
 
 
+def test_packing_beside_columns_of_any_name(spark):
+    rows = [(None if k % 2 else 7, 0, 1 + k % 5, "s", "b", k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, salt string, before string, number long")
+    got = packing.pack(df, 10, group_rows=50).collect()
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    assert len(got) == 3000 and sorted(r["number"] for r in got) == list(range(3000)) and len(by_seq) == 900
+    for r in by_seq.values():
+        at = 0
+        for x in sorted(r, key=lambda x: x["offset"]):
+            assert x["offset"] == at and x["salt"] == "s"
+            at += x["length"]
+
+
+def test_long_periodic_texts_are_judged_whole():
+    text = "a b c d e f g " * 60_000
+    r = quality.Rules(16, 0.1, 100)(__import__("pyarrow").array([text, None, ""]))
+    assert r[0][0] == 420_000 and r[4][0] == 420_000 and r[5][0] == 420_000 - 7 and r[0][1] == 0 and not r[9][0]
+
+
 def _can(total, items):
     if total == 0:
         return True
@@ -216,7 +264,5 @@ def _can(total, items):
 
 
 def test_hash_of_kept_text_is_that_of_its_bytes(spark):
-    from pyspark.sql import functions as F
-
     r = frame(spark, ["é\nb"]).select(F.sha2("text", 256).alias("h")).first()
     assert r["h"] == hashlib.sha256("é\nb".encode()).hexdigest()

@@ -86,9 +86,41 @@ def test_licences(spark):
     held = [license_scan._variants(n, np.random.default_rng(99 + k), []) for f in TEMPLATES for k, n in enumerate(TEMPLATES[f])]
     want = [f for f in TEMPLATES for _ in TEMPLATES[f]]
     assert np.mean([model.classify(w)[0] == f for w, f in zip(held, want)]) > 0.85
+    # beyond that sample: many seeds, and no family left behind but for notices that lost the word that names them
+    rates = {f: np.mean([model.classify(license_scan._variants(n, np.random.default_rng(1000 + k + 100 * s), []))[0] == f for k, n in enumerate(TEMPLATES[f]) for s in range(10)]) for f in TEMPLATES}
+    assert np.mean(list(rates.values())) > 0.93 and min(rates.values()) > 0.75, rates
     assert license_scan.scan(df.limit(0), license_scan.train(df.limit(0))).count() == 0
 
 
+def slow_similarity(words, notices):
+    """Shares of common word triples, counted one by one."""
+    grams = lambda w: {tuple(w[k : k + min(3, max(1, len(w)))]) for k in range(len(w) - min(3, max(1, len(w))) + 1)}
+    here, best = grams(words), 0.0
+    for n in notices:
+        there = grams(license_scan.words_of(n))
+        both = sum(g in there for g in here)
+        best = max(best, both / max(1, len(there)), both / len(here) if len(here) >= 8 else 0.0)
+    return best
+
+
+def test_confirmed_licences_are_what_plain_counting_confirms(spark):
+    """Every match of a scan against the templates counted naively, and whole notices of every family set into prose."""
+    rng = random.Random(11)
+    words = "river mill boat street cloud window paper garden winter teacher music bread".split()
+    prose = lambda: " ".join(rng.choices(words, k=14))
+    docs = [(k, "\n".join([prose(), n, prose()])) for k, (f, n) in enumerate((f, n) for f in TEMPLATES for n in TEMPLATES[f])]
+    want = [f for f in TEMPLATES for _ in TEMPLATES[f]]
+    df = spark.createDataFrame(docs + [(1000 + k, "\n".join(prose() for _ in range(5))) for k in range(200)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.scan(df, license_scan.train(df)).collect()}
+    for r in rows.values():
+        lines = r["text"].split("\n")
+        for m in r["matches"]:
+            found = license_scan.words_of("\n".join(lines[m["first_line"] : m["first_line"] + m["n_lines"]]))
+            assert abs(m["similarity"] - slow_similarity(found, TEMPLATES[m["family"]])) < 1e-9 and m["confirmed"] == (m["similarity"] >= license_scan.LEAST_SIMILARITY)
+    assert np.mean([want[k] in rows[k]["licences"] for k in range(len(want))]) > 0.95
+    assert not any(rows[1000 + k]["licences"] for k in range(200))
+
+
 def toxic_rows(n, seed):
     rng = random.Random(seed)
     words, bad, junk = [f"word{k}" for k in range(300)], ["grblix", "grblofar", "snurpy"], ["###", "zzz1", "zzz2"]
