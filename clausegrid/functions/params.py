@@ -12,6 +12,9 @@ CURLY = r"(?i)\{+\s*insert:\s*(?:param,\s*)?([^}]+?)\s*\}+"
 CURLY_SPACED = r"(?i)\{+\s*insert\s*:\s*(?:param\s*,\s*)?([^}]+?)\s*\}+"
 ASSIGNMENT = r"(?i)\[assignment:\s*([^\]]+?)\s*\]"
 ASSIGNMENT_SPACED = r"(?i)\[\s*assignment\s*:\s*([^\]]+)\]"
+# Parameter ids, whole and in the older form without an index of the enhancement. Fixed values.
+PARAMETER = r"^([a-z]{2})-?(\d{1,2})(?:\.(\d{1,2}))?_(odp|prm)[._-]?(\d{1,2})$"
+OLDER_PARAMETER = r"^([a-z]{2})-(\d{1,2})\.(\d{1,2})_(odp|prm)$"
 
 
 def placeholder_keys(x: Column, pattern: str = CURLY) -> Column:
@@ -31,9 +34,8 @@ def has_placeholder(x: Column) -> Column:
 def normalize_parameter(x: Column) -> Column:
     """Zero-padded control, enhancement and index; other ids only lose spaces and case."""
     t = F.lower(F.regexp_replace(text_of(x), r"\s+", ""))
-    full, legacy = r"^([a-z]{2})-?(\d{1,2})(?:\.(\d{1,2}))?_(odp|prm)[._-]?(\d{1,2})$", r"^([a-z]{2})-(\d{1,2})\.(\d{1,2})_(odp|prm)$"
-    f = [F.regexp_extract(t, full, k) for k in range(6)]
-    g = [F.regexp_extract(t, legacy, k) for k in range(5)]
+    f = [F.regexp_extract(t, PARAMETER, k) for k in range(6)]
+    g = [F.regexp_extract(t, OLDER_PARAMETER, k) for k in range(5)]
     pad = lambda c: F.lpad(c, 2, "0")
     return (
         F.when(F.trim(text_of(x)) == ASSIGNMENT_SENTINEL, ASSIGNMENT_SENTINEL)

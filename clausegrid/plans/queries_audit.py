@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausegrid.operators import audit as A, evidence as E
+from clausegrid.operators import audit as A, relational as B, evidence as E
 from clausegrid.plans.fixtures import derived, fixture, with_fixtures
 from clausegrid.plans.queries_evidence import KEYS_SQL, MANIFEST_SQL, profile, window_of
 from clausegrid.storage import stored
@@ -89,15 +89,18 @@ def _(spark, sf_dir):
     return A.label_problems(rows).select("query_id", F.array_join("problems", "|").alias("problems"))
 
 
-@query("x12_release_checks", "SELECT 'even' AS check, bool_and(o_orderkey % 2 = 0) AS ok, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'positive', bool_and(o_orderkey >= 5), count(*) FROM orders UNION ALL SELECT 'all', false, count(*) + count(*) FILTER (WHERE o_orderkey % 2 = 0) FROM orders")
+@query("x12_release_checks", '''WITH c AS (SELECT 'lines have orders' AS "check", l_orderkey IN (SELECT o_orderkey FROM orders) AS ok FROM lineitem UNION ALL SELECT 'labels have documents', doc_id IN (SELECT doc_id FROM documents) FROM labels UNION ALL SELECT 'documents have labels', doc_id IN (SELECT doc_id FROM labels) FROM documents) SELECT "check", bool_and(ok) AS ok, count(*) AS n FROM c GROUP BY "check" UNION ALL SELECT 'all', bool_and(ok), count(*) FROM c''')
 def _(spark, sf_dir):
-    o = derived(spark, sf_dir, "SELECT o_orderkey AS k FROM orders")
-    checks = o.where("k % 2 = 0").select(F.lit("even").alias("check"), (F.col("k") % 2 == 0).alias("ok")).unionByName(o.select(F.lit("positive").alias("check"), (F.col("k") >= 5).alias("ok")))
+    """Keys that a release promises to be there; that all documents have labels is not true."""
+    keys = lambda table, key: derived(spark, sf_dir, f"SELECT {key} AS k FROM {table}")
+    have = lambda rows, there, name: rows.join(there.distinct().withColumn("there", F.lit(True)), "k", "left").select(F.lit(name).alias("check"), F.coalesce("there", F.lit(False)).alias("ok"))
+    documents, labels = keys("documents", "doc_id"), keys("labels", "doc_id")
+    checks = B.all_of(have(keys("lineitem", "l_orderkey"), keys("orders", "o_orderkey"), "lines have orders"), have(labels, documents, "labels have documents"), have(documents, labels, "documents have labels"))
     return A.accepted(checks)
 
 
-@query("x15_supplementary_union", "SELECT system, count(*) AS n, count(*) FILTER (WHERE pass) AS passed FROM (SELECT 'quality' AS system, quality = 1 AS pass FROM labels UNION ALL SELECT 'toxic', toxic = 1 FROM labels) GROUP BY system")
+@query("x15_supplementary_union", "SELECT system, count(*) FILTER (WHERE pass) AS passed, round(avg(CASE WHEN pass THEN 1.0 ELSE 0 END), 9) AS rate FROM (SELECT 'quality' AS system, quality = 1 AS pass FROM labels UNION ALL SELECT 'toxic', toxic = 1 FROM labels) GROUP BY system")
 def _(spark, sf_dir):
     l = derived(spark, sf_dir, "SELECT quality, toxic FROM labels")
-    both = l.select(F.lit("quality").alias("system"), (F.col("quality") == 1).alias("pass")).unionByName(l.select(F.lit("toxic").alias("system"), (F.col("toxic") == 1).alias("pass")))
-    return both.groupBy("system").agg(F.count("*").alias("n"), F.count_if("pass").alias("passed"))
+    parts = (l.select(F.lit(x).alias("system"), (F.col(x) == 1).alias("pass")) for x in ("quality", "toxic"))
+    return B.rates(B.all_of(*parts), ["system"], F.col("pass"), "passed")
