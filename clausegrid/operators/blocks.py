@@ -72,7 +72,29 @@ def best_rows(rows: DataFrame, id_type: str, n_queries: int, n: int, score: Call
 # ---------------------------------------------------------------- texts
 
 
-def term_index(docs: DataFrame, tokens, terms: list[str], id_: str = "id") -> DataFrame:
+#: What a byte of a token becomes; 0 for all other bytes.
+_TOKEN = np.array([c if chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 0 for c in range(256)], np.uint8)
+
+
+def ascii_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens of all texts, where each text's begin and the last one's end): runs of ASCII letters and digits in lower case, as functions.text.tokenize finds them."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = _TOKEN[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]] if len(texts) else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = data > 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = offsets[:-1][offsets[:-1] < len(data)]
+    begins[at] = inside[at]
+    starts = np.flatnonzero(begins)
+    kept = np.cumsum(inside) - inside  # letters before each byte
+    places = np.append(kept[starts], int(inside.sum())).astype(np.int64)
+    tokens = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[inside])))
+    return tokens, np.searchsorted(starts, offsets)
+
+
+def term_index(docs: DataFrame, terms: list[str], id_: str = "id", text: str = "text") -> DataFrame:
     """id, dl, terms, tfs: of every document its length in tokens and, for the terms asked for, their numbers and how often they occur.
 
     Texts are tokenized once; what comes out is a few numbers a document.
@@ -80,20 +102,23 @@ def term_index(docs: DataFrame, tokens, terms: list[str], id_: str = "id") -> Da
     asked = docs.sparkSession.sparkContext.broadcast(terms)  # the distinct terms of the query set
 
     def run(batches):
-        values = pa.array(asked.value, pa.string())
+        values = pa.array(asked.value, pa.large_string())
+        n = max(1, len(values))
         for batch in batches:
-            lists = batch.column(1)
-            lengths = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-            number = pc.index_in(lists.flatten(), value_set=values)
-            known = number.is_valid().to_numpy(zero_copy_only=False)
-            key = np.repeat(np.arange(len(lists)), lengths)[known] * max(1, len(values)) + number.drop_null().to_numpy()
-            key, tf = np.unique(key, return_counts=True)
-            bounds = np.searchsorted(key, np.arange(len(lists) + 1) * max(1, len(values))).astype(np.int32)
-            own = pa.array((key % max(1, len(values))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), own), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tf.astype(np.int32)))], names=["id", "dl", "terms", "tfs"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                tokens, bounds = ascii_tokens(part.column(1))
+                lengths = np.diff(bounds)
+                number = pc.index_in(tokens, value_set=values)
+                known = number.is_valid().to_numpy(zero_copy_only=False)
+                key = np.repeat(np.arange(part.num_rows), lengths)[known] * n + number.drop_null().to_numpy()
+                key, tf = np.unique(key, return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * n).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % n, tf))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths.astype(np.int32)), *lists], names=["id", "dl", "terms", "tfs"])
 
     kind = dict(docs.dtypes)[id_]
-    return docs.select(F.col(id_).alias("id"), tokens).mapInArrow(run, f"id {kind}, dl int, terms array<int>, tfs array<int>")
+    return docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, dl int, terms array<int>, tfs array<int>")
 
 
 def lexical_top(index: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndarray], n_terms: int, n_queries: int, n: int, weight: Callable[[np.ndarray, np.ndarray], np.ndarray],

@@ -88,7 +88,7 @@ class LexicalIndex:
 def lexical_index(queries: DataFrame, docs: DataFrame) -> LexicalIndex:
     """Tokenizes all documents once for the terms of a query set. queries: text; docs: id, text."""
     terms = sorted(r["term"] for r in queries.select(F.explode(tokenize(F.col("text"))).alias("term")).distinct().collect())  # the query set's own terms
-    rows = stored(blocks.term_index(docs, tokenize(F.col("text")), terms))
+    rows = stored(blocks.term_index(docs, terms))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     frequencies = np.zeros(len(terms), np.int64)
     for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # a row for each term

@@ -42,6 +42,18 @@ def test_reports_have_all_rows(spark):
     assert K.markdown(spark.range(1000)).count("\n") == 1001
 
 
+def test_tokens_of_batches_are_those_of_columns(spark):
+    import pyarrow as pa
+
+    from clausegrid.functions.text import tokenize
+
+    texts = ["", None, "Ab-1 c", "é Ünï x2y", " lead", "trail ", "...", "a", "B", "İK\u212a 3\u0663", "x\ny"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(tokenize(F.col("t")).alias("w")).collect()
+    tokens, bounds = blocks.ascii_tokens(pa.array(["dropped", *texts]).slice(1))
+    assert [tokens.to_pylist()[a:b] for a, b in zip(bounds, bounds[1:])] == [r["w"] for r in rows]
+    assert blocks.ascii_tokens(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 def test_whole_texts_are_found(spark):
     docs = spark.createDataFrame([(1, "x one two three four five six seven y"), (2, "one two three four five six eight"), (3, None), (4, "only few here"), (5, "aone two three four five six sevenb")], "id long, text string")
     parts = spark.createDataFrame([(1, "one two three four five six seven"), (2, "few"), (3, "one two three four five six nine")], "q long, text string")
