@@ -73,7 +73,7 @@ def best_rows(rows: DataFrame, id_type: str, n_queries: int, n: int, score: Call
 
 
 #: What a byte of a token becomes; 0 for all other bytes.
-_TOKEN = np.array([c if chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 0 for c in range(256)], np.uint8)
+_TOKEN = np.array([c if 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 0 for c in range(256)], np.uint8)
 
 
 def ascii_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

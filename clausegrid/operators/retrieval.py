@@ -89,11 +89,15 @@ def lexical_index(queries: DataFrame, docs: DataFrame) -> LexicalIndex:
     """Tokenizes all documents once for the terms of a query set. queries: text; docs: id, text."""
     terms = sorted(r["term"] for r in queries.select(F.explode(tokenize(F.col("text"))).alias("term")).distinct().collect())  # the query set's own terms
     rows = stored(blocks.term_index(docs, terms))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-    frequencies = np.zeros(len(terms), np.int64)
-    for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # a row for each term
-        frequencies[r["t"]] = r["df"]
-    return LexicalIndex(rows, terms, frequencies, stats["n"], stats["mean"] or 0.0)
+    # a row for each term, and one for all documents
+    counts = rows.select(F.explode(F.concat("terms", F.array(F.lit(-1)))).alias("t"), "dl").groupBy("t").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()
+    frequencies, n, mean = np.zeros(len(terms), np.int64), 0, 0.0
+    for r in counts:
+        if r["t"] < 0:
+            n, mean = r["n"], r["mean"]
+        else:
+            frequencies[r["t"]] = r["n"]
+    return LexicalIndex(rows, terms, frequencies, n, mean)
 
 
 def _query_terms(queries: DataFrame, key: list[str], index: LexicalIndex) -> tuple[list, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -165,19 +169,21 @@ def overlap_top(queries: DataFrame, docs: DataFrame, n: int, key: list[str] = ["
     return _named(found, keys, queries, key, n, dict(index.rows.dtypes)["id"])
 
 
-def containing(parts: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
+def containing(parts: DataFrame, docs: DataFrame) -> DataFrame:
     """q, id: the documents whose text holds the whole text of a part. parts: q, text; docs: id, text.
 
-    The words of a part between its first and last one stand in such a document as they are, so documents and parts meet by the hash of a run of
-    `words` of them, and the whole texts decide. Parts with fewer words are looked for in every document.
+    The words of a part between its first and last one stand in such a document as they are. Documents and parts meet by the hash of two words next to
+    each other, the longest such pair of the part, and the whole texts decide. Parts of fewer than four words are looked for in every document.
     """
+    pair = lambda a, b: F.xxhash64(a, b)
     split = parts.select("q", "text", F.split("text", " ").alias("w"))
-    long = split.where(F.size("w") >= words + 2).select("q", "text", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("run"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda k: F.xxhash64(F.array_join(F.slice("w", k, words), " ")))
-    of_docs = docs.select("id", F.split("text", " ").alias("w")).where(F.size("w") >= words).select("id", F.explode(F.array_distinct(runs)).alias("run"))
-    pairs = of_docs.join(long.select("q", "run"), "run").select("q", "id").distinct()
+    inner = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda k: F.struct((F.length(F.get("w", k)) + F.length(F.get("w", k + 1))).alias("n"), pair(F.get("w", k), F.get("w", k + 1)).alias("run")))
+    long = split.where(F.size("w") >= 4).select("q", "text", F.array_max(inner)["run"].alias("run"))
+    words = docs.select("id", F.split("text", " ").alias("w")).where(F.size("w") >= 2)
+    runs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), pair)
+    pairs = words.select("id", F.explode(runs).alias("run")).join(long.select("q", "run"), "run").select("q", "id").distinct()
     found = pairs.join(docs.select("id", F.col("text").alias("whole")), "id").join(parts.select("q", "text"), "q").where(F.contains("whole", "text")).select("q", "id")
-    short = split.where(F.size("w") < words + 2).select("q", "text")
+    short = split.where(F.size("w") < 4).select("q", "text")
     if short.isEmpty():
         return found
     return found.unionByName(docs.join(F.broadcast(short), F.contains(docs["text"], short["text"])).select("q", "id"))
