@@ -266,3 +266,18 @@ def _can(total, items):
 def test_hash_of_kept_text_is_that_of_its_bytes(spark):
     r = frame(spark, ["é\nb"]).select(F.sha2("text", 256).alias("h")).first()
     assert r["h"] == hashlib.sha256("é\nb".encode()).hexdigest()
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    from clausegrid.llm.components import components
+
+    rng = random.Random(12)
+    for edges in ([], [(3, 3), (None, 1)], [(1, k) for k in range(2, 40)], [(k, k + 1) for k in range(60)], [(rng.randrange(80), rng.randrange(80)) for _ in range(50)]):
+        want = {}
+        for a, b in edges:
+            if a is not None and b is not None and a != b:
+                group = want.get(a, {a}) | want.get(b, {b})
+                for x in group:
+                    want[x] = group
+        got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+        assert got == {x: min(g) for x, g in want.items()}
