@@ -7,8 +7,9 @@ of a similarity of t or more that have n and m shingles share at least ceil(t *
 n - ceil(t * n) + l of the one and the first m - ceil(t * m) + l of the other share at least l (prefix filter), where l grows with the
 smaller set. Only these shingles become rows. Nodes are first held against the least node of a shingle; shingles that only one
 component has left are done. In what remains, pairs of shingles with few nodes are counted and those that share l of them verified.
-Shingles with many nodes go to tasks in blocks, where sketches (the parity of the hashes in 8 bits a shingle or more)
-bound the number of shingles that only one set has from below; only pairs within the bound leave the task. All pairs are verified on the texts.
+Shingles with many nodes go to tasks in blocks, with 32 bits of each of their hashes. Sketches (the parity of the hashes in 8 bits a shingle or more)
+bound the number of shingles that only one set has from below, pairs within the bound are compared by their hashes, and of the similar pairs a task only
+gives as many as join the same nodes, so what leaves it grows with its nodes, not with their pairs. All that is linked is verified on the texts.
 """
 
 from __future__ import annotations
@@ -189,7 +190,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, least: fl
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The parity of the hashes that fall on each bit. Two sketches differ in no more bits than the sets do in hashes."""
     words = min(MOST_WORDS, max(LEAST_WORDS, 1 << (max(1, SKETCH_BITS * len(hashes) // 64) - 1).bit_length()))
-    bits = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    bits = np.bincount(hashes.astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(bool), bitorder="little").view("<u8")
 
 
@@ -203,20 +204,41 @@ def apart(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
     return np.floor((n + m) * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
 
 
-def near_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.ndarray, sketches: list[np.ndarray], both: bool, least: float) -> np.ndarray:
-    """(2, n) nodes of different groups that the sketches allow to be similar; both: only pairs of different sides."""
-    words, found = np.array([len(x) for x in sketches]), [np.empty((2, 0), np.int64)]
+def similar_by_hashes(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have the least similarity or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= (least - 1e-12) * (len(a) + len(b) - both)
+
+
+def near_pairs(node: np.ndarray, group: np.ndarray, side: np.ndarray, hashes: list[np.ndarray], both: bool, least: float) -> np.ndarray:
+    """(2, n) links that join what all similar pairs of different groups join; both: only pairs of different sides.
+
+    Pairs of groups that are already joined here are not looked at again.
+    """
+    size = np.array([len(x) for x in hashes], np.int64)
+    sketches = [sketch(x) for x in hashes]
+    words, found = np.array([len(x) for x in sketches]), []
+    number = np.unique(group, return_inverse=True)[1]
+    joined = list(range(int(number.max()) + 1))
+
+    def root(k: int) -> int:
+        while joined[k] != k:
+            joined[k] = joined[joined[k]]
+            k = joined[k]
+        return k
+
     for w in np.unique(words).tolist():
         # a set and one of no fewer words
-        ours, theirs = np.flatnonzero(words == w), np.flatnonzero(words >= w)
-        a = np.array([sketches[k] for k in ours])
-        b = np.concatenate([fold(np.array([sketches[k] for k in theirs[words[theirs] == v]]), w) for v in np.unique(words[theirs]).tolist()])
-        theirs = np.concatenate([theirs[words[theirs] == v] for v in np.unique(words[theirs]).tolist()])
+        ours = np.flatnonzero(words == w)
+        parts = [np.flatnonzero(words == v) for v in np.unique(words[words >= w]).tolist()]
+        theirs = np.concatenate(parts)
+        a, b = np.array([sketches[k] for k in ours]), np.concatenate([fold(np.array([sketches[k] for k in p]), w) for p in parts])
         a2, b2 = fold(a, LEAST_WORDS), fold(b, LEAST_WORDS)
         for at in range(0, len(ours), 256):
             i = ours[at : at + 256]
+            roots = np.array([root(k) for k in range(len(joined))])[number]
             limit = apart(size[i][:, None], size[theirs][None, :], least)
-            ok = (group[i][:, None] != group[theirs][None, :]) & ((words[theirs] > w)[None, :] | (i[:, None] < theirs[None, :]))
+            ok = (roots[i][:, None] != roots[theirs][None, :]) & ((words[theirs] > w)[None, :] | (i[:, None] < theirs[None, :]))
             if both:
                 ok &= side[i][:, None] != side[theirs][None, :]
             ok &= np.abs(size[i][:, None] - size[theirs][None, :]) <= limit
@@ -225,22 +247,26 @@ def near_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.n
                 differ += np.bitwise_count(a2[at : at + 256, k][:, None] ^ b2[:, k][None, :])
             x, y = np.nonzero(ok & (differ <= limit))
             near = np.bitwise_count(a[at + x] ^ b[y]).sum(axis=1, dtype=np.int64) <= limit[x, y]
-            found.append(np.stack([node[i[x[near]]], node[theirs[y[near]]]]))
-    return np.sort(np.concatenate(found, axis=1), axis=0)
+            for p, q in zip(i[x[near]].tolist(), theirs[y[near]].tolist()):
+                m, n = root(int(number[p])), root(int(number[q]))
+                if m != n and similar_by_hashes(hashes[p], hashes[q], least):
+                    joined[m] = n
+                    found.append((node[p], node[q]))
+    return np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1).T
 
 
 def in_blocks(rows: DataFrame, docs: DataFrame, text: str, width: int, least: float, block: int) -> DataFrame:
-    """Pairs (a, b) of different groups that share a shingle and may be similar. rows: w, node, size, g, n (nodes of the shingle)."""
-    hashed = [T.StructField("sketch", T.BinaryType(), False)]
+    """Links (a, b) that join what all similar pairs of different groups that share a shingle join. rows: w, node, g, n (nodes of the shingle)."""
+    hashed = [T.StructField("hashes", T.BinaryType(), False)]
 
     def make():
         hashes = Hasher(width)
-        return lambda texts: [[sketch(hashes(words_of(x))).tobytes() for x in texts_of(texts)]]
+        return lambda texts: [[np.unique((hashes(words_of(x)) >> np.uint64(32)).astype("<u4")).tobytes() for x in texts_of(texts)]]
 
-    sketches = cut(map_columns(texts_of_nodes(rows, docs, text), ["text"], ["node"], hashed, make))
+    sets = cut(map_columns(texts_of_nodes(rows, docs, text), ["text"], ["node"], hashed, make))
     dealt = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = dealt.select("w", "node", "size", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("w", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "size", "g", "own").join(sketches, "node")
+    units = dealt.select("w", "node", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select("w", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "g", "own").join(sets, "node")
 
     def run(batches):
         held: list[tuple] = []
@@ -249,12 +275,12 @@ def in_blocks(rows: DataFrame, docs: DataFrame, text: str, width: int, least: fl
         def settle():
             if len(held) < 2:
                 return None
-            node, size, g, own = (np.array(c, np.int64) for c in list(zip(*held))[:4])
-            a, b = near_pairs(node, size, g, own, [np.frombuffer(r[4], "<u8") for r in held], unit[1] != unit[2], least)
+            node, g, own = (np.array(c, np.int64) for c in list(zip(*held))[:3])
+            a, b = near_pairs(node, g, own, [np.frombuffer(r[3], "<u4") for r in held], unit[1] != unit[2], least)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
 
         for batch in batches:
-            for w, lo, hi, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("w", "lo", "hi", "node", "size", "g", "own", "sketch"))):
+            for w, lo, hi, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("w", "lo", "hi", "node", "g", "own", "hashes"))):
                 if (w, lo, hi) != unit:
                     if (found := settle()) is not None:
                         yield found

@@ -61,6 +61,27 @@ def test_join_alone_finds_all_pairs(spark, monkeypatch):
     assert len({a for a, _ in mine}) == len({c for _, c in mine}) == len(set(mine))
 
 
+def test_links_of_a_block_join_what_all_similar_pairs_join():
+    rng = np.random.default_rng(7)
+    for both in (False, True):
+        base = [np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32)) for n in (3, 40, 300)]
+        sets = [np.unique(np.concatenate([b[rng.random(len(b)) < keep], rng.integers(0, 1 << 32, int(len(b) * (1 - keep))).astype(np.uint32)])) for b in base for keep in (1, 0.98, 0.95, 0.9, 0.85) for _ in range(8)]
+        sets = [x for x in sets if len(x)]
+        side, node = rng.integers(0, 2, len(sets)), np.arange(len(sets)) + 100
+        pairs = [(i, j) for j in range(len(sets)) for i in range(j) if (not both or side[i] != side[j]) and J.jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
+        a, b = J.near_pairs(node, node, side, sets, both, 0.8)
+
+        def groups(edges):
+            low = list(range(len(sets)))
+            for _ in low:
+                for i, j in edges:
+                    low[i] = low[j] = min(low[i], low[j])
+            return low
+
+        got = list(zip((a - 100).tolist(), (b - 100).tolist()))
+        assert groups(got) == groups(pairs) and len(got) < len(sets) <= len(pairs) and set(got) <= set(pairs)
+
+
 def test_sketches_bound_the_difference_from_below():
     rng = np.random.default_rng(2)
     for n in (1, 5, 60, 700):
