@@ -152,11 +152,11 @@ def bm25_top(queries: DataFrame, docs: DataFrame, n: int, cfg: RankConfig = RANK
     found = blocks.lexical_top(index.rows, (term, query, times * _idf(index)[term]), len(index.terms), len(keys), n, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), BM25_DECIMALS)
     best = stored(_named(found, keys, queries, key, n, dict(index.rows.dtypes)["id"]))
     # fewer than n match only if all that match are in `best`, so 2n ids always hold enough others
-    first = docs.select("id").orderBy("id").limit(2 * n)
     short = queries.select(*key).distinct().join(best.groupBy(*key).agg(F.count("*").alias("have")), key, "left").where(F.coalesce("have", F.lit(0)) < n).select(*key)
     if short.isEmpty():
         return best
-    fill = short.join(F.broadcast(first), how="cross").join(best.select(*key, "id"), [*key, "id"], "left_anti").withColumn("score", F.lit(0.0))
+    first = F.array(*(F.lit(r["id"]) for r in docs.select("id").orderBy("id").limit(2 * n).collect()))  # 2n ids
+    fill = short.select(*key, F.explode(first.cast(f"array<{dict(docs.dtypes)['id']}>")).alias("id")).join(best.select(*key, "id"), [*key, "id"], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(best.drop("rank").unionByName(fill), key, [F.desc("score"), F.col("id")], most=n)
 
 
