@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import byte_bpe, embedding_dedup, language_id, license_scan, line_dedup, packing, quality, simhash, toxicity, warc
+from clausegrid.llm import byte_bpe, divergence, embedding_dedup, language_id, license_scan, line_dedup, packing, quality, simhash, toxicity, warc
 from clausegrid.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(language_id.remainder("doc_id") == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -138,11 +142,45 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
 
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+occurring AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS total FROM occurring GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM occurring JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sources AS (
+  SELECT DISTINCT lang, source FROM docs),
+kinds AS (
+  SELECT lang, count(*) AS v, sum(total) AS whole FROM kept GROUP BY lang),
+sizes AS (
+  SELECT sources.lang, sources.source, coalesce(sum(n), 0) AS total FROM sources LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (s.total + 5 * v)::HUGEINT AS p,
+         1 + (1000000000 * (k.total + 5)::HUGEINT) // (whole + 5 * v)::HUGEINT AS q
+  FROM sizes s JOIN kinds USING (lang) JOIN kept k ON k.lang = s.lang LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source),
+differences AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pairs LEFT JOIN differences USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_license_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_byte_bpe, op9_toxicity, op10_language_id)
+    for f in (op1_line_dedup, op2_license_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_byte_bpe, op9_toxicity, op10_language_id,
+              op11_source_divergence)
 }
-ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL}
+ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL, "op11_source_divergence": DIVERGENCE_SQL}
 
 
 def queries():
