@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import byte_bpe, divergence, embedding_dedup, language_id, license_scan, line_dedup, packing, quality, simhash, toxicity, warc
+from clausegrid.llm import ball_search, byte_bpe, divergence, embedding_dedup, language_id, license_scan, line_dedup, packing, quality, simhash, toxicity, warc
 from clausegrid.llm.common import table
 
 
@@ -82,6 +82,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -175,12 +179,23 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
 FROM found QUALIFY part = 'pair' OR rank <= 50
 """
 
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (op1_line_dedup, op2_license_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_byte_bpe, op9_toxicity, op10_language_id,
-              op11_source_divergence)
+              op11_source_divergence, op12_exact_topk)
 }
-ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL, "op11_source_divergence": DIVERGENCE_SQL}
+ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_exact_topk": TOPK_SQL}
 
 
 def queries():
