@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausegrid.llm import ball_search, byte_bpe, divergence, embedding_dedup, language_id, license_scan, line_dedup, packing, quality, simhash, toxicity, warc
+from clausegrid.llm import alignment, ball_search, byte_bpe, divergence, embedding_dedup, language_id, license_scan, line_dedup, packing, quality, simhash, toxicity, warc
 from clausegrid.llm.common import table
 
 
@@ -86,6 +86,17 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def aligned_tokenizers() -> tuple[str, str]:
+    """The files of both sides."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *aligned_tokenizers())
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -193,7 +204,7 @@ FROM scores QUALIFY rank <= 5
 QUERIES = {
     f.__name__: f
     for f in (op1_line_dedup, op2_license_scan, op3_best_fit_packing, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_byte_bpe, op9_toxicity, op10_language_id,
-              op11_source_divergence, op12_exact_topk)
+              op11_source_divergence, op12_exact_topk, op13_token_alignment)
 }
 ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_near_dedup": EMBEDDING_SQL, "op6_quality_rules": QUALITY_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_exact_topk": TOPK_SQL}
 
