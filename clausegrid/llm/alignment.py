@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: the tokens that two tokenizers make of a text are cut into groups where both end, and linked where they overlap.
 
 A task walks over the cumulative ends of both sides' tokens with two pointers: every step is a link, and where both sides end a group is closed. No token
-of either vocabulary crosses from a character to a space behind it, so texts are cut there first, and the walk over such a chunk is remembered.
+of either side crosses from a character to a space behind it, so texts are cut there first, and the walk over such a chunk is remembered.
 A document keeps its distinct linked pairs of ids with how often each occurs. Spark counts the documents of each pair, finds the largest count of
 each id of the first side, and both come back to the documents: the pairs in most documents, up to MAX_BROADCAST, to every task, the others, each
 in few documents, by a join.
@@ -67,9 +67,9 @@ class Pair:
             self.a_bytes[k] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace(_SPACE, " ").encode() for k in ids]
-        # chunks are encoded by themselves only if no token crosses from another character to a space
+        # chunks are encoded by themselves only if no token crosses from another character to a space: no match of the byte-level pattern does
         before = described["pre_tokenizer"] or {}
-        inner = any(b" " in x.lstrip(b" ") for x in (*self.a_bytes, *self.b_bytes))
+        inner = any(b" " in x.lstrip(b" ") for x in self.b_bytes)
         self.by_chunk = not inner and described["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
         self.chunks = Memo(self._aligned, remembered)
 
@@ -93,11 +93,13 @@ class Pair:
         return out
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Spaces behind a character that surely is no white space; texts begin with a space."""
+        """Spaces behind a character that surely is no white space; texts begin with a space, and one alone at their end stays with what is before it."""
         at = np.flatnonzero(data == 32)
         if not self.by_chunk:
             return at[:0]
-        at = at[at > 0]
+        ends = np.zeros(len(data) + 1, bool)
+        ends[offsets] = True
+        at = at[(at > 0) & ~ends[at + 1]]
         before = data[at - 1]
         return at[((before > 32) & (before < 127)) | ((before > 127) & ~_MAYBE_SPACE[before])]
 

@@ -4,7 +4,7 @@ Sort-based streaming, in two scans. A task first sums what its own documents hol
 source. These rows are dealt by (lang, term) and sorted by (lang, term, source); a scan of the runs gives a term's documents and its counts
 by source, and lets go of terms in too few documents. The kept rows are dealt again by language, bucket of terms and pair of blocks of
 sources and sorted the same way; behind the unit's sources, a scan of the runs gives each term's shares for all of them and adds their
-differences up. A unit emits one partial row for each pair of sources, and the terms that a source has more of than its language; sums and ranks
+differences up. A unit emits one partial row for each pair of sources, and the terms that a source has most more of than its language; sums and ranks
 follow. Sources come with the rows of their unit, so nothing is broadcast, and a unit holds two blocks of sources however many there are.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from clausegrid.llm.common import cut, release, slices, text_bytes
@@ -115,29 +116,46 @@ def _runs(batches, key: tuple[str, ...], rest: tuple[str, ...]):
             pass
 
 
+def _starts(*columns: pa.Array) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    n, new = len(columns[0]), np.zeros(len(columns[0]), bool)
+    for c in columns if n > 1 else ():
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
 def kept_terms(parts: DataFrame, least: int) -> DataFrame:
     """(lang, term, source, n, total, first): counts of each term in `least` documents of its language or more; first marks one row of each run."""
-    schema = _text_schema(("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("first", pa.bool_()))
+    names = ("lang", "term", "source", "docs", "n")
+
+    def summed(columns: list[pa.Array]) -> list[pa.Array]:
+        """One row for each run of equal (lang, term, source)."""
+        at = _starts(*columns[:3])
+        return [c.take(pa.array(at)) for c in columns[:3]] + [pa.array(np.add.reduceat(c.to_numpy(), at)) for c in columns[3:]]
+
+    def judged(columns: list[pa.Array], at: np.ndarray):
+        """The rows of whole runs of (lang, term), which begin at `at`."""
+        lengths = np.diff(np.append(at, len(columns[0])))
+        docs, total = (np.add.reduceat(c.to_numpy(), at) for c in columns[3:])
+        first = np.zeros(len(columns[0]), bool)
+        first[at] = True
+        made = [*columns[:3], columns[4], pa.array(np.repeat(total, lengths)), pa.array(first)]
+        return pa.RecordBatch.from_arrays(made, names=["lang", "term", "source", "n", "total", "first"]).filter(pa.array(np.repeat(docs >= least, lengths)))
 
     def scan(batches):
-        ready: list[tuple] = []
-        for (lang, term), run in _runs(batches, ("lang", "term"), ("source", "docs", "n")):
-            sources, counts, docs = [], [], 0
-            for source, with_it, n in run:
-                docs += with_it
-                if sources and sources[-1] == source:
-                    counts[-1] += n
-                else:
-                    sources.append(source)
-                    counts.append(n)
-            if docs < least:
+        held = None  # the run that the next batch may go on with, summed
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            total = sum(counts)
-            ready += [(lang, term, s, n, total, k == 0) for k, (s, n) in enumerate(zip(sources, counts))]
-            if len(ready) >= _ROWS:
-                yield from _batches(ready, schema)
-                ready = []
-        yield from _batches(ready, schema)
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            columns = summed(columns if held is None else [pa.concat_arrays(x) for x in zip(held, columns)])
+            at = _starts(*columns[:2])
+            held = [c.slice(int(at[-1])) for c in columns]
+            if len(at) > 1:
+                yield judged([c.slice(0, int(at[-1])) for c in columns], at[:-1])
+        if held is not None:
+            yield judged(held, np.zeros(1, np.int64))
         release()
 
     dealt = parts.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
@@ -147,8 +165,8 @@ def kept_terms(parts: DataFrame, least: int) -> DataFrame:
 class Unit:
     """The sources of one unit, the sums of their differences, and the runs of terms that are waiting."""
 
-    def __init__(self, one_block: bool):
-        self.one_block, self.sources, self.sides, self.totals = one_block, [], [], []
+    def __init__(self, one_block: bool, most: int):
+        self.one_block, self.most, self.sources, self.sides, self.totals = one_block, most, [], [], []
         self.kinds = self.whole = 0
         self.sums, self.terms, self.cells, self.of_lang = None, [], [], []
 
@@ -177,7 +195,10 @@ class Unit:
         return len(self.terms) * len(self.sources) >= CELLS
 
     def settle(self) -> list[tuple]:
-        """Adds the waiting runs up; (source, term, value) of the terms that sources have more of than their language, in units of one block."""
+        """Adds the waiting runs up; (source, term, value) of the terms that sources have most more of than their language, in units of one block.
+
+        Of each source's terms come the `most` highest values here, and all that tie with the last of them.
+        """
         counts = np.zeros((len(self.terms), len(self.sources)), np.int64)
         cells = np.array(self.cells, np.int64).reshape(-1, 3)
         counts[cells[:, 0], cells[:, 1]] = cells[:, 2]
@@ -188,7 +209,11 @@ class Unit:
         out = []
         if self.one_block:
             q = share(np.array(self.of_lang), self.whole, self.kinds)[:, None]
-            out = [(self.sources[j], self.terms[i], int(p[i, j] - q[i, 0])) for i, j in zip(*(x.tolist() for x in np.nonzero((counts > 0) & (p > q))))]
+            more = np.where(counts > 0, p - q, 0)
+            for j, source in enumerate(self.sources):
+                own = more[:, j]
+                least = np.partition(own, len(own) - self.most)[len(own) - self.most] if len(own) > self.most else 1
+                out += [(source, self.terms[i], int(own[i])) for i in np.flatnonzero(own >= max(1, least)).tolist()]
         self.terms, self.cells, self.of_lang = [], [], []
         return out
 
@@ -204,8 +229,8 @@ class Unit:
         return out
 
 
-def partial_sums(kept: DataFrame, groups: DataFrame, buckets: int, blocks: int) -> DataFrame:
-    """(lang, source, part, item, value): for pairs the sum over a unit's terms, for terms their value.
+def partial_sums(kept: DataFrame, groups: DataFrame, buckets: int, blocks: int, most: int) -> DataFrame:
+    """(lang, source, part, item, value): for pairs the sum over a unit's terms, for terms, at least the `most` of a group, their value.
 
     groups: lang, source, total (N), kinds (V), whole (the language's N). Each unit has all sources of two blocks and the terms of one bucket.
     """
@@ -232,7 +257,7 @@ def partial_sums(kept: DataFrame, groups: DataFrame, buckets: int, blocks: int)
         for (*place, term), run in _runs(batches, key, rest):
             if place != here:
                 yield from finish()
-                unit, here = Unit(place[2] == place[3]), place
+                unit, here = Unit(place[2] == place[3], most), place
             if term is None:
                 for source, _, total, side, kinds, whole in run:
                     unit.add_source(source, side, total, kinds, whole)
@@ -266,7 +291,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     blocks = -(-(groups.agg(F.max("sources")).first()[0] or 1) // block)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     buckets = max(1, -(-2 * tasks // (blocks * (blocks + 1) // 2)))
-    found = cut(partial_sums(kept, groups.drop("sources"), buckets, blocks))
+    found = cut(partial_sums(kept, groups.drop("sources"), buckets, blocks, most))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     rank = F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     terms = found.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= most)
