@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """The result of an iteration's last round, stored in the shared folder; storing the next one deletes it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, f"{shared_checkpoints(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def _delete(self, path: str, at_exit: bool) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if at_exit:
+            files.deleteOnExit(where)
+        else:
+            files.delete(where, True)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """Computes df once; what the round before stored is gone then, so nothing but df may have been made from it."""
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        if self.n:
+            self._delete(f"{self.folder}/{self.n - 1}", False)
+        else:
+            self._delete(self.folder, True)
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drops the columns that an operator is about to produce; names compare as Spark resolves them."""
     lowered = {n.lower() for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from clausegrid.llm.common import cut
+from clausegrid.llm.common import Rounds
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,11 +42,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
 
     Alternates large and small stars until the edges are stars, which many inputs are from the start; the number of rounds grows
     with the logarithm of the longest path. Each round keeps at most one edge per input edge, uses a
-    partial minimum before every shuffle and is stored in the shared checkpoint folder; the joins with a large star's centre are
+    partial minimum before every shuffle and is stored in the shared checkpoint folder in place of the one before; the joins with a large star's centre are
     split by adaptive execution. Self loops and repeated edges are allowed; edges with a null end are ignored.
     """
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = cut(e.distinct())
+    stored = Rounds(edges.sparkSession, "components")
+    e = stored.store(e.distinct())
     for _ in range(rounds):
         if _stars(e):
             break
@@ -58,7 +59,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         low = e.groupBy("v").agg(F.min("u").alias("m"))
         joined = e.join(low, "v")
         e = joined.select("m", F.col("u").alias("x")).unionByName(joined.select("m", F.col("v").alias("x")))
-        e = cut(e.where("m <> x").select(F.col("m").alias("u"), F.col("x").alias("v")).distinct())
+        e = stored.store(e.where("m <> x").select(F.col("m").alias("u"), F.col("x").alias("v")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clausegrid.llm.common import cut, map_columns
+from clausegrid.llm.common import cut, hash_bound, map_columns
 from clausegrid.llm.components import components, spanning
 
 COSINE = 0.95
@@ -63,9 +63,10 @@ def distinct_vectors(rows: DataFrame, vec_id: str, embedding: str) -> tuple[Data
     return marked.select("vec_id", "hash"), cut(reps.withColumn("rep", F.monotonically_increasing_id()))
 
 
-def _pivots(reps: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Pivot vectors by length of vector: the n vectors with the smallest hashes of their hashes."""
-    chosen = reps.orderBy(F.xxhash64("hash"), "hash").limit(n).select("unit").collect()  # PIVOT_BYTES at most
+def _pivots(reps: DataFrame, n: int, total: int) -> dict[int, np.ndarray]:
+    """Pivot vectors by length of vector: the n of `total` vectors with the smallest hashes of their hashes; few more are sorted."""
+    mark = F.xxhash64("hash")
+    chosen = reps.where(mark <= F.lit(hash_bound(n, total))).orderBy(mark, "hash").limit(n).select("unit").collect()  # PIVOT_BYTES at most
     by_length: dict[int, list] = {}
     for r in chosen:
         u = np.frombuffer(r["unit"], float)
@@ -194,7 +195,7 @@ def range_links(reps: DataFrame, cosine: float = COSINE, block: int | None = Non
     # as many blocks as give each task a pair, and as memory asks for
     block = block or max(1, min(BLOCK_BYTES // size, max(1024, -(-n // math.ceil((2 * tasks) ** 0.5)))))
     pivots = pivots or max(1, min(PIVOT_BYTES // size, -(-n // PIVOT_ROWS)))
-    shared = spark.sparkContext.broadcast(_pivots(reps, pivots))
+    shared = spark.sparkContext.broadcast(_pivots(reps, pivots, n))
 
     def place():
         p = shared.value

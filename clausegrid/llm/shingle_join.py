@@ -7,9 +7,10 @@ of a similarity of t or more that have n and m shingles share at least ceil(t *
 n - ceil(t * n) + l of the one and the first m - ceil(t * m) + l of the other share at least l (prefix filter), where l grows with the
 smaller set. Only these shingles become rows. Nodes are first held against the least node of a shingle; shingles that only one
 component has left are done. In what remains, pairs of shingles with few nodes are counted and those that share l of them verified.
-Shingles with many nodes go to tasks in blocks, with 32 bits of each of their hashes. Sketches (the parity of the hashes in 8 bits a shingle or more)
+Shingles with many nodes go to tasks in blocks, with their 64-bit hashes. Sketches (the parity of the hashes in 8 bits a shingle or more)
 bound the number of shingles that only one set has from below, pairs within the bound are compared by their hashes, and of the similar pairs a task only
-gives as many as join the same nodes, so what leaves it grows with its nodes, not with their pairs. All that is linked is verified on the texts.
+gives as many as join the same nodes, so what leaves it grows with its nodes, not with their pairs. All that is linked is verified on the texts. As everywhere here
+shingles count as equal if their 64-bit hashes are; only two shingles of one pair of texts that collide in all 64 bits (2^-64 a pair of shingles) could change a verdict.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHARED, SHARED_OF, MAX_BROADCAST = 3, 16, 200_000
 SAMPLE, COMMON = 2000, 3
 #: Groups that the nodes of a common shingle are dealt into at first; nodes of a shingle up to which pairs are rows, and nodes of a block beyond it.
 SALTS, FEW, BLOCK = 64, 16, 2048
+#: Shingles of a block's nodes, about: their hashes are what a task holds.
+BLOCK_SHINGLES = 1 << 21
 #: Bits of a sketch for each shingle, and 64-bit words at least and at most.
 SKETCH_BITS, LEAST_WORDS, MOST_WORDS = 8, 2, 128
 _WORDS = 1 << 16
@@ -256,15 +259,15 @@ def near_pairs(node: np.ndarray, group: np.ndarray, side: np.ndarray, hashes: li
 
 
 def in_blocks(rows: DataFrame, docs: DataFrame, text: str, width: int, least: float, block: int) -> DataFrame:
-    """Links (a, b) that join what all similar pairs of different groups that share a shingle join. rows: w, node, g, n (nodes of the shingle)."""
+    """Links (a, b) that join what all similar pairs of different groups that share a shingle join. rows: w, node, g, n and total (nodes of the shingle, and their sizes' sum)."""
     hashed = [T.StructField("hashes", T.BinaryType(), False)]
 
     def make():
         hashes = Hasher(width)
-        return lambda texts: [[np.unique((hashes(words_of(x)) >> np.uint64(32)).astype("<u4")).tobytes() for x in texts_of(texts)]]
+        return lambda texts: [[hashes(words_of(x)).astype("<u8").tobytes() for x in texts_of(texts)]]
 
     sets = cut(map_columns(texts_of_nodes(rows, docs, text), ["text"], ["node"], hashed, make))
-    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = dealt.select("w", "node", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select("w", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "g", "own").join(sets, "node")
 
@@ -276,7 +279,7 @@ def in_blocks(rows: DataFrame, docs: DataFrame, text: str, width: int, least: fl
             if len(held) < 2:
                 return None
             node, g, own = (np.array(c, np.int64) for c in list(zip(*held))[:3])
-            a, b = near_pairs(node, g, own, [np.frombuffer(r[3], "<u4") for r in held], unit[1] != unit[2], least)
+            a, b = near_pairs(node, g, own, [np.frombuffer(r[3], "<u8") for r in held], unit[1] != unit[2], least)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
 
         for batch in batches:
@@ -322,7 +325,7 @@ def links(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, least
     found = verified(candidates(stars), docs, text, width, least)
     found = found if seeds is None else found.unionByName(seeds.select("a", "b"))
     rows = grouped(members.select("w", "node", "size"), found)
-    mixed = rows.groupBy("w").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("n")).where("x <> y").select("w", "n")
+    mixed = rows.groupBy("w").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("n"), F.sum("size").alias("total")).where("x <> y").select("w", "n", "total")
     rows = cut(rows.join(mixed, "w"))
     left = rows.where(F.col("n") <= few).select("w", F.col("node").alias("a"), "size", "g")
     right = rows.where(F.col("n") <= few).select("w", F.col("node").alias("b"), F.col("size").alias("size2"), F.col("g").alias("g2"))

@@ -69,6 +69,29 @@ def test_filters_grow_and_divide_with_the_lines():
         assert bits == line_dedup.MAX_BITS and bits * ranges >= 16 * n
 
 
+def test_many_ranges_read_the_texts_four_times(spark, monkeypatch):
+    """64 ranges and more: each task holds the two filters of one range, and the texts are read to count, to hash, to probe and to rebuild."""
+    rng = random.Random(8)
+    lines = [f"Line number {k} with enough characters" for k in range(400)]
+    rows = [(k, "\n".join([rng.choice(lines), *(f"own line {k} {j} of one document" for j in range(6))])) for k in range(300)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    bits = 1 << 9
+    n_bits, ranges = line_dedup.widths(2100, bits)
+    assert ranges >= 64 and n_bits == bits
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(counted, "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs, max_bits=bits)
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == sorted(brute_lines(rows))
+    assert read.value <= 4 * len(rows)
+    held = line_dedup.repeated_hashes(docs, "text", bits, ranges, 20).distinct().count()
+    assert held >= sum(len({k for k, t in rows if x in t.split("\n")}) > 1 for x in lines)
+
+
 def test_two_filters_hold_repeats():
     a, b = line_dedup.TwoFilters(1 << 20), line_dedup.TwoFilters(1 << 20)
     h = np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64)

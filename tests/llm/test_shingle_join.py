@@ -98,3 +98,34 @@ def test_stage_keeps_one_of_edited_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.by_near_duplicates(spark, df, "").collect()}
     assert kept == {c for _, c in brute(rows)}
+
+
+def test_shingles_that_share_half_a_hash_lose_no_link(spark):
+    """The hashes of w11232 and w109309 have 32 bits in common: A and B are 0.798 alike and must not stand in the way of B and C."""
+    common, a, b = [f"c{k}" for k in range(71)], [f"a{k}" for k in range(8)] + ["w11232"], [f"b{k}" for k in range(8)] + ["w109309"]
+    texts = [common + a, common + b, common + a[:4] + b[:5]]
+    sets = [set(t) for t in texts]
+    assert J.jaccard(sets[0], sets[1]) < 0.8 <= min(J.jaccard(sets[0], sets[2]), J.jaccard(sets[1], sets[2]))
+    for order in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+        df = spark.createDataFrame([(k, " ".join(texts[i])) for k, i in enumerate(order)], "doc_id long, text string")
+        for few in (0, J.FEW):
+            assert {r["component_id"] for r in simhash.similar(df, width=1, few=few).collect()} == {0}
+
+
+def test_blocks_follow_the_shingles_of_their_nodes(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 200)
+    rows = edited_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.similar(df, few=0).collect())) == brute(rows)
+
+
+def test_a_round_replaces_the_one_before(spark, tmp_path, monkeypatch):
+    from clausegrid.llm import common
+    from clausegrid.llm.components import components
+
+    monkeypatch.setattr(common, "shared_checkpoints", lambda _: str(tmp_path))
+    path = [(k, k + 1) for k in range(200)] + [(1000, 1001), (None, 3), (5, 5)]
+    found = dict(map(tuple, components(spark.createDataFrame(path, "a long, b long")).collect()))
+    assert found == {k: 0 for k in range(201)} | {1000: 1000, 1001: 1000}
+    (folder,) = tmp_path.iterdir()
+    assert len([x for x in folder.iterdir() if not x.name.startswith(".")]) == 1
