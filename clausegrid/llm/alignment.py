@@ -1,7 +1,8 @@
 """Cross-tokenizer alignment: the tokens that two tokenizers make of a text are cut into groups where both end, and linked where they overlap.
 
-A task walks over the cumulative ends of both sides' tokens with two pointers: every step is a link, and where both sides end a group is closed. No token
-of either side crosses from a character to a space behind it, so texts are cut there first, and the walk over such a chunk is remembered.
+A task merges the cumulative ends of both sides' tokens, each side with a pointer of its own: every step is a link, and where both sides end a group is
+closed. A whole slice of texts is merged at once, as all texts end on both sides. No token of either side crosses from a character to a space behind it, nor from
+letters to marks, so texts are cut there first and each distinct chunk is encoded once.
 A document keeps its distinct linked pairs of ids with how often each occurs. Spark counts the documents of each pair, finds the largest count of
 each id of the first side, and both come back to the documents: the pairs in most documents, up to MAX_BROADCAST, to every task, the others, each
 in few documents, by a join.
@@ -12,13 +13,14 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clausegrid.llm.common import Closing, Memo, cut, map_columns, text_bytes
+from clausegrid.llm.common import Closing, Memo, class_edges, cut, map_columns, text_bytes
 
 #: Chunks that a Python worker remembers, and pairs of ids (20 bytes each) that are broadcast at most.
 REMEMBERED, MAX_BROADCAST = 300_000, 1_000_000
@@ -28,18 +30,17 @@ _MAYBE_SPACE = np.zeros(256, bool)
 _MAYBE_SPACE[[0x85, 0xA0, 0xA8, 0xA9, 0xAF, 0x9F, *range(0x80, 0x8B)]] = True
 
 
-def two_pointers(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links (i, j) of overlapping tokens, groups as (tokens of a, tokens of b) so far) from the ends of tokens of equal texts."""
-    i = j = 0
-    links, groups = [], []
-    while i < len(a_ends) and j < len(b_ends):
-        links.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        i += a <= b
-        j += b <= a
-        if a == b:
-            groups.append((i, j))
-    return links, groups
+def two_pointers(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token of a, token of b) of each step of the merge, which is a link, and whether both end there, which closes a group.
+
+    Ends are cumulative, in bytes, none repeated; both sides end together. At each end of either side, that side's pointer moves on.
+    """
+    size = int(a_ends[-1]) + 1 if len(a_ends) else 0
+    in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
+    in_a[a_ends] = in_b[b_ends] = True
+    steps = np.flatnonzero(in_a | in_b)
+    in_a, in_b = in_a[steps], in_b[steps]
+    return np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b, in_a & in_b
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,46 +68,44 @@ class Pair:
             self.a_bytes[k] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace(_SPACE, " ").encode() for k in ids]
-        # chunks are encoded by themselves only if no token crosses from another character to a space: no match of the byte-level pattern does
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_array, self.b_array = pa.array(self.a_bytes, pa.large_binary()), pa.array(self.b_bytes, pa.large_binary())
+        # an id as it stands before a comma, a bar and a semicolon
+        top = max(len(self.a_bytes), len(self.b_bytes))
+        self.marked, self.top = pa.array([b"%d%s" % (k, mark) for mark in (b",", b"|", b";") for k in range(top)], pa.large_binary()), top
+        # chunks are encoded by themselves only where no token crosses: on the first side no match of the byte-level pattern does
         before = described["pre_tokenizer"] or {}
-        inner = any(b" " in x.lstrip(b" ") for x in self.b_bytes)
-        self.by_chunk = not inner and described["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
-        self.chunks = Memo(self._aligned, remembered)
-
-    def _aligned(self, chunks: list[str]) -> list[tuple]:
-        """(tokens of a, of b, groups, 1 if the bytes are the chunk's, links as int64, groups as text) of each chunk; chunks begin with a space."""
-        out = []
-        firsts, seconds = self.a.encode_batch(chunks, add_special_tokens=False), self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for chunk, first, b in zip(chunks, firsts, seconds):
-            a, raw = first.ids, chunk.encode()
-            x, y = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-            if b"".join(x) != raw or b"".join(y) != raw:
-                out.append((0, 0, 0, 0, b"", b""))
-                continue
-            links, groups = two_pointers(np.cumsum([len(t) for t in x]).tolist(), np.cumsum([len(t) for t in y]).tolist())
-            codes = np.array([a[i] << 32 | b[j] for i, j in links], "<i8")
-            texts, i, j = [], 0, 0
-            for i_end, j_end in groups:
-                texts.append(",".join(map(str, a[i:i_end])) + "|" + ",".join(map(str, b[j:j_end])) + ";")
-                i, j = i_end, j_end
-            out.append((len(a), len(b), len(groups), 1, codes.tobytes(), "".join(texts).encode()))
-        return out
+        plain = [x for k, x in enumerate(self.b_bytes) if not self.b.is_control(k) and not self.b.is_unknown(k)]
+        first = described["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+        self.by_space = first and not any(b" " in x.lstrip(b" ") for x in plain)
+        joined = np.frombuffer(b"\n".join(plain), np.uint8)
+        self.by_mark = self.by_space and len(self.b.encode("\n")) == 2 and not len(class_edges(joined, False))
+        self.chunks = Memo(self._encoded, remembered)
+
+    def _encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of both sides. A line break in front keeps the second side from putting a space before a chunk that has none."""
+        firsts = self.a.encode_batch_fast(chunks, add_special_tokens=False)
+        spaced = [c[:1] == " " for c in chunks]
+        seconds = self.b.encode([c[1:] if own else "\n" + c for c, own in zip(chunks, spaced)], num_threads=1)
+        return [(array("i", x.ids).tobytes(), array("i", y if own else y[2:]).tobytes()) for x, y, own in zip(firsts, seconds, spaced)]
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Spaces behind a character that surely is no white space; texts begin with a space, and one alone at their end stays with what is before it."""
+        """Spaces behind a character that surely is no white space, and where letters, digits and marks meet.
+
+        Texts begin with a space, and one alone at their end stays with what is before it.
+        """
         at = np.flatnonzero(data == 32)
-        if not self.by_chunk:
+        if not self.by_space:
             return at[:0]
         ends = np.zeros(len(data) + 1, bool)
         ends[offsets] = True
         at = at[(at > 0) & ~ends[at + 1]]
         before = data[at - 1]
-        return at[((before > 32) & (before < 127)) | ((before > 127) & ~_MAYBE_SPACE[before])]
+        at = at[((before > 32) & (before < 127)) | ((before > 127) & ~_MAYBE_SPACE[before])]
+        return np.concatenate([at, class_edges(data, False)]) if self.by_mark else at
 
-    def align(self, texts: pa.Array) -> list:
-        """n_a, n_b, n_groups, n_links, groups_sha256, and the distinct pairs (a << 32 | b) with how often each is linked, of each text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
+    def _ids(self, texts: pa.Array) -> tuple:
+        """For both sides the ids of all texts and where each text's begin, and the last one's end; the bytes of all texts and their offsets."""
         data, offsets = text_bytes(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
         first = np.zeros(len(data) + 1, bool)
         first[self.cuts(data, offsets)] = first[offsets] = True
@@ -114,28 +113,63 @@ class Pair:
         parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
         coded = parts.dictionary_encode()
         known = self.chunks.many(coded.dictionary.to_pylist())
-        at, rows = coded.indices.to_numpy(), np.searchsorted(starts, offsets)
-        numbers = np.array([v[:4] for v in known], np.int64).reshape(-1, 4)[at]
-        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers, axis=0)])[rows]
-        sums = sums[1:] - sums[:-1]
-        whole = (sums[:, 3] == np.diff(rows)) & (pc.binary_length(texts).to_numpy() > 0)
-        links, groups = (pa.array([v[k] for v in known], pa.large_binary()).take(coded.indices) for k in (4, 5))
-        hashes, pairs, times = [""] * n, [None] * n, [None] * n
-        views = []
-        for gathered in (links, groups):
-            ends = np.frombuffer(gathered.buffers()[1], np.int64)[gathered.offset : gathered.offset + len(gathered) + 1]
-            views.append((memoryview(gathered.buffers()[2] or b""), ends[rows].tolist()))
-        (codes, code_at), (marks, mark_at) = views
-        for k in np.flatnonzero(whole).tolist():
-            hashes[k] = hashlib.sha256(marks[mark_at[k] : mark_at[k + 1] - 1]).hexdigest()
-            pairs[k], times[k] = np.unique(np.frombuffer(codes[code_at[k] : code_at[k + 1]], "<i8"), return_counts=True)
-        sums[~whole] = 0
-        n_a, n_b, n_groups = (pa.array(sums[:, k]) for k in range(3))
-        lengths = np.array([0 if p is None else len(p) for p in pairs], np.int64)
-        lists = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        joined = [np.concatenate([x for x in some if x is not None] or [np.zeros(0, np.int64)]) for some in (pairs, times)]
-        n_links = np.array([0 if t is None else int(t.sum()) for t in times], np.int64)
-        return [n_a, n_b, n_groups, pa.array(n_links), hashes, pa.ListArray.from_arrays(lists, pa.array(joined[0].astype(np.int64))), pa.ListArray.from_arrays(lists, pa.array(joined[1].astype(np.int32)))]
+        rows, sides = np.searchsorted(starts, offsets), []
+        for k in range(2):
+            ids, ends = _joined(pa.array([v[k] for v in known], pa.large_binary()).take(coded.indices))
+            sides.append((np.frombuffer(ids, "<i4").astype(np.int64), ends[rows] // 4))
+        return *sides, data, offsets
+
+    def align(self, texts: pa.Array) -> list:
+        """n_a, n_b, n_groups, n_links, groups_sha256, and the distinct pairs (a << 32 | b) with how often each is linked, of each text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        (a, a_at), (b, b_at), data, offsets = self._ids(texts)
+        whole = pc.binary_length(texts).to_numpy() > 0
+        for ids, at, pieces in ((a, a_at, self.a_array), (b, b_at, self.b_array)):
+            made, ends = _joined(pieces.take(pa.array(ids)))
+            bounds = ends[at]
+            if len(made) != len(data) or (bounds != offsets).any() or made != data.tobytes():
+                made, raw = memoryview(made), memoryview(data.tobytes())
+                for k in np.flatnonzero(whole).tolist():
+                    whole[k] = made[bounds[k] : bounds[k + 1]] == raw[offsets[k] : offsets[k + 1]]
+        # only whole texts go on
+        n_a, n_b = np.diff(a_at) * whole, np.diff(b_at) * whole
+        a, b = a[np.repeat(whole, np.diff(a_at))], b[np.repeat(whole, np.diff(b_at))]
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        i, j, closed = two_pointers(a_ends, b_ends)
+        links = np.concatenate([[0], np.cumsum(np.bincount(np.searchsorted(np.cumsum(n_a), i, "right"), minlength=n)[:n])])
+        groups = np.concatenate([[0], np.cumsum(closed)])[links]
+        pairs, times = self._pairs(a[i] << 32 | b[j], links)
+        hashes = self._hashes(a, b, i[closed], j[closed], groups)
+        return [pa.array(n_a), pa.array(n_b), pa.array(np.diff(groups)), pa.array(np.diff(links)), [h if w else "" for h, w in zip(hashes, whole.tolist())], pairs, times]
+
+    def _pairs(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        found = [np.unique(codes[lo:hi], return_counts=True) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype(np.int32))
+        pairs, times = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in range(2))
+        return pa.ListArray.from_arrays(ends, pa.array(pairs.astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))
+
+    def _hashes(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, groups: np.ndarray) -> list[str]:
+        """SHA-256 of each text's groups. a_last, b_last: the last token of each group; groups: where each text's begin, and the last one's end."""
+        number = np.concatenate([a, b])
+        # a token's group, then its side: a stable sort puts each group's tokens of a before those of b
+        group = np.concatenate([np.searchsorted(a_last, np.arange(len(a))), np.searchsorted(b_last, np.arange(len(b)))])
+        mark = np.zeros(len(number), np.int64)
+        mark[a_last], mark[len(a) + b_last] = 1, 2
+        order = np.argsort(group, kind="stable")
+        text, ends = _joined(self.marked.take(pa.array((mark * self.top + number)[order])))
+        lengths = np.diff(a_last, prepend=-1) + np.diff(b_last, prepend=-1)
+        at = ends[np.concatenate([[0], np.cumsum(lengths)])[groups]].tolist()
+        text = memoryview(text)
+        return [hashlib.sha256(text[lo : max(lo, hi - 1)]).hexdigest() for lo, hi in zip(at, at[1:])]
+
+
+def _joined(values: pa.Array) -> tuple[bytes, np.ndarray]:
+    """(the bytes of all values, where each begins and the last one ends)."""
+    if not len(values):
+        return b"", np.zeros(1, np.int64)
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return (values.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[ends[0] : ends[-1]], ends - ends[0]
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}

@@ -192,16 +192,17 @@ def test_alignment_of_whole_texts(spark):
 
 
 def test_two_pointers():
-    assert alignment.two_pointers([2, 5, 6], [1, 2, 6]) == ([(0, 0), (0, 1), (1, 2), (2, 2)], [(1, 2), (3, 3)])
-    assert alignment.two_pointers([], []) == ([], [])
+    steps = lambda a, b: [x.tolist() for x in alignment.two_pointers(np.array(a, np.int64), np.array(b, np.int64))]
+    assert steps([2, 5, 6], [1, 2, 6]) == [[0, 0, 1, 2], [0, 1, 2, 2], [False, True, False, True]]
+    assert steps([], []) == [[], [], []]
 
 
-def test_chunks_are_as_whole_texts(tmp_path):
+def test_chunks_are_as_whole_texts():
     both = alignment.Pair(*registry.aligned_tokenizers())
-    assert both.by_chunk
-    texts = [t for t in ODD_TEXTS if t]
-    chunked = both.align(pa.array(texts))
-    both.by_chunk = False
-    both.chunks.clear()
-    whole = both.align(pa.array(texts))
-    assert [x.to_pylist() if isinstance(x, pa.Array) else x for x in chunked] == [x.to_pylist() if isinstance(x, pa.Array) else x for x in whole]
+    assert both.by_space and both.by_mark
+    texts = [t for t in ODD_TEXTS if t] + ["it's 12.5%, isn't it?", "a.b,c;d:e/f", "x\n\ny", "naïve,été.", "(a)(b)", "a- b -c", "1a2b", "'s 's", "don''t", "“a”,b", "x\n.y ,z"]
+    plain = lambda found: [x.to_pylist() if isinstance(x, pa.Array) else x for x in found]
+    chunked = plain(both.align(pa.array(texts)))
+    for both.by_space, both.by_mark in ((True, False), (False, False)):
+        both.chunks.clear()
+        assert plain(both.align(pa.array(texts))) == chunked
