@@ -24,7 +24,9 @@ LEAST_DOCUMENTS, MOST_TERMS = 30, 50
 #: Added to each count; shares are whole numbers of 1 / SCALE = 1 / (_STEP ** 3).
 PRIOR, _STEP = 5, 1000
 #: Different terms by group that a task sums before it hands them on; sources of a block, and shares that are computed together.
-HELD, BLOCK, CELLS = 200_000, 256, 1 << 20
+HELD, BLOCK, CELLS = 1_000_000, 256, 1 << 20
+#: Kept rows of a unit's bucket, about, and languages up to which their buckets are broadcast.
+UNIT_ROWS, MAX_LANGS = 1 << 16, 100_000
 #: Bytes of terms (letters and all that is not ASCII, A-Z lower-cased); the others part them.
 _TERM_BYTES = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ROWS = 1 << 16
@@ -62,8 +64,8 @@ def occurrences(docs: DataFrame, text: str, lang: str, source: str, held: int =
         found: dict[tuple, tuple[Counter, Counter]] = {}
 
         def out():
-            for (one, two), (docs_with, n) in found.items():
-                yield from _batches([(one, t, two, docs_with[t], k) for t, k in n.items()], schema)
+            for (one, two), (docs_with, more) in found.items():
+                yield from _batches([(one, t, two, k, k + more.get(t, 0)) for t, k in docs_with.items()], schema)
             found.clear()
 
         size = 0
@@ -74,11 +76,15 @@ def occurrences(docs: DataFrame, text: str, lang: str, source: str, held: int =
                 data, offsets = data.tobytes(), offsets.tolist()
                 for k, key in enumerate(zip(langs, sources)):
                     words = terms_of(data[offsets[k] : offsets[k + 1]])
-                    docs_with, n = found.setdefault(key, (Counter(), Counter()))
-                    size -= len(n)
-                    n.update(words)
-                    docs_with.update(set(words))
-                    size += len(n)
+                    docs_with, more = found.setdefault(key, (Counter(), Counter()))
+                    size -= len(docs_with)
+                    counts = Counter(words)
+                    docs_with.update(counts.keys())
+                    # few terms repeat in a document: only what goes beyond once is counted apart
+                    for t, n in counts.items():
+                        if n > 1:
+                            more[t] += n - 1
+                    size += len(docs_with)
                     if size > held:
                         yield from out()
                         size = 0
@@ -229,17 +235,20 @@ class Unit:
         return out
 
 
-def partial_sums(kept: DataFrame, groups: DataFrame, buckets: int, blocks: int, most: int) -> DataFrame:
+def partial_sums(kept: DataFrame, groups: DataFrame, blocks: int, most: int) -> DataFrame:
     """(lang, source, part, item, value): for pairs the sum over a unit's terms, for terms, at least the `most` of a group, their value.
 
-    groups: lang, source, total (N), kinds (V), whole (the language's N). Each unit has all sources of two blocks and the terms of one bucket.
+    groups: lang, source, total (N), kinds (V), whole (the language's N), buckets (of the language's terms). Each unit has all sources of
+    two blocks and the terms of one bucket.
     """
     key, rest = ("lang", "bucket", "lo", "hi", "term"), ("source", "n", "total", "side", "kinds", "whole")
     own = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    each = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    each = F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))
     none = F.lit(None).cast("long")
-    runs = kept.select("lang", F.pmod(F.xxhash64("lang", "term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "source", "n", "total", none.alias("kinds"), none.alias("whole"))
+    langs = groups.select("lang", "buckets").distinct()
+    langs = F.broadcast(langs) if langs.count() <= MAX_LANGS else langs
+    runs = kept.join(langs, "lang").select("lang", F.pmod(F.xxhash64("lang", "term"), F.col("buckets")).cast("int").alias("bucket"), "term", "source", "n", "total", none.alias("kinds"), none.alias("whole"))
     heads = groups.select("lang", each.alias("bucket"), F.lit(None).cast("string").alias("term"), "source", none.alias("n"), "total", "kinds", "whole")
     rows = runs.unionByName(heads).withColumn("own", own).withColumn("other", other)
     units = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("lo")).cast("int"))
@@ -280,18 +289,16 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     languages without kept terms have pairs of value 0 or more, as the shares say; a language's only source has none. Ties of a value are ranked by the item's bytes. Very
     long texts are one row of a slice of their own. Other columns are not looked at, whatever their names. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     kept = cut(kept_terms(occurrences(docs, text, lang, source, held), least))
     empty = F.lit("")
     named = docs.select(F.coalesce(F.col(lang).cast("string"), empty).alias("lang"), F.coalesce(F.col(source).cast("string"), empty).alias("source")).distinct()
-    counted = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("first").alias("kinds"))
-    by_group = named.join(counted, ["lang", "source"], "left").na.fill(0, ["total", "kinds"])
-    by_lang = by_group.groupBy("lang").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("whole"), F.count("*").alias("sources"))
+    counted = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("first").alias("kinds"), F.count("*").alias("rows"))
+    by_group = named.join(counted, ["lang", "source"], "left").na.fill(0, ["total", "kinds", "rows"])
+    buckets = F.greatest(F.lit(1), F.ceil(F.sum("rows") / UNIT_ROWS)).cast("int").alias("buckets")
+    by_lang = by_group.groupBy("lang").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("whole"), F.count("*").alias("sources"), buckets)
     groups = cut(by_group.select("lang", "source", "total").join(by_lang, "lang"))
     blocks = -(-(groups.agg(F.max("sources")).first()[0] or 1) // block)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    buckets = max(1, -(-2 * tasks // (blocks * (blocks + 1) // 2)))
-    found = cut(partial_sums(kept, groups.drop("sources"), buckets, blocks, most))
+    found = cut(partial_sums(kept, groups.drop("sources"), blocks, most))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     rank = F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     terms = found.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= most)
