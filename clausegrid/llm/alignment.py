@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from clausegrid.llm.common import Closing, Memo, class_edges, cut, map_columns, text_bytes
 
 #: Chunks that a Python worker remembers, and pairs of ids (20 bytes each) that are broadcast at most.
-REMEMBERED, MAX_BROADCAST = 300_000, 1_000_000
+REMEMBERED, MAX_BROADCAST = 200_000, 1_000_000
+#: Bytes of texts that are merged together (a single longer text comes alone).
+TOGETHER = 1 << 20
 _SPACE = "▁"
 #: Last bytes that white space beyond ASCII has in UTF-8 (and other characters, too, before which no cut is made then).
 _MAYBE_SPACE = np.zeros(256, bool)
@@ -122,6 +124,12 @@ class Pair:
     def align(self, texts: pa.Array) -> list:
         """n_a, n_b, n_groups, n_links, groups_sha256, and the distinct pairs (a << 32 | b) with how often each is linked, of each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
+        at = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)]
+        parts = [self._part(texts.slice(a, b - a)) for a, b in zip(at, at[1:])]
+        return [pa.concat_arrays(x) for x in zip(*parts)]
+
+    def _part(self, texts: pa.Array) -> list[pa.Array]:
         n = len(texts)
         (a, a_at), (b, b_at), data, offsets = self._ids(texts)
         whole = pc.binary_length(texts).to_numpy() > 0
@@ -141,7 +149,7 @@ class Pair:
         groups = np.concatenate([[0], np.cumsum(closed)])[links]
         pairs, times = self._pairs(a[i] << 32 | b[j], links)
         hashes = self._hashes(a, b, i[closed], j[closed], groups)
-        return [pa.array(n_a), pa.array(n_b), pa.array(np.diff(groups)), pa.array(np.diff(links)), [h if w else "" for h, w in zip(hashes, whole.tolist())], pairs, times]
+        return [pa.array(n_a), pa.array(n_b), pa.array(np.diff(groups)), pa.array(np.diff(links)), pa.array([h if w else "" for h, w in zip(hashes, whole.tolist())], pa.string()), pairs, times]
 
     def _pairs(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
         found = [np.unique(codes[lo:hi], return_counts=True) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
