@@ -1,16 +1,22 @@
-"""Scores of a stated query set against all rows: queries come in blocks as matrices, rows are read where they are, only the best leave a task."""
+"""The best rows for a stated query set: queries come in blocks, rows are read where they are, only the best leave a task.
+
+Rows that cannot be among a query's best are not scored. Texts are held as postings in the order of their impact, vectors in balls; both give an upper
+bound for many rows at once, and what stays below the n-th best score found so far is left out. The results are exact.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-#: Bytes of the matrix of a block of queries, which goes to every task, and numbers that a task computes together, at most.
-BLOCK_BYTES, TOGETHER = 64 << 20, 1 << 21
+#: Bytes of a block of queries, which goes to every task, numbers that a task computes together, and rows that are bounded together, at most.
+BLOCK_BYTES, TOGETHER, ROWS = 64 << 20, 1 << 21, 1 << 13
+#: Vectors of a ball, about, and what rounding may add to a bound, relative to its terms.
+BALL, SLACK = 64, 1e-9
 
 
 class Best:
@@ -20,16 +26,17 @@ class Best:
         self.n, self.floor, self.parts, self.size = n, np.full(n_queries, -np.inf), [], 0
         self.limit = max(1 << 16, 4 * n * n_queries)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
-        """scores: rows x queries; allowed: which of them count (all by default)."""
-        ok = scores >= self.floor
-        row, query = np.nonzero(ok if allowed is None else ok & allowed)
-        self.parts.append((query, ids[row], scores[row, query]))
-        self.size += len(row)
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        ok = scores >= self.floor[query]
+        self.parts.append((query[ok], ids[ok], scores[ok]))
+        self.size += int(ok.sum())
         if self.size > self.limit:
-            self._prune()
+            self.settle()
 
-    def _prune(self) -> None:
+    def settle(self) -> None:
+        """Keeps the n best of each query; the floors are the n-th scores then."""
+        if not self.parts:
+            return
         query, ids, scores = (np.concatenate(x) for x in zip(*self.parts))
         order = np.lexsort((ids, -scores, query))
         query, ids, scores = query[order], ids[order], scores[order]
@@ -42,9 +49,7 @@ class Best:
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """(query, id, score), or None for no rows."""
-        if not self.parts:
-            return None
-        self._prune()
+        self.settle()
         return self.parts[0] if self.size else None
 
 
@@ -53,14 +58,15 @@ def ids_of(array: pa.Array) -> np.ndarray:
     return np.array(array.to_pylist(), dtype="U") if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else array.to_numpy(zero_copy_only=False)
 
 
-def best_rows(rows: DataFrame, id_type: str, n_queries: int, n: int, score: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]]) -> DataFrame:
-    """(number, id, score): the n best rows of every query, by task. score: of a batch, (scores, ids, allowed) in parts."""
+def best_rows(rows: DataFrame, id_type: str, n_queries: int, n: int, look: Callable[[pa.RecordBatch, Best], None]) -> DataFrame:
+    """(number, id, score): the n best rows of every query, by task. look: adds what a batch has to the best so far."""
 
     def run(batches):
         best = Best(n_queries, n)
         for batch in batches:
-            for part in score(batch):
-                best.add(*part)
+            for at in range(0, batch.num_rows, ROWS):
+                look(batch.slice(at, ROWS), best)
+                best.settle()
         found = best.result()
         if found is not None:
             query, ids, scores = found
@@ -121,68 +127,177 @@ def term_index(docs: DataFrame, terms: list[str], id_: str = "id", text: str = "
     return docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, dl int, terms array<int>, tfs array<int>")
 
 
-def lexical_top(index: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndarray], n_terms: int, n_queries: int, n: int, weight: Callable[[np.ndarray, np.ndarray], np.ndarray],
-                decimals: int, scale: np.ndarray | None = None) -> DataFrame:
+class Impacts:
+    """Postings of a block of documents: by term in the order of their weights, the largest first, and by document."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int):
+        """row never falls; terms are numbered from 0, weights are positive."""
+        order = np.lexsort((-weight, term))
+        self.rows, self.weights = row[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.most = np.zeros(n_terms)
+        there = np.diff(self.first) > 0
+        self.most[there] = self.weights[self.first[:-1][there]]
+        self.row_terms, self.row_weights, self.row_first = term, weight, np.searchsorted(row, np.arange(n_rows + 1))
+        self.n_rows, self.n_terms, self.looked = n_rows, n_terms, 0
+
+    def bounds(self, query: np.ndarray, term: np.ndarray, value: np.ndarray, n_queries: int) -> np.ndarray:
+        """What no document of the block can pass, by query."""
+        return np.bincount(query, value * self.most[term], n_queries)
+
+    def _whole(self, rows: np.ndarray, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The scores of some documents, from all their postings."""
+        lookup = np.zeros(self.n_terms)
+        lookup[terms] = values
+        starts, lengths = self.row_first[rows], self.row_first[rows + 1] - self.row_first[rows]
+        before = np.cumsum(lengths) - lengths
+        at = np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+        self.looked += len(at)
+        return np.add.reduceat(lookup[self.row_terms[at]] * self.row_weights[at], before) if len(rows) else np.zeros(0)
+
+    def _before_their_parts(self, terms: np.ndarray, lengths: np.ndarray, top: np.ndarray, floor: float) -> list[tuple[int, int]]:
+        """Where the impacts of each term that reach the term's part of the floor stand; the longest lists get as much as they can give and are left out."""
+        order = np.argsort(-lengths, kind="stable")
+        given = np.cumsum(top[order])
+        left_out = int(np.searchsorted(given, floor, "left"))
+        rest = order[left_out:]
+        share = (floor - (given[left_out - 1] if left_out else 0.0)) / max(1e-300, top[rest].sum())
+        spans = zip(self.first[terms[rest]].tolist(), self.first[terms[rest] + 1].tolist(), self.most[terms[rest]].tolist())
+        return [(a, a + int(np.searchsorted(-self.weights[a:b], -share * most * (1 - SLACK), "right"))) for a, b, most in spans if b > a]
+
+    def best(self, terms: np.ndarray, values: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the documents that score `floor` or more for the distinct terms of a query, and maybe some others.
+
+        Each term gets a part of the floor. A document whose impacts all stay below their terms' parts stays below the floor, so only documents that stand
+        before its part in some term's order need a score. Where these are too many, lists are added up, the shortest first, until what the rest
+        can give leaves few documents that may still reach the floor; those are scored whole.
+        """
+        lengths, top = self.first[terms + 1] - self.first[terms], values * self.most[terms]
+        per_row = len(self.row_terms) / max(1, self.n_rows)
+        if floor > 0:
+            spans = self._before_their_parts(terms, lengths, top, floor)
+            if sum(b - a for a, b in spans) * (1 + per_row) <= lengths.sum():
+                self.looked += sum(b - a for a, b in spans)
+                rows = np.unique(np.concatenate([self.rows[a:b] for a, b in spans] or [np.zeros(0, np.int64)]))
+                return rows, self._whole(rows, terms, values)
+        order = np.argsort(lengths, kind="stable")
+        left, rest, scores = int(lengths.sum()), float(top.sum()), np.zeros(self.n_rows)
+        for t, v, n, most in zip(terms[order].tolist(), values[order].tolist(), lengths[order].tolist(), top[order].tolist()):
+            if n:
+                a = self.first[t]
+                scores[self.rows[a : a + n]] += v * self.weights[a : a + n]
+                self.looked += n
+            left, rest = left - n, rest - most
+            if rest < floor and left > self.n_rows:
+                rows = np.flatnonzero(scores >= floor - rest - SLACK)
+                if len(rows) * per_row < left:
+                    return rows, self._whole(rows, terms, values)
+        rows = np.flatnonzero(scores)
+        return rows, scores[rows]
+
+
+def lexical_top(index: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndarray], n_queries: int, n: int, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], decimals: int,
+                scale: np.ndarray | None = None) -> DataFrame | None:
     """(number, id, score): the n best documents of every query by task; those without a term of the query never come.
 
-    entries: (term, query, weight) of each query's terms; weight: of a posting, from its tf and dl. Scores are sums of products over scale.
+    entries: (term, query, weight) of each query's distinct terms; weight: of a posting, from its tf and dl. Scores are sums of products over scale.
     """
     spark, kind = index.sparkSession, dict(index.dtypes)["id"]
-    at_once = max(1, BLOCK_BYTES // (8 * max(1, n_terms)))
-    found = None
-    for low in range(0, max(1, n_queries), at_once):
-        size = min(at_once, n_queries - low)
-        if size < 1:
-            break
-        own = (entries[1] >= low) & (entries[1] < low + size)
-        term, query, value = (e[own] for e in entries)
-        used, at = np.unique(term, return_inverse=True)
-        matrix = np.zeros((len(used), size))
-        np.add.at(matrix, (at, query - low), value)
-        shared = spark.sparkContext.broadcast((used, matrix, None if scale is None else scale[low : low + size]))
-
-        def score(batch, shared=shared):
-            used, matrix, scale = shared.value
+    order = np.argsort(entries[1], kind="stable")
+    terms, query, values = (e[order] for e in entries)
+    first = np.searchsorted(query, np.arange(n_queries + 1))
+    at_once, low, found = max(1, BLOCK_BYTES // 24), 0, None
+    while low < n_queries:
+        high = max(low + 1, int(np.searchsorted(first, first[low] + at_once, "right")) - 1)
+        own = slice(first[low], first[high])
+        used, term = np.unique(terms[own], return_inverse=True)
+        shared = spark.sparkContext.broadcast((used, term, query[own] - low, values[own], first[low : high + 1] - first[low], np.ones(high - low) if scale is None else scale[low:high]))
+
+        def look(batch, best, shared=shared):
+            used, term, query, value, first, scale = shared.value
+            if not len(used):
+                return
             names = {c: k for k, c in enumerate(batch.schema.names)}
             ids, dl, lists, tfs = ids_of(batch.column(names["id"])), batch.column(names["dl"]).to_numpy(), batch.column(names["terms"]), batch.column(names["tfs"])
-            terms, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+            there, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
             row = np.repeat(np.arange(len(ids)), np.diff(offsets))
-            place = np.minimum(np.searchsorted(used, terms), max(0, len(used) - 1))
-            ok = used[place] == terms if len(used) else np.zeros(len(terms), bool)
-            row, place, w = row[ok], place[ok], weight(tfs.flatten().to_numpy()[ok].astype(float), dl[row[ok]].astype(float))
-            step = max(1, TOGETHER // max(1, matrix.shape[1]))
-            a = 0
-            while a < len(row):
-                # whole documents, as many as fit
-                b = int(np.searchsorted(row, row[min(a + step, len(row)) - 1], "left")) if a + step < len(row) else len(row)
-                b = b if b > a else int(np.searchsorted(row, row[a], "right"))
-                docs, first = np.unique(row[a:b], return_index=True)
-                sums = np.add.reduceat(w[a:b, None] * matrix[place[a:b]], first, axis=0)
-                scores = np.round(sums if scale is None else sums / scale, decimals)
-                yield scores, ids[docs], sums > 0
-                a = b
-
-        part = best_rows(index, kind, size, n, score).withColumn("number", F.col("number") + low)
+            place = np.minimum(np.searchsorted(used, there), len(used) - 1)
+            ok = used[place] == there
+            row, place = row[ok], place[ok]
+            block = Impacts(row, place, weight(tfs.flatten().to_numpy()[ok].astype(float), dl[row].astype(float)), len(ids), len(used))
+            # a score that rounds up to the floor counts
+            floors = best.floor * scale - scale * 10.0**-decimals
+            for q in np.flatnonzero((block.bounds(query, term, value, len(scale)) >= floors) & (np.diff(first) > 0)).tolist():
+                rows, scores = block.best(term[first[q] : first[q + 1]], value[first[q] : first[q + 1]], float(floors[q]))
+                if len(rows):
+                    some = scores > 0
+                    best.add(np.full(int(some.sum()), q), ids[rows[some]], np.round(scores[some] / scale[q], decimals))
+
+        part = best_rows(index, kind, high - low, n, look).withColumn("number", F.col("number") + low)
         found = part if found is None else found.unionByName(part)
+        low = high
     return found
 
 
 # ---------------------------------------------------------------- vectors
 
 
+class Balls:
+    """A block of vectors in balls: halves of halves, each along the line through two far members."""
+
+    def __init__(self, x: np.ndarray, size: int = BALL):
+        order, spans, todo = np.arange(len(x)), [], [(0, len(x))]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo <= size:
+                spans.append((lo, hi))
+                continue
+            own = x[order[lo:hi]]
+            a = own[((own - own[0]) ** 2).sum(axis=1).argmax()]
+            b = own[((own - a) ** 2).sum(axis=1).argmax()]
+            middle = (hi - lo) // 2
+            order[lo:hi] = order[lo:hi][np.argpartition(own @ (b - a), middle)]
+            todo += [(lo, lo + middle), (lo + middle, hi)]
+        self.order, self.spans, self.x = order, spans, x[order]
+        self.centres = np.array([self.x[a:b].mean(axis=0) for a, b in spans])
+        self.radii = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(axis=1).max()) for (a, b), c in zip(spans, self.centres)])
+        self.scored = 0
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """(queries x balls) what no member's product can pass: the centre's, and the query's length along the radius."""
+        return queries @ self.centres.T + np.sqrt((queries**2).sum(axis=1))[:, None] * (self.radii + SLACK * (1 + np.sqrt((self.centres**2).sum(axis=1))))
+
+    def look(self, queries: np.ndarray, ids: np.ndarray, best: Best, decimals: int) -> None:
+        """Scores the balls, best bound first, against the queries whose floor a ball's bound reaches."""
+        step = max(1, TOGETHER // max(1, len(self.spans)))
+        for at in range(0, len(queries), step):
+            some = queries[at : at + step]
+            bounds = self.bounds(some)
+            # the balls of each query in turn: its best one first, so that floors rise early
+            order = np.argsort(-bounds, axis=1)
+            for turn in range(len(self.spans)):
+                ball = order[:, turn]
+                open_ = np.flatnonzero(bounds[np.arange(len(some)), ball] >= best.floor[at : at + len(some)] - 10.0**-decimals)
+                if not len(open_):
+                    break
+                for k in np.unique(ball[open_]).tolist():
+                    own = open_[ball[open_] == k]
+                    a, b = self.spans[k]
+                    self.scored += len(own) * (b - a)
+                    scores = np.round(some[own] @ self.x[a:b].T, decimals)
+                    i, j = np.nonzero(scores >= best.floor[at + own][:, None])
+                    best.add(at + own[i], ids[self.order[a + j]], scores[i, j])
+                best.settle()
+
+
 def dense_top(vectors: DataFrame, queries: np.ndarray, n: int, decimals: int) -> DataFrame:
     """(number, id, score): the n largest inner products of each query vector by task. vectors: id, v (array of doubles, none null)."""
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)["id"]
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(queries.T))
-
-    def score(batch):
-        m = shared.value
-        ids, lists = ids_of(batch.column(0)), batch.column(1)
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        step = max(1, TOGETHER // max(1, m.shape[1]))
-        width = m.shape[0]
-        for at in range(0, len(ids), step):
-            part = flat[at * width : (at + step) * width].reshape(-1, width)
-            yield np.round(part @ m, decimals), ids[at : at + step], None
-
-    return best_rows(vectors, kind, len(queries), n, score)
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(queries))
+
+    def look(batch, best):
+        q = shared.value
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+        Balls(x).look(q, ids_of(batch.column(0)), best, decimals)
+
+    return best_rows(vectors, kind, len(queries), n, look)

@@ -149,7 +149,7 @@ def bm25_top(queries: DataFrame, docs: DataFrame, n: int, cfg: RankConfig = RANK
     index = index or lexical_index(queries, docs)
     keys, (term, query, times) = _query_terms(queries, key, index)
     k1, b, mean = cfg.k1, cfg.b, max(index.mean_length, 1e-9)
-    found = blocks.lexical_top(index.rows, (term, query, times * _idf(index)[term]), len(index.terms), len(keys), n, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), BM25_DECIMALS)
+    found = blocks.lexical_top(index.rows, (term, query, times * _idf(index)[term]), len(keys), n, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), BM25_DECIMALS)
     best = stored(_named(found, keys, queries, key, n, dict(index.rows.dtypes)["id"]))
     # fewer than n match only if all that match are in `best`, so 2n ids always hold enough others
     short = queries.select(*key).distinct().join(best.groupBy(*key).agg(F.count("*").alias("have")), key, "left").where(F.coalesce("have", F.lit(0)) < n).select(*key)
@@ -165,7 +165,7 @@ def overlap_top(queries: DataFrame, docs: DataFrame, n: int, key: list[str] = ["
     index = index or lexical_index(queries, docs)
     keys, (term, query, _) = _query_terms(queries, key, index)
     sizes = np.maximum(1, np.bincount(query, minlength=len(keys))).astype(float)
-    found = blocks.lexical_top(index.rows, (term, query, np.ones(len(term))), len(index.terms), len(keys), n, lambda tf, dl: np.ones(len(tf)), DECIMALS, sizes)
+    found = blocks.lexical_top(index.rows, (term, query, np.ones(len(term))), len(keys), n, lambda tf, dl: np.ones(len(tf)), DECIMALS, sizes)
     return _named(found, keys, queries, key, n, dict(index.rows.dtypes)["id"])
 
 
