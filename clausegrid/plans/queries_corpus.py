@@ -11,7 +11,7 @@ from clausegrid.functions.text import bool_text
 from clausegrid.operators import corpus as C, evidence as E, provenance as H, relational as A
 from clausegrid.plans.fixtures import derived, fixture, with_fixtures
 from clausegrid.storage import scratch
-from clausegrid.sources import scans as S, sinks as K
+from clausegrid.sources import log as L, scans as S, sinks as K
 from clausegrid.streaming import jobs
 
 QUERIES: dict = {}
@@ -218,6 +218,15 @@ def _(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
+@query("k04_committed_log", "SELECT o_orderkey AS k, o_orderstatus AS s, o_orderkey % 3 AS part FROM orders")
+def _(spark, sf_dir):
+    """Three batches, one of them sent twice."""
+    path, rows = f"{scratch(spark, 'log')}/calls", derived(spark, sf_dir, "SELECT o_orderkey AS k, o_orderstatus AS s, o_orderkey % 3 AS part FROM orders")
+    for part in (0, 1, 1, 2):
+        L.append(rows.where(F.col("part") == part), path, f"part {part}")
+    return L.read(spark, path, rows.schema)
+
+
 @query("k06_report", "SELECT string_agg(line, chr(10) ORDER BY o) AS report FROM (SELECT -2 AS o, '| k | share |' AS line UNION ALL SELECT -1, '| --- | --- |' UNION ALL SELECT n_nationkey, '| ' || n_nationkey || ' | ' || printf('%.4f', n_nationkey / 8.0) || ' |' FROM nation)")
 def _(spark, sf_dir):
     rows = derived(spark, sf_dir, NATIONS).orderBy("k").select("k", (F.col("k") / 8.0).cast("double").alias("share"))

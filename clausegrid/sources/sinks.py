@@ -62,30 +62,55 @@ def remaining(rows: DataFrame, done: DataFrame, key: str, pinned: tuple[str, ...
 def append_remaining(rows: DataFrame, path: str, key: str, pinned: tuple[str, ...] = ()) -> int:
     """Appends what a Parquet folder does not have yet, in one committed job; gives the number of rows written.
 
-    Only a folder that is not there counts as empty; one that cannot be read is an error.
+    Only a folder that is not there counts as empty; one that cannot be read is an error. The rows are computed once: their number is what the files' footers
+    tell before and after.
     """
     spark = rows.sparkSession
     done = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], rows.schema)
-    todo = remaining(rows, done, key, pinned)
-    n = todo.count()
-    todo.write.mode("append").parquet(path)
-    return n
+    before = done.count()
+    remaining(rows, done, key, pinned).write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).count() - before
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, where = _file_system(spark, old)
+    if not fs.rename(where, _file_system(spark, new)[1]):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def recover_log(spark: SparkSession, path: str) -> None:
+    """Ends or undoes what a replace_log that died has left: the log is what it was before, or what it was to become if all of that was written."""
+    fresh, old = f"{path}.fresh", f"{path}.old"
+    if not exists(spark, path):
+        if exists(spark, f"{fresh}/_SUCCESS"):
+            _rename(spark, fresh, path)
+        elif exists(spark, old):
+            _rename(spark, old, path)
+    _delete(spark, fresh)
+    _delete(spark, old)
 
 
 def replace_log(rows: DataFrame, path: str) -> None:
-    """Adds rows to a log of JSON lines by writing the whole log anew beside it and renaming; a failed job leaves the old log."""
+    """Adds rows to a log of JSON lines by writing the whole log anew beside it and renaming.
+
+    Whatever step it dies at, the old log or the whole new one is in the folder or beside it, and the next call begins by putting it back. One
+    writer at a time; for several, or for appends that do not write everything again, see sources.log.
+    """
     spark = rows.sparkSession
     fresh, old = f"{path}.fresh", f"{path}.old"
-    fs, where = _file_system(spark, path)
-    for left in (fresh, old):
-        fs.delete(_file_system(spark, left)[1], True)
-    there = fs.exists(where)
+    recover_log(spark, path)
+    there = exists(spark, path)
     before = spark.read.schema(rows.schema).json(path) if there else None
     json_lines(rows if before is None else before.unionByName(rows), fresh)
     if there:
-        fs.rename(where, _file_system(spark, old)[1])
-    fs.rename(_file_system(spark, fresh)[1], where)
-    fs.delete(_file_system(spark, old)[1], True)
+        _rename(spark, path, old)
+    _rename(spark, fresh, path)
+    _delete(spark, old)
 
 
 def archive(members: dict[str, bytes]) -> bytes:
