@@ -50,3 +50,15 @@ NOTEBOOK = replace(RANK, scope_bias=False, drop_textless=True, relaxed_margin=RA
 WINDOW = WindowConfig()
 ASSIGNMENT_SENTINEL = "__ASSIGNMENT_REQUIRED__"
 Z_95 = 1.959963984540054
+
+
+#: Conditions of the sensitivity grid (fixed values): each moves one constant of the gates by a fifth.
+CONDITIONS = {
+    "baseline": RANK,
+    "alpha_minus20": replace(RANK, blend=0.52),
+    "alpha_plus20": replace(RANK, blend=0.78),
+    "adoption_minus20": replace(RANK, adopt_margin=0.12),
+    "adoption_plus20": replace(RANK, adopt_margin=0.18),
+    "skip_minus20": replace(RANK, skip_margin=0.08),
+    "skip_plus20": replace(RANK, skip_margin=0.12),
+}

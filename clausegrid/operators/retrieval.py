@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from clausegrid.config import RANK, RankConfig
+from clausegrid.config import CONDITIONS, RANK, RankConfig
 from clausegrid.functions.text import control_aliases, normalize_text, privilege_scope, tokenize
 from clausegrid.operators import blocks
+from clausegrid.operators.provenance import table_digest
 from clausegrid.storage import stored
 
 #: Scores are rounded before they are ranked, so that the order of a sum never decides.
@@ -249,6 +250,38 @@ def min_max(value: str, by: list[str]) -> Column:
     return F.when(high - low < 1e-12, F.lit(0.0)).otherwise((F.col(value) - low) / (high - low))
 
 
+#: What the gates read of a configuration. As columns, many configurations share one plan.
+GATE_SETTINGS = ("blend", "adopt_margin", "relaxed_margin", "low_confidence", "skip_margin", "skip_enabled", "drop_textless")
+
+
+def base_order(fused: DataFrame, cfg: RankConfig = RANK) -> DataFrame:
+    """q, id, score, base_rank, base_margin of the candidates. fused: q, id, score."""
+    base = ranked(fused, ["q"], [F.desc("score"), F.col("id")], "base_rank", cfg.candidates)
+    return base.join(margin(base, "score", "base_rank", "base_margin"), "q")
+
+
+def _gated(rows: DataFrame, by: list[str], setting: dict[str, Column]) -> DataFrame:
+    """The gates and the final order of every group. rows: by, id, score, base_rank, base_margin, pred."""
+    confident = setting["skip_enabled"] & (F.col("base_margin") >= setting["skip_margin"])
+    rows = rows.withColumn("confident", confident).withColumn("pred", F.when(~F.col("confident"), F.col("pred")))
+    some = F.max(F.col("pred").isNotNull()).over(W.partitionBy(*by))
+    rows = rows.withColumn("called", ~F.col("confident") & some)
+    rows = rows.where(~setting["drop_textless"] | ~F.col("called") | F.col("pred").isNotNull())
+    has = F.col("pred").isNotNull()
+    rows = rows.withColumn("has", has)
+    rows = rows.withColumn("blend", F.when(has, F.round(setting["blend"] * min_max("score", [*by, "has"]) + (1 - setting["blend"]) * min_max("pred", [*by, "has"]), DECIMALS)))
+    rows = ranked(rows, by, [F.desc("has"), F.desc_nulls_last("blend"), F.col("base_rank")], "rerank_rank")
+    group = W.partitionBy(*by)
+    place = lambda k: F.max(F.when(F.col("has") & (F.col("rerank_rank") == k), F.col("blend"))).over(group)
+    lead = F.round(F.when(F.count_if("has").over(group) > 1, (place(1) - place(2)) / F.greatest(place(1), F.lit(1e-9))).otherwise(1.0), DECIMALS)
+    rows = rows.withColumn("rerank_margin", F.when(F.max("has").over(group), lead))
+    changed = F.max(F.when((F.col("rerank_rank") == 1) & (F.col("base_rank") != 1), 1).otherwise(0)).over(group) == 1
+    least = F.when(F.col("base_margin") < setting["low_confidence"], F.least(setting["adopt_margin"], setting["relaxed_margin"])).otherwise(setting["adopt_margin"])
+    rows = rows.withColumn("applied", F.col("called") & ~(changed & (F.col("rerank_margin") < least)))
+    rows = rows.withColumn("final_rank", F.when(F.col("applied"), F.col("rerank_rank")).otherwise(F.row_number().over(group.orderBy("base_rank"))))
+    return rows.withColumn("final_margin", F.when(F.col("applied"), F.col("rerank_margin")).otherwise(F.col("base_margin"))).drop("has", "confident")
+
+
 def rerank(fused: DataFrame, scores: DataFrame, cfg: RankConfig = RANK) -> DataFrame:
     """The cut, both margins, the gates and the final order of every query.
 
@@ -256,25 +289,59 @@ def rerank(fused: DataFrame, scores: DataFrame, cfg: RankConfig = RANK) -> DataF
     keep it and their scores are not looked at. Columns: q, id, score, base_rank, base_margin, called, pred, blend,
     rerank_rank, rerank_margin, applied, final_rank, final_margin.
     """
-    base = ranked(fused, ["q"], [F.desc("score"), F.col("id")], "base_rank", cfg.candidates)
-    base = base.join(margin(base, "score", "base_rank", "base_margin"), "q")
-    confident = (F.col("base_margin") >= cfg.skip_margin) if cfg.skip_enabled else F.lit(False)
-    rows = base.withColumn("confident", confident).join(scores, ["q", "id"], "left").withColumn("pred", F.when(~F.col("confident"), F.col("pred")))
-    some = F.max(F.col("pred").isNotNull()).over(W.partitionBy("q"))
-    rows = rows.withColumn("called", ~F.col("confident") & some)
-    if cfg.drop_textless:
-        rows = rows.where(~F.col("called") | F.col("pred").isNotNull())
-    has = F.col("pred").isNotNull()
-    rows = rows.withColumn("has", has)
-    rows = rows.withColumn("blend", F.when(has, F.round(cfg.blend * min_max("score", ["q", "has"]) + (1 - cfg.blend) * min_max("pred", ["q", "has"]), DECIMALS)))
-    rows = ranked(rows, ["q"], [F.desc("has"), F.desc_nulls_last("blend"), F.col("base_rank")], "rerank_rank")
-    rows = rows.join(margin(rows.where("has"), "blend", "rerank_rank", "rerank_margin"), "q", "left")
-    changed = F.max(F.when((F.col("rerank_rank") == 1) & (F.col("base_rank") != 1), 1).otherwise(0)).over(W.partitionBy("q")) == 1
-    least = F.when(F.col("base_margin") < cfg.low_confidence, min(cfg.adopt_margin, cfg.relaxed_margin)).otherwise(cfg.adopt_margin)
-    applied = F.col("called") & ~(changed & (F.col("rerank_margin") < least))
-    rows = rows.withColumn("applied", applied)
-    rows = rows.withColumn("final_rank", F.when(F.col("applied"), F.col("rerank_rank")).otherwise(F.row_number().over(W.partitionBy("q").orderBy("base_rank"))))
-    return rows.withColumn("final_margin", F.when(F.col("applied"), F.col("rerank_margin")).otherwise(F.col("base_margin"))).drop("has", "confident")
+    rows = base_order(fused, cfg).join(scores, ["q", "id"], "left")
+    return _gated(rows, ["q"], {name: F.lit(getattr(cfg, name)) for name in GATE_SETTINGS})
+
+
+def rerank_each(channels: DataFrame, configs: list[tuple[str, bool, RankConfig]]) -> DataFrame:
+    """What rerank gives for each configuration, with its condition and whether its gates are on: one plan, in which configurations are rows.
+
+    channels: q, id, score, base_rank, base_margin, pred of the candidates, see capture.
+    """
+    kinds = ["boolean" if isinstance(getattr(RANK, name), bool) else "double" for name in GATE_SETTINGS]
+    schema = ", ".join(["condition string", "gated boolean", *(f"_{n} {k}" for n, k in zip(GATE_SETTINGS, kinds))])
+    table = channels.sparkSession.createDataFrame([(name, gated, *(getattr(cfg, n) for n in GATE_SETTINGS)) for name, gated, cfg in configs], schema)
+    rows = channels.join(F.broadcast(table), how="cross")  # a row for each configuration
+    return _gated(rows, ["condition", "gated", "q"], {n: F.col(f"_{n}") for n in GATE_SETTINGS}).drop(*(f"_{n}" for n in GATE_SETTINGS))
+
+
+def without_gates(cfg: RankConfig) -> RankConfig:
+    """The same configuration, in which every proposal of the second stage is adopted."""
+    return replace(cfg, skip_enabled=False, adopt_margin=0.0, relaxed_margin=0.0)
+
+
+def sensitivity(channels: DataFrame, gold: DataFrame, conditions: dict[str, RankConfig] = CONDITIONS, most: int = 10) -> DataFrame:
+    """condition, q, id, rank, called, applied, stage, proposal, prevented_error, blocked_correction.
+
+    id: the first id under the condition's gates, proposal: without them; rank: of the gold id within `most`, 0 if it is missing; stage: the gate that kept the base
+    order (skip, adoption, or none). A gate prevents an error where id is the gold one and the proposal is not, and blocks a correction in the
+    opposite case. gold: q, gold; queries without one have rank 0 and neither.
+    """
+    configs = [(name, gated, cfg if gated else without_gates(cfg)) for name, cfg in conditions.items() for gated in (True, False)]
+    rows = rerank_each(channels, configs).join(gold, "q", "left")
+    first, own = F.col("final_rank") == 1, F.col("gated")
+    only = lambda on, what: F.max(F.when(on, F.col(what)))
+    out = rows.groupBy("condition", "q").agg(only(own & first, "id").alias("id"), only(~own & first, "id").alias("proposal"), F.max("gold").alias("gold"), only(own & first, "called").alias("called"), only(own & first, "applied").alias("applied"),
+                                             F.coalesce(F.min(F.when(own & (F.col("id") == F.col("gold")) & (F.col("final_rank") <= most), F.col("final_rank"))), F.lit(0)).alias("rank"))
+    out = out.withColumn("stage", F.when(~F.col("called"), "skip").when(~F.col("applied"), "adoption").otherwise("none"))
+    right, proposed = F.col("id").eqNullSafe(F.col("gold")), F.col("proposal").eqNullSafe(F.col("gold"))
+    held = (F.col("stage") != "none") & F.col("gold").isNotNull()
+    return out.select("condition", "q", "id", "rank", "called", "applied", "stage", "proposal", (held & right & ~proposed).alias("prevented_error"), (held & ~right & proposed).alias("blocked_correction"))
+
+
+def capture(fused: DataFrame, scores: DataFrame, path: str, cfg: RankConfig = RANK) -> str:
+    """Stores the candidates of every query with their channels (q, id, score, base_rank, base_margin, pred) at a new path; gives the table's digest."""
+    base_order(fused, cfg).join(scores, ["q", "id"], "left").select("q", "id", "score", "base_rank", "base_margin", "pred").write.parquet(path)
+    return table_digest(fused.sparkSession.read.parquet(path))
+
+
+def replay(spark: SparkSession, path: str, digest: str) -> DataFrame:
+    """The captured channels; an error if they are not those that the digest was taken of."""
+    channels = spark.read.parquet(path)
+    found = table_digest(channels)
+    if found != digest:
+        raise ValueError(f"captured channels have the digest {found}, not {digest}")
+    return channels
 
 
 def rank_controls(variants: DataFrame, docs: DataFrame, scores: DataFrame | Callable[[DataFrame], DataFrame], dense: DataFrame | None = None, cfg: RankConfig = RANK) -> DataFrame:

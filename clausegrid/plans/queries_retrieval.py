@@ -10,7 +10,7 @@ from clausegrid.config import NOTEBOOK, RANK
 from clausegrid.functions.text import tokenize
 from clausegrid.operators import metrics as M, retrieval as R
 from clausegrid.plans.fixtures import derived, fixture, with_fixtures
-from clausegrid.storage import stored
+from clausegrid.storage import scratch, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -346,24 +346,30 @@ f AS (SELECT q, r, o FROM k WHERE len(list_intersect(a, b)) / len(list_distinct(
 SELECT t.q, query || coalesce('|' || string_agg(r, '|' ORDER BY o), '') AS variants FROM t LEFT JOIN f ON f.q = t.q GROUP BY t.q, query"""
 
 
-CONDITIONS = (("baseline", RANK), ("no_skip", replace(RANK, skip_enabled=False)), ("blend_50", replace(RANK, blend=0.5)), ("adopt_05", replace(RANK, adopt_margin=0.05)))
-_condition_sql = {"baseline": {}, "no_skip": {"skip_on": False}, "blend_50": {"blend": 0.5}, "adopt_05": {"adopt": 0.05}}
+_condition_sql = {"baseline": {}, "alpha_minus20": {"blend": 0.52}, "alpha_plus20": {"blend": 0.78}, "adoption_minus20": {"adopt": 0.12}, "adoption_plus20": {"adopt": 0.18}, "skip_minus20": {"skip": 0.08}, "skip_plus20": {"skip": 0.12}}
+
+
+def captured(spark, sf_dir):
+    """The channels of all queries, captured once and read again by their digest."""
+    fused, path = stored(fused_of(spark, sf_dir)), f"{scratch(spark, 'channels')}/candidates"
+    return R.replay(spark, path, R.capture(fused, pred_for(spark, sf_dir)(fused.select("q", "id")), path))
 
 
 @query("r33_sensitivity_grid", None)
 def _(spark, sf_dir):
-    """The channels are scored once; conditions only differ in the gates."""
-    fused = stored(fused_of(spark, sf_dir))
-    scores, out = stored(pred_for(spark, sf_dir)(fused.select("q", "id"))), None
-    for name, cfg in CONDITIONS:
-        one = R.rerank(fused, scores, cfg).where("final_rank = 1").select(F.lit(name).alias("condition"), "q", "id", "applied")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Seven conditions, each with its gates on and off, over one reading of the channels."""
+    return R.sensitivity(captured(spark, sf_dir), gold_of(spark, sf_dir))
 
 
 def _grid_sql() -> str:
-    parts = [f"SELECT * FROM (WITH {rerank_sql(**o)} SELECT '{n}' AS condition, q, id, applied FROM fin WHERE final_rank = 1)" for n, o in _condition_sql.items()]
-    return f"{ALL_SQL} {' UNION ALL '.join(parts)}"
+    one = lambda name, gated, o: f"SELECT * FROM (WITH {rerank_sql(**o)} SELECT '{name}' AS condition, {gated} AS gated, q, id, final_rank, called, applied FROM fin)"
+    parts = [one(n, str(gated).lower(), o if gated else o | {"skip_on": False, "adopt": 0, "relaxed": 0}) for n, o in _condition_sql.items() for gated in (True, False)]
+    return f"""{ALL_SQL}, gold AS MATERIALIZED ({GOLD_SQL}), every AS ({' UNION ALL '.join(parts)}),
+tops AS (SELECT condition, q, max(id) FILTER (WHERE gated AND final_rank = 1) AS id, max(id) FILTER (WHERE NOT gated AND final_rank = 1) AS proposal, bool_or(called) FILTER (WHERE gated AND final_rank = 1) AS called,
+  bool_or(applied) FILTER (WHERE gated AND final_rank = 1) AS applied, CAST(coalesce(min(final_rank) FILTER (WHERE gated AND id = gold AND final_rank <= 10), 0) AS INTEGER) AS rank, max(gold) AS gold FROM every LEFT JOIN gold USING (q) GROUP BY condition, q),
+staged AS (SELECT *, CASE WHEN NOT called THEN 'skip' WHEN NOT applied THEN 'adoption' ELSE 'none' END AS stage FROM tops)
+SELECT condition, q, id, rank, called, applied, stage, proposal, stage <> 'none' AND gold IS NOT NULL AND id = gold AND proposal <> gold AS prevented_error,
+  stage <> 'none' AND gold IS NOT NULL AND id <> gold AND proposal = gold AS blocked_correction FROM staged"""
 
 
 ORACLES["r33_sensitivity_grid"] = _grid_sql()
@@ -371,9 +377,7 @@ ORACLES["r33_sensitivity_grid"] = _grid_sql()
 
 @query("r32_replay_channels", f"{ALL_SQL}, {rerank_sql()} SELECT q, id, CAST(final_rank AS INTEGER) AS final_rank FROM fin WHERE final_rank <= 3")
 def _(spark, sf_dir):
-    fused = stored(fused_of(spark, sf_dir))
-    return R.rerank(fused, pred_for(spark, sf_dir)(fused.select("q", "id")), RANK).where("final_rank <= 3").select("q", "id", "final_rank")
-
+    return R.rerank_each(captured(spark, sf_dir), [("baseline", True, RANK)]).where("final_rank <= 3").select("q", "id", "final_rank")
 
 
 @query("r34_retrieval_documents", f"{ALL_SQL}, {rerank_sql()} SELECT q, CAST(final_rank AS INTEGER) AS rank, doc_id AS id, source, n_chars FROM fin JOIN documents ON doc_id = id WHERE final_rank <= 5")

@@ -144,3 +144,30 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "q long, id long, text string, score double, pred double")
     assert R.bm25_top(none.select("q", "text"), none.select("id", "text"), 3).count() == 0
     assert R.rerank(none.select("q", "id", "score"), none.select("q", "id", "pred")).count() == 0
+
+
+def test_conditions_are_rows_of_one_plan(spark, tmp_path):
+    import random
+    from dataclasses import replace
+
+    rng = random.Random(6)
+    fused = spark.createDataFrame([(q, i, round(rng.choice([0.5, 0.52, 0.9]) - 0.02 * i * rng.random(), 4)) for q in range(12) for i in range(6)], "q long, id long, score double")
+    pred = spark.createDataFrame([(q, i, rng.random()) for q in range(12) for i in range(6) if rng.random() < 0.8], "q long, id long, pred double")
+    path = str(tmp_path / "channels")
+    digest = R.capture(fused, pred, path)
+    channels = R.replay(spark, path, digest)
+    configs = {"base": RANK, "other": replace(RANK, blend=0.1, skip_margin=0.01), "textless": replace(RANK, drop_textless=True)}
+    every = R.rerank_each(channels, [(n, g, c if g else R.without_gates(c)) for n, c in configs.items() for g in (True, False)])
+    columns = ["q", "id", "called", "blend", "rerank_rank", "rerank_margin", "applied", "final_rank", "final_margin"]
+    for n, c in configs.items():
+        for g in (True, False):
+            alone = R.rerank(fused, pred, c if g else R.without_gates(c)).select(*columns)
+            assert sorted(map(str, alone.collect())) == sorted(map(str, every.where((F.col("condition") == n) & (F.col("gated") == g)).select(*columns).collect()))
+    gold = spark.createDataFrame([(q, 0) for q in range(11)], "q long, gold long")
+    grid = R.sensitivity(channels, gold, configs).collect()
+    assert len(grid) == 36 and all(not r["prevented_error"] and not r["blocked_correction"] for r in grid if r["q"] == 11 or r["stage"] == "none")
+    assert {r["stage"] for r in grid} <= {"skip", "adoption", "none"} and all(r["rank"] == 1 for r in grid if r["q"] < 11 and r["id"] == 0)
+    channels.withColumn("pred", F.col("pred") + 0.5).write.parquet(path + "2")
+    with pytest.raises(ValueError):
+        R.replay(spark, path + "2", digest)
+    assert H.table_digest(channels.repartition(5)) == digest
