@@ -7,7 +7,7 @@ of a similarity of t or more that have n and m shingles share at least ceil(t *
 n - ceil(t * n) + l of the one and the first m - ceil(t * m) + l of the other share at least l (prefix filter), where l grows with the
 smaller set. Only these shingles become rows. Nodes are first held against the least node of a shingle; shingles that only one
 component has left are done. In what remains, pairs of shingles with few nodes are counted and those that share l of them verified.
-Shingles with many nodes go to tasks in blocks, with their 64-bit hashes. Sketches (the parity of the hashes in 8 bits a shingle or more)
+Shingles with many nodes go to tasks in blocks, and their nodes' 64-bit hashes once to each task. Sketches (the parity of the hashes in 8 bits a shingle or more)
 bound the number of shingles that only one set has from below, pairs within the bound are compared by their hashes, and of the similar pairs a task only
 gives as many as join the same nodes, so what leaves it grows with its nodes, not with their pairs. All that is linked is verified on the texts. As everywhere here
 shingles count as equal if their 64-bit hashes are; only two shingles of one pair of texts that collide in all 64 bits (2^-64 a pair of shingles) could change a verdict.
@@ -34,6 +34,8 @@ SAMPLE, COMMON = 2000, 3
 SALTS, FEW, BLOCK = 64, 16, 2048
 #: Shingles of a block's nodes, about: their hashes are what a task holds.
 BLOCK_SHINGLES = 1 << 21
+#: Shingles of all units of a part, about: the most that its nodes have, if no two units share one.
+PART_SHINGLES = 1 << 24
 #: Bits of a sketch for each shingle, and 64-bit words at least and at most.
 SKETCH_BITS, LEAST_WORDS, MOST_WORDS = 8, 2, 128
 _WORDS = 1 << 16
@@ -268,32 +270,45 @@ def in_blocks(rows: DataFrame, docs: DataFrame, text: str, width: int, least: fl
 
     sets = cut(map_columns(texts_of_nodes(rows, docs, text), ["text"], ["node"], hashed, make))
     dealt = rows.withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # units go to parts; a part gets the hashes of each of its nodes once, however many of its shingles the node has
+    parts = max(1, -(-(dealt.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) // PART_SHINGLES))
     units = dealt.select("w", "node", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("w", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "g", "own").join(sets, "node")
+    units = units.select("w", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "g", "own").withColumn("part", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(parts)))
+    units = cut(units)
+    none = {c: F.lit(None).cast("int" if c in ("lo", "hi", "own") else "long") for c in ("w", "lo", "hi", "g", "own")}
+    heads = units.select("part", "node").distinct().join(sets, "node").select("part", F.lit(0).alias("kind"), "node", "hashes").withColumns(none)
+    every = heads.unionByName(units.withColumns({"kind": F.lit(1), "hashes": F.lit(None).cast("binary")}))
 
     def run(batches):
         held: list[tuple] = []
-        unit = None
+        known: dict[int, np.ndarray] = {}
+        part = unit = None
 
         def settle():
+            # unit: part, w, lo, hi
             if len(held) < 2:
                 return None
-            node, g, own = (np.array(c, np.int64) for c in list(zip(*held))[:3])
-            a, b = near_pairs(node, g, own, [np.frombuffer(r[3], "<u8") for r in held], unit[1] != unit[2], least)
+            node, g, own = (np.array(c, np.int64) for c in zip(*held))
+            a, b = near_pairs(node, g, own, [known[k] for k in node.tolist()], unit[2] != unit[3], least)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
 
         for batch in batches:
-            for w, lo, hi, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("w", "lo", "hi", "node", "g", "own", "hashes"))):
-                if (w, lo, hi) != unit:
+            for p, kind, w, lo, hi, *row, hashes in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "kind", "w", "lo", "hi", "node", "g", "own", "hashes"))):
+                if (p, w, lo, hi) != unit:
                     if (found := settle()) is not None:
                         yield found
-                    unit, held = (w, lo, hi), []
-                held.append(row)
+                    unit, held = (p, w, lo, hi), []
+                if p != part:
+                    part, known = p, {}
+                if kind == 0:
+                    known[row[0]] = np.frombuffer(hashes, "<u8")
+                else:
+                    held.append(row)
         if (found := settle()) is not None:
             yield found
         release()
 
-    return units.repartition("w", "lo", "hi").sortWithinPartitions("w", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    return every.repartition("part").sortWithinPartitions("part", "kind", "w", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, least: float = LEAST_JACCARD, seeds: DataFrame | None = None, few: int = FEW, block: int = BLOCK) -> DataFrame:
