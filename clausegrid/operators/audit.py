@@ -68,6 +68,50 @@ def profile_tags(record: Column, answer: Column, required: Column, status: Colum
             .when(~v.isin("rev4", "rev5"), F.array(F.lit("ProfileResolutionRequiresCorpusVersion"))).otherwise(found))
 
 
+#: Conditions that a profile is tried under (fixed names), and those in which it may fill a placeholder.
+PROFILE_CONDITIONS = ("complete", "empty", "partial", "wrong_revision", "unknown_keys", "unversioned", "placeholder_values", "literal_backslashes")
+MAY_FILL = ("complete", "partial", "literal_backslashes")
+
+
+def profile_cases(contracts: DataFrame, revision: str = "rev5") -> DataFrame:
+    """Every contract under every condition: adds original, keys, condition, values (map) and profile_revision.
+
+    contracts: spans (array of struct(source_id, span_text)). The partial profile lacks the last of the contract's keys.
+    """
+    original = F.trim(F.array_join(F.transform("spans", lambda s: text_of(s["span_text"])), "\n\n"))
+    rows = contracts.withColumn("original", original).withColumn("keys", F.array_sort(F.array_distinct(placeholder_keys(F.col("original"), CURLY_SPACED))))
+    rows = rows.withColumn("condition", F.explode(F.array(*map(F.lit, PROFILE_CONDITIONS))))
+    c, keys = F.col("condition"), F.col("keys")
+    here = F.when(c.isin("empty", "unknown_keys"), none()).when(c == "partial", F.slice(keys, 1, F.greatest(F.size(keys) - 1, F.lit(0)))).otherwise(keys)
+    value = lambda k: F.when(c == "placeholder_values", F.lit("{{ insert: param, unapproved_new_parameter }}")).when(c == "literal_backslashes", F.concat(F.lit("C:\\Synthetic\\1\\"), k)).otherwise(F.concat(F.lit(f"synthetic::{revision}::"), k))
+    values = F.map_from_arrays(here, F.transform(here, value))
+    unknown = F.create_map(F.lit("__unknown_parameter_not_in_evidence__"), F.lit("synthetic::unused"))
+    declared = F.when(c == "wrong_revision", "rev4" if revision == "rev5" else "rev5").when(c == "unversioned", F.lit(None).cast("string")).otherwise(revision)
+    return rows.withColumn("values", F.when(c == "unknown_keys", unknown).otherwise(values)).withColumn("profile_revision", declared)
+
+
+def expected_resolution(cases: DataFrame) -> DataFrame:
+    """Adds what each case must give, from its text and its condition alone: expected_answer, expected_required, expected_status, expected_bindings."""
+    used = F.when(F.col("condition").isin(*MAY_FILL), F.filter("keys", lambda k: F.map_contains_key(F.col("values"), k))).otherwise(none())
+    tokens = F.regexp_extract_all("original", F.lit(CURLY_SPACED), 0)
+    found = F.transform(tokens, lambda t: F.struct(t.alias("token"), placeholder_keys(t, CURLY_SPACED)[0].alias("k")))
+    filled = F.aggregate(F.filter(found, lambda x: F.array_contains(F.col("used"), x["k"])), F.col("original"), lambda text, x: F.replace(text, x["token"], F.col("values")[x["k"]]))
+    required = F.concat(F.array_except("keys", "used"), F.when(F.col("original").rlike(ASSIGNMENT_SPACED), F.array(F.lit(ASSIGNMENT_SENTINEL))).otherwise(none()))
+    rows = cases.withColumn("used", used).withColumn("expected_answer", filled)
+    rows = rows.withColumn("expected_required", F.array_sort(F.array_distinct(F.transform(required, normalize_parameter))))
+    rows = rows.withColumn("expected_status", F.when(F.size("expected_required") > 0, "PARAMS_REQUIRED").otherwise("OK"))
+    return rows.withColumn("expected_bindings", F.array_sort(F.transform("used", lambda k: F.concat(k, F.lit("="), F.col("values")[k])))).drop("used")
+
+
+def resolution_outcomes(cases: DataFrame, corpus_version: str = "rev5") -> DataFrame:
+    """Adds r, what profile_resolution gives each case, and agrees: whether answer, list, status and bindings are the expected ones."""
+    rows = expected_resolution(cases).withColumn("r", profile_resolution(F.col("spans"), F.col("values"), F.col("profile_revision"), F.lit(corpus_version)))
+    required = F.array_sort(F.array_distinct(F.transform("r.required", normalize_parameter)))
+    bindings = F.array_sort(F.transform("r.record.bindings", lambda b: F.concat(b["param_id"], F.lit("="), b["value"])))
+    same = (F.col("r.answer") == F.col("expected_answer")) & (required == F.col("expected_required")) & (F.col("r.status") == F.col("expected_status")) & (bindings == F.col("expected_bindings"))
+    return rows.withColumn("agrees", same)
+
+
 def prepared_contexts(queries: DataFrame, windows: DataFrame, manifests: DataFrame, key: str = "q") -> DataFrame:
     """One nested row for each query with its window, the window's manifest and its own hash; gold fields never enter."""
     docs = windows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "id", "text"))).alias("evidence_window"))

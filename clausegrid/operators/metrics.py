@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausegrid.config import Z_95
@@ -35,32 +37,127 @@ def wilson(successes: Column, n: Column, clamp: bool = False) -> tuple[Column, C
     return (rounded(F.greatest(low, F.lit(0.0))), rounded(F.least(high, F.lit(1.0)))) if clamp else (rounded(low), rounded(high))
 
 
+#: ln(k!) less Stirling's formula, for k from 1 to 15.
+_STIRLING = [math.lgamma(k + 1) - ((k + 0.5) * math.log(k) - k + 0.5 * math.log(2 * math.pi)) for k in range(1, 16)]
+
+
+def _with(f: Callable[..., Column], **values: Column) -> Column:
+    """f of values that are computed once, however often f names them."""
+    return F.element_at(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), lambda s: f(*(s[k] for k in values))), 1)
+
+
+def _stirling(n: Column) -> Column:
+    """ln(n!) less Stirling's formula, for whole n of 1 or more: no difference of large logarithms is ever taken."""
+    far = lambda i, i2: i * (1 / 12 - i2 * (1 / 360 - i2 * (1 / 1260 - i2 * (1 / 1680 - i2 / 1188))))
+    near = F.element_at(F.array(*map(F.lit, _STIRLING)), F.greatest(F.least(n, F.lit(15.0)), F.lit(1.0)).cast("int"))
+    return F.when(n < 16, near).otherwise(_with(far, i=1 / n, i2=1 / (n * n)))
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x, to full precision where the two are close."""
+
+    def close(x, d, v, v2):
+        series = F.lit(1 / 19)
+        for k in range(8, 0, -1):
+            series = F.lit(1 / (2 * k + 1)) + v2 * series
+        return d * v + 2 * x * v * v2 * series
+
+    def either(x, mean):
+        d, v = x - mean, (x - mean) / (x + mean)
+        return F.when(F.abs(d) < 0.1 * (x + mean), _with(close, x=x, d=d, v=v, v2=v * v)).otherwise(x * F.log(x / mean) - d)
+
+    return _with(either, x=x, mean=mean)
+
+
+def log_binomial(x: Column, n: Column, p: Column, q: Column) -> Column:
+    """ln of the binomial probability of x of n, for p + q = 1, both above 0."""
+
+    def value(x, n, p, q):
+        far = F.transform(F.array(n, x, n - x), _stirling)
+        off = F.transform(F.array(F.struct(x.alias("x"), (n * p).alias("mean")), F.struct((n - x).alias("x"), (n * q).alias("mean"))), lambda s: _deviance(s["x"], s["mean"]))
+        inner = _with(lambda far, off: far[0] - far[1] - far[2] - off[0] - off[1], far=far, off=off) + 0.5 * F.log(n / (2 * math.pi * x * (n - x)))
+        return F.when(n <= 0, 0.0).when(x <= 0, n * F.log(q)).when(x >= n, n * F.log(p)).otherwise(inner)
+
+    return _with(value, x=x, n=n, p=p, q=q)
+
+
+def _falling(first: Column, ratio: Callable[[Column], Column], terms: Column) -> Column:
+    """first * (1 + ratio(0) + ratio(0) ratio(1) + ...), with so many ratios."""
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def step(a, k):
+        t = a["t"] * ratio(k.cast("double"))
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    steps = F.when(terms > 0, F.sequence(F.lit(0), F.greatest(terms - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return first * F.aggregate(steps, start, step)["s"]
+
+
+def _reach(n: Column, left: Column) -> Column:
+    """Terms of a tail that count in double precision: beyond 10 roots of n of them, the rest is below 1e-80 of it."""
+    return F.least(left, F.ceil(10 * F.sqrt(n)) + 50).cast("int")
+
+
 def mcnemar_exact(left_only: Column, right_only: Column) -> Column:
     """Two-sided exact p of a paired table; 1 without discordant pairs.
 
-    Binomial terms come one from another in logarithms, which keeps large tables exact to double precision.
+    The tail is summed from its largest term, whose logarithm is exact for any counts; the terms are at most in proportion to the root of the counts.
     """
-    n, m = (left_only + right_only).cast("double"), F.least(left_only, right_only)
-    start = F.struct((-n * float(np.log(2))).alias("t"), F.lit(0.0).alias("s"))
-    step = lambda a, k: F.struct((a["t"] + F.log((n - k) / (k + 1.0))).alias("t"), (a["s"] + F.exp(a["t"])).alias("s"))
-    total = F.aggregate(F.sequence(F.lit(0), m.cast("int")), start, step)["s"]
+    n, m = (left_only + right_only).cast("double"), F.least(left_only, right_only).cast("double")
+    half = F.lit(0.5)
+    total = _falling(F.exp(log_binomial(m, n, half, half)), lambda k: (m - k) / (n - m + 1 + k), _reach(n, m))
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    """ln of a binomial coefficient from the smaller side's factors."""
-    k = F.least(k, n - k).cast("int")
-    terms = F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.log((n - k + i) / i.cast("double")))).otherwise(F.array(F.lit(0.0)))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+def _side(edge: Column, middle: Column, counts: Column) -> Column:
+    return F.struct(F.when(counts, middle).otherwise(edge["at"]).alias("at"), F.when(counts, edge["out"]).otherwise(middle).alias("out"))
 
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided exact p of a 2x2 table: tables no likelier than the given one, with a tolerance of 1e-15."""
-    rows, cols, n = a + b, a + c, a + b + c + d
-    p = lambda x: F.exp(_log_choose(cols, x) + _log_choose(n - cols, rows - x) - _log_choose(n, rows))
-    here = p(a)
-    xs = F.sequence(F.greatest(F.lit(0), rows + cols - n).cast("int"), F.least(rows, cols).cast("int"))
-    return F.least(F.lit(1.0), F.aggregate(F.transform(xs, p), F.lit(0.0), lambda s, q: s + F.when(q <= here * (1 + 1e-12) + 1e-15, q).otherwise(0.0)))
+    """Two-sided exact p of a 2x2 table: tables no likelier than the given one, with a tolerance of 1e-15.
+
+    Probabilities rise up to the mode and fall after it, so the tables that count are two tails. Where each begins is found by halving; it is summed from there
+    outwards, with terms at most in proportion to the root of the counts.
+    """
+    a, b, c, d = (x.cast("double") for x in (a, b, c, d))
+
+    def value(a, rows, cols, n, low, high, mode):
+        p, q = rows / n, (n - rows) / n
+
+        def prob(places: Column) -> Column:
+            """The probabilities of some tables."""
+            parts = lambda x: F.array(F.struct(x.alias("x"), cols.alias("n"), F.lit(1.0).alias("sign")), F.struct((rows - x).alias("x"), (n - cols).alias("n"), F.lit(1.0).alias("sign")), F.struct(rows.alias("x"), n.alias("n"), F.lit(-1.0).alias("sign")))
+            return F.transform(places, lambda x: F.exp(F.aggregate(F.transform(parts(x), lambda s: s["sign"] * log_binomial(s["x"], s["n"], p, q)), F.lit(0.0), lambda t, y: t + y)))
+
+        def tails(known):
+            most = known[0] * (1 + 1e-12) + 1e-15
+
+            def halved(s):
+                """Both edges: at, a table that counts (or one outside), and out, one that does not, come together."""
+                middle = F.transform(s, lambda e: e["at"] + F.signum(e["out"] - e["at"]) * F.floor(F.abs(e["out"] - e["at"]) / 2))
+                judged = lambda middle, there: F.zip_with(s, F.arrays_zip(middle.alias("m"), there.alias("p")), lambda e, x: _side(e, x["m"], (x["m"] == e["at"]) | (x["p"] <= most)))
+                return _with(lambda middle: _with(judged, middle=middle, there=prob(middle)), middle=middle)
+
+            side = lambda at: F.struct(at.alias("at"), mode.alias("out"))
+            edges = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.array(side(low - 1), side(high + 1)), lambda s, _: halved(s))
+
+            def sums(left, right, first):
+                below = _falling(first[0], lambda k: (left - k) * (n - cols - rows + left - k) / ((cols - left + k + 1) * (rows - left + k + 1)), _reach(n, left - low))
+                above = _falling(first[1], lambda k: (cols - right - k) * (rows - right - k) / ((right + k + 1) * (n - cols - rows + right + k + 1)), _reach(n, high - right))
+                return F.when(left >= low, below).otherwise(0.0) + F.when(right <= high, above).otherwise(0.0)
+
+            ends = F.transform(edges, lambda e: e["at"])
+            return F.when(known[1] <= most, 1.0).otherwise(F.least(F.lit(1.0), _with(lambda ends: _with(sums, left=ends[0], right=ends[1], first=prob(ends)), ends=ends)))
+
+        one = (rows == 0) | (rows == n) | (cols == 0) | (cols == n)
+        return F.when(one, 1.0).otherwise(_with(tails, known=prob(F.array(a, mode))))
+
+    def bounds(a, rows, cols, n):
+        low, high = F.greatest(F.lit(0.0), rows + cols - n), F.least(rows, cols)
+        mode = F.least(high, F.greatest(low, F.floor((rows + 1) * (cols + 1) / (n + 2)).cast("double")))
+        return _with(value, a=a, rows=rows, cols=cols, n=n, low=low, high=high, mode=mode)
+
+    return _with(bounds, a=a, rows=a + b, cols=a + c, n=a + b + c + d)
 
 
 def paired_table(rows: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:
@@ -107,26 +204,27 @@ def blinded(sample: DataFrame, seed: str, key: str) -> DataFrame:
     return positions(sample, [order.asc(), F.col(key).asc()]).withColumn("blind_id", F.concat(F.lit("IR-"), F.lpad(F.col("position").cast("string"), 3, "0")))
 
 
-def bootstrap(rows: DataFrame, delta: str, by: list[str], draws: int = 10_000, seed: int = 42, order: str = "k") -> DataFrame:
-    """n, mean, low, high: the 95 % percentile interval of a mean difference, resampled by group with a fixed generator.
+#: How often a row is drawn, for a uniform 32-bit number: as many times as it has passed of these, which are 2^32 times the distribution of a Poisson number of mean 1.
+POISSON = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+
+
+def bootstrap(rows: DataFrame, delta: str, by: list[str], key: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """n, mean, low, high: the 95 % percentile interval of a mean difference, by group.
 
-    A group's differences are counted by value first, so what meets in a task is bounded by the distinct differences; draws are
-    multinomial counts of the values, which is the same distribution as drawing rows.
+    In each draw a row counts a Poisson number of times, which an MD5 of seed, key and draw gives (four draws a hash): no generator has a state, so the interval depends on
+    the rows alone and not on how they are partitioned. What leaves a task are sums by group and draw. key: tells rows of a group apart; rows that repeat it
+    are drawn together.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (rows.schema[b] for b in by)) + ", n long, mean double, low double, high double"
-
-    def one(pdf):
-        pdf = pdf.sort_values("d")
-        n, v = int(pdf["c"].sum()), pdf["d"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = rng.multinomial(n, pdf["c"].to_numpy(float) / n, size=draws) @ v / n
-        low, high = np.quantile(means, [0.025, 0.975])
-        out = pdf.iloc[:1][by].copy()
-        out["n"], out["mean"], out["low"], out["high"] = n, float(pdf["c"].to_numpy(float) @ v / n), low, high
-        return out
-
-    counted = rows.where(F.col(delta).isNotNull()).groupBy(*by, F.col(delta).cast("double").alias("d")).agg(F.count("*").alias("c"))
-    return counted.groupBy(*by).applyInPandas(one, schema)
+    known = rows.where(F.col(delta).isNotNull()).select(*by, F.col(key).cast("string").alias("_k"), F.col(delta).cast("double").alias("_d"))
+    each = known.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // 4) - 1))))
+    each = each.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "_k", F.col("_block").cast("string"))))
+    number = lambda j: F.conv(F.substring("_h", 1 + 8 * j, 8), 16, 10).cast("long")
+    times = lambda j: sum(((number(j) >= F.lit(t)).cast("int") for t in POISSON), F.lit(0))
+    each = each.withColumns({f"_w{j}": times(j) for j in range(4)})
+    sums = each.groupBy(*by, "_block").agg(*(F.sum(f"_w{j}").alias(f"_n{j}") for j in range(4)), *(F.sum(F.col(f"_w{j}") * F.col("_d")).alias(f"_s{j}") for j in range(4)))
+    drawn = sums.select(*by, F.explode(F.array(*(F.struct((F.col("_block") * 4 + j).alias("draw"), (F.col(f"_s{j}") / F.nullif(F.col(f"_n{j}"), F.lit(0))).alias("mean")) for j in range(4)))).alias("x"))
+    ends = drawn.where((F.col("x.draw") < draws) & F.col("x.mean").isNotNull()).groupBy(*by).agg(*(F.percentile("x.mean", F.lit(at)).alias(name) for name, at in (("low", 0.025), ("high", 0.975))))
+    return known.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_d").alias("mean")).join(ends, by, "left")
 
 
 def gate_counterfactuals(rows: DataFrame, by: list[str], base: str, changed: str) -> DataFrame:

@@ -56,3 +56,31 @@ def drop_last(values: Column) -> Column:
 
 def flip_status(x: Column) -> Column:
     return F.when(x == "OK", "PARAMS_REQUIRED").when(x == "PARAMS_REQUIRED", "OK").otherwise(x)
+
+
+#: Mutations of what a contract says of its revision (fixed names).
+REVISION_MUTATIONS = ("opposite_declaration", "missing_declaration", "unknown_declaration", "ambiguous_declaration", "nonstring_declaration", "opposite_source_namespace", "opposite_packed_source_namespace", "opposite_citation_label")
+
+
+def revision_mutations(contracts: DataFrame, revision: str = "revision") -> DataFrame:
+    """Every contract as it is (mutation none) and once for each of the eight mutations.
+
+    contracts: revision (rev4 or rev5), declared, spans (array of struct(source_id, ...)), all_citations. Adds mutation and is_text (false where the declaration is a
+    number). Contracts without spans have no source to change, so mutations of sources and citations leave them as they are.
+    """
+    rows = contracts.withColumn("mutation", F.explode(F.array(*map(F.lit, ("none", *REVISION_MUTATIONS)))))
+    m, own = F.col("mutation"), F.col(revision)
+    wrong = F.when(own == "rev5", "rev4").otherwise("rev5")
+    number = lambda r: F.substring(r, -1, 1)
+    declared = (F.when(m == "opposite_declaration", wrong).when(m == "missing_declaration", F.lit(None).cast("string")).when(m == "unknown_declaration", "unknown")
+                .when(m == "ambiguous_declaration", "Revision 4 / Revision 5").when(m == "nonstring_declaration", number(own)).otherwise(F.col("declared")))
+    before = F.when(m == "opposite_source_namespace", F.concat(F.lit("NIST_SP-800-53_"), wrong, F.lit(":"))).when(m == "opposite_packed_source_namespace", F.concat(F.lit("NIST.SP.800-53r"), number(wrong), F.lit(".pdf#")))
+    spans = F.when(before.isNotNull(), F.transform("spans", lambda s, k: s.withField("source_id", F.when(k == 0, F.concat(before, s["source_id"])).otherwise(s["source_id"])))).otherwise(F.col("spans"))
+    cited = F.when((m == "opposite_citation_label") & (F.size("spans") > 0), F.concat(F.lit("Citations: "), F.col("spans")[0]["source_id"], F.lit(" (NIST SP 800-53 Rev. "), number(wrong), F.lit(")"))).otherwise(F.col("all_citations"))
+    return rows.withColumns({"declared": declared, "is_text": m != "nonstring_declaration", "spans": spans, "all_citations": cited})
+
+
+def mutation_summary(rows: DataFrame, by: str, changed: Column, detected: Column) -> DataFrame:
+    """by, n, changed, detected, and undetected changes. rows: a row for each mutated contract."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(changed).alias("changed"), F.count_if(detected).alias("detected"), F.count_if(changed & ~detected).alias("undetected"))
+    return counts

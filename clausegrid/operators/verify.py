@@ -165,13 +165,31 @@ def gold_verification(headers: DataFrame, spans: DataFrame, corpus: DataFrame, g
                     *(F.coalesce(zero, F.col(f"dm.{m}")).alias(f"doc_{m}") for m in ("precision", "recall", "f1")), F.when(error, float("nan")).otherwise(F.coalesce(F.round("verbatim", 9), F.lit(float("nan")))).alias("verbatim_rate"))
 
 
-def revision_tags(active: Column, declared: Column, labels: Column) -> Column:
-    """Declared revision and explicit labels against the active corpus. labels: array of struct(place, value)."""
-    a, d = version_strict(active), version_strict(declared)
-    found = lambda v: F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.replace(text_of(v), F.lit("_"), F.lit(" "))), F.lit(r"\b(?:rev(?:ision)?|r)\s*\.?\s*(\d+)\b"), 1), lambda n: F.concat(F.lit("rev"), n)))
+#: Labels of a revision in prose, and packed into a document's name (fixed patterns).
+REVISION_LABEL, PACKED_LABEL = r"\b(?:rev(?:ision)?|r)\s*\.?\s*(\d+)\b", r"800[\s._-]*53\s*r\s*(\d+)\b"
+
+
+def labelled_revisions(x: Column) -> Column:
+    """The distinct revisions that a text names, sorted."""
+    low = F.lower(text_of(x))
+    numbers = F.concat(F.regexp_extract_all(F.replace(low, F.lit("_"), F.lit(" ")), F.lit(REVISION_LABEL), 1), F.regexp_extract_all(low, F.lit(PACKED_LABEL), 1))
+    return F.array_sort(F.array_distinct(F.transform(numbers, lambda n: F.concat(F.lit("rev"), n))))
+
+
+def contract_labels(spans: Column, primary: Column, every: Column, cited_answer: Column) -> Column:
+    """(place, value) of each text of a contract that may name a revision. spans: array of struct(source_id, ...); of an answer only what follows its last citation mark."""
+    parts = F.split(cited_answer, r"(?i)\bCitations?\s*:\s*")
+    sources = F.transform(spans, lambda s, k: F.struct(F.concat(F.lit("evidence_spans["), k.cast("string"), F.lit("].source_id")).alias("place"), s["source_id"].alias("value")))
+    others = F.array(*(F.struct(F.lit(place).alias("place"), value.alias("value")) for place, value in (("primary_citation", primary), ("all_citations", every), ("answer_text_with_citation", F.when(F.size(parts) > 1, F.element_at(parts, -1))))))
+    return F.filter(F.concat(sources, others), lambda l: l["value"].isNotNull())
+
+
+def revision_tags(active: Column, declared: Column, labels: Column, is_text: Column | None = None) -> Column:
+    """Declared revision and explicit labels against the active corpus. labels: array of struct(place, value); is_text: false for a declaration that is no text."""
+    a, d = version_strict(active), version_strict(declared if is_text is None else F.when(F.coalesce(is_text, F.lit(True)), declared))
     wrong = F.flatten(F.transform(labels, lambda l: F.filter(F.array(
-        F.when(F.exists(found(l["value"]), lambda x: ~x.isin("rev4", "rev5")), F.concat(F.lit("UnsupportedRevisionLabel:"), l["place"])),
-        F.when(a.isNotNull() & F.exists(found(l["value"]), lambda x: x != a), F.concat(F.lit("RevisionLabelMismatch:"), l["place"], F.lit(":expected="), a, F.lit(",got="), F.array_join(F.array_sort(found(l["value"])), ",")))),
+        F.when(F.exists(labelled_revisions(l["value"]), lambda x: ~x.isin("rev4", "rev5")), F.concat(F.lit("UnsupportedRevisionLabel:"), l["place"])),
+        F.when(a.isNotNull() & F.exists(labelled_revisions(l["value"]), lambda x: x != a), F.concat(F.lit("RevisionLabelMismatch:"), l["place"], F.lit(":expected="), a, F.lit(",got="), F.array_join(labelled_revisions(l["value"]), ",")))),
         lambda t: t.isNotNull())))
     head = tags((a.isNull(), "ActiveCorpusRevisionMissingOrInvalid"), (declared.isNull(), "FrameworkVersionMissing"), (declared.isNotNull() & d.isNull(), "FrameworkVersionInvalid"),
                 (a.isNotNull() & d.isNotNull() & (a != d), F.concat(F.lit("FrameworkVersionMismatch:expected="), a, F.lit(",got="), d)))

@@ -30,9 +30,14 @@ def _(spark, sf_dir):
     return clean.select("k", F.to_json(F.struct(*[c for c in clean.columns if c != "k"])).alias("j"))
 
 
+def contracts_of(spark, sf_dir):
+    """Each clause as a contract of one citation."""
+    return fixture(spark, sf_dir, "clauses").withColumn("spans", F.array(F.struct(F.col("id").alias("source_id"), F.col("text").alias("span_text"))))
+
+
 def resolved(spark, sf_dir):
-    """Each clause as a contract of one citation, filled from a profile of revision 5; every third corpus is revision 4."""
-    rows = fixture(spark, sf_dir, "clauses").withColumn("spans", F.array(F.struct(F.col("id").alias("source_id"), F.col("text").alias("span_text"))))
+    """The contracts, filled from a profile of revision 5; every third corpus is revision 4."""
+    rows = contracts_of(spark, sf_dir)
     rows = rows.withColumn("version", F.when(F.col("k") % 3 == 0, "rev4").otherwise("rev5"))
     values = spark.range(1).select(profile().alias("values"))  # one row: the profile is data, not part of each expression
     rows = rows.join(F.broadcast(values), how="cross").withColumn("r", A.profile_resolution(F.col("spans"), F.col("values"), F.lit("rev5"), F.col("version")))
@@ -60,9 +65,17 @@ def _(spark, sf_dir):
     return rows.withColumn("t", tagged(rows)).groupBy("mutation").agg(F.count("*").alias("n"), F.count_if(F.size("t") > 0).alias("detected"))
 
 
-@query("x11_profile_conditions", "SELECT CASE WHEN k % 3 = 0 THEN 'wrong_revision' ELSE 'complete' END AS condition, count(*) AS n FROM fx_clauses GROUP BY 1", "clauses")
+CONDITION_SQL = f"""{FILL_SQL}, cond AS (SELECT k, text, keys, bare, unnest(['complete', 'empty', 'partial', 'wrong_revision', 'unknown_keys', 'unversioned', 'placeholder_values', 'literal_backslashes']) AS condition FROM x),
+filled AS (SELECT *, CASE WHEN condition IN ('complete', 'literal_backslashes') THEN len(keys) WHEN condition = 'partial' THEN greatest(len(keys) - 1, 0) ELSE 0 END AS used FROM cond)"""
+
+
+@query("x11_profile_conditions", CONDITION_SQL + """ SELECT condition, count(*) AS n, count(*) AS agreeing, CAST(sum(used) AS BIGINT) AS bindings, count(*) FILTER (WHERE used > 0) AS changed,
+count(*) FILTER (WHERE len(keys) > used OR bare) AS open FROM filled GROUP BY condition""", "clauses")
 def _(spark, sf_dir):
-    return resolved(spark, sf_dir).groupBy(F.when(F.col("record.profile_applicable"), "complete").otherwise("wrong_revision").alias("condition")).agg(F.count("*").alias("n"))
+    """Each clause as a contract under eight conditions, against what the conditions alone foresee."""
+    rows = A.resolution_outcomes(A.profile_cases(contracts_of(spark, sf_dir)))
+    return rows.groupBy("condition").agg(F.count("*").alias("n"), F.count_if("agrees").alias("agreeing"), F.sum(F.size("r.record.bindings")).cast("long").alias("bindings"),
+                                         F.count_if(F.col("r.answer") != F.col("original")).alias("changed"), F.count_if(F.col("r.status") == "PARAMS_REQUIRED").alias("open"))
 
 
 @query("w07_prepared_contexts", MANIFEST_SQL + " SELECT man.q, n AS documents, sha256 AS window_sha256 FROM man", "retrieved", "gates")

@@ -272,14 +272,14 @@ def _(spark, sf_dir):
     return fixture(spark, sf_dir, "ids").select("k", P.literal(P.lookup(m(p0="inner", p3="{insert: x}"), m(p0="no", p1="outer"), m(p1="no", p2="top", p3="late"), key)).alias("value"))
 
 
-@query("o16_profile_conditions", ", c AS (SELECT unnest(['complete', 'partial', 'empty']) AS cond), x AS (SELECT k, " + KEYS_SQL + " AS keys FROM fx_clauses) SELECT cond AS condition, count(*) AS n, count(*) FILTER (WHERE cond = 'complete' OR cond = 'partial' AND regexp_matches(keys[1], '_odp\\.0[2468]$')) AS resolved FROM x, c WHERE len(keys) > 0 GROUP BY cond", "clauses")
-def _(spark, sf_dir):
-    keys = F.col("keys")
-    rows = fixture(spark, sf_dir, "clauses").select(P.placeholder_keys(F.col("text")).alias("keys")).where(F.size("keys") > 0)
-    rows = rows.select(keys, F.explode(F.array(*map(F.lit, ("complete", "partial", "empty")))).alias("condition"))
-    full = F.forall(keys, lambda k: F.map_contains_key(profile(), k))
-    done = F.when(F.col("condition") == "complete", True).when(F.col("condition") == "partial", full).otherwise(False)
-    return rows.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(done).alias("resolved"))
+@query("o16_profile_conditions", ", c AS (SELECT unnest(['complete', 'empty', 'partial', 'wrong_revision', 'unknown_keys', 'unversioned', 'placeholder_values', 'literal_backslashes']) AS condition), x AS (SELECT k, " + KEYS_SQL + " AS keys, contains(text, '[Assignment:') AS bare FROM fx_clauses) SELECT condition, count(*) AS n, count(*) FILTER (WHERE condition IN ('complete', 'literal_backslashes') AND NOT bare) AS resolved FROM x, c WHERE len(keys) > 0 GROUP BY condition", "clauses")
+def _(spark, sf_dir):
+    """Of the clauses with a placeholder those that a profile resolves whole, by condition."""
+    from clausegrid.operators import audit as A
+
+    contracts = fixture(spark, sf_dir, "clauses").withColumn("spans", F.array(F.struct(F.col("id").alias("source_id"), F.col("text").alias("span_text"))))
+    rows = A.resolution_outcomes(A.profile_cases(contracts)).where(F.size("keys") > 0)
+    return rows.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("r.status") == "OK").alias("resolved"))
 
 
 # ---------------------------------------------------------------- verification

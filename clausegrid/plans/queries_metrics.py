@@ -142,18 +142,19 @@ rel("m07_fisher", PAIRS, lambda d: M.paired_table(d, "a", "b", ["source"]).selec
     f", {TABLE2}, f AS (SELECT source, bb + lo AS r, bb + ro AS c, bb + lo + ro + nn AS n, bb AS x FROM t) SELECT source, round(least(1.0, list_sum(list_filter(list_transform(range(greatest(0, r + c - n), least(r, c) + 1), lambda i: exp({_lc('c', 'i')} + {_lc('(n - c)', '(r - i)')} - {_lc('n', 'r')})), lambda q: q <= exp({_lc('c', 'x')} + {_lc('(n - c)', '(r - x)')} - {_lc('n', 'r')}) * (1 + 1e-9)))), 8) AS p FROM f")
 rel("m08_paired_table", PAIRS, lambda d: M.paired_table(d, "a", "b", ["stratum"]), "SELECT stratum, count(*) FILTER (WHERE a = 1 AND b = 0) AS left_only, count(*) FILTER (WHERE a = 0 AND b = 1) AS right_only, count(*) FILTER (WHERE a = 1 AND b = 1) AS both, count(*) FILTER (WHERE a = 0 AND b = 0) AS neither FROM src GROUP BY stratum")
 rel("m09_paired_deltas", PAIRS, lambda d: M.paired_deltas(d, "a", "b", ["stratum"]), "SELECT stratum, count(*) FILTER (WHERE b > a) AS improved, count(*) FILTER (WHERE b = a) AS tied, count(*) FILTER (WHERE b < a) AS worsened, round(avg(b - a), 9) AS mean_delta FROM src GROUP BY stratum")
-_near = lambda low, mean, sd, n: (F.abs(F.col(low) - mean) < 0.15 * F.col(sd) / F.sqrt("n") + 1 / F.col("n"))
 
 
 def _bootstrap(d):
-    """n and mean of the differences, and whether both ends of the interval are where the normal approximation has them."""
-    d = d.withColumn("d", F.col("b") - F.col("a"))
-    both = M.bootstrap(d, "d", ["stratum"]).join(d.groupBy("stratum").agg(F.stddev_pop("d").alias("sd")), "stratum")
-    half = 1.959963984540054 * F.col("sd") / F.sqrt("n")
-    return both.select("stratum", "n", F.round("mean", 9).alias("mean"), _near("low", F.col("mean") - half, "sd", "n").alias("low_fits"), _near("high", F.col("mean") + half, "sd", "n").alias("high_fits"))
+    both = M.bootstrap(d.withColumn("d", F.col("b") - F.col("a")), "d", ["stratum"], "k", draws=400)
+    return both.select("stratum", "n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
-rel("m10_bootstrap", PAIRS, _bootstrap, "SELECT stratum, count(*) AS n, round(avg(b - a), 9) AS mean, true AS low_fits, true AS high_fits FROM src GROUP BY stratum")
+_passed = " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in M.POISSON)
+rel("m10_bootstrap", PAIRS, _bootstrap, f""", h AS (SELECT stratum, b - a AS d, block, md5('42|' || k || '|' || block) AS h FROM src, (SELECT unnest(range(0, 100)) AS block) x),
+u AS (SELECT stratum, d, block, j, CAST('0x' || substr(h, 1 + 8 * j, 8) AS BIGINT) AS u FROM h, (SELECT unnest(range(0, 4)) AS j) x),
+m AS (SELECT stratum, block, j, sum(({_passed}) * d) / nullif(sum({_passed}), 0)::DOUBLE AS m FROM u GROUP BY stratum, block, j),
+e AS (SELECT stratum, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY stratum)
+SELECT s.stratum, s.n, round(s.mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM (SELECT stratum, count(*) AS n, avg(b - a) AS mean FROM src GROUP BY stratum) s JOIN e ON e.stratum = s.stratum""")
 rel("m11_gate_counterfactuals", PAIRS, lambda d: M.gate_counterfactuals(d, ["stratum"], "a", "b"), "SELECT stratum, count(*) FILTER (WHERE a = 1 AND b = 0) AS prevented_error, count(*) FILTER (WHERE a = 0 AND b = 1) AS blocked_correction FROM src GROUP BY stratum")
 rel("m12_kappa", PAIRS, lambda d: M.kappa(d, "a", "b", ["stratum"]), ", m AS (SELECT stratum, count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM src GROUP BY stratum) SELECT stratum, n, round(po, 9) AS observed, round(pe, 9) AS expected, round((po - pe) / (1 - pe), 9) AS kappa FROM m")
 _ids = lambda x, name: F.filter(F.array(F.col("source"), F.when(F.col(x) == 1, F.lit(name))), lambda v: v.isNotNull())
@@ -233,22 +234,40 @@ def _(spark, sf_dir):
     return fixture(spark, sf_dir, "headers").select("q", F.array_join(X.drop_last(values), "|").alias("left_over"), X.flip_status(F.col("status")).alias("status"))
 
 
-@query("x06_mutation_summary", ", m AS (SELECT unnest(['alter', 'flip', 'blank']) AS op) SELECT op, count(*) AS n, count(*) FILTER (WHERE CASE op WHEN 'alter' THEN regexp_matches(span_text, '[A-Za-z0-9]') WHEN 'blank' THEN trim(span_text) <> '' ELSE false END) AS changed FROM fx_spans, m GROUP BY op", "spans")
-def _(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "spans").select("span_text", F.explode(F.array(*map(F.lit, ("alter", "flip", "blank")))).alias("op"))
-    changed = F.when(F.col("op") == "alter", X.alter_first(F.col("span_text")) != F.col("span_text")).when(F.col("op") == "blank", F.trim("span_text") != "").otherwise(False)
-    return rows.groupBy("op").agg(F.count("*").alias("n"), F.count_if(changed).alias("changed"))
+X6_SQL = """, nx AS (SELECT id, coalesce(lead(id) OVER (ORDER BY id), min(id) OVER ()) AS following FROM fx_clauses), c AS (SELECT s.*, following, k.text AS official, h.status, h.required FROM fx_spans s JOIN nx ON nx.id = s.id JOIN fx_clauses k ON k.id = s.id JOIN fx_headers h ON h.q = s.q),
+m AS (SELECT *, unnest(['swap', 'alter', 'foreign', 'drop', 'flip']) AS op FROM c),
+d AS (SELECT op, CASE op WHEN 'swap' THEN following <> id WHEN 'alter' THEN regexp_matches(span_text, '[A-Za-z0-9]') WHEN 'foreign' THEN true WHEN 'drop' THEN required <> '' ELSE status IN ('OK', 'PARAMS_REQUIRED') END AS changed FROM m)
+SELECT op, count(*) AS n, count(*) FILTER (WHERE changed) AS changed FROM d GROUP BY op"""
 
 
-@query("x07_revision_mutations", "SELECT CAST(m AS INTEGER) AS m, count(*) AS n, count(*) FILTER (WHERE m > 0) AS detected FROM fx_headers, (SELECT unnest(range(0, 5)) AS m) x GROUP BY m", "headers")
+@query("x06_mutation_summary", X6_SQL, "spans", "clauses", "headers")
 def _(spark, sf_dir):
-    from clausegrid.operators.verify import revision_tags
-
-    rows = fixture(spark, sf_dir, "headers").select("q", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("m"))
-    m = F.col("m")
-    declared = F.when(m == 1, F.lit(None).cast("string")).when(m == 2, "revision five").when(m == 3, "rev4").otherwise("rev5")
-    labels = F.array(F.struct(F.lit("primary_citation").alias("place"), F.when(m == 4, "Rev. 4").otherwise("a").alias("value")))
-    return rows.groupBy("m").agg(F.count("*").alias("n"), F.count_if(F.size(revision_tags(F.lit("rev5"), declared, labels)) > 0).alias("detected"))
+    """Five mutations of every citation and of its contract: the next source, an altered character, a source of the other revision, a dropped parameter, a flipped status."""
+    clauses = fixture(spark, sf_dir, "clauses").select("id")
+    spans = fixture(spark, sf_dir, "spans").select("q", "position", "span_text", F.col("id").alias("source_id"))
+    swapped = X.swap_source(spans.select("q", "position", "source_id"), clauses).withColumnRenamed("source_id", "following")
+    rows = spans.join(swapped, ["q", "position"]).join(fixture(spark, sf_dir, "headers").select("q", "status", "required"), "q")
+    listed = F.filter(F.array("required"), lambda x: x != "")
+    made = {"swap": (F.col("source_id"), F.col("following")), "alter": (F.col("span_text"), X.alter_first(F.col("span_text"))), "foreign": (F.col("source_id"), F.concat(F.lit("other:"), F.col("source_id"))),
+            "drop": (F.array_join(listed, "|"), F.array_join(X.drop_last(listed), "|")), "flip": (F.col("status"), X.flip_status(F.col("status")))}
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(op).alias("op"), a.alias("before"), b.alias("after")) for op, (a, b) in made.items()))).alias("m")).select("m.*")
+    return X.mutation_summary(each, "op", F.col("before") != F.col("after"), F.col("before") != F.col("after")).select("op", "n", "changed")
+
+
+@query("x07_revision_mutations", """, m AS (SELECT id, unnest(['none', 'opposite_declaration', 'missing_declaration', 'unknown_declaration', 'ambiguous_declaration', 'nonstring_declaration', 'opposite_source_namespace', 'opposite_packed_source_namespace', 'opposite_citation_label']) AS mutation, k FROM fx_clauses),
+r AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'rev5' ELSE 'rev4' END AS own, CASE WHEN k % 2 = 0 THEN 'rev4' ELSE 'rev5' END AS other FROM m)
+SELECT k, mutation, CASE mutation WHEN 'none' THEN '' WHEN 'opposite_declaration' THEN 'FrameworkVersionMismatch:expected=' || own || ',got=' || other WHEN 'missing_declaration' THEN 'FrameworkVersionMissing'
+  WHEN 'opposite_source_namespace' THEN 'RevisionLabelMismatch:evidence_spans[0].source_id:expected=' || own || ',got=' || other WHEN 'opposite_packed_source_namespace' THEN 'RevisionLabelMismatch:evidence_spans[0].source_id:expected=' || own || ',got=' || other
+  WHEN 'opposite_citation_label' THEN 'RevisionLabelMismatch:all_citations:expected=' || own || ',got=' || other ELSE 'FrameworkVersionInvalid' END AS tags FROM r""", "clauses")
+def _(spark, sf_dir):
+    """Each clause as a contract that declares its revision, and its eight mutations with the tags that they get."""
+    from clausegrid.operators.verify import contract_labels, revision_tags
+
+    own = F.when(F.col("k") % 2 == 0, "rev5").otherwise("rev4")
+    contracts = fixture(spark, sf_dir, "clauses").select("k", own.alias("revision"), own.alias("declared"), F.array(F.struct(F.col("id").alias("source_id"))).alias("spans"), F.lit("").alias("all_citations"))
+    rows = X.revision_mutations(contracts)
+    labels = contract_labels(F.col("spans"), F.lit(None).cast("string"), F.col("all_citations"), F.lit(None).cast("string"))
+    return rows.select("k", "mutation", F.array_join(revision_tags(F.col("revision"), F.col("declared"), labels, F.col("is_text")), "|").alias("tags"))
 
 
 @query("x09_x10_replay_deltas", ", a AS (SELECT q, CASE WHEN status = 'bogus' THEN 'ERROR' WHEN q % 23 = 0 THEN 'NO_EVIDENCE' ELSE status END AS after FROM fx_headers WHERE q % 29 <> 0), j AS (SELECT status, after, CASE WHEN status = 'bogus' THEN 'ERROR' ELSE status END AS expected FROM fx_headers h LEFT JOIN a ON a.q = h.q), c AS (SELECT status, count(*) AS n, count(*) FILTER (WHERE after <> status) AS changed, count(*) FILTER (WHERE after <> expected) AS unexpected, count(*) FILTER (WHERE after IS NULL) AS missing FROM j GROUP BY status) SELECT *, unexpected = 0 AND missing = 0 AS accepted FROM c", "headers")

@@ -109,9 +109,13 @@ def test_statistics(spark):
 
 
 def test_bootstrap_holds_the_mean(spark):
-    rows = spark.createDataFrame([("x", float(k % 3 - 1)) for k in range(300)] + [("y", None), ("y", 1.0)], "g string, d double")
-    got = {r["g"]: r for r in M.bootstrap(rows, "d", ["g"], draws=2000).collect()}
+    rows = spark.createDataFrame([("x", k, float(k % 3 - 1)) for k in range(300)] + [("y", 1, None), ("y", 2, 1.0)], "g string, k long, d double")
+    got = {r["g"]: r for r in M.bootstrap(rows, "d", ["g"], "k", draws=2002).collect()}
     assert got["x"]["low"] < got["x"]["mean"] < got["x"]["high"] and got["y"]["n"] == 1 and got["y"]["low"] == 1.0
+    # the ends are where the normal approximation has them, and do not depend on the partitions
+    half = 1.96 * (2 / 3 / 300) ** 0.5
+    assert abs(got["x"]["low"] + half) < 0.15 * half and abs(got["x"]["high"] - half) < 0.15 * half
+    assert {r["g"]: r for r in M.bootstrap(rows.repartition(7), "d", ["g"], "k", draws=2002).collect()}["x"] == pytest.approx(got["x"])
 
 
 def test_mutations(spark):
@@ -171,3 +175,27 @@ def test_conditions_are_rows_of_one_plan(spark, tmp_path):
     with pytest.raises(ValueError):
         R.replay(spark, path + "2", digest)
     assert H.table_digest(channels.repartition(5)) == digest
+
+
+def test_exact_tails_of_any_size(spark):
+    from fractions import Fraction
+
+    def mcnemar(b, c):
+        n, m = b + c, min(b, c)
+        return 1.0 if n == 0 else min(1.0, float(2 * Fraction(sum(math.comb(n, i) for i in range(m + 1)), 2**n)))
+
+    def fisher(a, b, c, d):
+        r, k, n = a + b, a + c, a + b + c + d
+        p = lambda x: math.comb(k, x) * math.comb(n - k, r - x) / math.comb(n, r)
+        return min(1.0, sum(q for x in range(max(0, r + k - n), min(r, k) + 1) if (q := p(x)) <= p(a) * (1 + 1e-12) + 1e-15))
+
+    tables = [(3, 1, 1, 3), (10, 2, 3, 15), (0, 5, 5, 0), (100, 50, 60, 90), (0, 0, 0, 0), (5, 0, 0, 0), (1, 2, 3, 4), (50, 50, 50, 50), (500, 300, 280, 420), (7, 0, 3, 2), (0, 9, 1, 0)]
+    large = (10**9, 10**9 + 50_000, 10**9, 10**9)
+    df = spark.createDataFrame([*tables, large], "a long, b long, c long, d long")
+    got = df.select("a", "b", "c", "d", M.mcnemar_exact(F.col("b"), F.col("c")).alias("m"), M.fisher_exact(*map(F.col, "abcd")).alias("f")).collect()
+    for r in got[:-1]:
+        assert r["m"] == pytest.approx(mcnemar(r["b"], r["c"]), abs=1e-12) and r["f"] == pytest.approx(fisher(r["a"], r["b"], r["c"], r["d"]), abs=1e-12)
+    # so large that the normal approximation with its correction is as good
+    b, c = large[1], large[2]
+    assert got[-1]["m"] == pytest.approx(math.erfc((abs(b - c) - 1) / math.sqrt(2 * (b + c))), rel=1e-4)
+    assert 0.2 < got[-1]["f"] < 0.5
