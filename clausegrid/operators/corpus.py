@@ -26,17 +26,18 @@ def walk(catalogs: DataFrame, child: str, key: str = "catalog") -> DataFrame:
     """Every node below a catalog in pre-order: key, path (sortable), id, parent, node fields.
 
     catalogs: key, json. child: the array that is followed (parts), groups and controls of any level too. The parent
-    is the nearest ancestor with an id. The plan has as many levels as the texts are nested.
+    is the nearest ancestor with an id. One recursive query, whose steps each parse the level that the last one found, as deep as the texts are nested.
     """
-    level = catalogs.select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.from_json("json", NODE).alias("n"))
-    none, every = F.array().cast("array<string>"), None
-    for _ in range(levels(catalogs)):
-        here = level.select(key, "path", "parent", F.col("n.id").alias("id"), F.col("n.title").alias("title"), F.col("n.label").alias("label"), F.col("n.name").alias("name"), F.col("n.prose").alias("prose"), F.size(F.coalesce(f"n.{child}", none)).alias("children"))
-        every = here if every is None else every.unionByName(here)
-        kids = F.concat(F.coalesce("n.groups", none), F.coalesce("n.controls", none), F.coalesce(f"n.{child}", none)) if child == "parts" else F.coalesce(f"n.{child}", none)
-        level = level.select(key, "path", F.coalesce("n.id", "parent").alias("parent"), F.posexplode(kids).alias("pos", "j"))
-        level = level.select(key, F.concat("path", F.lpad(F.col("pos").cast("string"), _STEP - 1, "0"), F.lit("/")).alias("path"), "parent", F.from_json("j", NODE).alias("n"))
-    return every
+    kids = [f"coalesce(n.{c}, array())" for c in (("groups", "controls", child) if child == "parts" else (child,))]
+    return catalogs.sparkSession.sql(
+        f"""WITH RECURSIVE nodes(k, path, parent, n) MAX RECURSION LEVEL {levels(catalogs) + 1} AS (
+              SELECT `{key}`, '', CAST(NULL AS STRING), from_json(json, '{NODE}') FROM {{catalogs}}
+              UNION ALL
+              SELECT k, concat(path, lpad(CAST(pos AS STRING), {_STEP - 1}, '0'), '/'), coalesce(n.id, parent), from_json(j, '{NODE}')
+              FROM nodes LATERAL VIEW posexplode(concat({", ".join(kids)})) AS pos, j)
+            SELECT k AS `{key}`, path, parent, n.id, n.title, n.label, n.name, n.prose, size(coalesce(n.{child}, array())) AS children FROM nodes LIMIT ALL""",
+        catalogs=catalogs,
+    )
 
 
 def descendant_prose(nodes: DataFrame, key: str = "catalog") -> DataFrame:

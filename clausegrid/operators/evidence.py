@@ -149,14 +149,17 @@ def closure(seeds: DataFrame, edges: DataFrame, cfg: WindowConfig = WINDOW, key:
     return ranked.where((F.col("level") <= 0) | (F.col("r") <= cfg.closure_total)).select(key, "id", "level")
 
 
-def ancestors(seeds: DataFrame, edges: DataFrame, steps: int = 32, key: str = "q") -> DataFrame:
-    """key, id, up: seeds and the chain of their parents. steps bounds the depth."""
-    level = seeds.select(key, "id", F.lit(0).alias("up"))
-    every = level
-    for k in range(1, steps + 1):
-        level = level.join(edges.select("parent", "id"), "id").select(key, F.col("parent").alias("id"), F.lit(k).alias("up"))
-        every = every.unionByName(level)
-    return every.groupBy(key, "id").agg(F.min("up").alias("up"))
+def ancestors(seeds: DataFrame, edges: DataFrame, steps: int = 1000, key: str = "q") -> DataFrame:
+    """key, id, up: seeds and the chains of their parents, with the fewest steps to each. One recursive query, whatever the depth; a chain of more than `steps` is an error, so a
+    ring of parents is one, too.
+    """
+    return seeds.sparkSession.sql(
+        f"""WITH RECURSIVE chain(k, id, up) MAX RECURSION LEVEL {steps} AS (
+              SELECT `{key}`, id, 0 FROM {{seeds}} UNION ALL SELECT c.k, e.parent, c.up + 1 FROM chain c JOIN {{edges}} e ON e.id = c.id)
+            SELECT k AS `{key}`, id, min(up) AS up FROM chain GROUP BY k, id LIMIT ALL""",
+        seeds=seeds.select(key, "id"),
+        edges=edges.select("parent", "id"),
+    )
 
 
 def single_origin(flags: list[Column]) -> Column:

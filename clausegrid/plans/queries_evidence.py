@@ -175,7 +175,7 @@ SELECT q, id, CAST(level AS INTEGER) AS level FROM (SELECT *, row_number() OVER
 def _(spark, sf_dir):
     from clausegrid.plans.fixtures import derived
 
-    return E.ancestors(derived(spark, sf_dir, "SELECT CAST(s_suppkey AS BIGINT) AS q, concat('s', s_suppkey) AS id FROM supplier"), derived(spark, sf_dir, TREE_SQL), 3)
+    return E.ancestors(derived(spark, sf_dir, "SELECT CAST(s_suppkey AS BIGINT) AS q, concat('s', s_suppkey) AS id FROM supplier"), derived(spark, sf_dir, TREE_SQL))
 
 
 RESCUE_SQL = """, sp AS (SELECT q, position, id, text FROM fx_retrieved WHERE position <= 2), h AS (SELECT q, bool_or(contains(text, 'insert:') OR contains(text, '[Assignment:')) AS has FROM sp GROUP BY q),
