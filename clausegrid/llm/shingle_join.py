@@ -261,22 +261,25 @@ def near_pairs(node: np.ndarray, group: np.ndarray, side: np.ndarray, hashes: li
 
 
 def in_blocks(rows: DataFrame, docs: DataFrame, text: str, width: int, least: float, block: int) -> DataFrame:
-    """Links (a, b) that join what all similar pairs of different groups that share a shingle join. rows: w, node, g, n and total (nodes of the shingle, and their sizes' sum)."""
+    """Links (a, b) that join what all similar pairs of different groups that share a shingle join. rows: w, node, g, n, total and least (of the shingle its nodes, their sizes' sum, and the least)."""
     hashed = [T.StructField("hashes", T.BinaryType(), False)]
 
     def make():
         hashes = Hasher(width)
         return lambda texts: [[hashes(words_of(x)).astype("<u8").tobytes() for x in texts_of(texts)]]
 
-    sets = cut(map_columns(texts_of_nodes(rows, docs, text), ["text"], ["node"], hashed, make))
+    sets = map_columns(texts_of_nodes(rows, docs, text), ["text"], ["node"], hashed, make)
     dealt = rows.withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # units go to parts; a part gets the hashes of each of its nodes once, however many of its shingles the node has
+    # units go to parts; a part gets the hashes of each of its nodes once, however many of its shingles the node has. Shingles with the same least node are
+    # mostly those of the same texts: they go to the same part, block by block
     parts = max(1, -(-(dealt.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) // PART_SHINGLES))
-    units = dealt.select("w", "node", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("w", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "g", "own").withColumn("part", F.pmod(F.xxhash64("w", "lo", "hi"), F.lit(parts)))
-    units = cut(units)
+    units = dealt.select("w", "least", "node", "g", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select("w", "least", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "g", "own")
+    units = cut(units.withColumn("part", F.pmod(F.xxhash64("least", "lo", "hi"), F.lit(parts))).drop("least"))
     none = {c: F.lit(None).cast("int" if c in ("lo", "hi", "own") else "long") for c in ("w", "lo", "hi", "g", "own")}
-    heads = units.select("part", "node").distinct().join(sets, "node").select("part", F.lit(0).alias("kind"), "node", "hashes").withColumns(none)
+    asked = cut(units.select("part", "node").distinct())
+    asked = F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked
+    heads = sets.join(asked, "node").select("part", F.lit(0).alias("kind"), "node", "hashes").withColumns(none)
     every = heads.unionByName(units.withColumns({"kind": F.lit(1), "hashes": F.lit(None).cast("binary")}))
 
     def run(batches):
@@ -340,7 +343,7 @@ def links(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, least
     found = verified(candidates(stars), docs, text, width, least)
     found = found if seeds is None else found.unionByName(seeds.select("a", "b"))
     rows = grouped(members.select("w", "node", "size"), found)
-    mixed = rows.groupBy("w").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("n"), F.sum("size").alias("total")).where("x <> y").select("w", "n", "total")
+    mixed = rows.groupBy("w").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("least")).where("x <> y").select("w", "n", "total", "least")
     rows = cut(rows.join(mixed, "w"))
     left = rows.where(F.col("n") <= few).select("w", F.col("node").alias("a"), "size", "g")
     right = rows.where(F.col("n") <= few).select("w", F.col("node").alias("b"), F.col("size").alias("size2"), F.col("g").alias("g2"))
