@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 #: One of each family; every query is compared when the variable is set.
 SOME = ("r03_bm25_topk", "r08_weighted_rrf", "r19_rank_controls", "r05_dense_search", "r33_sensitivity_grid", "t18_control_hints", "t31_doc_id_candidates", "o10_o11_apply_policy",
         "w02_evidence_window", "w03_window_manifest", "w15_hierarchy_closure", "w17_parameter_rescue", "v01_v04_contract_validity", "v07_parameter_tags", "v09_gold_metrics", "m02_ranking_metrics",
-        "m06_mcnemar", "m07_fisher", "m12_kappa", "g10_distribution", "g17_revision_and_combined", "n08_except_all", "x01_swap_source", "x03_other_revision", "c03_c04_clauses", "s07_k02_csv_round_trip", "st01_stream_append", "m10_bootstrap", "m25_newcombe_paired", "m25_holm", "n05_numeric_then_text_order", "n10_flatten", "x09_x10_replay_deltas", "s05_strict_json", "s08_encoding_fallback", "s10_yaml_profile", "s13_k05_archive", "k04_replaced_log", "h02_h05_manifest",
+        "m06_mcnemar", "m07_fisher", "m12_kappa", "g10_distribution", "g17_revision_and_combined", "n08_except_all", "x01_swap_source", "x03_other_revision", "c03_c04_clauses", "s07_k02_csv_round_trip", "st01_stream_append", "m10_bootstrap", "m25_newcombe_paired", "m25_holm", "n05_numeric_then_text_order", "n10_flatten", "x09_x10_replay_deltas", "s05_strict_json", "s08_encoding_fallback", "s10_yaml_profile", "s13_k05_archive", "k04_replaced_log", "k04_committed_log", "x06_mutation_summary", "x07_revision_mutations", "x11_profile_conditions", "h02_h05_manifest",
         "op1_line_dedup", "op5_embedding_near_dedup", "op6_quality_rules")
 NAMES = [n for n in (entry.oracle_sql() if os.environ.get("ALL_QUERIES") else SOME) if n in entry.oracle_sql()]
 
