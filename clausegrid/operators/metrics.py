@@ -301,6 +301,32 @@ def paired_outputs(left: DataFrame, right: DataFrame, key: str, by: str, passed:
     return both.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("_l") & ~F.col("_r")).alias("left_only"), F.count_if(~F.col("_l") & F.col("_r")).alias("right_only"), F.count_if(F.col("_l").isNull() | F.col("_r").isNull()).alias("unmatched"))
 
 
+#: Statuses that a summary counts; others count as other.
+STATUSES = ("OK", "PARAMS_REQUIRED", "NO_EVIDENCE", "ERROR")
+
+
+def paired_summary(left: DataFrame, right: DataFrame, key: str, by: str, passed: str = "passed", status: str = "status", subset: str = "parameters") -> DataFrame:
+    """Two systems' outputs for the same items, by group, over all items and over those with parameters (part): n, the paired table, unmatched items, exact McNemar p, and how
+    often each side has each status.
+
+    left and right: key, by, passed, status, subset (a flag of the item). A repeated key is an error; an item that one side lacks is unmatched and in no cell of the table.
+    """
+    from clausegrid.sources.scans import unique
+
+    def side(rows, mark):
+        return unique(rows, key).select(key, F.col(by).alias(f"{mark}_by"), F.col(passed).cast("boolean").alias(mark), F.upper(F.trim(status)).alias(f"{mark}_status"), F.col(subset).alias(f"{mark}_subset"))
+
+    both = side(left, "l").join(side(right, "r"), key, "full").withColumn(by, F.coalesce("l_by", "r_by"))
+    parts = F.filter(F.array(F.lit("all"), F.when(F.coalesce("l_subset", "r_subset"), "parameters")), lambda x: x.isNotNull())
+    rows = both.withColumn("part", F.explode(parts))
+    l, r = F.col("l"), F.col("r")
+    known = F.concat_ws("", *(F.lit(f"|{s}|") for s in STATUSES))
+    counts = [F.count_if(F.col(f"{m}_status") == s).alias(f"{name}_{s.lower()}") for m, name in (("l", "left"), ("r", "right")) for s in STATUSES]
+    others = [F.count_if(~F.contains(known, F.concat(F.lit("|"), F.col(f"{m}_status"), F.lit("|")))).alias(f"{name}_other") for m, name in (("l", "left"), ("r", "right"))]
+    table = rows.groupBy(by, "part").agg(F.count("*").alias("n"), F.count_if(l & r).alias("both"), F.count_if(l & ~r).alias("left_only"), F.count_if(~l & r).alias("right_only"), F.count_if(~l & ~r).alias("neither"), F.count_if(l.isNull() | r.isNull()).alias("unmatched"), *counts, *others)
+    return table.withColumn("p", F.round(mcnemar_exact(F.col("left_only"), F.col("right_only")), 6))
+
+
 def newcombe_paired(both: Column, left_only: Column, right_only: Column, neither: Column) -> tuple[Column, Column]:
     """The 95 % interval of a difference of paired shares, left less right: Newcombe's method 10 with its continuity correction; null for no rows."""
     a, b, c, d = (x.cast("double") for x in (both, left_only, right_only, neither))

@@ -286,6 +286,23 @@ def _(spark, sf_dir):
     return M.paired_outputs(rows.select("k", "stratum", F.col("a").alias("passed")), rows.select("k", "stratum", F.col("b").alias("passed")), "k", "stratum")
 
 
+_statuses = ", ".join(f"count(*) FILTER (WHERE {x}_status = '{s}') AS {name}_{s.lower()}" for x, name in (("l", "left"), ("r", "right")) for s in M.STATUSES)
+_p = "round(CASE WHEN lo + ro = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(lo, ro) + 1), lambda i: exp(lgamma(lo + ro + 1.0) - lgamma(i + 1.0) - lgamma(lo + ro - i + 1.0) - (lo + ro) * ln(2.0))))) END, 6)"
+
+
+@query("x14_paired_summary", f""", b AS (SELECT q, version, gold_required <> '' AS parameters, status = 'OK' AS l, upper(status) AS l_status, CASE WHEN q % 29 = 0 THEN NULL ELSE (q + q // 32) % 3 <> 0 END AS r, CASE WHEN q % 29 = 0 THEN NULL WHEN q % 5 = 0 THEN 'ERROR' ELSE upper(status) END AS r_status FROM fx_headers),
+e AS (SELECT *, unnest(CASE WHEN parameters THEN ['all', 'parameters'] ELSE ['all'] END) AS part FROM b),
+t AS (SELECT version, part, count(*) AS n, count(*) FILTER (WHERE l AND r) AS "both", count(*) FILTER (WHERE l AND NOT r) AS lo, count(*) FILTER (WHERE NOT l AND r) AS ro, count(*) FILTER (WHERE NOT l AND NOT r) AS neither, count(*) FILTER (WHERE r IS NULL) AS unmatched, {_statuses},
+  count(*) FILTER (WHERE l_status = 'BOGUS') AS left_other, count(*) FILTER (WHERE r_status = 'BOGUS') AS right_other FROM e GROUP BY version, part)
+SELECT * EXCLUDE (lo, ro), lo AS left_only, ro AS right_only, {_p} AS p FROM t""", "headers")
+def _(spark, sf_dir):
+    """Two runs over the same questions; the second lacks some, and fails on others."""
+    h = fixture(spark, sf_dir, "headers").select("q", "version", "status", (F.col("gold_required") != "").alias("parameters"))
+    left = h.withColumn("passed", F.col("status") == "OK")
+    right = h.where("q % 29 <> 0").withColumn("passed", F.expr("(q + q div 32) % 3 <> 0")).withColumn("status", F.when(F.col("q") % 5 == 0, "ERROR").otherwise(F.col("status")))
+    return M.paired_summary(left, right, "q", "version")
+
+
 @query("h01_canonical_hash", """SELECT k, sha256('{"kind":"' || kind || '","n":' || k || ',"title":"' || title || '"}') AS sha256 FROM fx_clauses""", "clauses")
 def _(spark, sf_dir):
     return fixture(spark, sf_dir, "clauses").select("k", H.canonical_hash(title=F.col("title"), kind=F.col("kind"), n=F.col("k")).alias("sha256"))
