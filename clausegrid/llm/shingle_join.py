@@ -6,7 +6,8 @@ a node are hashed and put in the order of their hashes, those common in a sample
 of a similarity of t or more that have n and m shingles share at least ceil(t * n) and ceil(t * m) of them, so the first
 n - ceil(t * n) + l of the one and the first m - ceil(t * m) + l of the other share at least l (prefix filter), where l grows with the
 smaller set. Only these shingles become rows. Nodes are first held against the least node of a shingle; shingles that only one
-component has left are done. In what remains, pairs of shingles with few nodes are counted and those that share l of them verified.
+component has left are done, and so are nodes that have fewer shingles left than the smallest set similar to theirs asks for: a line of a licence that texts share does not
+bring them together. In what remains, pairs of shingles with few nodes are counted and those that share l of them verified.
 Shingles with many nodes go to tasks in blocks, and their nodes' 64-bit hashes once to each task. Sketches (the parity of the hashes in 8 bits a shingle or more)
 bound the number of shingles that only one set has from below, pairs within the bound are compared by their hashes, and of the similar pairs a task only
 gives as many as join the same nodes, so what leaves it grows with its nodes, not with their pairs. All that is linked is verified on the texts. As everywhere here
@@ -38,6 +39,8 @@ BLOCK_SHINGLES = 1 << 21
 PART_SHINGLES = 1 << 24
 #: Bits of a sketch for each shingle, and 64-bit words at least and at most.
 SKETCH_BITS, LEAST_WORDS, MOST_WORDS = 8, 2, 128
+#: How often nodes are left out that share too few shingles with other components; each time leaves fewer shingles to share.
+PRUNINGS = 3
 _WORDS = 1 << 16
 
 
@@ -158,6 +161,21 @@ def prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.nd
     return docs.select(text).mapInArrow(run, "node long, size int, w long, often boolean")
 
 
+def promising(rows: DataFrame, least: float, prunings: int = PRUNINGS) -> DataFrame:
+    """The rows (w, node, size, g) that a similar pair of different components can come from.
+
+    Both nodes of such a pair have all shingles that their prefixes must share, in rows of more than one component. The partner of a set of n has ceil(least * n)
+    shingles or more, so a node with fewer such rows than that size asks for has no partner. The nodes left out may have been all of a shingle's other component.
+    """
+    smallest = F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(least) - 1e-9).cast("int"))
+    for _ in range(prunings):
+        mixed = rows.groupBy("w").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("w")
+        rows = cut(rows.join(mixed, "w", "left_semi"))
+        able = rows.groupBy("node").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") >= _shared_by(smallest, least)).select("node")
+        rows = cut(rows.join(able, "node", "left_semi"))
+    return rows
+
+
 def texts_of_nodes(asked: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(node, text), one text of each node of `asked`."""
     asked = cut(asked.select("node").distinct())
@@ -342,7 +360,7 @@ def links(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, least
     stars = known.where("node <> a").join(first, ["w", "salt"]).where("g <> g2").select("a", F.col("node").alias("b"), "size", "size2")
     found = verified(candidates(stars), docs, text, width, least)
     found = found if seeds is None else found.unionByName(seeds.select("a", "b"))
-    rows = grouped(members.select("w", "node", "size"), found)
+    rows = promising(grouped(members.select("w", "node", "size"), found), least)
     mixed = rows.groupBy("w").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("least")).where("x <> y").select("w", "n", "total", "least")
     rows = cut(rows.join(mixed, "w"))
     left = rows.where(F.col("n") <= few).select("w", F.col("node").alias("a"), "size", "g")

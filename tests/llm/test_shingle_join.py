@@ -129,3 +129,25 @@ def test_a_round_replaces_the_one_before(spark, tmp_path, monkeypatch):
     assert found == {k: 0 for k in range(201)} | {1000: 1000, 1001: 1000}
     (folder,) = tmp_path.iterdir()
     assert len([x for x in folder.iterdir() if not x.name.startswith(".")]) == 1
+
+
+def test_texts_that_share_a_line_alone_are_not_sent_to_blocks(spark, monkeypatch):
+    """A shared line of a licence is fewer shingles than similar texts must share: no hashes of such texts go to the tasks."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    line = " ".join(f"licence{k}" for k in range(6))
+    rows = [(k, " ".join([*rng.choices(words, k=24), line])) for k in range(40)]
+    same = rng.choices(words, k=300)
+    rows += [(100 + k, " ".join([*same[:k], f"x{k}", *same[k + 1 :]])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+    kept = J.promising
+
+    def spy(*args):
+        out = kept(*args)
+        sent.extend(r["node"] for r in out.select("node").distinct().collect())
+        return out
+
+    monkeypatch.setattr(J, "promising", spy)
+    assert sorted(map(tuple, simhash.similar(df, few=0, block=8).collect())) == brute(rows)
+    assert not {J.node_of(J.words_of(t)) for i, t in rows if i < 100} & set(sent)
