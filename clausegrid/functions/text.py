@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
@@ -10,6 +12,11 @@ _PAREN = r"^([A-Z]{2,3}-\d+)\((\d+)\)$"
 _CONTROL = r"(?<![A-Z0-9])([A-Z]{2}-\d+(?:\(\d+\)|\.\d+)?)(?=$|[^A-Z0-9])"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it; as it stands it would be computed at every place, and inside lambdas for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def text_of(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
@@ -127,9 +134,19 @@ def privilege_scope(x: Column, admins: bool) -> Column:
 
 def retrieval_query(x: Column) -> Column:
     """(query, scope, expansions): the stripped query with the terms of its scope that it lacks."""
-    raw = F.trim(text_of(x))
-    scope, stripped = privilege_scope(raw, True), strip_meta(raw)["text"]
-    work = F.when(stripped == "", raw).otherwise(stripped)
+
+    def made(raw: Column) -> Column:
+        work = let(strip_meta(raw)["text"], lambda stripped: F.when(stripped == "", raw).otherwise(stripped))
+        parts = F.struct(privilege_scope(raw, True).alias("scope"), work.alias("work"))
+        return let(parts, lambda p: let(_expansions(raw, p["work"], p["scope"]), lambda extras: let(
+            collapse(F.concat_ws(" ", p["work"], F.array_join(extras, " "))),
+            lambda query: F.struct(F.when(query == "", raw).otherwise(query).alias("query"), p["scope"].alias("scope"), extras.alias("expansions")))))
+
+    return let(F.trim(text_of(x)), made)
+
+
+def _expansions(raw: Column, work: Column, scope: Column) -> Column:
+    """The terms of a scope, and of several factors, that a query lacks."""
     terms = F.concat(
         F.when(normalize_text(work).rlike(MULTI_FACTOR), F.array(F.lit("multi-factor authentication"), F.lit("mfa"))).otherwise(F.array().cast("array<string>")),
         F.when(scope == "privileged", F.array(F.lit("privileged account"), F.lit("privileged accounts")))
@@ -137,9 +154,7 @@ def retrieval_query(x: Column) -> Column:
         .otherwise(F.array().cast("array<string>")),
         F.when((scope == "privileged") & raw.rlike(ADMIN), F.array(F.lit("privileged user"), F.lit("privileged users"))).otherwise(F.array().cast("array<string>")),
     )
-    extras = F.filter(F.array_distinct(terms), lambda t: ~F.contains(F.lower(work), t))
-    query = collapse(F.concat_ws(" ", work, F.array_join(extras, " ")))
-    return F.struct(F.when(query == "", raw).otherwise(query).alias("query"), scope.alias("scope"), extras.alias("expansions"))
+    return F.filter(F.array_distinct(terms), lambda t: ~F.contains(F.lower(work), t))
 
 
 def augment_enhancements(x: Column) -> Column:

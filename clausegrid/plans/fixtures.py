@@ -57,6 +57,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return derived(spark, sf_dir, FIXTURES[name])
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all cores by their key, for work that is much more than reading them: a compressed table is few splits, so few tasks would do it."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def with_fixtures(sql: str, *names: str) -> str:
     """The checking SQL with its fixtures in front; sql may begin with further definitions, `, name AS (...)`."""
     head = ", ".join(f"fx_{n} AS ({FIXTURES[n]})" for n in names)

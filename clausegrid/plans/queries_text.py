@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausegrid.functions import params as P, text as X
-from clausegrid.plans.fixtures import fixture, with_fixtures
+from clausegrid.plans.fixtures import fixture, spread, with_fixtures
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +15,7 @@ def scalar(name: str, source: str, make, sql: str, key: str = "k") -> None:
     """A query of one function over a fixture: columns key and value."""
 
     def run(spark, sf_dir):
-        rows = fixture(spark, sf_dir, source)
+        rows = spread(fixture(spark, sf_dir, source), key)
         return rows.select(key, make().alias("value"))
 
     QUERIES[name] = run
