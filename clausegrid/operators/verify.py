@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clausegrid.functions.params import ASSIGNMENT_SPACED, has_placeholder, normalize_parameter, placeholder_ids, placeholder_keys
-from clausegrid.functions.text import collapse, control_of_source, doc_id_candidates, text_of, version_lenient, version_strict
+from clausegrid.functions.text import collapse, control_of_source, doc_id_candidates, let, text_of, version_lenient, version_strict
 from clausegrid.operators.metrics import set_metrics
 
 STATUSES = ("OK", "PARAMS_REQUIRED", "NO_EVIDENCE", "ERROR")
@@ -186,11 +186,15 @@ def contract_labels(spans: Column, primary: Column, every: Column, cited_answer:
 
 def revision_tags(active: Column, declared: Column, labels: Column, is_text: Column | None = None) -> Column:
     """Declared revision and explicit labels against the active corpus. labels: array of struct(place, value); is_text: false for a declaration that is no text."""
-    a, d = version_strict(active), version_strict(declared if is_text is None else F.when(F.coalesce(is_text, F.lit(True)), declared))
-    wrong = F.flatten(F.transform(labels, lambda l: F.filter(F.array(
-        F.when(F.exists(labelled_revisions(l["value"]), lambda x: ~x.isin("rev4", "rev5")), F.concat(F.lit("UnsupportedRevisionLabel:"), l["place"])),
-        F.when(a.isNotNull() & F.exists(labelled_revisions(l["value"]), lambda x: x != a), F.concat(F.lit("RevisionLabelMismatch:"), l["place"], F.lit(":expected="), a, F.lit(",got="), F.array_join(labelled_revisions(l["value"]), ",")))),
-        lambda t: t.isNotNull())))
+    both = F.struct(version_strict(active).alias("a"), version_strict(declared if is_text is None else F.when(F.coalesce(is_text, F.lit(True)), declared)).alias("d"))
+    return let(both, lambda v: _revision_tags(v["a"], v["d"], declared, labels))
+
+
+def _revision_tags(a: Column, d: Column, declared: Column, labels: Column) -> Column:
+    wrong = F.flatten(F.transform(labels, lambda l: let(labelled_revisions(l["value"]), lambda named: F.filter(F.array(
+        F.when(F.exists(named, lambda x: ~x.isin("rev4", "rev5")), F.concat(F.lit("UnsupportedRevisionLabel:"), l["place"])),
+        F.when(a.isNotNull() & F.exists(named, lambda x: x != a), F.concat(F.lit("RevisionLabelMismatch:"), l["place"], F.lit(":expected="), a, F.lit(",got="), F.array_join(named, ",")))),
+        lambda t: t.isNotNull()))))
     head = tags((a.isNull(), "ActiveCorpusRevisionMissingOrInvalid"), (declared.isNull(), "FrameworkVersionMissing"), (declared.isNotNull() & d.isNull(), "FrameworkVersionInvalid"),
                 (a.isNotNull() & d.isNotNull() & (a != d), F.concat(F.lit("FrameworkVersionMismatch:expected="), a, F.lit(",got="), d)))
     return F.array_sort(F.array_distinct(F.concat(head, wrong)))

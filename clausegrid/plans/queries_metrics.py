@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.functions.text import rotate_alnum
 from clausegrid.operators import metrics as M, mutate as X, provenance as H, relational as A, retrieval as R
-from clausegrid.plans.fixtures import derived, fixture, with_fixtures
+from clausegrid.plans.fixtures import derived, fixture, spread, with_fixtures
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -264,7 +264,7 @@ def _(spark, sf_dir):
     from clausegrid.operators.verify import contract_labels, revision_tags
 
     own = F.when(F.col("k") % 2 == 0, "rev5").otherwise("rev4")
-    contracts = fixture(spark, sf_dir, "clauses").select("k", own.alias("revision"), own.alias("declared"), F.array(F.struct(F.col("id").alias("source_id"))).alias("spans"), F.lit("").alias("all_citations"))
+    contracts = spread(fixture(spark, sf_dir, "clauses"), "k").select("k", own.alias("revision"), own.alias("declared"), F.array(F.struct(F.col("id").alias("source_id"))).alias("spans"), F.lit("").alias("all_citations"))
     rows = X.revision_mutations(contracts)
     labels = contract_labels(F.col("spans"), F.lit(None).cast("string"), F.col("all_citations"), F.lit(None).cast("string"))
     return rows.select("k", "mutation", F.array_join(revision_tags(F.col("revision"), F.col("declared"), labels, F.col("is_text")), "|").alias("tags"))
