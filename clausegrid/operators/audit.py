@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clausegrid.config import ASSIGNMENT_SENTINEL
 from clausegrid.functions.params import ASSIGNMENT_SPACED, CURLY_SPACED, has_placeholder, normalize_parameter, placeholder_keys, resolve_literally
-from clausegrid.functions.text import text_of, version_lenient
+from clausegrid.functions.text import let, text_of, version_lenient
 from clausegrid.operators.provenance import canonical_hash
 from clausegrid.operators.verify import tags
 
@@ -39,11 +39,25 @@ def profile_resolution(spans: Column, values: Column, profile_revision: Column,
     """
     original = F.trim(F.array_join(F.transform(spans, lambda s: text_of(s["span_text"])), "\n\n"))
     applicable = F.coalesce(F.lower(F.trim(profile_revision)) == corpus_version, F.lit(False))
-    usable = F.map_filter(values, lambda k, v: applicable & v.isNotNull() & (F.trim(v) != "") & ~has_placeholder(v))
+
+    def usable(text: Column) -> Column:
+        # only the values that the text asks for are looked at, however many the profile has
+        asked = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CURLY_SPACED), 1), lambda k: F.trim(k)))
+        known = F.filter(F.transform(asked, lambda k: F.struct(k.alias("key"), values[k].alias("value"))), lambda x: applicable & x["value"].isNotNull() & (F.trim(x["value"]) != "") & ~has_placeholder(x["value"]))
+        return F.map_from_entries(known)
+
+    def filled(x: Column) -> Column:
+        return F.struct(x["original"].alias("original"), x["usable"].alias("usable"), resolve_literally(x["original"], x["usable"]).alias("answer"))
+
+    def read(x: Column) -> Column:
+        return F.struct(*(x[c].alias(c) for c in ("original", "usable", "answer")), placeholder_keys(x["answer"], CURLY_SPACED).alias("left"), x["answer"].rlike(ASSIGNMENT_SPACED).alias("bare"))
+
+    done = lambda x: _resolution(x["original"], x["usable"], x["answer"], x["left"], x["bare"], spans, applicable, profile_revision, corpus_version)
+    return let(original, lambda text: let(F.struct(text.alias("original"), usable(text).alias("usable")), lambda x: let(filled(x), lambda y: let(read(y), done))))
+
+
+def _resolution(original: Column, usable: Column, answer: Column, left: Column, bare: Column, spans: Column, applicable: Column, profile_revision: Column, corpus_version: Column) -> Column:
     keys = placeholder_keys(original, CURLY_SPACED)
-    answer = resolve_literally(original, usable)
-    left = placeholder_keys(answer, CURLY_SPACED)
-    bare = answer.rlike(ASSIGNMENT_SPACED)
     required = F.concat(left, F.when(bare, F.array(F.lit(ASSIGNMENT_SENTINEL))).otherwise(none()))
     bindings = F.transform(F.filter(keys, lambda k: F.map_contains_key(usable, k)), lambda k: F.struct(k.alias("param_id"), usable[k].alias("value"),
         F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda s: F.array_contains(placeholder_keys(s["span_text"], CURLY_SPACED), k)), lambda s: s["source_id"]))).alias("source_ids")))
@@ -54,18 +68,22 @@ def profile_resolution(spans: Column, values: Column, profile_revision: Column,
 
 def profile_tags(record: Column, answer: Column, required: Column, status: Column, policy: Column, spans: Column, values: Column, profile_revision: Column, corpus_version: Column) -> Column:
     """A contract's profile record, answer, list and status against what its spans and the profile give; a null record has no tags."""
-    v = version_lenient(corpus_version)
-    want = profile_resolution(spans, values, profile_revision, v)
+    def found(v: Column) -> Column:
+        return let(profile_resolution(spans, values, profile_revision, v), lambda want: _profile_tags(want, record, answer, required, status, policy))
+
+    return (F.when(record.isNull(), none()).when(values.isNull(), F.array(F.lit("ProfileResolutionRequiresOrgProfile")))
+            .otherwise(let(version_lenient(corpus_version), lambda v: F.when(~v.isin("rev4", "rev5"), F.array(F.lit("ProfileResolutionRequiresCorpusVersion"))).otherwise(found(v)))))
+
+
+def _profile_tags(want: Column, record: Column, answer: Column, required: Column, status: Column, policy: Column) -> Column:
     clean = lambda a: F.array_sort(F.array_distinct(F.transform(a, normalize_parameter)))
-    found = tags(
+    return tags(
         (~policy.eqNullSafe(F.lit("FILL_FROM_PROFILE")), "ProfileResolutionPolicyMismatch"),
         (F.to_json(record) != F.to_json(want["record"]), "ProfileResolutionRecordMismatch"),
         (answer != want["answer"], "ProfileResolvedAnswerMismatch"),
         (clean(required) != clean(want["required"]), "ProfileUnresolvedListMismatch"),
         (F.upper(F.trim(status)) != want["status"], "ProfileResolutionStatusMismatch"),
     )
-    return (F.when(record.isNull(), none()).when(values.isNull(), F.array(F.lit("ProfileResolutionRequiresOrgProfile")))
-            .when(~v.isin("rev4", "rev5"), F.array(F.lit("ProfileResolutionRequiresCorpusVersion"))).otherwise(found))
 
 
 #: Conditions that a profile is tried under (fixed names), and those in which it may fill a placeholder.
@@ -173,11 +191,12 @@ def profile_mutations(contracts: DataFrame) -> DataFrame:
         "anonymous": {"record": c("record").withField("anonymous_assignment_required", ~c("record.anonymous_assignment_required"))},
         "value": {"record": c("record").withField("bindings", F.concat("record.bindings", F.array(F.struct(F.lit("zz").alias("param_id"), F.lit("v").alias("value"), none().alias("source_ids")))))},
     }
-    out = None
+    rows = contracts.withColumn("mutation", F.explode(F.array(*map(F.lit, changes))))
+    changed = {}
     for name, change in changes.items():
-        rows = contracts.withColumn("mutation", F.lit(name)).withColumns(change) if change else contracts.withColumn("mutation", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        for column, value in change.items():
+            changed[column] = F.when(c("mutation") == name, value).otherwise(changed.get(column, c(column)))
+    return rows.withColumns(changed)
 
 
 def accepted(checks: DataFrame, name: str = "check", ok: str = "ok") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausegrid.operators import audit as A, relational as B, evidence as E
-from clausegrid.plans.fixtures import derived, fixture, with_fixtures
+from clausegrid.plans.fixtures import derived, fixture, spread, with_fixtures
 from clausegrid.plans.queries_evidence import KEYS_SQL, MANIFEST_SQL, profile, window_of
 from clausegrid.storage import stored
 
@@ -32,16 +32,20 @@ def _(spark, sf_dir):
 
 def contracts_of(spark, sf_dir):
     """Each clause as a contract of one citation."""
-    return fixture(spark, sf_dir, "clauses").withColumn("spans", F.array(F.struct(F.col("id").alias("source_id"), F.col("text").alias("span_text"))))
+    return spread(fixture(spark, sf_dir, "clauses"), "k").withColumn("spans", F.array(F.struct(F.col("id").alias("source_id"), F.col("text").alias("span_text"))))
+
+
+def with_profile(rows):
+    """The rows with the profile: one row of data, not part of each expression. It is large beside a contract, so no step stores it with them."""
+    return rows.join(F.broadcast(rows.sparkSession.range(1).select(profile().alias("values"))), how="cross")
 
 
 def resolved(spark, sf_dir):
     """The contracts, filled from a profile of revision 5; every third corpus is revision 4."""
     rows = contracts_of(spark, sf_dir)
     rows = rows.withColumn("version", F.when(F.col("k") % 3 == 0, "rev4").otherwise("rev5"))
-    values = spark.range(1).select(profile().alias("values"))  # one row: the profile is data, not part of each expression
-    rows = rows.join(F.broadcast(values), how="cross").withColumn("r", A.profile_resolution(F.col("spans"), F.col("values"), F.lit("rev5"), F.col("version")))
-    return rows.select("values", F.col("k").alias("q"), "spans", "version", "r.answer", "r.required", "r.status", "r.record", F.lit("FILL_FROM_PROFILE").alias("policy"))
+    rows = with_profile(rows).withColumn("r", A.profile_resolution(F.col("spans"), F.col("values"), F.lit("rev5"), F.col("version")))
+    return rows.select(F.col("k").alias("q"), "spans", "version", "r.answer", "r.required", "r.status", "r.record", F.lit("FILL_FROM_PROFILE").alias("policy"))
 
 
 FILL_SQL = f""", x AS (SELECT k, trim(text) AS text, {KEYS_SQL} AS keys, contains(text, '[Assignment:') AS bare FROM fx_clauses),
@@ -61,7 +65,7 @@ def tagged(rows):
 
 @query("v10_x08_profile_mutations", "SELECT mutation, count(*) AS n, CASE WHEN mutation = 'none' THEN 0 ELSE count(*) END AS detected FROM fx_clauses, (SELECT unnest(['none', 'answer', 'status', 'policy', 'required', 'revision', 'corpus', 'applicable', 'unresolved', 'anonymous', 'value']) AS mutation) m GROUP BY mutation", "clauses")
 def _(spark, sf_dir):
-    rows = A.profile_mutations(stored(resolved(spark, sf_dir)))
+    rows = with_profile(A.profile_mutations(stored(resolved(spark, sf_dir))))
     return rows.withColumn("t", tagged(rows)).groupBy("mutation").agg(F.count("*").alias("n"), F.count_if(F.size("t") > 0).alias("detected"))
 
 

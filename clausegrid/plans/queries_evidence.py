@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.functions import params as P
 from clausegrid.operators import evidence as E, metrics as M, verify as V
-from clausegrid.plans.fixtures import fixture, with_fixtures
+from clausegrid.plans.fixtures import fixture, spread, with_fixtures
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -277,7 +277,7 @@ def _(spark, sf_dir):
     """Of the clauses with a placeholder those that a profile resolves whole, by condition."""
     from clausegrid.operators import audit as A
 
-    contracts = fixture(spark, sf_dir, "clauses").withColumn("spans", F.array(F.struct(F.col("id").alias("source_id"), F.col("text").alias("span_text"))))
+    contracts = spread(fixture(spark, sf_dir, "clauses"), "k").withColumn("spans", F.array(F.struct(F.col("id").alias("source_id"), F.col("text").alias("span_text"))))
     rows = A.resolution_outcomes(A.profile_cases(contracts)).where(F.size("keys") > 0)
     return rows.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("r.status") == "OK").alias("resolved"))
 

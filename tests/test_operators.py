@@ -199,3 +199,24 @@ def test_exact_tails_of_any_size(spark):
     b, c = large[1], large[2]
     assert got[-1]["m"] == pytest.approx(math.erfc((abs(b - c) - 1) / math.sqrt(2 * (b + c))), rel=1e-4)
     assert 0.2 < got[-1]["f"] < 0.5
+
+
+def test_values_are_computed_once_and_only_those_asked_for(spark):
+    """What several places or every element of a list name is in the plan once; a profile's other values are not looked at."""
+    from clausegrid.functions import text as X
+    from clausegrid.operators import audit as U, verify as V
+    from clausegrid.plans.fixtures import spread
+
+    def plan(c):
+        return spark.range(1).select(F.col("id").cast("string").alias("x")).select(c.alias("r"))._jdf.queryExecution().analyzed().toString()
+
+    assert plan(X.retrieval_query(F.col("x"))["query"]).count("kindly") == 1
+    labels = F.array(F.struct(F.lit("p").alias("place"), F.col("x").alias("value")))
+    assert plan(V.revision_tags(F.col("x"), F.col("x"), labels)).count("800[") == 1
+    spans = F.array(F.struct(F.lit("a").alias("source_id"), F.lit("{{ insert: param, k }} and {{ insert: param, other }}").alias("span_text")))
+    values = F.create_map(F.lit("k"), F.lit("v"), F.lit("unused"), F.lit("w"))
+    assert "map_filter" not in plan(U.profile_resolution(spans, values, F.lit("rev5"), F.col("x"))).lower()
+    r = spark.range(1).select(U.profile_resolution(spans, values, F.lit("rev5"), F.lit("rev5")).alias("r")).first()["r"]
+    assert (r["answer"], r["required"], r["record"]["unresolved_param_ids"]) == ("v and {{ insert: param, other }}", ["other"], ["other"])
+    # one split of a table becomes tasks for all cores
+    assert spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
