@@ -6,7 +6,8 @@ bound for many rows at once, and what stays below the n-th best score found so f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,31 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of a block of queries, which goes to every task, numbers that a task computes together, and rows that are bounded together, at most.
 BLOCK_BYTES, TOGETHER, ROWS = 64 << 20, 1 << 21, 1 << 13
+#: Bytes of texts that are tokenized together, and postings that are bounded together, about: what a task holds does not grow with the documents.
+TEXT_BYTES, POSTINGS = 1 << 20, 1 << 19
 #: Vectors of a ball, about, and what rounding may add to a bound, relative to its terms.
 BALL, SLACK = 64, 1e-9
 
 
+def release() -> None:
+    """Gives a finished task's memory back to the system; Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def parts_of(sizes: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of up to `rows` rows whose sizes add up to `most` at most; a single larger row comes alone."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = int(ends[at - 1]) if at else 0
+        to = min(max(at + 1, int(np.searchsorted(ends, before + most, "right"))), at + rows)
+        yield at, to
+        at = to
+
+
 class Best:
     """The n best (score, id) of every query so far: larger scores first, then smaller ids."""
 
@@ -26,7 +48,11 @@ class Best:
         self.n, self.floor, self.parts, self.size = n, np.full(n_queries, -np.inf), [], 0
         self.limit = max(1 << 16, 4 * n * n_queries)
 
-    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray | None = None) -> None:
+        """Rows of a query, an id and a score; or, without scores, a row of all queries' scores for each id."""
+        if scores is None:
+            row, number = np.nonzero(query >= self.floor[None, :])
+            query, ids, scores = number, ids[row], query[row, number]
         ok = scores >= self.floor[query]
         self.parts.append((query[ok], ids[ok], scores[ok]))
         self.size += int(ok.sum())
@@ -58,19 +84,22 @@ def ids_of(array: pa.Array) -> np.ndarray:
     return np.array(array.to_pylist(), dtype="U") if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else array.to_numpy(zero_copy_only=False)
 
 
-def best_rows(rows: DataFrame, id_type: str, n_queries: int, n: int, look: Callable[[pa.RecordBatch, Best], None]) -> DataFrame:
-    """(number, id, score): the n best rows of every query, by task. look: adds what a batch has to the best so far."""
+def best_rows(rows: DataFrame, id_type: str, n_queries: int, n: int, look: Callable[[pa.RecordBatch, Best], None], weigh: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
+    """(number, id, score): the n best rows of every query, by task. look: adds what a batch has to the best so far; weigh: the postings of its rows, if they differ."""
 
     def run(batches):
         best = Best(n_queries, n)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                look(batch.slice(at, ROWS), best)
+            for at, to in parts_of(np.zeros(batch.num_rows, np.int64) if weigh is None else weigh(batch), POSTINGS, ROWS):
+                look(batch.slice(at, to - at), best)
                 best.settle()
+            del batch
         found = best.result()
         if found is not None:
             query, ids, scores = found
             yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(ids.tolist() if ids.dtype.kind == "U" else ids), pa.array(scores)], names=["number", "id", "score"])
+        del best, found
+        release()
 
     return rows.mapInArrow(run, f"number long, id {id_type}, score double")
 
@@ -111,8 +140,8 @@ def term_index(docs: DataFrame, terms: list[str], id_: str = "id", text: str = "
         values = pa.array(asked.value, pa.large_string())
         n = max(1, len(values))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at, to in parts_of(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), TEXT_BYTES, 2048):
+                part = batch.slice(at, to - at)
                 tokens, bounds = ascii_tokens(part.column(1))
                 lengths = np.diff(bounds)
                 number = pc.index_in(tokens, value_set=values)
@@ -120,8 +149,12 @@ def term_index(docs: DataFrame, terms: list[str], id_: str = "id", text: str = "
                 key = np.repeat(np.arange(part.num_rows), lengths)[known] * n + number.drop_null().to_numpy()
                 key, tf = np.unique(key, return_counts=True)
                 ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * n).astype(np.int32))
+                del tokens, number, known
                 lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % n, tf))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths.astype(np.int32)), *lists], names=["id", "dl", "terms", "tfs"])
+                del part, key, tf, lists
+            del batch
+        release()
 
     kind = dict(docs.dtypes)[id_]
     return docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, dl int, terms array<int>, tfs array<int>")
@@ -233,7 +266,10 @@ def lexical_top(index: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndar
                     some = scores > 0
                     best.add(np.full(int(some.sum()), q), ids[rows[some]], np.round(scores[some] / scale[q], decimals))
 
-        part = best_rows(index, kind, high - low, n, look).withColumn("number", F.col("number") + low)
+        def weigh(batch):
+            return pc.fill_null(pc.list_value_length(batch.column(batch.schema.get_field_index("terms"))), 0).to_numpy(zero_copy_only=False)
+
+        part = best_rows(index, kind, high - low, n, look, weigh).withColumn("number", F.col("number") + low)
         found = part if found is None else found.unionByName(part)
         low = high
     return found

@@ -75,3 +75,14 @@ def test_balls_of_copies_and_single_vectors():
         best = B.Best(1, 4)
         B.Balls(x).look(np.ones((1, 3)), np.arange(len(x)), best, 9)
         assert best.result()[1].tolist() == np.lexsort((np.arange(len(x)), -(x @ np.ones(3))))[:4].tolist()
+
+
+def test_tasks_hold_bounded_parts(monkeypatch):
+    """Rows are tokenized and bounded together by what they weigh, not by their number: long texts do not gather in a task."""
+    from clausegrid.operators import blocks
+
+    assert list(blocks.parts_of(np.array([5, 5, 30, 1, 1, 1, 1]), 10, 3)) == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert list(blocks.parts_of(np.zeros(0, np.int64), 10, 3)) == []
+    best = blocks.Best(2, 1)
+    best.add(np.array([[0.5, 0.1], [0.2, 0.9]]), np.array([7, 8]))
+    assert [x.tolist() for x in best.result()] == [[0, 1], [7, 8], [0.5, 0.9]]
