@@ -187,3 +187,15 @@ def without_enhancements(ids: Column, allowed: Column) -> Column:
 def near_rewrites(query: Column, rewrites: Column, least: float = 0.15, most: int = 3) -> Column:
     """The first rewrites whose words overlap enough with the query's."""
     return F.slice(F.filter(rewrites, lambda r: jaccard(token_set(query, 1), token_set(r, 1)) >= least), 1, most)
+
+
+def width_sweep(docs: DataFrame, widths: tuple[int, ...], key: str = "q") -> DataFrame:
+    """width, queries, documents: how many queries and clauses have one of the first `width` controls of their query. docs: key, position (from 1, no gaps), control_id, kind.
+
+    A control is among the first ones from its first position on, so no list of controls is made and no row is repeated for a width.
+    """
+    first = docs.where(F.col("control_id").isNotNull()).groupBy(key, "control_id").agg(F.min("position").alias("first"), F.count_if(F.col("kind").isin(*CLAUSE_KINDS)).alias("n"))
+    met = first.groupBy(key).agg(*(F.sum(F.when(F.col("first") <= w, F.col("n")).otherwise(0)).alias(f"w{w}") for w in widths))
+    totals = met.agg(*(F.struct(F.count_if(F.col(f"w{w}") > 0).alias("queries"), F.coalesce(F.sum(f"w{w}"), F.lit(0)).alias("documents")).alias(f"w{w}") for w in widths))
+    rows = totals.select(F.explode(F.array(*(F.struct(F.lit(w).alias("width"), F.col(f"w{w}.queries").alias("queries"), F.col(f"w{w}.documents").alias("documents")) for w in widths))).alias("r"))
+    return rows.where("r.queries > 0").select("r.*")

@@ -73,11 +73,7 @@ def _(spark, sf_dir):
 
 @query("w05_width_sweep", ", ctl AS (SELECT q, list(control_id ORDER BY position) AS controls FROM fx_retrieved GROUP BY q), wd AS (SELECT q, w, controls[1:w] AS allowed FROM ctl, (SELECT unnest([1, 2, 3, 5]) AS w) x) SELECT CAST(w AS INTEGER) AS width, count(DISTINCT wd.q) AS queries, count(*) AS documents FROM wd JOIN fx_retrieved r ON r.q = wd.q AND list_contains(allowed, r.control_id) WHERE r.kind IN ('smt', 'gdn') GROUP BY w", "retrieved")
 def _(spark, sf_dir):
-    docs = fixture(spark, sf_dir, "retrieved")
-    controls = docs.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "control_id"))), lambda x: x["control_id"]).alias("controls"))
-    widths = controls.select("q", "controls", F.explode(F.array(*map(F.lit, (1, 2, 3, 5)))).alias("width")).withColumn("allowed", F.slice("controls", 1, F.col("width")))
-    met = docs.join(widths, "q").where(F.array_contains("allowed", F.col("control_id")) & F.col("kind").isin(*E.CLAUSE_KINDS))
-    return met.groupBy("width").agg(F.countDistinct("q").alias("queries"), F.count("*").alias("documents"))
+    return E.width_sweep(fixture(spark, sf_dir, "retrieved"), (1, 2, 3, 5))
 
 
 for _mode, _sql in (("all", "kind IN ('smt', 'gdn')"), ("smt_only", "kind = 'smt'"), ("prefer_smt", "kind IN ('smt', 'gdn') AND (kind = 'smt' OR NOT anys)"), ("prefer_smt_keep_params", "kind IN ('smt', 'gdn')")):

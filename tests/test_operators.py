@@ -220,3 +220,15 @@ def test_values_are_computed_once_and_only_those_asked_for(spark):
     assert (r["answer"], r["required"], r["record"]["unresolved_param_ids"]) == ("v and {{ insert: param, other }}", ["other"], ["other"])
     # one split of a table becomes tasks for all cores
     assert spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_widths_need_no_lists_and_sources_are_resolved_once(spark):
+    docs = spark.createDataFrame([(1, 1, "A", "smt"), (1, 2, "B", "obj"), (1, 3, "A", "gdn"), (2, 1, "C", "obj"), (2, 2, "D", "smt"), (3, 1, None, "smt")], "q long, position int, control_id string, kind string")
+    swept = E.width_sweep(docs, (1, 2))
+    assert sorted(map(tuple, swept.collect())) == [(1, 1, 2), (2, 2, 3)]
+    spans = spark.createDataFrame([(1, 1, "X:a"), (1, 2, "A"), (2, 1, "a"), (2, 2, None), (3, 1, "A")], "q long, position int, source_id string")
+    corpus = spark.createDataFrame([("a", "one"), ("b", "two")], "id string, text string")
+    rows = V.resolve_sources(spans, corpus)
+    assert sorted(tuple(r) for r in rows.select("q", "position", F.coalesce("matched", F.lit(""))).collect()) == [(1, 1, "a"), (1, 2, "a"), (2, 1, "a"), (2, 2, ""), (3, 1, "a")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in swept._jdf.queryExecution().optimizedPlan().toString() and "posexplode" in plan and "[q" not in plan.split("min_by")[0].split("Aggregate")[-1].split("]")[0]
