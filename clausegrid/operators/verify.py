@@ -54,13 +54,13 @@ def verbatim(span: Column, official: Column) -> Column:
 def resolve_sources(spans: DataFrame, corpus: DataFrame, key: str = "q") -> DataFrame:
     """Adds matched and official to spans: the corpus record of the first candidate id that is there exactly, else in another case.
 
-    spans: key, position, source_id, ...; corpus: id, text.
+    spans: key, position, source_id, ...; corpus: id, text. Each source id is resolved once, however many spans have it.
     """
-    tried = spans.select(key, "position", F.posexplode(doc_id_candidates(F.col("source_id"))).alias("o", "c"))
+    tried = spans.select("source_id").distinct().select("source_id", F.posexplode(doc_id_candidates(F.col("source_id"))).alias("o", "c"))
     known = corpus.select(F.col("id").alias("matched"), F.col("text").alias("official"), F.lower("id").alias("l"))
-    found = tried.join(known, F.lower("c") == F.col("l")).groupBy(key, "position").agg(
+    found = tried.join(known, F.lower("c") == F.col("l")).groupBy(F.col("source_id").alias("_source")).agg(
         F.min_by(F.struct("matched", "official"), F.struct((F.col("c") != F.col("matched")).alias("e"), "o", "matched")).alias("m"))
-    return spans.join(found, [key, "position"], "left").select(*spans.columns, "m.matched", "m.official")
+    return spans.join(found, F.col("source_id").eqNullSafe(F.col("_source")), "left").select(*spans.columns, "m.matched", "m.official")
 
 
 def contract_validity(headers: DataFrame, spans: DataFrame, corpus: DataFrame, strict: bool = True, key: str = "q") -> DataFrame:
