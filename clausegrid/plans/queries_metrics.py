@@ -245,8 +245,9 @@ def _(spark, sf_dir):
     """Five mutations of every citation and of its contract: the next source, an altered character, a source of the other revision, a dropped parameter, a flipped status."""
     clauses = fixture(spark, sf_dir, "clauses").select("id")
     spans = fixture(spark, sf_dir, "spans").select("q", "position", "span_text", F.col("id").alias("source_id"))
-    swapped = X.swap_source(spans.select("q", "position", "source_id"), clauses).withColumnRenamed("source_id", "following")
-    rows = spans.join(swapped, ["q", "position"]).join(fixture(spark, sf_dir, "headers").select("q", "status", "required"), "q")
+    # the citation goes along with its source, so it is not joined with itself again
+    swapped = X.swap_source(spans.withColumn("own", F.col("source_id")), clauses).withColumnsRenamed({"source_id": "following", "own": "source_id"})
+    rows = swapped.join(fixture(spark, sf_dir, "headers").select("q", "status", "required"), "q")
     listed = F.filter(F.array("required"), lambda x: x != "")
     made = {"swap": (F.col("source_id"), F.col("following")), "alter": (F.col("span_text"), X.alter_first(F.col("span_text"))), "foreign": (F.col("source_id"), F.concat(F.lit("other:"), F.col("source_id"))),
             "drop": (F.array_join(listed, "|"), F.array_join(X.drop_last(listed), "|")), "flip": (F.col("status"), X.flip_status(F.col("status")))}

@@ -232,3 +232,10 @@ def test_widths_need_no_lists_and_sources_are_resolved_once(spark):
     assert sorted(tuple(r) for r in rows.select("q", "position", F.coalesce("matched", F.lit(""))).collect()) == [(1, 1, "a"), (1, 2, "a"), (2, 1, "a"), (2, 2, ""), (3, 1, "a")]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in swept._jdf.queryExecution().optimizedPlan().toString() and "posexplode" in plan and "[q" not in plan.split("min_by")[0].split("Aggregate")[-1].split("]")[0]
+
+
+def test_citations_are_not_joined_with_themselves(spark):
+    from clausegrid.plans.registry import queries
+
+    rows = queries()["x06_mutation_summary"](spark, "/root/testdata/sf0.001")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("l_linenumber") and rows._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
