@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK_BYTES, TOGETHER, ROWS = 64 << 20, 1 << 21, 1 << 13
 #: Bytes of texts that are tokenized together, and postings that are bounded together, about: what a task holds does not grow with the documents.
 TEXT_BYTES, POSTINGS = 1 << 20, 1 << 19
+#: Best rows of all queries and groups that a task holds, at most.
+HELD = 1 << 20
 #: Vectors of a ball, about, and what rounding may add to a bound, relative to its terms.
 BALL, SLACK = 64, 1e-9
 
@@ -129,8 +131,8 @@ def ascii_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return tokens, np.searchsorted(starts, offsets)
 
 
-def term_index(docs: DataFrame, terms: list[str], id_: str = "id", text: str = "text") -> DataFrame:
-    """id, dl, terms, tfs: of every document its length in tokens and, for the terms asked for, their numbers and how often they occur.
+def term_index(docs: DataFrame, terms: list[str], id_: str = "id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, dl, terms, tfs: of every document its length in tokens and, for the terms asked for, their numbers and how often they occur; the columns to keep follow.
 
     Texts are tokenized once; what comes out is a few numbers a document.
     """
@@ -151,13 +153,14 @@ def term_index(docs: DataFrame, terms: list[str], id_: str = "id", text: str = "
                 ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * n).astype(np.int32))
                 del tokens, number, known
                 lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % n, tf))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths.astype(np.int32)), *lists], names=["id", "dl", "terms", "tfs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths.astype(np.int32)), *lists, *part.columns[2:]], names=["id", "dl", "terms", "tfs", *keep])
                 del part, key, tf, lists
             del batch
         release()
 
-    kind = dict(docs.dtypes)[id_]
-    return docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, dl int, terms array<int>, tfs array<int>")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"id {kinds[id_]}, dl int, terms array<int>, tfs array<int>", *(f"`{c}` {kinds[c]}" for c in keep)])
+    return docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), *keep).mapInArrow(run, schema)
 
 
 class Impacts:
@@ -275,6 +278,130 @@ def lexical_top(index: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndar
     return found
 
 
+class BestByGroup:
+    """The n best rows of every query in each group so far: larger scores first, then larger ties (nulls last), then smaller ids."""
+
+    def __init__(self, n_queries: int, n: int):
+        self.n_queries, self.n, self.numbers = n_queries, n, {}
+        self.full, self.floor = np.zeros(0, np.int64), np.zeros(0)
+        self.parts, self.size, self.settled = [], 0, 0
+
+    def numbered(self, groups: pa.Array) -> np.ndarray:
+        """The numbers of groups, which may be null."""
+        coded = groups.dictionary_encode("encode")
+        own = np.array([self.numbers.setdefault(x, len(self.numbers)) for x in coded.dictionary.to_pylist()], np.int64)
+        return own[coded.indices.to_numpy()]
+
+    def add(self, query: np.ndarray, group: np.ndarray, scores: np.ndarray, untied: np.ndarray, ties: np.ndarray, ids: np.ndarray) -> None:
+        """untied: where the tie is null. Rows below their pair's n-th score do not enter."""
+        key = group * self.n_queries + query
+        ok = np.ones(len(key), bool)
+        if len(self.full):
+            at = np.minimum(np.searchsorted(self.full, key), len(self.full) - 1)
+            ok = (self.full[at] != key) | (scores >= self.floor[at])
+        self.parts.append(tuple(x[ok] for x in (key, scores, untied, ties, ids)))
+        self.size += int(ok.sum())
+        if self.size > 2 * self.settled + (1 << 16):
+            self.settle()
+
+    def settle(self) -> None:
+        """Keeps the n best of each query and group."""
+        if not self.parts:
+            return
+        rows = tuple(np.concatenate(x) for x in zip(*self.parts))
+        key, scores, untied, ties, ids = rows
+        # ~x falls as x rises, without overflow
+        order = np.lexsort((ids, ~ties, untied, -scores, key))
+        key = key[order]
+        place = np.arange(len(key)) - np.searchsorted(key, key)
+        last = place == self.n - 1
+        self.full, self.floor = key[last], scores[order][last]
+        self.parts = [tuple(x[order[place < self.n]] for x in rows)]
+        self.size = self.settled = len(self.parts[0][0])
+
+    def result(self) -> tuple[np.ndarray, ...] | None:
+        """(query, group's number, score, whether the tie is null, tie, id), or None for no rows."""
+        self.settle()
+        if not self.size:
+            return None
+        key, *rest = self.parts[0]
+        return key % self.n_queries, key // self.n_queries, *rest
+
+
+def grouped_top(index: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndarray], n_queries: int, n: int, group: str, tie: str) -> DataFrame | None:
+    """(number, group, id, score, tie): the n best documents of every query in each group by task; those without a term of the query never come.
+
+    Larger sums of the shared terms' weights come first, then larger ties (long, nulls last), then smaller ids. index: id, terms, group, tie; entries: (term, query, weight)
+    of each query's distinct terms. Pairs of a query and a document are made POSTINGS at a time. A task with so many groups that it would hold more than HELD rows
+    hands these on and begins anew, so what it holds does not grow with the groups.
+    """
+    spark, kinds = index.sparkSession, dict(index.dtypes)
+    order = np.argsort(entries[1], kind="stable")
+    terms, query, values = (e[order] for e in entries)
+    starts = np.searchsorted(query, np.arange(n_queries + 1))
+    low, found = 0, None
+    while low < n_queries:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + max(1, BLOCK_BYTES // 24), "right")) - 1)
+        own = slice(starts[low], starts[high])
+        by_term = np.argsort(terms[own], kind="stable")
+        used, first = np.unique(terms[own][by_term], return_index=True)
+        shared = spark.sparkContext.broadcast((used, np.append(first, len(by_term)), query[own][by_term] - low, values[own][by_term]))
+
+        def pairs(batch, shared=shared):
+            """(rows, queries, scores) of a batch, in parts."""
+            used, first, query, value = shared.value
+            lists, n_queries = batch.column(batch.schema.get_field_index("terms")), int(query.max()) + 1
+            there, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            place = np.minimum(np.searchsorted(used, there), len(used) - 1)
+            ok = used[place] == there
+            row, place = row[ok], place[ok]
+            askers = first[place + 1] - first[place]
+            begins = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for a, b in parts_of(np.bincount(row, askers, batch.num_rows).astype(np.int64), POSTINGS, ROWS):
+                some = slice(begins[a], begins[b])
+                times = askers[some]
+                at = np.repeat(first[place[some]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+                pair, number = np.unique(np.repeat(row[some], times) * n_queries + query[at], return_inverse=True)
+                yield pair // n_queries, pair % n_queries, np.bincount(number, value[at], len(pair))
+
+        def run(batches, shared=shared, n_queries=high - low):
+            def handed_on(best):
+                found = best.result()
+                if found is not None:
+                    query, number, score, untied, ties, ids = found
+                    names = pa.array(list(best.numbers), groups).take(pa.array(number))
+                    ids = pa.array(ids.tolist() if ids.dtype.kind == "U" else ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(query), names, ids, pa.array(score), pa.array(ties, mask=untied)], names=["number", group, "id", "score", tie])
+
+            best, groups = BestByGroup(n_queries, n), None
+            for batch in batches:
+                places = {c: k for k, c in enumerate(batch.schema.names)}
+                groups = batch.schema.field(group).type
+                for at, to in parts_of(pc.fill_null(pc.list_value_length(batch.column(places["terms"])), 0).to_numpy(zero_copy_only=False), POSTINGS, ROWS):
+                    part = batch.slice(at, to - at)
+                    ids, ties = ids_of(part.column(places["id"])), part.column(places[tie])
+                    untied, ties = ties.is_null().to_numpy(zero_copy_only=False), pc.fill_null(ties, 0).to_numpy(zero_copy_only=False)
+                    number = best.numbered(part.column(places[group]))
+                    for row, query, scores in pairs(part) if len(shared.value[0]) else ():
+                        best.add(query, number[row], scores, untied[row], ties[row], ids[row])
+                        if best.size > HELD or len(best.numbers) > HELD:
+                            best.settle()
+                            if best.size > HELD // 2 or len(best.numbers) > HELD:
+                                yield from handed_on(best)
+                                best = BestByGroup(n_queries, n)
+                                number = best.numbered(part.column(places[group]))
+                del batch
+            yield from handed_on(best)
+            del best
+            release()
+
+        part = index.mapInArrow(run, f"number long, `{group}` {kinds[group]}, id {kinds['id']}, score double, `{tie}` long").withColumn("number", F.col("number") + low)
+        found = part if found is None else found.unionByName(part)
+        low = high
+    return found
+
+
 # ---------------------------------------------------------------- vectors
 
 

@@ -85,14 +85,8 @@ ap AS (SELECT rr.*, rerank_margin, called AND NOT (bool_or(rerank_rank = 1 AND b
 fin AS (SELECT *, CASE WHEN applied THEN rerank_rank ELSE row_number() OVER (PARTITION BY q ORDER BY base_rank) END AS final_rank, CASE WHEN applied THEN rerank_margin ELSE base_margin END AS final_margin FROM ap)"""
 
 
-def pred_of(spark, sf_dir):
-    """The stand-in for cross-encoder scores: letters of the query's longer terms that a document has."""
-    terms = originals(spark, sf_dir).select("q", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).where(F.length("term") >= 5)
-    return terms.join(R.postings(docs_of(spark, sf_dir), terms).select("term", "id"), "term").groupBy("q", "id").agg(F.sum(F.length("term")).cast("double").alias("pred"))
-
-
 def pred_for(spark, sf_dir):
-    """The same scores for candidate pairs alone."""
+    """The stand-in for cross-encoder scores of candidate pairs: letters of the query's longer terms that a document has."""
 
     def score(pairs):
         wanted = originals(spark, sf_dir).select("q", F.filter(F.array_distinct(tokenize(F.col("text"))), lambda t: F.length(t) >= 5).alias("a"))
@@ -273,8 +267,8 @@ def _(spark, sf_dir):
 
 @query("r22_clause_selection", f"{ALL_SQL}, cl AS (SELECT q, d.source, p.id, pred, d.n_chars FROM pred p JOIN documents d ON d.doc_id = p.id) SELECT q, source, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY pred DESC, n_chars DESC, id) AS rank FROM cl) WHERE rank <= 12")
 def _(spark, sf_dir):
-    rows = pred_of(spark, sf_dir).join(derived(spark, sf_dir, "SELECT doc_id AS id, source, n_chars FROM documents"), "id")
-    return R.ranked(rows, ["q", "source"], [F.desc("pred"), F.desc("n_chars"), F.col("id")], most=12).select("q", "source", "id", "rank")
+    docs = derived(spark, sf_dir, "SELECT doc_id AS id, coalesce(text, '') AS text, source, n_chars FROM documents")
+    return R.select_in_groups(originals(spark, sf_dir), docs, 12, "source", "n_chars").select("q", "source", "id", "rank")
 
 
 @query("r23_system_bm25", f"WITH {BM25_SQL} SELECT q, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids FROM bm WHERE v = 0 AND rank <= 10 GROUP BY q")

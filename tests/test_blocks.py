@@ -86,3 +86,81 @@ def test_tasks_hold_bounded_parts(monkeypatch):
     best = blocks.Best(2, 1)
     best.add(np.array([[0.5, 0.1], [0.2, 0.9]]), np.array([7, 8]))
     assert [x.tolist() for x in best.result()] == [[0, 1], [7, 8], [0.5, 0.9]]
+
+
+def most_letters(queries, docs, n, least=5):
+    """(q, group, id, pred, tie, rank), by looking at every pair."""
+    out, asked = [], {}
+    for q, text in queries:
+        asked[q] = asked.get(q, set()) | {t for t in text.split() if len(t) >= least}
+    for q, terms in asked.items():
+        groups = {}
+        for id_, text, group, tie in docs:
+            pred = sum(len(t) for t in terms & set((text or "").split()))
+            if pred and id_ is not None:
+                groups.setdefault(group, []).append((-pred, tie is None, -(tie or 0), id_, tie))
+        out += [(q, g, r[3], float(-r[0]), r[4], k) for g, rows in groups.items() for k, r in enumerate(sorted(rows, key=lambda r: r[:4])[:n], 1)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("held, postings, many", [(1 << 20, 1 << 19, False), (50, 40, False), (50, 40, True)])
+def test_selection_in_groups_is_that_of_all_pairs(spark, monkeypatch, held, postings, many):
+    """Ties, nulls and many groups; with small bounds tasks hand their rows on several times."""
+    from clausegrid.operators import retrieval as R
+
+    monkeypatch.setattr(B, "HELD", held)
+    monkeypatch.setattr(B, "POSTINGS", postings)
+    rng, words = np.random.default_rng(5), ["alpha", "stone", "rivers", "of", "mountain", "seven", "tree"]
+    text = lambda k: " ".join(rng.choice(words, k))
+    docs = [(k, text(rng.integers(0, 6)), f"s{k if many else k % 3}" if k % 5 else None, int(rng.integers(0, 3)) if k % 7 else None) for k in range(400)]
+    docs += [(None, "alpha stone", "s1", 9), (400, None, "s1", 9), (401, "alpha", "s1", -(1 << 63))]
+    queries = [(1, "alpha stone"), (1, "alpha rivers"), (2, "of tree"), (3, "mountain seven alpha"), (None, "stone")] + [(k, text(3)) for k in range(4, 20)]
+    rows = R.select_in_groups(spark.createDataFrame(queries, "q long, text string"), spark.createDataFrame(docs, "id long, text string, g string, n long"), 4, "g", "n")
+    assert sorted(map(tuple, rows.select("q", "g", "id", "pred", "n", "rank").collect()), key=repr) == most_letters(queries, docs, 4)
+
+
+def test_selection_in_groups_of_text_ids_or_without_terms(spark):
+    from clausegrid.operators import retrieval as R
+
+    docs = spark.createDataFrame([("b", "alpha", 1, 2), ("a", "alpha", 1, 2), ("aa", "alpha beta1", 2, None)], "id string, text string, g int, n int")
+    queries = spark.createDataFrame([(1, "alpha"), (2, "of")], "q int, text string")
+    assert sorted((r["q"], r["g"], r["rank"], r["id"]) for r in R.select_in_groups(queries, docs, 2, "g", "n").collect()) == [(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 2, 1, "aa")]
+    assert R.select_in_groups(queries.where("q = 2"), docs, 2, "g", "n").count() == 0
+
+
+def test_only_the_best_of_each_group_leave_a_task(spark):
+    from clausegrid.operators import retrieval as R
+    from clausegrid.storage import stored
+
+    docs = spark.range(0, 5000, 1, 2).selectExpr("id", "'alpha' AS text", "concat('s', id % 3) AS g", "id AS n")
+    index = stored(B.term_index(docs, ["alpha"], keep=("g", "n")))
+    one = np.zeros(1, np.int64)
+    rows = B.grouped_top(index, (one, one, np.full(1, 5.0)), 1, 4, "g", "n")
+    assert rows.count() == 2 * 3 * 4
+    best = B.BestByGroup(1, 2)
+    assert best.result() is None
+    queries = spark.createDataFrame([(1, "alpha")], "q long, text string")
+    assert sorted(r["id"] for r in R.select_in_groups(queries, docs, 2, "g", "n").collect()) == [4994, 4995, 4996, 4997, 4998, 4999]
+
+
+def test_clause_selection_of_odd_tables(spark, tmp_path):
+    """r22 against its SQL: a repeated item counts a term once, no text is tokenized by expressions and no pair of an item and a document is a row."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    items = pa.table({"item_id": pa.array([1, 1, 2, 3], pa.int64()), "text": ["Alpha stone", "alpha river", None, "of"]})
+    docs = pa.table({"doc_id": pa.array([1, 2, 3, 4, 5, 6, 6], pa.int64()), "text": ["ALPHA", "stone-river", None, "", "alpha\x00ünstone", "alpha", "alpha"], "lang": ["en"] * 7,
+                     "source": ["a", "a", "a", None, None, None, None], "n_chars": pa.array([90, 11, 1, 0, None, 5, 5], pa.int64())})
+    con = duckdb.connect()
+    for name, table in (("benchmark", items), ("documents", docs)):
+        pq.write_table(table, tmp_path / f"{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = entry.queries()["r22_clause_selection"](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()["r22_clause_selection"]).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert sorted((r[3], r[2]) for r in want if r[1] == "a") == [(1, 2), (2, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "Generate" not in plan
