@@ -163,6 +163,26 @@ def term_index(docs: DataFrame, terms: list[str], id_: str = "id", text: str = "
     return docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), *keep).mapInArrow(run, schema)
 
 
+def term_counts(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
+    """id, term, tf, dl: a row for each distinct term of every document, with how often it occurs and the document's length in tokens."""
+
+    def run(batches):
+        for batch in batches:
+            for at, to in parts_of(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), TEXT_BYTES, 2048):
+                part = batch.slice(at, to - at)
+                tokens, bounds = ascii_tokens(part.column(1))
+                lengths, coded = np.diff(bounds), tokens.dictionary_encode()
+                n = max(1, len(coded.dictionary))
+                key, tf = np.unique(np.repeat(np.arange(part.num_rows), lengths) * n + coded.indices.to_numpy(), return_counts=True)
+                row, term = pa.array(key // n), coded.dictionary.cast(pa.string()).take(pa.array(key % n))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), term, pa.array(tf.astype(np.int64)), pa.array(lengths[key // n].astype(np.int32))], names=["id", "term", "tf", "dl"])
+                del part, tokens, coded, key, tf, row, term
+            del batch
+        release()
+
+    return docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_]}, term string, tf long, dl int")
+
+
 class Impacts:
     """Postings of a block of documents: by term in the order of their weights, the largest first, and by document."""
 
